@@ -21,14 +21,17 @@ _OTHER = r"[^\p{L}\p{N}]+"
 _TRIM = " \t\n\r.,;:!?\"'()[]{}<>-*#|%&$/"
 
 
-def shingles(text: Column, k: int = SHINGLE) -> Column:
-    """Hashes of the k-word shingles of a text, in order; words are runs of letters and digits, in lower case."""
-    words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TRIM)), _OTHER)
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.transform(
-        F.when(F.size(hashed) >= k, F.sequence(F.lit(0), F.size(hashed) - k)).otherwise(F.array().cast("array<int>")),
-        lambda p: F.xxhash64(*[F.get(hashed, p + i) for i in range(k)]),
-    )
+def with_shingles(df: DataFrame, name: str, k: int = SHINGLE) -> DataFrame:
+    """df with the hashes of the k-word shingles of its text, in order; words are runs of letters and digits, in lower case.
+
+    In two steps, so that the words are not split again for every shingle.
+    """
+    words = F.split(F.btrim(F.lower(F.coalesce("text", F.lit(""))), F.lit(_TRIM)), _OTHER)
+    df = df.withColumn("text", F.transform(words, lambda w: F.xxhash64(w)))
+    last = F.size("text") - k
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    hashed = F.transform(places, lambda p: F.xxhash64(*[F.get("text", p + i) for i in range(k)]))
+    return df.withColumn(name, hashed).drop("text")
 
 
 def simhash(sh: Column) -> Column:
@@ -75,14 +78,13 @@ def contaminated(
     are found nowhere; null texts are empty; rows with null ids are left out; repeated rows of either table count
     once. Other columns are not looked at.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingles(F.col("text")).alias("item"))
+    items = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item")
     items = materialise(items.where("item_id is not null and size(item) > 0").distinct())
     items = items.withColumns({"n": F.size("item"), "need": F.ceil(F.size("item") * (2 * similarity / (1 + similarity)) - 1e-9)})
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text")).alias("sh")).where(
-        "doc_id is not null"
-    )
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_shingles(docs, "sh")
     parts = items.select("item_id", "n", "need", F.explode(F.array_distinct("item")).alias("h"))
-    places = docs.select("doc_id", F.posexplode("sh").alias("p", "h"))
+    places = docs.select("doc_id", F.posexplode_outer("sh").alias("p", "h"))  # outer: no filter on sh that computes it again
     hits = by_size(places, parts, "h").select("doc_id", "item_id", "n", "need", "p").distinct()
     per = hits.groupBy("doc_id", "item_id", "n", "need").agg(F.sort_array(F.collect_list("p")).alias("at"))
     per = per.where(F.size("at") >= F.col("need"))
@@ -93,8 +95,8 @@ def contaminated(
     )
     found = materialise(per.select("doc_id", "n", F.explode(starts).alias("start")).distinct())
     ids = materialise(found.select("doc_id").distinct())
-    cut = by_size(docs.distinct(), ids, "doc_id").join(found, "doc_id")
-    cut = materialise(cut.select("doc_id", "start", "n", F.slice("sh", F.col("start") + 1, F.col("n")).alias("window")))
+    cut = by_size(docs, ids, "doc_id").join(found, "doc_id")
+    cut = materialise(cut.select("doc_id", "start", "n", F.slice("sh", F.col("start") + 1, F.col("n")).alias("window")).distinct())
     keyed = lambda df, c: df.withColumn("fp", simhash(F.col(c))).withColumn("b", F.explode(blocks(F.col("fp"), radius)))
     seen = keyed(cut.select("n", "window").distinct(), "window")
     known = keyed(items.select("item_id", "item", "n"), "item").withColumnRenamed("fp", "item_fp")

@@ -44,7 +44,7 @@ def _keys(line: Column, n: Column, edits: int) -> tuple[list[Column], list[Colum
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, id, n, at) of the lines that have a visible character; at orders all lines."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("line").rlike(_INK))
     at = F.col("doc_id").cast(ORDER) * F.lit(1 << 31).cast(ORDER) + F.col("line_no")
     return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.char_length("line").alias("n"), at.cast(ORDER).alias("at"))
