@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES = ["windows_plans"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
