@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def money(c: str | Column) -> Column:
     """Exact sums do not depend on row order."""
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")).cast("double")
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(20,4)")).cast("double")
 
 
 def r(c: Column | str, digits: int = 4) -> Column:
@@ -68,7 +68,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("basket"), F.col("l_linenumber").cast("long").alias("line"),
         F.col("l_partkey").alias("entity"), F.col("l_suppkey").alias("grp"),
         F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("qty"), F.col("l_discount").alias("disc"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"),
+        (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("net"),
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
     )
 
@@ -76,5 +76,5 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTS = """facts AS (
   SELECT l_orderkey AS basket, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS entity, l_suppkey AS grp,
          CAST(l_shipdate AS DATE) AS day, l_quantity AS qty, l_discount AS disc,
-         round(l_extendedprice * (1 - l_discount), 2) AS net, l_returnflag AS flag, l_linestatus AS status
+         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS net, l_returnflag AS flag, l_linestatus AS status
   FROM lineitem)"""
