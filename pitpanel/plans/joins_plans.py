@@ -57,11 +57,11 @@ def both_sides(spark, sf):
 
 
 @q("join_self_opponent", f"""WITH {FACTS}, s AS (SELECT basket, flag, sum(CAST(net AS DECIMAL(20,4))) AS v FROM facts GROUP BY 1, 2)
-  SELECT a.basket, a.flag AS side, b.flag AS other, round(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE), 3) AS diff FROM s a JOIN s b ON a.basket = b.basket AND a.flag <> b.flag""")
+  SELECT a.basket, a.flag AS side, b.flag AS other, round(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE), 4) AS diff FROM s a JOIN s b ON a.basket = b.basket AND a.flag <> b.flag""")
 def self_opponent(spark, sf):
     s = facts(spark, sf).groupBy("basket", "flag").agg(money("net").alias("v"))
     o = s.select("basket", F.col("flag").alias("other"), F.col("v").alias("ov"))
-    return s.join(o, "basket").where("flag <> other").select("basket", F.col("flag").alias("side"), "other", r(F.col("v") - F.col("ov"), 3).alias("diff"))
+    return s.join(o, "basket").where("flag <> other").select("basket", F.col("flag").alias("side"), "other", r(F.col("v") - F.col("ov"), 4).alias("diff"))
 
 
 @q("join_full_coalesce", """WITH a AS (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY 1)

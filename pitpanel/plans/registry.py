@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["windows_plans", "joins_plans"]
+MODULES = ["windows_plans", "joins_plans", "exprs_plans"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
