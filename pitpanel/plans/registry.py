@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["windows_plans", "joins_plans", "exprs_plans", "aggs_plans", "gates_plans"]
+MODULES = ["windows_plans", "joins_plans", "exprs_plans", "aggs_plans", "gates_plans", "evaluate_plans", "baskets_plans"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
