@@ -20,7 +20,7 @@ from pitpanel.llm.store import materialise
 #: Most labelled rows that the models are fitted on (taken by hash), most candidate terms counted, most voters.
 FIT_ROWS, TERMS, VOTERS, SUPPORT, PRECISION = 20_000, 5_000, 120, 4, 0.8
 _LETTERS = regex.compile(r"\p{L}+")
-PATTERNS = 4
+PATTERNS, LABEL_ACCURACY = 3, 0.95
 
 
 def _terms(text: str) -> set[str]:
@@ -50,21 +50,24 @@ def _count_terms(only: set[str] | None):
 
 def _votes(text: str, index: dict[str, int]) -> tuple[list[int], list[float]]:
     """Voters that fire, and the values of the patterns."""
-    words = _LETTERS.findall(text.lower())
-    fired, hits = set(), 0
-    for w in set(words):
+    words = set(_LETTERS.findall(text.lower()))
+    fired = set()
+    for w in words:
         for t in ("=" + w, "4" + w[:4] if len(w) > 4 else "", "5" + w[:5] if len(w) > 5 else ""):
             k = index.get(t)
             if k is not None:
                 fired.add(k)
     hits = len(fired)
-    n = max(1, len(words))
-    marks = text.count("!")
-    return sorted(fired), [min(hits, 20) / 5, min(50 * hits / n, 4.0), min(marks / n, 1.0), 1.0 if hits else 0.0]
+    marks = text.count("!") / max(1, len(words))
+    return sorted(fired), [min(hits, 20) / 5, min(marks, 1.0), 1.0 if hits else 0.0]
 
 
 def _label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, and the voters' weights; fired: rows x voters, 0 or 1."""
+    """Posterior of class 1 for each row, and the voters' weights; fired: rows x voters, 0 or 1.
+
+    The given labels are one more voter, of accuracy LABEL_ACCURACY; without it the classes could drift away.
+    """
+    given = np.where(labels == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     post = labels.astype(float)
     weight = np.ones(fired.shape[1])
     for k in range(rounds):
@@ -78,7 +81,7 @@ def _label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 20) -> tup
             weight = 1 / np.maximum(1, np.where(np.abs(corr) > 0.2, np.abs(corr), 0).sum(1))
         yes = np.log(on1 / on0) * weight
         no = np.log((1 - on1) / (1 - on0)) * weight
-        score = np.log(p1 / (1 - p1)) + fired @ (yes - no) + no.sum()
+        score = np.log(p1 / (1 - p1)) + given + fired @ (yes - no) + no.sum()
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
             break
@@ -86,7 +89,7 @@ def _label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 20) -> tup
     return post, weight
 
 
-def _linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
+def _linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 40) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
