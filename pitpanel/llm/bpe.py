@@ -12,13 +12,17 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 300_000
+from pitpanel.llm.words import runs
+
+MEMO = 100_000
 # fixed values: the pre-split pattern of byte-level BPE
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -38,9 +42,9 @@ class TokenAutomaton:
         self.labels = [b""] * n
         for word, i in vocab.items():
             self.labels[i] = bytes(letters[c] for c in word)
-        self.parent, self.gone, self.born = [-1], [-1], [-1]
-        self.lead = [0] * n  # the state that every arc with this label leads to
-        self.made, self.left = [-1] * n, [-1] * n
+        self.parent, self.gone, self.born = (array("i", [-1]) for _ in range(3))
+        self.lead = array("i", [0]) * n  # the state that every arc with this label leads to
+        self.made, self.left = array("i", [-1]) * n, array("i", [-1]) * n
         self.arcs: dict[bytes, int] = {bytes([b]): vocab[c] for c, b in letters.items() if c in vocab}
         for step, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -126,7 +130,7 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        if len(self.automaton.table) > 4 * MEMO:
+        if len(self.automaton.table) > 3 * MEMO:
             self.automaton.table.clear()
         get = self.memo.__getitem__
         if self.cut is None:
@@ -170,24 +174,23 @@ def encode_decode(
     def run(batches):
         codec = Codec.at(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode(text.as_py() or "")
-                back = codec.decode(ids)
-                sums = [hashlib.sha256(x).hexdigest() for x in (ids, back.encode())]
-                whole = [list(memoryview(ids).cast("i")), back] if with_ids else []
-                rows.append((key, *whole, len(ids) // 4, *sums))
-            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    whole = [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")] if with_ids else []
-    cols = [
-        ("doc_id", pa.int64(), "long"),
-        *whole,
-        ("n_tokens", pa.int64(), "long"),
-        ("ids_sha256", pa.string(), "string"),
-        ("decoded_sha256", pa.string(), "string"),
-    ]
-    names, kinds = [c[0] for c in cols], [c[1] for c in cols]
+            for lo, hi in runs(batch.column(1)):
+                coded = [codec.encode(x.as_py() or "") for x in batch.column(1).slice(lo, hi - lo)]
+                back = [codec.decode(x) for x in coded]
+                cols = [batch.column(0).slice(lo, hi - lo)]
+                if with_ids:
+                    at = np.cumsum([0, *[len(x) // 4 for x in coded]], dtype=np.int32)
+                    values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
+                    cols += [pa.ListArray.from_arrays(pa.array(at), values), pa.array(back, pa.string())]
+                cols += [
+                    pa.array([len(x) // 4 for x in coded], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    whole = {"ids": "array<int>", "decoded": "string"} if with_ids else {}
+    kinds = {"doc_id": "long", **whole, "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    names = list(kinds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c[0]} {c[2]}" for c in cols))
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))

@@ -26,7 +26,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_size(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 500_000) -> DataFrame:
+def by_size(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
     """Join; the small side is broadcast only if it has at most max_rows (narrow) rows, else both are shuffled."""
     if small.limit(max_rows + 1).count() <= max_rows:
         small = F.broadcast(small)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 U = np.uint64
 _BASE, _FOLD, _MIX = 0x9E3779B97F4A7C15, U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,6 +52,16 @@ def chunks(col: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.ndar
         lo = hi
 
 
+def runs(col: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of rows of about `most` bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in buf, and the index of each row's first word (one more entry than rows)."""
     ink = ~_SPACE[buf]
