@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["windows_plans", "joins_plans", "exprs_plans", "aggs_plans", "gates_plans", "evaluate_plans", "baskets_plans", "graph_plans", "sources_plans", "streaming_plans", "studies_plans"]
+MODULES = ["windows_plans", "joins_plans", "exprs_plans", "aggs_plans", "gates_plans", "evaluate_plans", "baskets_plans", "graph_plans", "sources_plans", "streaming_plans", "studies_plans", "samples_plans"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

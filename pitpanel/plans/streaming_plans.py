@@ -118,3 +118,10 @@ def freshness(spark, sf):
     state = spark.read.parquet(*paths).groupBy(F.col("event_type").alias("feed")).agg(F.sum("rows").alias("rows"), F.max("newest").alias("newest"))
     age = F.lit("2024-02-15").cast("timestamp").cast("double") - F.col("newest").cast("double")
     return state.withColumn("late", age > 3600)
+
+
+@q("stream_evidence_state", "WITH n AS (SELECT user_id, event_type, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events) SELECT user_id, event_type, id, least(ts + INTERVAL 24 HOUR, nxt) AS ended_at, CASE WHEN ts + INTERVAL 24 HOUR < nxt THEN 'expired' ELSE 'superseded' END AS why FROM n WHERE nxt IS NOT NULL")
+def evidence_state(spark, sf):
+    out = T.workspace(spark)
+    J.run_available(J.evidence_state(stream(spark, sf), ["user_id", "event_type"], "event_id", "observed_at", 24), out, T.workspace(spark))
+    return spark.read.parquet(out)

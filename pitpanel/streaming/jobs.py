@@ -83,3 +83,24 @@ def online_conformal(stream: DataFrame, key: str, order: str, score: str, *, tar
     kind = stream.schema[order].dataType.simpleString()
     out = f"key {stream.schema[key].dataType.simpleString()}, at {kind}, bound double, missed boolean, alpha double"
     return stream.groupBy(key).applyInPandasWithState(step, out, "alpha double, scores array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def evidence_state(stream: DataFrame, keys: list[str], id_col: str, at: str, ttl_hours: float) -> DataFrame:
+    """(keys, id, ended_at, why) of evidence that ended: superseded by the key's next one, or past its time to live.
+
+    State is the key's live evidence; it is closed when the next one arrives, at that time or at its expiry.
+    """
+
+    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = state.get if state.exists else None
+        rows = []
+        for i, t in pd.concat(list(frames)).sort_values([at, id_col], kind="stable")[[id_col, at]].itertuples(index=False):
+            if live is not None:
+                ends = pd.Timestamp(live[1]) + pd.Timedelta(hours=ttl_hours)
+                rows.append((*k, live[0], min(ends, t), "expired" if ends < t else "superseded"))
+            live = (int(i), t.to_pydatetime())
+        state.update(live)
+        yield pd.DataFrame(rows, columns=[*keys, "id", "ended_at", "why"])
+
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in keys)
+    return stream.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, id long, ended_at timestamp, why string", "id long, since timestamp", "append", GroupStateTimeout.NoTimeout)
