@@ -2,8 +2,8 @@
 
 The automaton starts as one state with a loop for every byte. Each merge u v -> w, in order, is a gadget: wherever
 u leads to a state with an arc v, the arc u is turned to a copy of that state without v, and an arc w is added
-beside u that leads where v led. All arcs with one label lead to one state, so a state needs only its parent, the
-label that its gadget took away, and when. The paths that are left spell exactly the encodings of all byte strings,
+beside u that leads where v led. All arcs with one label lead to one state, so a state needs only the state
+that it copies, the label that its gadget took away, and when. The paths that are left spell exactly the encodings of all byte strings,
 one path for each string. Arcs are looked up in a table that is filled as they are first asked for.
 """
 
@@ -13,6 +13,7 @@ import hashlib
 import json
 import struct
 from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,13 @@ class TokenAutomaton:
         self.labels = [b""] * n
         for word, i in vocab.items():
             self.labels[i] = bytes(letters[c] for c in word)
-        self.parent, self.gone, self.born = (array("i", [-1]) for _ in range(3))
+        # a state beside the first: whose arcs lead to it, and the merge that made it
+        self.owner, self.born = (array("i", [-1]) for _ in range(2))
+        # of each owner: its states in order, when they were made, the labels taken away, the state it had before
+        self.states: dict[int, list[int]] = {}
+        self.times: dict[int, list[int]] = {}
+        self.gone: dict[int, dict[int, int]] = {}
+        self.base: dict[int, int] = {}
         self.lead = array("i", [0]) * n  # the state that every arc with this label leads to
         self.made, self.left = array("i", [-1]) * n, array("i", [-1]) * n
         self.arcs: dict[bytes, int] = {bytes([b]): vocab[c] for c, b in letters.items() if c in vocab}
@@ -51,52 +58,83 @@ class TokenAutomaton:
             q = self.lead[u]
             if not self._has(q, v):
                 continue  # no path takes u then v any more: the gadget finds nothing
-            self.parent.append(q)
-            self.gone.append(v)
+            if u not in self.base:
+                self.base[u], self.states[u], self.times[u], self.gone[u] = q, [], [], {}
+            self.owner.append(u)
             self.born.append(step)
             self.lead[w] = q if u == v else self.lead[v]
-            self.lead[u] = len(self.parent) - 1
+            self.lead[u] = len(self.born) - 1
+            self.states[u].append(self.lead[u])
+            self.times[u].append(step)
+            self.gone[u][v] = step
             self.made[w], self.left[w] = step, u
             self.arcs[self.labels[w]] = w
-        self.longest = max(map(len, self.arcs))
+        self.reach: dict[bytes, int] = {}  # the longest label that begins with three bytes
+        self.size, self.shorter = array("i", [0]) * n, array("i", [-1]) * n  # shorter: the longest label within its beginning
+        for x, i in self.arcs.items():
+            self.reach[x[:3]] = max(self.reach.get(x[:3], 2), len(x))
+            self.size[i] = len(x)
+            self.shorter[i] = next((self.arcs[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in self.arcs), -1)
         self.table: dict[int, bool] = {}
 
     def _has(self, state: int, label: int) -> bool:
         """Whether the state has an arc with this label."""
-        parent, gone, born, made, left = self.parent, self.gone, self.born, self.made, self.left
+        owner, born, made, left = self.owner, self.born, self.made, self.left
         while True:
             since = made[label]
             while born[state] > since:
-                if gone[state] == label:
+                x = owner[state]
+                step = self.gone[x].get(label, -1)
+                if since < step <= born[state]:
                     return False
-                state = parent[state]
+                k = bisect_right(self.times[x], since)  # the state as it was then
+                state = self.states[x][k - 1] if k else self.base[x]
             if since < 0:
                 return True
             label = left[label]  # the arc was added beside this one, if the state had it then
 
     def encode(self, word: bytes) -> list[int]:
-        arcs, lead, table, longest = self.arcs, self.lead, self.table, self.longest
-        if word in arcs and len(word) == 1:
-            return [arcs[word]]
-        n = len(word)
-        state, came = [0] * (n + 1), [(0, 0)] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                label = arcs.get(word[i:j])
-                if label is None:
-                    continue
-                key = state[i] << 20 | label
+        """The labels of the one path that spells the word.
+
+        Every prefix is spelled by one path at most, so a place that leads nowhere once never does: the walk tries
+        the longest arcs first and goes back only where it has to.
+        """
+        arcs = self.arcs
+        label = arcs.get(word)
+        if label is not None:
+            return [label]
+        lead, table, reach, shorter, size = self.lead, self.table, self.reach, self.shorter, self.size
+        n, at, state, label = len(word), 0, 0, -1
+        path: list[int] = []
+        closed = set()
+        while at < n:
+            if label < 0:  # the longest arc label that the rest begins with
+                end = at + reach.get(word[at : at + 3], 2)
+                if end > n:
+                    end = n
+                label = arcs.get(word[at:end], -1)
+                while label < 0:
+                    end -= 1
+                    label = arcs.get(word[at:end], -1)
+            else:
+                label = shorter[label]
+            while label >= 0:
+                key = state << 20 | label
                 ok = table.get(key)
                 if ok is None:
-                    ok = table[key] = self._has(state[i], label)
-                if ok:
-                    state[j], came[j] = lead[label], (i, label)
+                    ok = table[key] = self._has(state, label)
+                if ok and at + size[label] not in closed:
                     break
-        out = []
-        while n:
-            n, label = came[n]
-            out.append(label)
-        return out[::-1]
+                label = shorter[label]
+            if label >= 0:
+                path.append(label)
+                at, state, label = at + size[label], lead[label], -1
+            else:
+                closed.add(at)
+                label = path.pop()
+                at -= size[label]
+                state = lead[path[-1]] if path else 0
+        return path
 
 
 class Codec:
@@ -128,12 +166,11 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        self.memo.turn(MEMO)
         if len(self.automaton.table) > 3 * MEMO:
             self.automaton.table.clear()
         get = self.memo.__getitem__
-        if self.cut is None:
+        if not any(x in text for x in self.added):
             return b"".join(map(get, self.pieces(text)))
         out = []
         for k, part in enumerate(self.cut.split(text)):
@@ -148,17 +185,39 @@ class Codec:
         return b"".join(map(label, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-class _Memo(dict):
+class Recent(dict):
+    """Results by piece. When it holds many, those move to a second rank, and those used again move back."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, object] = {}
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+    def make(self, piece: str):
+        raise NotImplementedError
+
+    def __missing__(self, piece: str):
+        out = self.before.get(piece)
+        if out is None:
+            out = self.make(piece)
+            if len(piece) > 64:
+                return out
+        self[piece] = out
+        return out
+
+
+class _Memo(Recent):
     def __init__(self, automaton: TokenAutomaton):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         ids = self.automaton.encode(piece.encode("utf-8", "replace"))
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode_decode(

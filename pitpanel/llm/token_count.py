@@ -11,13 +11,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.bpe import MEMO, byte_letters
+from pitpanel.llm.bpe import MEMO, Recent, byte_letters
 
 # fixed values: the pre-split pattern of the tokenizer with word ends
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
-class Counter(dict):
+class Counter(Recent):
     """Word piece -> number of tokens; filled as pieces are met. Held once per Python worker."""
 
     held: dict[str, Counter] = {}
@@ -32,8 +32,8 @@ class Counter(dict):
         self.ranks: dict[tuple[str, str], int] = {}
         for i, m in enumerate(model["merges"]):
             self.ranks[tuple(m) if isinstance(m, list) else tuple(m.split(" "))] = i
-        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.cut = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.cut = regex.compile("|".join(map(regex.escape, self.added)))
         self.pieces = regex.compile(SPLIT).findall
 
     @classmethod
@@ -42,13 +42,7 @@ class Counter(dict):
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def __missing__(self, piece: str) -> int:
-        n = self.merged(piece)
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
-
-    def merged(self, piece: str) -> int:
+    def make(self, piece: str) -> int:
         """Initial symbols minus merges."""
         sym = [self.letters[b] for b in piece.encode("utf-8", "replace")]
         sym[-1] += self.end
@@ -74,10 +68,9 @@ class Counter(dict):
         return left
 
     def count(self, text: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
+        self.turn(MEMO)
         total = 0
-        parts = self.cut.split(text) if self.cut else [text]
+        parts = self.cut.split(text) if any(x in text for x in self.added) else [text]
         for part in parts:
             if not part.isascii():
                 # each character by itself: no special form for a sigma at a word's end
