@@ -186,10 +186,10 @@ def share_over_expected(spark, sf):
     return o.select("basket", F.when(n >= 3, r((F.col("sh") - F.col("e")) * n / (n + 4), 6)).alias("asoe"))
 
 
-@q("agg_exposure_weight", f"WITH {FACTS}, e AS (SELECT *, qty / sum(qty) OVER (PARTITION BY basket) AS w FROM facts) SELECT basket, round(sum(w * disc), 6) AS exposure, round(max(w), 8) AS top FROM e GROUP BY 1")
+@q("agg_exposure_weight", f"WITH {FACTS}, e AS (SELECT *, qty / sum(qty) OVER (PARTITION BY basket) AS w FROM facts) SELECT basket, round(sum(w * disc), 9) AS exposure, round(max(w), 8) AS top FROM e GROUP BY 1")
 def exposure(spark, sf):
     e = W.share_of_group(facts(spark, sf), ["basket"], "qty", "w")
-    return e.groupBy("basket").agg(r(F.sum(F.col("w") * F.col("disc")), 6).alias("exposure"), r(F.max("w"), 8).alias("top"))
+    return e.groupBy("basket").agg(r(F.sum(F.col("w") * F.col("disc")), 9).alias("exposure"), r(F.max("w"), 8).alias("top"))
 
 
 @q("agg_duplicate_counts", f"""WITH {FACTS}, b AS (SELECT basket, string_agg(flag || status, ',' ORDER BY line, flag || status) AS k FROM facts GROUP BY 1) SELECT k AS pattern, count(*) AS copies, min(basket) AS first_basket FROM b GROUP BY 1""")

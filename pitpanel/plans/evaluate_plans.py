@@ -66,7 +66,7 @@ def eval_point(spark, sf):
     return fc(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), r(a, 1).alias("mae"), r(b, 1).alias("market_mae"), (a < b).alias("beats"), r(F.avg(y.between(F.col("p10"), F.col("p90")).cast("int")), 8).alias("coverage"))
 
 
-@q("eval_accuracy_report", f"WITH {FC} SELECT coalesce(CAST(epoch AS VARCHAR), 'all') AS epoch, count(*) AS n, round(avg(abs(y - pred)), 1) AS mae, round(avg(abs(y - market)), 3) AS naive FROM fc GROUP BY ROLLUP (epoch) HAVING count(*) >= 20")
+@q("eval_accuracy_report", f"WITH {FC} SELECT coalesce(CAST(epoch AS VARCHAR), 'all') AS epoch, count(*) AS n, round(avg(abs(y - pred)), 1) AS mae, round(avg(abs(y - market)), 1) AS naive FROM fc GROUP BY ROLLUP (epoch) HAVING count(*) >= 20")
 def accuracy_report(spark, sf):
     from pitpanel.operators.aggs import total_and_by_group
 
@@ -190,13 +190,13 @@ def folds(spark, sf):
 
 
 @q("fit_pricing_residual", f"""WITH {FC}, s AS (SELECT grp, count(*) AS n, sum(pred / 1e5) AS sx, sum(y / 1e5) AS sy, sum(pred * pred / 1e10) AS sxx, sum(pred * y / 1e10) AS sxy FROM fc GROUP BY 1), c AS (SELECT grp, (n * sxy - sx * sy) / (n * sxx - sx * sx + n) AS b, n AS cn, sx, sy FROM s)
-  SELECT entity, epoch, period, round(y / 1e5 - (sy - b * sx) / cn - b * pred / 1e5, 5) AS residual FROM fc JOIN c USING (grp)""")
+  SELECT entity, epoch, period, round(y / 1e5 - (sy - b * sx) / cn - b * pred / 1e5, 3) AS residual FROM fc JOIN c USING (grp)""")
 def pricing(spark, sf):
     """Ridge of the value on the trailing mean per group, from sums: every group is one row of coefficients."""
     f = fc(spark, sf).withColumns({"x": F.col("pred") / 1e5, "v": F.col("y") / 1e5})
     s = f.groupBy("grp").agg(F.count("*").alias("c"), F.sum("x").alias("sx"), F.sum("v").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("v")).alias("sxy"))
     s = s.withColumn("b", F.expr("(c * sxy - sx * sy) / (c * sxx - sx * sx + c)")).withColumn("a", F.expr("(sy - b * sx) / c"))
-    return f.join(s, "grp").select(*KEY, r(F.expr("v - a - b * x"), 5).alias("residual"))
+    return f.join(s, "grp").select(*KEY, r(F.expr("v - a - b * x"), 3).alias("residual"))
 
 
 @q("fit_conformal_quantile", f"""WITH {FC}, k AS (SELECT grp, greatest(p10 - y, y - p90) AS s, row_number() OVER (PARTITION BY grp ORDER BY greatest(p10 - y, y - p90)) AS k, count(*) OVER (PARTITION BY grp) AS n FROM fc), a AS (SELECT grp, max(s) FILTER (k = ceil((n + 1) * 0.8)) AS q, count(*) AS n FROM k GROUP BY 1)
@@ -237,11 +237,11 @@ def effect_eb(spark, sf):
 
 
 @q("pit_ceiling", f"""WITH {PANEL}, q AS (SELECT a.epoch, quantile_cont(b.total, 0.99) AS c FROM (SELECT DISTINCT epoch FROM panel) a JOIN panel b ON b.epoch < a.epoch GROUP BY 1), m AS (SELECT entity, epoch, period, max(total) OVER (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM panel)
-  SELECT entity, epoch, period, round(1.1 * greatest(m, c), 2) AS ceiling FROM m LEFT JOIN q USING (epoch)""")
+  SELECT entity, epoch, period, round(1.25 * greatest(m, c), 4) AS ceiling FROM m LEFT JOIN q USING (epoch)""")
 def pit_ceiling(spark, sf):
     p = panel(spark, sf)
     e = p.select(F.col("epoch").alias("e")).distinct()  # a row per year
     past = p.join(F.broadcast(e), F.col("epoch") < F.col("e"))
     c = past.groupBy("e").agg(F.percentile("total", F.lit(0.99)).alias("c")).withColumnRenamed("e", "epoch")
     m = W.trailing(p, ["entity"], EP, None, {"m": F.max("total")})
-    return m.join(F.broadcast(c), "epoch", "left").select(*KEY, r(1.1 * F.greatest("m", "c"), 2).alias("ceiling"))
+    return m.join(F.broadcast(c), "epoch", "left").select(*KEY, r(1.25 * F.greatest("m", "c"), 4).alias("ceiling"))
