@@ -19,7 +19,7 @@ def cusum(x: Sequence[float], k: float, h: float) -> list[bool]:
     out, s = [], 0.0
     for z in (a - a.mean()) / sd:
         s = max(0.0, s + z - k)
-        out.append(s > h)
+        out.append(bool(s > h))
         if s > h:
             s = 0.0
     return out
@@ -31,29 +31,42 @@ def _student(x: float, df: float, mean: float, scale: float) -> float:
     return math.exp(log - (df + 1) / 2 * math.log1p(z * z / df))
 
 
-def changepoint_probability(x: Sequence[float], hazard: float = 0.1) -> list[float]:
-    """Bayesian online changepoint detection with a normal-gamma prior: probability that a run began at each value."""
+def _noise(a: np.ndarray) -> float:
+    """Standard deviation within a regime, from the median absolute first difference."""
+    overall = float(a.std()) or 1.0
+    if len(a) < 3:
+        return overall
+    step = np.diff(a)
+    robust = float(np.median(np.abs(step - np.median(step)))) / 0.6745 / math.sqrt(2)
+    return max(robust, 1e-3 * overall, 1e-9)
+
+
+def changepoint_probability(x: Sequence[float], hazard: float = 1 / 25, short: int = 2, warmup: int = 5) -> list[float]:
+    """Bayesian online changepoint detection: probability that the current run is at most `short` values old.
+
+    The probability of a run of length 0 is the hazard whatever the data, so evidence shows as mass on short runs.
+    Runs have a normal-inverse-gamma prior around the first value with the series' own noise; the first `warmup`
+    values get 0.
+    """
     a = np.asarray(x, dtype=float)
     if not len(a):
         return []
-    spread = max(float(a.std()), 1e-6)
-    mu0, kappa0, alpha0, beta0 = float(a[0]), 1.0, 1.0, spread * spread
-    runs = [(1.0, mu0, kappa0, alpha0, beta0)]
-    out = []
-    for v in a:
-        grown, fresh = [], 0.0
-        for p, mu, kappa, alpha, beta in runs:
-            like = _student(v, 2 * alpha, mu, math.sqrt(beta * (kappa + 1) / (alpha * kappa)))
-            fresh += p * like * hazard
-            grown.append((p * like * (1 - hazard), (kappa * mu + v) / (kappa + 1), kappa + 1, alpha + 0.5, beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))))
-        runs = [(fresh, mu0, kappa0, alpha0, beta0), *grown]
-        total = sum(r[0] for r in runs) or 1.0
-        runs = [(r[0] / total, *r[1:]) for r in runs if r[0] / total > 1e-8]
-        out.append(runs[0][0] if runs else 1.0)
+    fresh = (0, 1.0, float(a[0]), 1.0, 2.0, _noise(a) ** 2)  # length, probability, mean, kappa, alpha, beta
+    runs, out = [fresh], []
+    for t, v in enumerate(a):
+        grown, restart = [], 0.0
+        for length, p, mu, kappa, alpha, beta in runs:
+            fit = p * max(_student(v, 2 * alpha, mu, math.sqrt(beta * (kappa + 1) / (alpha * kappa))), 1e-300)
+            restart += hazard * fit
+            moved = beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))
+            grown.append((length + 1, (1 - hazard) * fit, (kappa * mu + v) / (kappa + 1), kappa + 1, alpha + 0.5, moved))
+        total = restart + sum(r[1] for r in grown)
+        runs = [(n, p / total, *rest) for n, p, *rest in [(0, restart, *fresh[2:]), *grown]]
+        out.append(sum(r[1] for r in runs if r[0] <= short) if t >= max(warmup, short + 1) else 0.0)
     return out
 
 
-def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 1.5, hazard: float = 0.1, least: int = 4) -> DataFrame:
+def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 1.5, hazard: float = 1 / 25, least: int = 4) -> DataFrame:
     """(keys, order, p_change, cusum_flag, since_change) of every row of groups with at least `least` values."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
