@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.store import materialise
+from pitpanel.llm.store import by_size, materialise
 
 #: Most labelled rows that the models are fitted on (taken by hash), most candidate terms counted, most voters.
 FIT_ROWS, TERMS, VOTERS, SUPPORT, PRECISION = 20_000, 5_000, 120, 4, 0.8
@@ -117,7 +117,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_RO
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("toxic in (0, 1)").where(train_rows()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = materialise(docs.join(known, "doc_id").select("doc_id", "text", "toxic"))
+    train = materialise(by_size(docs, materialise(known), "doc_id").select("doc_id", "text", "toxic"))
     kind = "term string, n long"
     toxic = train.where("toxic = 1").select("text").mapInArrow(_count_terms(None), kind)
     toxic = toxic.groupBy("term").agg(F.sum("n").alias("p")).where(F.col("p") >= SUPPORT)
