@@ -86,7 +86,7 @@ def vacated(spark, sf):
 
 
 @q("with_without_split", f"""WITH {GPANEL}, star AS (SELECT grp, arg_max(entity, (round(s, 2), -entity)) AS star FROM (SELECT grp, entity, sum(total) AS s FROM gpanel GROUP BY 1, 2) GROUP BY 1), p AS (SELECT g.*, star, max((entity = star)::INT) OVER (PARTITION BY g.grp, epoch, period) AS here FROM gpanel g JOIN star USING (grp))
-  SELECT entity, grp, count(*) AS n, round(avg(total) FILTER (here = 0) - avg(total) FILTER (here = 1), 1) AS delta FROM p WHERE entity <> star GROUP BY 1, 2""")
+  SELECT entity, grp, count(*) AS n, round(avg(total) FILTER (here = 0) - avg(total) FILTER (here = 1), 6) AS delta FROM p WHERE entity <> star GROUP BY 1, 2""")
 def with_without(spark, sf):
     p = grouped_panel(spark, sf)
     s = p.groupBy("grp", "entity").agg(F.sum("total").alias("s"))
@@ -95,7 +95,7 @@ def with_without(spark, sf):
     here = p.where("entity = star").select("grp", *EP, F.lit(True).alias("here"))
     p = p.where("entity <> star").join(here, ["grp", *EP], "left")
     d = F.avg(F.when(F.col("here").isNull(), F.col("total"))) - F.avg(F.when(F.col("here"), F.col("total")))
-    return p.groupBy("entity", "grp").agg(F.count("*").alias("n"), r(d, 1).alias("delta"))
+    return p.groupBy("entity", "grp").agg(F.count("*").alias("n"), r(d, 6).alias("delta"))
 
 
 @q("boom_flags", f"WITH {GPANEL}, x AS (SELECT *, row_number() OVER (PARTITION BY grp, epoch, period ORDER BY total DESC, entity) AS k, lag(total) OVER (PARTITION BY entity ORDER BY epoch, period) AS p, percent_rank() OVER (PARTITION BY epoch, period ORDER BY n) AS pr FROM gpanel) SELECT entity, epoch, period, (k = 1 OR coalesce(total > 3 * p, false) OR pr >= 0.9) AS boom FROM x")
