@@ -175,12 +175,12 @@ def json_flatten(spark, sf):
     return o.select("event_id", F.col("o.price").alias("k"), F.coalesce("o.description", "o.name").alias("name"))
 
 
-@q("poll_enrich", "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey, 0), 4) AS fill_rate, CASE WHEN o_orderstatus = 'F' THEN round(greatest(300000 - o_totalprice, 0), 2) END AS overlay, make_timestamp(1700000000000000 + o_orderkey * 1000000) AS starts FROM orders")
+@q("poll_enrich", "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey, 0), 9) AS fill_rate, CASE WHEN o_orderstatus = 'F' THEN round(greatest(300000 - o_totalprice, 0), 2) END AS overlay, make_timestamp(1700000000000000 + o_orderkey * 1000000) AS starts FROM orders")
 def poll(spark, sf):
     text = F.concat(F.lit("/Date("), (F.lit(1700000000) + F.col("o_orderkey")).cast("string"), F.lit("000)/"))
     o = table(spark, sf, "orders").withColumn("raw", text)
     starts = F.timestamp_millis(F.regexp_extract("raw", r"\((\d+)\)", 1).cast("long"))
-    return o.select("o_orderkey", r(F.try_divide("o_totalprice", "o_custkey")).alias("fill_rate"), F.when(F.col("o_orderstatus") == "F", r(F.greatest(300000 - F.col("o_totalprice"), F.lit(0)), 2)).alias("overlay"), starts.alias("starts"))
+    return o.select("o_orderkey", r(F.try_divide("o_totalprice", "o_custkey"), 9).alias("fill_rate"), F.when(F.col("o_orderstatus") == "F", r(F.greatest(300000 - F.col("o_totalprice"), F.lit(0)), 2)).alias("overlay"), starts.alias("starts"))
 
 
 @q("unpivot_periods", "SELECT c_nationkey AS k, 'w' || m AS period, count(*) AS n FROM customer, (SELECT unnest([1, 2, 3]) AS m) WHERE c_custkey % 3 = m - 1 GROUP BY 1, 2")
