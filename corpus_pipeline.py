@@ -21,11 +21,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat earlier ones."""
+    """Documents that are no copies as a whole, without the lines that repeat earlier ones.
+
+    Whole copies go first: without their repeated lines they would be scraps that near_dedup cannot recognise.
+    """
+    docs = materialise(_no_copies(docs))
     return lines.drop_lines(docs, lines.line_dedup(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, of those that line dedup left."""
+    return _no_copies(docs)
+
+
+def _no_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     gone = materialise(found.where("not kept").select("doc_id").distinct())

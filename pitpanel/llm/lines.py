@@ -10,12 +10,14 @@ partners it has there and the first of them, so no pairs are emitted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.llm.store import by_size, materialise
 
-EDITS, MIN_CHARS, BLOCK, WHOLE = 2, 48, 128, 0.25
+EDITS, MIN_CHARS, BLOCK, WHOLE = 2, 48, 128, math.inf  # WHOLE: no document keeps its repeats
 _INK = r"[^\x20\x09-\x0D]"
 ORDER = "decimal(38,0)"
 
@@ -112,13 +114,13 @@ def line_dedup(
     """(doc_id long, n_lines, n_dropped, n_links longs, class_id long, dropped array<int>), a row for each doc_id.
 
     A line with a visible character is a repeat if an earlier line (by doc_id, then line number) is equal, or if
-    both have at least min_chars characters and one that is first of its kind is within `edits` edits. Repeats are
-    dropped, but for those in a document that has at least the share `whole` of its characters from one earlier
-    document: that is a copy as a whole and stays for document dedup (repeats within a document are dropped even
-    so). n_links: other distinct lines within reach of this document's distinct lines; class_id: the smallest doc_id
-    that has the first place of one of its lines or of their partners, itself included. dropped: line numbers from
-    0, in order. Null and empty texts have no lines; null ids are left out; repeated ids are one document, whose
-    equal lines at one place count once. Other columns are not looked at.
+    both have at least min_chars characters and one that is first of its kind is within `edits` edits. All repeats
+    are dropped. With a finite `whole`, a document that has at least that share of its characters from one earlier
+    document keeps its lines, but for repeats within itself. n_links: other distinct lines within reach of this
+    document's distinct lines; class_id: the smallest doc_id that has the first place of one of its lines or of
+    their partners, itself included. dropped: line numbers from 0, in order. Null and empty texts have no lines;
+    null ids are left out; repeated ids are one document, whose equal lines at one place count once. Other columns
+    are not looked at.
     """
     docs = docs.select("doc_id", "text")
     rows = line_rows(docs)

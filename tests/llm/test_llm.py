@@ -207,6 +207,29 @@ def test_line_dedup(spark):
     assert lines.line_dedup(frame(spark, [])).collect() == []
 
 
+def test_line_dedup_drops_boilerplate(spark):
+    """A passage that is a third of each document goes, however many carry it; the first keeps it."""
+    rng = random.Random(14)
+    passage = " ".join(words(rng, 60))
+    docs = [(d, "\n".join([passage, *(" ".join(words(rng, 30)) for _ in range(4))])) for d in range(8)]
+    share = len(passage) / len(docs[1][1].replace("\n", ""))
+    assert 0.25 <= share <= 0.75
+    got = {r.doc_id: list(r.dropped) for r in lines.line_dedup(frame(spark, docs)).collect()}
+    assert got == {d: [0] if d else [] for d in range(8)}
+
+
+def test_pipeline_near_copies(spark):
+    """Copies go as a whole, not as scraps; other documents lose only the passage that they share."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    text = [[" ".join(words(rng, 30, 4000)) for _ in range(8)] for _ in range(4)]
+    near = [text[0][0] + " one more here now", *text[0][1:]]
+    docs = [(0, "\n".join(text[0])), (1, "\n".join(near)), (2, "\n".join(text[0])), (3, "\n".join(text[1][:5] + text[0][:3]))]
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, docs), SF).collect()}
+    assert left == {0: docs[0][1], 3: "\n".join(text[1][:5])}
+
+
 PERSONAL = [
     "mail a.b+c@d-e.org.x, b@c.d@e.f and x@y", "ip 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.02.3.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 7",
     "+1 (988) 555-2485, +49 12 34", "+1 (269) 555-3296 4524132264652876", "🎉é +44 20 7946 0958 é a@b.co", "1 2 3 " * 3000, "a." * 3000 + "@b" + ".c" * 3000, "9" * 4000,
