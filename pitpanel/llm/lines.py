@@ -5,7 +5,7 @@ line has, near where the shorter line's segment is, a substring equal to it. So
 length, a segment's number and characters) and probe keys (substrings of it, at the few places that a segment of a
 line of its length or up to EDITS shorter can have moved to). Lines that meet in a key are compared with banded
 edit distance; a key with many lines is dealt out as pairs of blocks, and each line only takes away how many
-partners it has there and the first of them, so no pairs are emitted.
+partners it has there, the first of them and the first line of its component there, so no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.store import by_size, materialise
+from pitpanel.llm.store import by_size, connected_components, materialise
 
-EDITS, MIN_CHARS, BLOCK, WHOLE = 2, 48, 128, math.inf  # WHOLE: no document keeps its repeats
+EDITS, MIN_CHARS, BLOCK, WHOLE = 2, 9, 128, math.inf  # WHOLE: no document keeps its repeats
 _INK = r"[^\x20\x09-\x0D]"
 ORDER = "decimal(38,0)"
 
@@ -62,7 +62,10 @@ def distinct_lines(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, edits: int, block: int) -> DataFrame:
-    """(id, n, links long, first at): distinct lines that have others within `edits` edits, how many, and the first."""
+    """(id, n, at, links int, first at, low at), a row for each group where a distinct line has others within `edits` edits.
+
+    links: how many; first: the first of them; low: the first line of those that links within the group reach.
+    """
     names = [c for c in lines.columns if c[0] in "kp" and c[1:].isdigit()]
     own, other = [c for c in names if c[0] == "k"], [c for c in names if c[0] == "p"]
     keyed = lines.where(F.col("k0").isNotNull()).select(
@@ -101,11 +104,21 @@ def near_lines(docs: DataFrame, lines: DataFrame, edits: int, block: int) -> Dat
         lambda x: F.struct(
             x["id"].alias("id"),
             x["n"].alias("n"),
+            x["at"].alias("at"),
             F.transform(F.filter("g", lambda y: partner(x, y)), lambda y: y["at"]).alias("ats"),
         ),
     )
-    out = rows.select(F.inline(F.filter(found, lambda r: F.size(r["ats"]) > 0)))
-    return out.groupBy("id", "n").agg(F.sum(F.size("ats")).alias("links"), F.min(F.array_min("ats")).alias("first"))
+    hits = rows.select(F.filter(found, lambda r: F.size(r["ats"]) > 0).alias("hits")).where(F.size("hits") > 0)
+
+    def joined(parts: Column, r: Column) -> Column:
+        own = F.concat(F.array(r["at"]), r["ats"])
+        met = F.flatten(F.filter(parts, lambda p: F.arrays_overlap(p, own)))
+        return F.concat(F.filter(parts, lambda p: ~F.arrays_overlap(p, own)), F.array(F.array_union(own, met)))
+
+    parts = F.aggregate("hits", F.array().cast(f"array<array<{ORDER}>>"), joined)
+    lows = hits.withColumn("parts", parts).select("parts", F.inline("hits"))
+    low = F.array_min(F.flatten(F.filter("parts", lambda p: F.array_contains(p, F.col("at")))))
+    return lows.select("id", "n", "at", F.size("ats").alias("links"), F.array_min("ats").alias("first"), low.alias("low"))
 
 
 def line_dedup(
@@ -117,37 +130,43 @@ def line_dedup(
     both have at least min_chars characters and one that is first of its kind is within `edits` edits. All repeats
     are dropped. With a finite `whole`, a document that has at least that share of its characters from one earlier
     document keeps its lines, but for repeats within itself. n_links: other distinct lines within reach of this
-    document's distinct lines; class_id: the smallest doc_id that has the first place of one of its lines or of
-    their partners, itself included. dropped: line numbers from 0, in order. Null and empty texts have no lines;
+    document's distinct lines; class_id: the smallest doc_id that is reached through equal lines and lines within
+    reach, over any number of documents, itself included. dropped: line numbers from 0, in order. Null and empty texts have no lines;
     null ids are left out; repeated ids are one document, whose equal lines at one place count once. Other columns
     are not looked at.
     """
     docs = docs.select("doc_id", "text")
     rows = line_rows(docs)
     lines = materialise(distinct_lines(rows, edits, min_chars))
-    near = materialise(near_lines(docs, lines, edits, block))
+    met = materialise(near_lines(docs, lines, edits, block))
+    near = met.groupBy("id", "n").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
     keep = lines.select("id", "n", "at", "copies").join(near, ["id", "n"], "left")
     keep = materialise(keep.where("copies > 1 or links is not null").drop("copies"))
     place = rows.select("doc_id", "line_no", "id", "n", F.col("at").alias("here")).distinct()
     place = by_size(place, keep, ["id", "n"], "left")
+    doc_of = lambda at: F.floor(F.col(at) / F.lit(1 << 31).cast(ORDER)).cast("long")
     source = F.when(F.col("first") < F.col("at"), F.col("first")).when(F.col("at") < F.col("here"), F.col("at"))
     source = F.floor(source / F.lit(1 << 31).cast(ORDER)).cast("long")
-    least = F.floor(F.least(F.coalesce("at", "here"), F.coalesce("first", "here"), F.col("here")) / F.lit(1 << 31).cast(ORDER)).cast("long")
-    by_source = place.select("doc_id", "line_no", "n", "links", source.alias("source"), least.alias("least"))
-    by_source = by_source.groupBy("doc_id", "source").agg(
+    place = place.withColumns({"source": source, "owner": doc_of("at")})
+    by_source = place.groupBy("doc_id", "source").agg(
         F.count("*").alias("lines"),
         F.sum("n").alias("chars"),
         F.sum(F.coalesce("links", F.lit(0))).alias("links"),
-        F.min("least").alias("least"),
+        F.collect_set("owner").alias("owners"),
         F.collect_list(F.when(F.col("source").isNotNull(), F.col("line_no"))).alias("nos"),
     )
     by_doc = by_source.groupBy("doc_id").agg(
         F.sum("lines").alias("n_lines"),
         F.sum("chars").alias("chars"),
         F.sum("links").alias("n_links"),
-        F.min("least").alias("class_id"),
+        F.array_distinct(F.flatten(F.collect_list("owners"))).alias("owners"),
         F.collect_list(F.struct("source", "chars", "nos")).alias("parts"),
     )
+    by_doc = materialise(by_doc)
+    links = by_doc.select(F.col("doc_id").alias("a"), F.explode("owners").alias("b"))
+    links = links.unionByName(met.select(doc_of("at").alias("a"), doc_of("low").alias("b")))
+    roots = connected_components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"))
+    by_doc = by_size(by_doc, roots, "doc_id", "left")
     other = F.filter("parts", lambda p: p["source"].isNotNull() & (p["source"] != F.col("doc_id")))
     copied = F.exists(other, lambda p: p["chars"] >= whole * F.col("chars"))
     gone = F.filter("parts", lambda p: p["source"].isNotNull() & ((p["source"] == F.col("doc_id")) | ~copied))

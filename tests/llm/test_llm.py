@@ -218,6 +218,23 @@ def test_line_dedup_drops_boilerplate(spark):
     assert got == {d: [0] if d else [] for d in range(8)}
 
 
+def test_line_dedup_classes(spark):
+    """Classes reach over documents, in any order of ids, and short lines have partners."""
+    rng = random.Random(16)
+    x = [" ".join(words(rng, 12)) for _ in range(9)]
+    short = "Thwhesnd, esator whshing and hewh."
+    docs = [(1, x[0]), (2, f"{x[1]}\n{x[2]}"), (3, f"{x[2]}\n{x[0]}"), (4, x[1] + "k"), (5, x[3]), (6, short), (7, short.replace(",", "")), (8, None)]
+    # a chain whose inner link is the first partner of neither end
+    chain = ["m" * 60, "m" * 58 + "zz", "m" * 56 + "qqzz", "m" * 54 + "vvqqzz"]
+    docs += [(10, chain[0]), (11, chain[2]), (12, chain[3]), (13, chain[1])]
+    docs += [(20, "p" * 60), (21, "p" * 54 + "vvqqzz"), (22, "p" * 58 + "zz"), (23, "p" * 56 + "qqzz")]
+    for block in (128, 2):
+        got = {r.doc_id: r for r in lines.line_dedup(frame(spark, docs), block=block).collect()}
+        roots = {d: r.class_id for d, r in got.items()}
+        assert roots == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8, 10: 10, 11: 10, 12: 10, 13: 10, 20: 20, 21: 20, 22: 20, 23: 20}
+        assert list(got[7].dropped) == [0]
+
+
 def test_pipeline_near_copies(spark):
     """Copies go as a whole, not as scraps; other documents lose only the passage that they share."""
     import corpus_pipeline
