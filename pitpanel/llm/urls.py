@@ -65,6 +65,10 @@ def _filter_of(keys: DataFrame, level: int, n_bits: int) -> Column:
     return made.select(F.transform(all_words, lambda w: F.coalesce(F.element_at("m", w), F.lit(0)))).scalar()
 
 
+def _shard(key: Column, level: int, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level * 64 + HASHES)), F.lit(shards))
+
+
 def _has(bits: Column, key: Column, level: int, n_bits: int) -> Column:
     out = F.lit(True)
     for i in range(HASHES):
@@ -75,31 +79,40 @@ def _has(bits: Column, key: Column, level: int, n_bits: int) -> Column:
 
 
 class Cascade:
-    """Exact membership of hosts of `universe` (column host) in `listed`; at most MOST_KEYS listed or let through."""
+    """Exact membership of hosts of `universe` (column host) in `listed`.
+
+    A level of over `most_keys` keys is dealt out to shards by hash, each with a filter of its own.
+    """
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
+    def __init__(self, universe: DataFrame, listed: DataFrame, most_keys: int = MOST_KEYS):
         universe = materialise(universe.select("host").distinct())
         listed = materialise(listed.select("host").distinct())
         inside, outside = listed, universe.join(listed, "host", "left_anti")
-        self.levels: list[tuple[Column, int]] = []
+        self.levels: list[tuple[list[Column], int]] = []
         n = inside.count()
         while n:
-            if n > MOST_KEYS:
-                raise ValueError(f"{n} keys in a level; deal hosts out to shards by hash and make a cascade for each")
-            n_bits = 64 * max(1, -(-n * BITS_PER_KEY // 64))
+            shards = -(-n // most_keys)
+            n_bits = 64 * max(1, -(-n * BITS_PER_KEY // (64 * shards)))
             level = len(self.levels)
-            bits = _filter_of(inside, level, n_bits)
-            self.levels.append((bits, n_bits))
-            wrong = materialise(outside.where(_has(bits, F.col("host"), level, n_bits)))
+            parts = [inside] if shards == 1 else [inside.where(_shard(F.col("host"), level, shards) == i) for i in range(shards)]
+            self.levels.append(([_filter_of(part, level, n_bits) for part in parts], n_bits))
+            wrong = materialise(outside.where(self._passes(F.col("host"), level)))
             inside, outside = wrong, inside
             n = inside.count()
 
+    def _passes(self, key: Column, level: int) -> Column:
+        """Whether a level's filter lets key through; the shard number chooses the filter."""
+        filters, n_bits = self.levels[level]
+        out = _has(filters[-1], key, level, n_bits)
+        for i, bits in enumerate(filters[:-1]):
+            out = F.when(_shard(key, level, len(filters)) == i, _has(bits, key, level, n_bits)).otherwise(out)
+        return out
+
     def has(self, key: Column) -> Column:
         """Whether key, one of the universe, is listed."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
-            bits, n_bits = self.levels[level]
-            out = F.when(~_has(bits, key, level, n_bits), F.lit(level % 2 == 1)).otherwise(out)
+            out = F.when(~self._passes(key, level), F.lit(level % 2 == 1)).otherwise(out)
         return out
 
 

@@ -324,6 +324,14 @@ def test_cascade_is_exact(spark):
     assert wrong == 0
 
 
+def test_cascade_in_shards(spark):
+    hosts = spark.range(3_000).select(F.concat(F.lit("h"), F.col("id")).alias("host"))
+    listed = F.xxhash64("host") % 5 == 0
+    cascade = urls.Cascade(hosts, hosts.where(listed), most_keys=250)
+    assert len(cascade.levels[0][0]) > 1 and len(cascade.levels) > 1
+    assert hosts.where(cascade.has(F.col("host")) != listed).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     docs, labels = [], []
