@@ -3,195 +3,305 @@
 A line of n characters is cut in EDITS + 1 segments. Two lines within EDITS edits share one of them: the longer
 line has, near where the shorter line's segment is, a substring equal to it. So every line has index keys (its own
 length, a segment's number and characters) and probe keys (substrings of it, at the few places that a segment of a
-line of its length or up to EDITS shorter can have moved to). Lines that meet in a key are compared with banded
-edit distance; a key with many lines is dealt out as pairs of blocks, and each line only takes away how many
-partners it has there, the first of them and the first line of its component there, so no pairs are emitted.
+line of its length or up to EDITS shorter can have moved to). A first pass over all keys finds those that an index
+key and another line share; only lines that hold one of these go on. Lines that meet in a key are compared by
+banded bit-parallel edit distance; a key with many lines is dealt out as pairs of blocks, and each line only takes
+away how many partners it has there, the first of them and the first line of its component there, so no pairs are
+emitted.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.llm.store import by_size, connected_components, materialise
 
-EDITS, MIN_CHARS, BLOCK, WHOLE = 2, 9, 128, math.inf  # WHOLE: no document keeps its repeats
+EDITS, MIN_CHARS, BLOCK = 2, 9, 128
 _INK = r"[^\x20\x09-\x0D]"
 ORDER = "decimal(38,0)"
+_LINES = 1 << 31  # places of lines in a document
+_PAD = b"\xff" * 4  # no character
+
+
+def _moves(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, places that it moved) of all keys of a line."""
+    return [
+        (less, i, move)
+        for less in range(edits + 1)
+        for i in range(edits + 1)
+        for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
 
 
-def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a line of n characters: even, longer ones last."""
-    size, rest = F.floor(n / parts), n % parts
-    extra = F.greatest(F.lit(i) - (F.lit(parts) - rest), F.lit(0))
-    return size * i + extra, size + F.when(F.lit(i) >= F.lit(parts) - rest, 1).otherwise(0)
-
-
-def _keys(line: Column, n: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Index keys and the further probe keys of a line of n characters."""
-    parts = edits + 1
-    key = lambda size, i, start, length: F.xxhash64(size, F.lit(i), F.substring(line, (start + 1).cast("int"), length.cast("int")))
-    index = [key(n, i, *_segment(n, i, parts)) for i in range(parts)]
-    probes = []
-    for less in range(edits + 1):
-        for i in range(parts):
-            start, length = _segment(n - less, i, parts)
-            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or move:
-                    probes.append(key(n - less, i, start + move, length))
-    return index, probes
+    size = F.floor(n / parts).cast("int")
+    long_from = F.lit(parts) - n % parts
+    return size * i + F.greatest(i - long_from, F.lit(0)), size + (i >= long_from).cast("int")
+
+
+def _piece(line: Column, start: Column, length: Column) -> Column:
+    """Characters of a line that is held as four bytes a character."""
+    return F.substring(line, start * 4 + 1, length * 4)
+
+
+def common_prefix(a: Column, b: Column, most: Column, at_end: bool = False) -> Column:
+    """Characters that a and b have in common at their starts (or ends), `most` at most, by halving."""
+    size = lambda x: F.octet_length(x)
+
+    def equal(lo: Column, mid: Column) -> Column:
+        if at_end:
+            cut = lambda x: F.substring(x, size(x) - mid * 4 + 1, (mid - lo) * 4)
+        else:
+            cut = lambda x: _piece(x, lo, mid - lo)
+        return cut(a) == cut(b)
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"] + 1, 1)
+        ok = (s["lo"] < s["hi"]) & equal(s["lo"], mid)
+        return F.struct(F.when(ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(F.greatest(s["lo"], mid - 1)).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), most.alias("hi")), step, lambda s: s["lo"])
+
+
+def _held(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def within_edits(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines (four bytes a character) are within `edits` edits, by banded bit-parallel edit distance.
+
+    A bit stands for a diagonal of the band and a number of edits: set if the characters of b so far turn, with so
+    many edits, into those of a up to the diagonal. All bits move in one 64-bit integer, a field of eight bits for
+    each number of edits. What both have in common at their ends is left out first.
+    """
+    if not 1 <= edits <= 3:
+        raise ValueError("edits: 1 to 3")
+    width, fields = 2 * edits + 1, range(edits + 1)
+    ones = sum(1 << 8 * e for e in fields)
+    mask = ones * ((1 << width) - 1)
+    start = sum(1 << 8 * e + edits + d for e in fields for d in range(e + 1))
+    band = lambda x, m: x.bitwiseAND(F.lit(m))
+
+    def walk(z: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            c = _piece(z["b"], j, F.lit(1))
+            same = None
+            for d in range(width):
+                bit = F.when(_piece(z["a"], j + d, F.lit(1)) == c, F.lit(ones << d)).otherwise(F.lit(0).cast("long"))
+                same = bit if same is None else same.bitwiseOR(bit)
+            out = acc.bitwiseAND(same).bitwiseOR(F.shiftleft(acc, 8)).bitwiseOR(F.shiftleft(acc, 7))
+            return _closed(out)
+
+        def _closed(x: Column) -> Column:
+            def use(v: Column) -> Column:  # characters of a that are left out, as long as edits are left
+                out = moved = v
+                for _ in range(edits):
+                    moved = band(F.shiftleft(moved, 9), mask)
+                    out = out.bitwiseOR(moved)
+                return out
+
+            return _held(band(x, mask), use)
+
+        n = (F.octet_length(z["b"]) / 4).cast("int")
+        ends = F.call_function("shiftleft", F.lit(1).cast("long"), z["gap"] + 9 * edits)
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, F.lit(start).cast("long"), step).bitwiseAND(ends) != 0
+
+    chars = lambda x: (F.octet_length(x) / 4).cast("int")
+
+    def cut_end(z: Column) -> Column:
+        most = F.least(chars(z["a"]), chars(z["b"])) - z["pre"]
+        return _held(F.struct(z["a"].alias("a"), z["b"].alias("b"), z["pre"].alias("pre"), common_prefix(z["a"], z["b"], most, True).alias("post")), core)
+
+    def core(z: Column) -> Column:
+        part = lambda x: _piece(x, z["pre"], chars(x) - z["pre"] - z["post"])
+        padded = F.concat(F.lit(_PAD * edits), part(z["a"]), F.lit(_PAD * edits))
+        return _held(F.struct(padded.alias("a"), part(z["b"]).alias("b"), (chars(z["a"]) - chars(z["b"])).alias("gap")), walk)
+
+    pre = common_prefix(a, b, F.least(chars(a), chars(b)))
+    return (F.abs(chars(a) - chars(b)) <= edits) & _held(F.struct(a.alias("a"), b.alias("b"), pre.alias("pre")), cut_end)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, id, n, at) of the lines that have a visible character; at orders all lines."""
+    """(doc_id, line_no, line, id, id2, at) of the lines that have a visible character; at orders all lines.
+
+    id and id2 are hashes with seeds of their own: 128 bits that stand for the line.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("line").rlike(_INK))
-    at = F.col("doc_id").cast(ORDER) * F.lit(1 << 31).cast(ORDER) + F.col("line_no")
-    return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.char_length("line").alias("n"), at.cast(ORDER).alias("at"))
+    at = F.col("doc_id").cast(ORDER) * F.lit(_LINES).cast(ORDER) + F.col("line_no")
+    return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), at.cast(ORDER).alias("at"))
+
 
+def keyed_lines(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """rows, a row for each key: key, size (of the line with the segment), seg, index (whether it is an own segment), b.
 
-def distinct_lines(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(id, n, at, copies, k0.. index keys, p0.. probe keys), a row for each distinct line; keys of long lines only."""
-    index, probes = _keys(F.col("line"), F.col("n"), edits)
-    keys = {f"k{i}": k for i, k in enumerate(index)} | {f"p{i}": k for i, k in enumerate(probes)}
-    long_line = F.col("n") >= max(min_chars, 3 * (edits + 1))
-    rows = rows.select("id", "n", "at", *[F.when(long_line, k).alias(c) for c, k in keys.items()])
-    return rows.groupBy("id", "n").agg(F.min("at").alias("at"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in keys])
+    b: the line, four bytes a character, so that its pieces are cut without counting characters.
+    """
+    places = ", ".join(f"struct({a} as less, {b} as seg, {c} as move)" for a, b, c in _moves(edits))
+    rows = rows.withColumns({"n": F.char_length("line"), "b": F.encode("line", "UTF-32")}).drop("line")
+    rows = rows.where(F.col("n") >= max(min_chars, 3 * (edits + 1)))
+    rows = rows.select("*", F.expr(f"inline(array({places}))")).withColumn("size", F.col("n") - F.col("less"))
+    start, length = _segment(F.col("size"), F.col("seg"), edits + 1)
+    key = F.xxhash64("size", "seg", _piece(F.col("b"), start + F.col("move"), length))
+    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("move") == 0)}).drop("less", "move")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, edits: int, block: int) -> DataFrame:
-    """(id, n, at, links int, first at, low at), a row for each group where a distinct line has others within `edits` edits.
+def near_lines(rows: DataFrame, edits: int, min_chars: int, block: int) -> DataFrame:
+    """(id, id2, at, links int, first at, low at), a row for each group where a distinct line has others within `edits` edits.
 
-    links: how many; first: the first of them; low: the first line of those that links within the group reach.
+    at: the line's first place; links: how many others; first: the first of them; low: the first line of those that
+    links within the group reach.
     """
-    names = [c for c in lines.columns if c[0] in "kp" and c[1:].isdigit()]
-    own, other = [c for c in names if c[0] == "k"], [c for c in names if c[0] == "p"]
-    keyed = lines.where(F.col("k0").isNotNull()).select(
-        "id",
-        F.inline(F.array(*[F.struct(F.col(c).alias("key"), F.lit(c in own).alias("index")) for c in names])),
-    )
-    met = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("index").alias("index"))
+    keyed = keyed_lines(rows, edits, min_chars)
+    met = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("index").alias("index"))
     met = materialise(met.where("index and low <> high").select("key"))
-    few = materialise(by_size(keyed.select("id", "key"), met, "key").distinct())
-    ids = materialise(few.select("id").distinct())
-    # the texts of the lines that met others, at their first places
-    texts = by_size(line_rows(docs), ids, "id").join(lines.select("id", "n", "at", *names), ["id", "n", "at"], "left_semi")
-    texts = texts.select("id", "n", "at", "line").distinct()
-    full = texts.join(lines.select("id", "n", F.array(*own).alias("own"), F.array(*names).alias("all")), ["id", "n"])
-    sizes = few.groupBy("key").agg(F.count("*").alias("size"))
-    nb = F.ceil(F.col("size") / block).cast("int")
-    dealt = few.join(sizes, "key").withColumns({"nb": nb, "b": F.pmod(F.xxhash64("id", F.lit(7)), nb).cast("int")})
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("key", "id", "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
-    rows = dealt.join(full, "id").groupBy("key", "bi", "bj").agg(
-        F.collect_list(F.struct("id", "n", "at", "line", "own", "all", "b")).alias("g")
+    few = by_size(keyed, met, "key").groupBy("key", "size", "seg", "id", "id2").agg(
+        F.min("at").alias("at"), F.max("index").alias("index"), F.any_value("b").alias("b")
     )
+    few = materialise(few)
+    group = ["key", "size", "seg"]
+    sizes = few.groupBy(*group).agg(F.count("*").alias("members"))
+    nb = F.ceil(F.col("members") / block).cast("int")
+    dealt = few.join(sizes, group).withColumns({"nb": nb, "own": F.pmod(F.xxhash64("id", F.lit(7)), nb).cast("int")})
+    dealt = dealt.where("members > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")})
+    # an explicit count: Spark would size these partitions by bytes, where their work is in comparing
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "bi", "bj")
+    rows = dealt.groupBy(*group, "bi", "bj").agg(F.collect_list(F.struct("id", "id2", "at", "index", "b", "own")).alias("g"))
+    chars = lambda x: (F.octet_length(x["b"]) / 4).cast("int")
+
+    def earlier_segment(x: Column, y: Column) -> Column:
+        """Whether x also has a segment of y before this one: the pair counts in the first that it shares."""
+        out = F.lit(False)
+        for less, i, move in _moves(edits):
+            start, length = _segment(F.col("size"), F.lit(i), edits + 1)
+            same = _piece(x["b"], start + move, length) == _piece(y["b"], start, length)
+            out = out | ((F.col("seg") > i) & (chars(x) == F.col("size") + less) & same)
+        return out
 
     def partner(x: Column, y: Column) -> Column:
-        shared = F.array_union(F.array_intersect(x["own"], y["all"]), F.array_intersect(x["all"], y["own"]))
+        """Whether x, not the shorter of the two and the later one if equally long, is within reach of y."""
         return (
-            (x["at"] != y["at"])
-            & ((x["b"] != y["b"]) | (F.col("bi") == F.col("bj")))
-            & (F.abs(x["n"] - y["n"]) <= edits)
-            & (F.levenshtein(x["line"], y["line"], edits) >= 0)
-            & (F.array_min(shared) == F.col("key"))  # a pair counts in the first key that it shares
+            y["index"]
+            & (chars(y) == F.col("size"))
+            & ((chars(x) > F.col("size")) | (x["at"] > y["at"]))
+            & ((x["own"] != y["own"]) | (F.col("bi") == F.col("bj")))
+            & ~earlier_segment(x, y)
+            & within_edits(x["b"], y["b"], edits)
         )
 
-    found = F.transform(
-        "g",
-        lambda x: F.struct(
-            x["id"].alias("id"),
-            x["n"].alias("n"),
-            x["at"].alias("at"),
-            F.transform(F.filter("g", lambda y: partner(x, y)), lambda y: y["at"]).alias("ats"),
-        ),
+    pairs = F.flatten(
+        F.transform("g", lambda x: F.transform(F.filter("g", lambda y: partner(x, y)), lambda y: F.struct(x["at"].alias("x"), y["at"].alias("y"))))
     )
-    hits = rows.select(F.filter(found, lambda r: F.size(r["ats"]) > 0).alias("hits")).where(F.size("hits") > 0)
+
+    def reached(ps: Column) -> Column:
+        """The lines of the group that have partners, with these partners' places."""
+
+        def ats(x: Column) -> Column:
+            mine = F.filter(ps, lambda p: (p["x"] == x["at"]) | (p["y"] == x["at"]))
+            return F.transform(mine, lambda p: F.when(p["x"] == x["at"], p["y"]).otherwise(p["x"]))
+
+        found = F.transform("g", lambda x: F.struct(x["id"].alias("id"), x["id2"].alias("id2"), x["at"].alias("at"), ats(x).alias("ats")))
+        return F.when(F.size(ps) > 0, F.filter(found, lambda r: F.size(r["ats"]) > 0))
 
     def joined(parts: Column, r: Column) -> Column:
         own = F.concat(F.array(r["at"]), r["ats"])
         met = F.flatten(F.filter(parts, lambda p: F.arrays_overlap(p, own)))
         return F.concat(F.filter(parts, lambda p: ~F.arrays_overlap(p, own)), F.array(F.array_union(own, met)))
 
-    parts = F.aggregate("hits", F.array().cast(f"array<array<{ORDER}>>"), joined)
-    lows = hits.withColumn("parts", parts).select("parts", F.inline("hits"))
-    low = F.array_min(F.flatten(F.filter("parts", lambda p: F.array_contains(p, F.col("at")))))
-    return lows.select("id", "n", "at", F.size("ats").alias("links"), F.array_min("ats").alias("first"), low.alias("low"))
+    def told(hits: Column) -> Column:
+        parts = F.aggregate(hits, F.array().cast(f"array<array<{ORDER}>>"), joined)
 
+        def row(x: Column, parts: Column) -> Column:
+            low = F.array_min(F.flatten(F.filter(parts, lambda p: F.array_contains(p, x["at"]))))
+            own = [x[c].alias(c) for c in ("id", "id2", "at")]
+            return F.struct(*own, F.size(x["ats"]).alias("links"), F.array_min(x["ats"]).alias("first"), low.alias("low"))
 
-def line_dedup(
-    docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK, whole: float = WHOLE
-) -> DataFrame:
+        return _held(parts, lambda ps: F.transform(hits, lambda x: row(x, ps)))
+
+    # each step is held, so that none is computed again for every element of the next
+    return rows.select(F.inline(_held(pairs, lambda ps: _held(reached(ps), told))))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """The rows of line_rows, those of a repeated doc_id without what is repeated at one place."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again)
+    rows = line_rows(docs)
+    if not again.limit(1).count():
+        return rows
+    others = line_rows(by_size(docs, again, "doc_id", "left_anti"))
+    return others.unionByName(line_rows(by_size(docs, again, "doc_id", "left_semi")).distinct())
+
+
+def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """(doc_id long, n_lines, n_dropped, n_links longs, class_id long, dropped array<int>), a row for each doc_id.
 
-    A line with a visible character is a repeat if an earlier line (by doc_id, then line number) is equal, or if
-    both have at least min_chars characters and one that is first of its kind is within `edits` edits. All repeats
-    are dropped. With a finite `whole`, a document that has at least that share of its characters from one earlier
-    document keeps its lines, but for repeats within itself. n_links: other distinct lines within reach of this
-    document's distinct lines; class_id: the smallest doc_id that is reached through equal lines and lines within
-    reach, over any number of documents, itself included. dropped: line numbers from 0, in order. Null and empty texts have no lines;
-    null ids are left out; repeated ids are one document, whose equal lines at one place count once. Other columns
-    are not looked at.
+    docs: (doc_id, text). A line with a visible character is a repeat if an earlier line (by doc_id, then line
+    number) is equal, or if both have at least min_chars characters and one that is first of its kind is within
+    `edits` edits; lines under 3 * (edits + 1) characters have no segments of three and are repeats only if equal.
+    All repeats are dropped. n_links: other distinct lines within reach of this document's lines; class_id: the
+    smallest doc_id that is reached through equal lines and lines within reach, over any number of documents, itself
+    included. dropped: line numbers from 0, in order. Null and empty texts have no lines; null ids are left out;
+    repeated ids are one document, whose equal lines at one place count once; an empty table gives no rows. Other
+    columns are not looked at.
     """
-    docs = docs.select("doc_id", "text")
-    rows = line_rows(docs)
-    lines = materialise(distinct_lines(rows, edits, min_chars))
-    met = materialise(near_lines(docs, lines, edits, block))
-    near = met.groupBy("id", "n").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
-    keep = lines.select("id", "n", "at", "copies").join(near, ["id", "n"], "left")
-    keep = materialise(keep.where("copies > 1 or links is not null").drop("copies"))
-    place = rows.select("doc_id", "line_no", "id", "n", F.col("at").alias("here")).distinct()
-    place = by_size(place, keep, ["id", "n"], "left")
-    doc_of = lambda at: F.floor(F.col(at) / F.lit(1 << 31).cast(ORDER)).cast("long")
-    source = F.when(F.col("first") < F.col("at"), F.col("first")).when(F.col("at") < F.col("here"), F.col("at"))
-    source = F.floor(source / F.lit(1 << 31).cast(ORDER)).cast("long")
-    place = place.withColumns({"source": source, "owner": doc_of("at")})
-    by_source = place.groupBy("doc_id", "source").agg(
-        F.count("*").alias("lines"),
-        F.sum("n").alias("chars"),
-        F.sum(F.coalesce("links", F.lit(0))).alias("links"),
-        F.collect_set("owner").alias("owners"),
-        F.collect_list(F.when(F.col("source").isNotNull(), F.col("line_no"))).alias("nos"),
-    )
-    by_doc = by_source.groupBy("doc_id").agg(
-        F.sum("lines").alias("n_lines"),
-        F.sum("chars").alias("chars"),
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _once(docs)
+    again = rows.groupBy("id", "id2").agg(F.min("at").alias("at"), F.count("*").alias("copies")).where("copies > 1")
+    met = materialise(near_lines(rows, edits, min_chars, block))
+    near = met.groupBy("id", "id2", "at").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
+    keep = again.drop("copies").join(near, ["id", "id2", "at"], "full_outer").withColumnRenamed("at", "head")
+    keep = materialise(keep)
+    place = by_size(rows.select("doc_id", "line_no", "id", "id2", "at"), keep, ["id", "id2"], "left")
+    repeat = (F.col("first") < F.col("head")) | (F.col("head") < F.col("at"))
+    doc_of = lambda at: F.floor(F.col(at) / F.lit(_LINES).cast(ORDER)).cast("long")
+    by_doc = place.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"),
         F.sum("links").alias("n_links"),
-        F.array_distinct(F.flatten(F.collect_list("owners"))).alias("owners"),
-        F.collect_list(F.struct("source", "chars", "nos")).alias("parts"),
+        F.collect_list(F.when(repeat, F.col("line_no"))).alias("dropped"),
+        F.collect_set(doc_of("head")).alias("heads"),
     )
     by_doc = materialise(by_doc)
-    links = by_doc.select(F.col("doc_id").alias("a"), F.explode("owners").alias("b"))
+    links = by_doc.select(F.col("doc_id").alias("a"), F.explode("heads").alias("b"))
     links = links.unionByName(met.select(doc_of("at").alias("a"), doc_of("low").alias("b")))
     roots = connected_components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"))
-    by_doc = by_size(by_doc, roots, "doc_id", "left")
-    other = F.filter("parts", lambda p: p["source"].isNotNull() & (p["source"] != F.col("doc_id")))
-    copied = F.exists(other, lambda p: p["chars"] >= whole * F.col("chars"))
-    gone = F.filter("parts", lambda p: p["source"].isNotNull() & ((p["source"] == F.col("doc_id")) | ~copied))
-    by_doc = by_doc.withColumn("dropped", F.array_sort(F.flatten(F.transform(gone, lambda p: p["nos"]))))
-    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    by_doc = by_size(by_doc.drop("heads"), roots, "doc_id", "left")
+    every = docs.where("doc_id is not null").select("doc_id").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    dropped = F.coalesce(F.array_sort("dropped"), F.array().cast("array<int>"))
     return every.join(by_doc, "doc_id", "left").select(
         "doc_id",
         zero("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(dropped).cast("long").alias("n_dropped"),
         zero("n_links"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+        dropped.alias("dropped"),
     )
 
 
 def drop_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs, all columns, with the lines that line_dedup dropped taken out of text; n_chars, if there, counted anew."""
-    gone = materialise(found.where("n_dropped > 0").select(F.col("doc_id").alias("_id"), "dropped"))
-    on = F.col("doc_id") == F.col("_id")
-    small = gone.limit(200_001).count() <= 200_000
-    joined = docs.join(F.broadcast(gone) if small else gone, on, "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    joined = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return joined.select(*docs.columns)
+    """docs, all columns, with the lines that line_dedup dropped taken out of text; n_chars, if there, counted anew.
+
+    Rows of documents without dropped lines, null texts and null ids stay as they are; columns may have any names.
+    """
+    names = docs.columns
+    gone = materialise(found.where("n_dropped > 0").select(F.struct("doc_id", "dropped").alias("gone")))
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    on = F.col("row.doc_id") == F.col("gone.doc_id")
+    few = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone.dropped")).alias("lines")).first()
+    small = few["n"] <= 200_000 and (few["lines"] or 0) <= 2_000_000  # 8 MB of numbers
+    joined = held.join(F.broadcast(gone) if small else gone, on, "left")
+    text, changed = F.col("row.text"), F.col("gone").isNotNull()
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone.dropped"), i))
+    new = F.when(changed, F.array_join(left, "\n")).otherwise(text)
+    cols = {c: F.col("row")[c] for c in names} | {"text": new}
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        cols["n_chars"] = F.when(changed, F.char_length(new).cast(kind)).otherwise(F.col("row.n_chars"))
+    return joined.select(*[cols[c].alias(c) for c in names])

@@ -48,41 +48,40 @@ def text_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered)
 
 
-def edit_distance(a, b):
+def edit_distance(a, b, most=None):
+    """Edits between a and b; with `most`, any number above it where there are more."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
+        if most is not None and min(row) > most:
+            return most + 1
         row, left = [i], row
         for j, y in enumerate(b, 1):
             row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
     return row[-1]
 
 
-def line_dedup(docs, edits, min_chars, whole):
+def line_dedup(docs, edits, min_chars):
     """doc_id -> (lines, dropped numbers, links)."""
     lines = [(d, i, x) for d, t in sorted(docs) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     first = {}
     for d, i, x in lines:
         first.setdefault(x, (d, i))
     kinds = list(first)
-    near = {x: [y for y in kinds if y != x and min(len(x), len(y)) >= min_chars and edit_distance(x, y) <= edits] for x in kinds}
+    near = {x: [] for x in kinds}
+    by_size = collections.defaultdict(list)
+    for x in kinds:
+        if len(x) >= min_chars:
+            by_size[len(x)].append(x)
+    for x in kinds:
+        for n in range(max(min_chars, len(x) - edits), len(x) + edits + 1) if len(x) >= min_chars else ():
+            near[x] += [y for y in by_size[n] if y != x and edit_distance(x, y, edits) <= edits]
     out = {}
+    own = collections.defaultdict(list)
+    for d, i, x in lines:
+        own[d].append((i, x))
     for d in sorted({d for d, _ in docs}):
-        own = [(i, x) for e, i, x in lines if e == d]
-        source = {}
-        for i, x in own:
-            low = min([first[y] for y in near[x]], default=None)
-            if low is not None and low < first[x]:
-                source[i] = low[0]
-            elif first[x] < (d, i):
-                source[i] = first[x][0]
-        total = sum(len(x) for _, x in own)
-        share = collections.Counter()
-        for i, x in own:
-            if i in source:
-                share[source[i]] += len(x)
-        copied = any(s != d and n >= whole * total for s, n in share.items())
-        dropped = [i for i in sorted(source) if source[i] == d or not copied]
-        out[d] = (len(own), dropped, sum(len(near[x]) for _, x in own))
+        dropped = [i for i, x in own[d] if min([first[x], *(first[y] for y in near[x])]) < (d, i)]
+        out[d] = (len(own[d]), dropped, sum(len(near[x]) for _, x in own[d]))
     return out
 
 
@@ -121,13 +120,15 @@ def contaminated(docs, items, k, similarity):
     """(doc, item) pairs by every window of the item's length."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    texts = [(d, grams(words(x))) for d, x in docs]
     out = set()
     for i, t in items:
         a = collections.Counter(grams(words(t)))
         n = sum(a.values())
-        for d, x in docs:
-            g = grams(words(x))
-            for s in range(max(1, len(g) - n + 1) if n and g else 0):
+        for d, g in texts:
+            if not n or not a.keys() & g:  # a run that shares nothing is not similar
+                continue
+            for s in range(max(1, len(g) - n + 1)):
                 b = collections.Counter(g[s : s + n])
                 if sum((a & b).values()) >= similarity * sum((a | b).values()) - 1e-12:
                     out.add((d, i))

@@ -200,13 +200,44 @@ def test_line_dedup(spark):
     docs += [(60, docs[10][1]), (61, "é" * 50 + "\n" + "é" * 49 + "e"), (5, "same")]
     for block in (128, 3):
         got = {r.doc_id: (r.n_lines, list(r.dropped), r.n_links) for r in lines.line_dedup(frame(spark, docs), block=block).collect()}
-        want = brute.line_dedup(list(dict(docs).items()), lines.EDITS, lines.MIN_CHARS, lines.WHOLE)
+        want = brute.line_dedup(list(dict(docs).items()), lines.EDITS, lines.MIN_CHARS)
         assert got == want
     left = {r.doc_id: r.text for r in lines.drop_lines(frame(spark, docs), lines.line_dedup(frame(spark, docs))).collect()}
     assert left[4] == "same\nother" and left[1] is None
     assert lines.line_dedup(frame(spark, [])).collect() == []
 
 
+def test_within_edits(spark):
+    """The banded bit-parallel distance against dynamic programming, on any characters and lengths."""
+    rng = random.Random(17)
+    pairs = []
+    for _ in range(1500):
+        a = [rng.choice("abé🎉") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 30, 80]))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            p = rng.randrange(len(b) + 1)
+            b[p : p + rng.randrange(2)] = rng.choice([[], ["a"], ["x"]])
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    wide = [F.encode(c, "UTF-32") for c in ("x", "y")]
+    for k in (1, 2, 3):
+        rows = df.select("x", "y", lines.within_edits(*wide, k).alias("near")).collect()
+        assert 0 < sum(r.near for r in rows) < len(rows)
+        assert all(r.near == (brute.edit_distance(r.x, r.y) <= k) for r in rows)
+
+
+def test_line_dedup_columns_and_long_lines(spark):
+    """Columns with the operator's own names, and lines of 40,000 characters that differ at both ends."""
+    long = "".join(random.Random(18).choice("abcdef ") for _ in range(40_000))
+    docs = [(1, long), (2, "x" + long[1:-1] + "y"), (3, "xyz" + long), (None, long)]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in docs], "doc_id long, text string, _id int, dropped int, row int, gone int")
+    found = lines.line_dedup(df)
+    assert {r.doc_id: list(r.dropped) for r in found.collect()} == {1: [], 2: [0], 3: []}
+    left = lines.drop_lines(df, found)
+    assert left.columns == df.columns
+    assert {r.doc_id: r.text for r in left.collect()} == {1: long, 2: "", 3: "xyz" + long, None: long}
+
+
 def test_line_dedup_drops_boilerplate(spark):
     """A passage that is a third of each document goes, however many carry it; the first keeps it."""
     rng = random.Random(14)
@@ -289,12 +320,47 @@ def test_decontaminate(spark, corpus):
 
 
 def test_fingerprints(spark):
-    df = spark.createDataFrame([([1, 2, 3],), ([-1],)], "sh array<long>").withColumn("fp", decontam.simhash(F.col("sh")))
-    rows = df.select("sh", "fp", decontam.blocks(F.col("fp")).alias("b")).collect()
-    for r in rows:
-        bits = [2 * sum((h >> k) & 1 for h in r.sh) >= len(r.sh) for k in range(64)]
-        assert r.fp & ((1 << 64) - 1) == sum(b << k for k, b in enumerate(bits))
-        assert len(r.b) == decontam.RADIUS + 1
+    rng = random.Random(19)
+    sets = [([rng.getrandbits(64) - (1 << 63) for _ in range(30)], rng.randrange(10), w) for w in decontam.WINDOWS for _ in range(4)]
+    df = spark.createDataFrame(sets, "sh array<long>, at int, w int")
+    df = decontam.with_fingerprint(df, "sh", "at", "w")
+    assert df.columns == ["sh", "at", "w", "fp"]
+    flips = F.array_distinct(decontam.block_keys(F.col("fp"), F.col("w"), 1))
+    for r in df.select("*", decontam.block_keys(F.col("fp"), F.col("w")).alias("b"), flips.alias("near")).collect():
+        part = r.sh[r.at : r.at + r.w]
+        bits = [2 * sum((h >> k) & 1 for h in part) > len(part) for k in range(64)]
+        assert r.fp & ((1 << 64) - 1) == sum(x << k for k, x in enumerate(bits))
+        assert len(r.b) == decontam.BLOCKS and set(r.b) <= set(r.near) and len(r.near) == decontam.BLOCKS * 17
+
+
+def test_windows_meet():
+    """Wherever an item stands in a document, each part of it has a document's window at one of its places."""
+    for n in range(1, 200):
+        w, places = decontam.size_for(n), decontam.places_in(n)
+        step = decontam.WINDOWS[w]
+        assert places[0] == 0 and all(0 <= x and x + w <= n for x in places)
+        for begin in range(step):  # of the item, on the document's grid
+            met = [x for x in places if (begin + x) % step == 0]
+            assert met and (n < 10 or len(met) > 1)
+
+
+def test_decontaminate_recall(spark):
+    """Items with one, two or three changed, left out or added words inside long texts: at least 0.9 of what brute force finds."""
+    rng = random.Random(20)
+    items = [(i, " ".join(words(rng, rng.randrange(14, 60), 5000))) for i in range(60)]
+    docs = []
+    for d in range(600):
+        w = items[d % 60][1].split(" ")
+        for _ in range(d % 4):
+            p = rng.randrange(len(w))
+            w[p : p + 1] = rng.choice([[], ["new"], [w[p], "more"]])
+        docs.append((d, " ".join([*words(rng, rng.randrange(200), 5000), *w, *words(rng, rng.randrange(200), 5000)])))
+    docs.append((1000, " ".join(words(rng, 60_000, 5000) + items[7][1].split(" "))))  # a very long text
+    got = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    want = brute.contaminated(docs[:-1], items, 5, decontam.SIMILARITY) | {(1000, 7)}
+    assert pairs <= want and len(pairs) >= 0.97 * len(want)
+    assert next(r.start for r in got if r.doc_id == 1000) == 60_000
 
 
 URLS = ["http://A.example.NET/en/x?y", "https://net", "http://net/", "x://foo.org/fr/", "x://forg/fr/", None, "no scheme", "http://a.example.com/de/?q", "://spam-farm.io#x", "http://b.example.com/deutsch", "ftp://É.org/fr", "http://a://b.net/c"]
@@ -358,6 +424,50 @@ def test_toxicity(spark):
     assert {r.score for r in empty} == {empty[0].score}
 
 
+def test_label_model():
+    """Voters' rates are found from votes alone where labels are wrong; copies of one voter share its weight."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(6000) < 0.2).astype(int)
+    rates = [(0.6, 0.02), (0.5, 0.03), (0.4, 0.02), (0.05, 0.7), (0.02, 0.6)]  # on class 1, on class 0
+    fired = np.column_stack([rng.random(6000) < np.where(y == 1, a, b) for a, b in rates])
+    fired = np.column_stack([fired, fired[:, 0], fired[:, 0]]).astype(np.float32)
+    polarity = np.array([1, 1, 1, 0, 0, 1, 1])
+    flipped = y.copy()
+    wrong = rng.random(6000) < 0.1
+    flipped[wrong] = 1 - flipped[wrong]
+    post, on1, on0, weight = toxicity.label_model(fired, polarity, flipped)
+    told = (post >= 0.5).astype(int)
+    assert (told[wrong] == y[wrong]).mean() > 0.85 and (told == y).mean() > 0.93  # not the labels that were given
+    given = [fired[flipped == c][:, :5].mean(0) for c in (1, 0)]
+    for k, (a, b) in enumerate(rates):  # nearer to the truth than the given labels' rates
+        assert abs(on1[k] - a) < 0.17 and abs(on1[k] - a) < abs(given[0][k] - a) + 0.02
+        assert abs(on0[k] - b) < 0.1
+    assert max(weight[[0, 5, 6]]) < 0.45 and weight[1] > 0.6
+
+
+def test_toxic_lexicon_keeps_rare_terms(spark):
+    """A term of a few documents is listed beside very frequent ones, a common word and chance finds are not."""
+    rng = random.Random(21)
+    docs = []
+    for i in range(6000):
+        w, toxic = words(rng, 30, 3000), i % 10 == 0
+        if toxic:
+            w.append("qqrare" if i % 600 == 0 else rng.choice(["blargone", "zorkone"]))
+        docs.append((" ".join(w), int(toxic)))
+    train = spark.createDataFrame(docs, "text string, toxic int")
+    found = toxicity.lexicon(train, {0: 5400, 1: 600})
+    assert {"=qqrare", "=blargone", "=zorkone"} <= set(found) and len(found) < 14
+
+
+def test_toxicity_odd_tables(spark):
+    long = "nice words " * 30_000 + "blarg"
+    docs = spark.createDataFrame([(1, long, 0), (2, None, 0), (1, long, 0), (None, "", 0)], "doc_id long, text string, term int")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, none).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2] and all(r.score == pytest.approx(1e-9) for r in got)
+    assert toxicity.score_toxicity(docs.limit(0), none).collect() == []
+
+
 def test_url_query_equals_sql(spark, duck):
     from conftest import compare
 
@@ -378,7 +488,7 @@ def test_pipeline(spark):
     whole = {r.doc_id: r.text for r in docs.collect()}
     failed = {d for d, t in whole.items() if (c := brute.text_counts(t))[0] < 50 or 2 * c[4] > c[0]}
     assert set(whole) - set(texts["quality_rules"]) == failed  # too few labels here for other rules
-    found = brute.line_dedup(list(texts["quality_rules"].items()), lines.EDITS, lines.MIN_CHARS, lines.WHOLE)
+    found = brute.line_dedup(list(texts["quality_rules"].items()), lines.EDITS, lines.MIN_CHARS)
     for d, t in texts["line_dedup"].items():
         gone = set(found[d][1])
         assert t == "\n".join(x for i, x in enumerate(texts["quality_rules"][d].split("\n")) if i not in gone)
