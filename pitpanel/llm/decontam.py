@@ -1,21 +1,29 @@
-"""Benchmark decontamination: fingerprints of item-sized windows in a multi-index, confirmed on weighted shingles.
-
-A window has as many shingles as its item. A window that can reach the threshold holds at least
-`need = 2t / (1 + t)` of the item's shingles, and the most similar window starts at one of them; so windows are cut
-where a document's shingles meet a benchmark's, at starts with enough such shingles behind them. Distinct windows
-get a 64-bit SimHash. By the pigeonhole principle, two fingerprints within RADIUS bits agree on one of RADIUS + 1
-blocks, so joining on (item length, block, bits) finds every window within the radius; those are confirmed by exact
-similarity, sum of the smaller shingle counts over sum of the larger.
+"""Benchmark decontamination: SimHash fingerprints of windows find the items, exact weighted shingles confirm them.
+
+Windows come in the sizes of WINDOWS. An item takes the largest of which two parts of it hold one each; it has
+fingerprints of windows at the start of every such part, and at the next places after it. A document has windows
+of the sizes that items take, every `step` words, so that wherever it holds a part of an item, one of its windows
+is at one of the item's places. A copy with a changed word keeps a part whole, or nearly so.
+
+A fingerprint has 64 bits, cut in BLOCKS. By the pigeonhole principle, two fingerprints within RADIUS bits agree on
+one block but for RADIUS // BLOCKS bits. All block values within that of an item's are listed with the item; a
+document's windows look theirs up, which finds every fingerprint within the radius. Those tell where the item would
+begin; the runs of words about there are compared with it exactly: sum of the smaller shingle counts over sum of
+the larger.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.llm.store import by_size, materialise
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 7, 4
+#: Shingles of a window -> step between a document's windows. Odd, so that no bit is a tie.
+WINDOWS = {1: 1, 3: 1, 5: 2, 7: 3, 11: 4, 17: 6}
 _OTHER = r"[^\p{L}\p{N}]+"
 # fixed values: what stands between words most often
 _TRIM = " \t\n\r.,;:!?\"'()[]{}<>-*#|%&$/"
@@ -34,30 +42,73 @@ def with_shingles(df: DataFrame, name: str, k: int = SHINGLE) -> DataFrame:
     return df.withColumn(name, hashed).drop("text")
 
 
-def simhash(sh: Column) -> Column:
-    """64 bits: each set if it is set in at least half of the hashes, counted by weight."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, k: F.when(
-            2 * F.aggregate(sh, F.lit(0), lambda a, h: a + F.getbit(h, k).cast("int")) >= F.size(sh),
-            acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)),
-        ).otherwise(acc),
-    )
-
-
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """radius + 1 structs (block, bits) that together hold all 64 bits."""
-    cut = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"),
-            )
-            for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-        ]
-    )
+def size_for(n: int) -> int:
+    """Shingles of the windows of an item of n shingles: two of them (that may meet) and a step fit in it."""
+    return max([w for w, step in WINDOWS.items() if -(-9 * w // 5) + step - 1 <= n], default=1)
+
+
+def places_in(n: int) -> list[int]:
+    """Where an item of n shingles has windows: `step` places from the start of each part, the last ones at its end."""
+    w = size_for(n)
+    step = WINDOWS[w]
+    last = n - w - step + 1
+    return sorted({t + i for t in {*range(0, last + 1, w), max(last, 0)} for i in range(step) if t + i + w <= n})
+
+
+def with_fingerprint(df: DataFrame, sh: str, at: str, width: str, most: int = max(WINDOWS)) -> DataFrame:
+    """df with fp: the 64-bit SimHash of `width` (odd, `most` at most) shingles from `at`; a bit is that of most hashes.
+
+    The bits of all 64 counters are kept in five words, one for each power of two, and hashes are added to them
+    by bitwise full adders. A count of ones is the larger part if adding 32 less half the width carries over.
+    """
+    names = iter(range(10_000))
+
+    def put(**cols: Column) -> None:
+        nonlocal df
+        df = df.withColumns(cols)
+
+    at_level: list[list[str]] = [[] for _ in range(6)]
+    first = {f"_h{i}": F.coalesce(F.get(sh, F.when(F.col(width) > i, F.col(at) + i)), F.lit(0).cast("long")) for i in range(most)}
+    put(**first)
+    at_level[0] = list(first)
+    for level in range(5):
+        row = at_level[level]
+        while len(row) > 1:
+            a, b, c = *row[:2], row[2] if len(row) > 2 else None
+            k = next(names)
+            put(**{f"_x{k}": F.col(a).bitwiseXOR(F.col(b)), f"_a{k}": F.col(a).bitwiseAND(F.col(b))})
+            if c is None:
+                row, carry = [f"_x{k}"], f"_a{k}"
+            else:
+                put(**{f"_s{k}": F.col(f"_x{k}").bitwiseXOR(F.col(c)), f"_c{k}": F.col(f"_a{k}").bitwiseOR(F.col(f"_x{k}").bitwiseAND(F.col(c)))})
+                row, carry = [*row[3:], f"_s{k}"], f"_c{k}"
+            at_level[level + 1].append(carry)
+        at_level[level] = row
+    add = F.lit(32) - F.shiftright(F.col(width) + 1, 1)
+    carry: Column = F.lit(0).cast("long")
+    for level in range(5):
+        mask = -F.shiftright(add, level).bitwiseAND(F.lit(1)).cast("long")
+        bits = F.col(at_level[level][0]) if at_level[level] else F.lit(0).cast("long")
+        put(**{f"_m{level}": bits.bitwiseAND(mask).bitwiseOR(carry.bitwiseAND(bits.bitwiseOR(mask)))})
+        carry = F.col(f"_m{level}")
+    made = [c for c in df.columns if c[0] == "_" and c[1] in "hxascm" and c[2:].isdigit()]
+    return df.withColumn("fp", carry).drop(*made)
+
+
+def block_keys(fp: Column, width: Column, flips: int = 0) -> Column:
+    """The keys of a fingerprint's blocks: window size, block and bits; with `flips`, of all bits within so many changes."""
+    bits = 64 // BLOCKS
+    masks = [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)]
+
+    def around(key: Column) -> Column:
+        return F.transform(F.array(*map(F.lit, masks)), lambda m: key.bitwiseXOR(m.cast("long")))
+
+    keys = []
+    for i in range(BLOCKS):
+        block = F.shiftrightunsigned(fp, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+        head = F.shiftleft(width.cast("long") * BLOCKS + i, bits).bitwiseOR(block)
+        keys.append(around(head) if flips else head)
+    return F.flatten(F.array(*keys)) if flips else F.array(*keys)
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -68,44 +119,61 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, radius: int = RADIUS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    similarity: float = SIMILARITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
 ) -> DataFrame:
     """(doc_id long, item_id long, similarity double, start long), a row for each document and item it holds.
 
-    docs: (doc_id, text); benchmark: (item_id, text). A document holds an item if a run of its words as long as the
-    item has a weighted 5-word-shingle similarity of at least `similarity` to it; start is the word at which the
-    first most similar run begins. Case and punctuation do not count. Items of under five words have no shingle and
-    are found nowhere; null texts are empty; rows with null ids are left out; repeated rows of either table count
-    once. Other columns are not looked at.
+    A document holds an item if a run of its words as long as the item has a weighted 5-word-shingle similarity of
+    at least `similarity` to it, and a window of it lies within RADIUS bits of one of the item's; start is the word
+    at which the first most similar run begins. Case and punctuation do not count. Items of under five words have
+    no shingle and are found nowhere; null texts are empty; rows with null ids are left out; repeated rows of
+    either table count once; empty tables give no rows. Other columns are not looked at.
     """
-    items = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item")
-    items = materialise(items.where("item_id is not null and size(item) > 0").distinct())
-    items = items.withColumns({"n": F.size("item"), "need": F.ceil(F.size("item") * (2 * similarity / (1 + similarity)) - 1e-9)})
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    items = with_shingles(items.where("item_id is not null"), "item")
+    items = materialise(items.where(F.size("item") > 0).withColumn("n", F.size("item")).distinct())
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # lengths, not items
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start long")
+    spots = F.create_map(*[x for n in sizes for x in (F.lit(n), F.struct(F.lit(size_for(n)).alias("w"), F.array(*map(F.lit, places_in(n))).alias("at")))])
+    known = items.select("item_id", "n", "item", spots[F.col("n")].alias("spot")).select("item_id", "n", "item", F.col("spot.w").alias("w"), F.explode("spot.at").alias("offset"))
+    known = with_fingerprint(known, "item", "offset", "w").select("item_id", "n", "w", "offset", F.col("fp").alias("item_fp"))
+    listed = known.select("item_id", "n", "offset", "item_fp", F.explode(block_keys(F.col("item_fp"), F.col("w"), RADIUS // BLOCKS)).alias("key"))
+    listed = materialise(listed)
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     docs = with_shingles(docs, "sh")
-    parts = items.select("item_id", "n", "need", F.explode(F.array_distinct("item")).alias("h"))
-    places = docs.select("doc_id", F.posexplode_outer("sh").alias("p", "h"))  # outer: no filter on sh that computes it again
-    hits = by_size(places, parts, "h").select("doc_id", "item_id", "n", "need", "p").distinct()
-    per = hits.groupBy("doc_id", "item_id", "n", "need").agg(F.sort_array(F.collect_list("p")).alias("at"))
-    per = per.where(F.size("at") >= F.col("need"))
-    # a start has at least `need` hits in its window if the hit need - 1 further on is still inside
-    at, n, need = F.col("at"), F.col("n"), F.col("need").cast("int")
-    starts = F.filter(
-        at, lambda p: F.get(at, (F.array_position(at, p) + need - 2).cast("int")) < p + n
-    )
-    found = materialise(per.select("doc_id", "n", F.explode(starts).alias("start")).distinct())
-    ids = materialise(found.select("doc_id").distinct())
-    cut = by_size(docs, ids, "doc_id").join(found, "doc_id")
-    cut = materialise(cut.select("doc_id", "start", "n", F.slice("sh", F.col("start") + 1, F.col("n")).alias("window")).distinct())
-    keyed = lambda df, c: df.withColumn("fp", simhash(F.col(c))).withColumn("b", F.explode(blocks(F.col("fp"), radius)))
-    seen = keyed(cut.select("n", "window").distinct(), "window")
-    known = keyed(items.select("item_id", "item", "n"), "item").withColumnRenamed("fp", "item_fp")
-    near = seen.join(known, ["n", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("item_id", "item", "n", "window").distinct()
-    near = near.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item")))
-    near = near.where(F.col("similarity") >= similarity).select("item_id", "n", "window", "similarity")
-    rows = cut.join(near, ["n", "window"])
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best")
-    return rows.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("start")
-    )
+    kinds = ", ".join(f"struct({w} as w, {WINDOWS[w]} as step)" for w in sorted({size_for(n) for n in sizes}))
+    rows = docs.select("doc_id", "sh", F.expr(f"inline(array({kinds}))"))
+    last = F.size("sh") - F.col("w")
+    # outer: no filter on sh that computes it again
+    rows = rows.withColumn("p", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last, F.col("step"))))).where("p is not null")
+    rows = with_fingerprint(rows, "sh", "p", "w", max(size_for(n) for n in sizes))
+    rows = rows.select("doc_id", "sh", "p", "fp", F.explode(block_keys(F.col("fp"), F.col("w"))).alias("key"))
+    met = by_size(rows, listed, "key", max_rows=1_000_000).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    # the item would begin at p - offset; the runs about there
+    slack = F.ceil(F.col("n") / 4).cast("int")
+    last = F.greatest(F.size("sh") - F.col("n"), F.lit(0))
+    begin = F.col("p") - F.col("offset")
+    low, high = F.greatest(begin - slack, F.lit(0)), F.least(begin + slack, last)
+    low = F.least(low, last)
+    part = F.slice("sh", low + 1, F.greatest(high, low) - low + F.col("n"))
+    met = materialise(met.select("doc_id", "item_id", low.alias("low"), F.greatest(high, low).alias("high"), part.alias("part")).distinct())
+    near = by_size(met, items, "item_id")
+
+    def best(acc: Column, start: Column) -> Column:
+        now = weighted_similarity(F.slice("part", start - F.col("low") + 1, F.col("n")), F.col("item"))
+        held = F.struct(now.alias("similarity"), (-start).alias("before"))
+        return F.greatest(acc, held)
+
+    least = F.struct(F.lit(-1.0).alias("similarity"), F.lit(0).alias("before"))
+    near = near.select("doc_id", "item_id", F.aggregate(F.sequence("low", "high"), least, best).alias("best"))
+    near = near.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).where(F.col("best.similarity") >= similarity)
+    return near.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("start"))
