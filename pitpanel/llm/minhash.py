@@ -1,9 +1,11 @@
 """Near-duplicate documents by SetSketch registers: banded, estimated jointly by likelihood, confirmed on full sets.
 
-Documents with equal shingle sets become one class first. Classes that share a band meet in that band's bucket;
-pairs whose registers make a similarity near the threshold likely join a candidate cluster. Within a cluster every
-pair of classes that is not yet linked is confirmed on full shingle sets. Buckets and clusters beyond BLOCK members
-are dealt out as pairs of blocks, so that no task holds an unbounded group, and only spanning links leave a task.
+Documents with equal shingle sets become one class first. Classes that share a band meet in that band's bucket,
+where the pairs whose registers make a similarity near the threshold likely span trees of likely links; a bucket of
+over BLOCK members is dealt out as pairs of blocks. These links are confirmed on full shingle sets: the members that
+hang on one hub pass by its set in a stream. A bucket all of whose links are confirmed has nothing more to say. In
+the others, the likely pairs that confirmed links do not connect yet are compared too, each in the first band that
+it shares. Only links leave a task, as many as members at most, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pitpanel.llm import sketch
 from pitpanel.llm.store import by_size, connected_components, materialise
 from pitpanel.llm.words import chunks, shingle_hashes, word_hashes, word_spans
 
-BLOCK = 2048
+BLOCK, STAR, REST = 2048, 512, 256  # members of a block of a bucket, of a hub, of a bucket with refuted links
 
 
 def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -53,37 +55,44 @@ def _sketches(k: int) -> Callable:
     return run
 
 
-def _reach(linked: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(member, first member of its component) of a symmetric boolean matrix, for members that are not the first."""
+def _tree(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(member, the member that reached it) of trees that span a symmetric boolean matrix."""
     left = linked.any(1)
     for i in np.flatnonzero(left):
         if not left[i]:
             continue
         left[i] = False
-        front = linked[i] & left
-        while front.any():
-            left &= ~front
-            for j in np.flatnonzero(front):
-                yield int(j), int(i)
-            front = linked[front].any(0) & left
-
-
-def _likely(ids, n, reg, least_same: int, least_j: float) -> Iterator[tuple[int, int]]:
-    """Spanning links of the pairs within one bucket that may reach the threshold."""
-    g = len(ids)
-    linked = np.zeros((g, g), dtype=bool)
-    step = max(1, (1 << 24) // (g * sketch.M))
+        front = [int(i)]
+        for at in front:
+            new = np.flatnonzero(linked[at] & left)
+            left[new] = False
+            front += new.tolist()
+            for j in new:
+                yield int(j), at
+
+
+def _likely_pairs(n: np.ndarray, reg: np.ndarray, least_same: int, least_j: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index arrays (i < j) of the pairs that may reach the threshold."""
+    g = len(n)
+    step = max(1, (1 << 23) // (g * sketch.M))
     for a in range(0, g, step):
         same = (reg[a : a + step, None, :] == reg[None, :, :]).sum(2, dtype=np.int16)
         i, j = np.nonzero(same >= least_same)
         i += a
         i, j = i[i < j], j[i < j]
-        for c in range(0, len(i), 1 << 16):
-            x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+        for c in range(0, len(i), 1 << 14):
+            x, y = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
             more, less = (reg[x] > reg[y]).sum(1), (reg[x] < reg[y]).sum(1)
             ok = sketch.likely_jaccard(more, less, n[x], n[y]) >= least_j
-            linked[x[ok], y[ok]] = linked[y[ok], x[ok]] = True
-    for j, i in _reach(linked):
+            yield x[ok], y[ok]
+
+
+def _likely(ids, n, reg, least_same: int, least_j: float) -> Iterator[tuple[int, int]]:
+    """Spanning links of the pairs within one bucket that may reach the threshold."""
+    linked = np.zeros((len(ids), len(ids)), dtype=bool)
+    for x, y in _likely_pairs(n, reg, least_same, least_j):
+        linked[x, y] = linked[y, x] = True
+    for j, i in _tree(linked):
         yield int(ids[j]), int(ids[i])
 
 
@@ -104,8 +113,10 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 
 
 def _bucket_links(least_same: int, least_j: float) -> Callable:
+    """(a, b, bucket) of the likely links that span each group."""
+
     def run(frames):
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         pairs: list[pd.DataFrame] = []
 
         def two():
@@ -113,13 +124,13 @@ def _bucket_links(least_same: int, least_j: float) -> Callable:
                 return
             p = pd.concat(pairs)
             pairs.clear()
-            ids, n = p["id"].to_numpy().reshape(-1, 2), p["n"].to_numpy().reshape(-1, 2)
+            ids, n, bucket = p["id"].to_numpy().reshape(-1, 2), p["n"].to_numpy().reshape(-1, 2), p["bucket"].to_numpy()[::2]
             reg = np.frombuffer(b"".join(p["reg"]), dtype=np.uint8).reshape(-1, 2, sketch.M)
             more, less = (reg[:, 0] > reg[:, 1]).sum(1), (reg[:, 0] < reg[:, 1]).sum(1)
             ok = (sketch.M - more - less >= least_same) & (
                 sketch.likely_jaccard(more, less, n[:, 0], n[:, 1]) >= least_j
             )
-            out.extend(zip(ids[ok, 1].tolist(), ids[ok, 0].tolist(), strict=True))
+            out.extend(zip(ids[ok, 1].tolist(), ids[ok, 0].tolist(), bucket[ok].tolist(), strict=True))
 
         for g in _groups(frames, ["bucket", "bi", "bj"]):
             if len(g) == 2:
@@ -128,45 +139,79 @@ def _bucket_links(least_same: int, least_j: float) -> Callable:
                     two()
             elif len(g) > 2:
                 reg = np.frombuffer(b"".join(g["reg"]), dtype=np.uint8).reshape(-1, sketch.M)
-                out.extend(_likely(g["id"].to_numpy(), g["n"].to_numpy(), reg, least_same, least_j))
+                bucket = int(g["bucket"].iloc[0])
+                links = _likely(g["id"].to_numpy(), g["n"].to_numpy(), reg, least_same, least_j)
+                out.extend((a, b, bucket) for a, b in links)
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                yield pd.DataFrame(out, columns=["a", "b", "bucket"])
                 out = []
         two()
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["a", "b", "bucket"])
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are not empty and similar enough."""
+    if not len(x) or not len(y):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(k: int, percent: int) -> Callable:
-    """Spanning links of the pairs within one cluster whose full shingle sets are similar enough."""
+    """(a, b, ok) of the members that hang on a hub: rows sorted by (hub, part), the hub's own row first."""
+
+    def run(batches):
+        at, own = None, None
+        for batch in batches:
+            hub, part, member, ids = (batch.column(i).to_pylist() for i in range(4))
+            out: list[tuple[int, int, bool]] = []
+            for lo, sets in _sets(batch.column(4), k):
+                for i, s in enumerate(sets, lo):
+                    if not member[i]:
+                        at, own = (hub[i], part[i]), s
+                    elif at == (hub[i], part[i]):
+                        out.append((ids[i], hub[i], _similar(own, s, percent)))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "ok"])
+
+    return run
+
+
+def _rest(k: int, percent: int, least_same: int, least_j: float) -> Callable:
+    """(a, b) links of the likely pairs of a group that have different roots and share no earlier band."""
 
     def links(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
-        ids, sets = g["id"].to_numpy(), []
-        for _, some in _sets(pa.array(g["text"], pa.large_string()), k):
-            sets += some
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        order = np.argsort(every := np.concatenate(sets), kind="stable")
-        every, owner = every[order], np.repeat(np.arange(len(sets)), n)[order]
-        new = np.concatenate(([True], every[1:] != every[:-1]))
-        column = np.cumsum(new) - 1
-        shared = np.bincount(column)[column] > 1  # a shingle of one set only adds nothing to an intersection
-        column, owner = column[shared], owner[shared]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float64)
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            i, j = np.searchsorted(column, (a, a + 4096))
-            if i < j:
-                x = np.zeros((len(sets), 4096), dtype=np.float32)
-                x[owner[i:j], column[i:j] - a] = 1
-                used = np.flatnonzero(x.any(0))
-                x = x[:, used]
-                both += x @ x.T
-        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        linked &= (n > 0)[:, None] & (n > 0)[None, :]
-        np.fill_diagonal(linked, False)
-        for j, i in _reach(linked):
-            yield int(ids[j]), int(ids[i])
+        ids, band, reg = g["id"].to_numpy(), int(g["band"].iloc[0]), np.frombuffer(b"".join(g["reg"]), dtype=np.uint8).reshape(-1, sketch.M)
+        low: dict[int, int] = {}
+        roots = g["root"].tolist()
+
+        def find(r: int) -> int:
+            while low.get(r, r) != r:
+                r = low[r]
+            return r
+
+        held: dict[int, np.ndarray] = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in held:
+                held[i] = np.concatenate([s for _, some in _sets(pa.array([g["text"].iloc[i]], pa.large_string()), k) for s in some])
+            return held[i]
+
+        block = g["own"].to_numpy()
+        inside = g["bi"].iloc[0] == g["bj"].iloc[0]
+        cut = reg.reshape(len(reg), sketch.BANDS, sketch.ROWS)
+        for x, y in _likely_pairs(g["n"].to_numpy(), reg, least_same, least_j):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = find(roots[i]), find(roots[j])
+                if a == b or not (inside or block[i] != block[j]) or (cut[i, :band] == cut[j, :band]).all(1).any():
+                    continue
+                if _similar(full(i), full(j), percent):
+                    low[max(a, b)] = min(a, b)
+                    yield int(ids[j]), int(ids[i])
 
     def run(frames):
         for g in _groups(frames, ["bucket", "bi", "bj"]):
@@ -182,15 +227,24 @@ def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     out = rows.join(sizes, "bucket").withColumn("nb", nb).withColumn("own", own)
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return out.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop(
-        "nb", "own", "other", "size"
-    )
+    return out.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("nb", "other", "size")
 
 
 def _by_block(df: DataFrame) -> DataFrame:
     return df.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "id")
 
 
+def _told(links: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, ok): whether the sets of a and of its hub b are similar enough. Hubs with many members are dealt to parts."""
+    sizes = links.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    star = materialise(links.join(sizes, "b").select(F.col("b").alias("hub"), part.alias("part"), F.lit(True).alias("member"), F.col("a").alias("id")))
+    hubs = star.select("hub", "part", F.lit(False).alias("member"), F.col("hub").alias("id")).distinct()
+    rows = by_size(texts, materialise(star.unionByName(hubs)), "id").select("hub", "part", "member", "id", "text")
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "member", "id")
+    return rows.mapInArrow(_confirmed(k, percent), "a long, b long, ok boolean").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -225,11 +279,24 @@ def near_duplicates(
     met = materialise(_in_blocks(banded.distinct(), sizes, block))
     met = met.join(classes.select("id", "n", "reg"), "id")
     least_same, least_j = sketch.floor_at(percent / 100)
-    likely = _by_block(met).mapInPandas(_bucket_links(least_same, least_j), "a long, b long")
-    cluster = materialise(connected_components(likely)).withColumnRenamed("root", "bucket")
-    sizes = cluster.groupBy("bucket").agg(F.count("*").alias("size"))
-    texts = by_size(docs.withColumnRenamed("doc_id", "id"), materialise(_in_blocks(cluster, sizes, block // 2)), "id")
-    linked = connected_components(_by_block(texts).mapInPandas(_confirmed(shingle, percent), "a long, b long"))
+    links = _by_block(met.drop("own")).mapInPandas(_bucket_links(least_same, least_j), "a long, b long, bucket long")
+    links = materialise(links)
+    texts = docs.withColumnRenamed("doc_id", "id")
+    told = materialise(_told(links.select("a", "b").distinct(), texts, shingle, percent))
+    sure = told.where("ok").select("a", "b")
+    refuted = links.join(told.where("not ok"), ["a", "b"], "left_semi").select("bucket")
+    refuted = materialise(sizes.where("size > 2").join(refuted.distinct(), "bucket", "left_semi"))
+    linked = connected_components(sure)
+    if refuted.limit(1).count():
+        linked = materialise(linked)
+        again = materialise(_in_blocks(banded.distinct().join(refuted, "bucket", "left_semi"), refuted, REST))
+        again = again.join(classes.select("id", "n", "reg"), "id").join(linked, "id", "left")
+        # the band's number stands before its register values
+        band = F.shiftright("bucket", 8 * sketch.ROWS).cast("int")
+        again = again.withColumns({"root": F.coalesce("root", "id"), "band": band})
+        again = texts.join(again, "id")
+        more = _by_block(again).mapInPandas(_rest(shingle, percent, least_same, least_j), "a long, b long")
+        linked = connected_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     of_class = classes.join(linked, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.coalesce("root", "doc_id")
