@@ -22,7 +22,12 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 #: A host is listed if one of its names has one of these words among its parts.
-WORDS = ("spam", "farm", "casino", "warez", "malware", "phish", "clickbait")
+WORDS = (
+    *("spam", "farm", "warez", "malware", "phish", "clickbait"),
+    *("casino", "bet", "bets", "betting", "gambling", "poker"),
+    *("ad", "ads", "adverts", "tracker", "track"),
+    *("pill", "pills", "viagra", "adult", "porn", "xxx"),
+)
 BITS_PER_KEY, HASHES, MOST_KEYS = 12, 5, 4_000_000
 
 
@@ -81,7 +86,8 @@ def _has(bits: Column, key: Column, level: int, n_bits: int) -> Column:
 class Cascade:
     """Exact membership of hosts of `universe` (column host) in `listed`.
 
-    A level of over `most_keys` keys is dealt out to shards by hash, each with a filter of its own.
+    With no listed host, and for an empty universe, there is no level and nothing is listed. A level of over
+    `most_keys` keys is dealt out to shards by hash, each with a filter of its own.
     """
 
     def __init__(self, universe: DataFrame, listed: DataFrame, most_keys: int = MOST_KEYS):
@@ -116,17 +122,24 @@ class Cascade:
         return out
 
 
-def judge_urls(pages: DataFrame, *, rules=RULES, words=WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, listed: DataFrame | None = None, *, rules=RULES, words=WORDS, id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
     """(page_id long, host, path, rule, verdict strings, listed boolean), a row for each row of pages.
 
-    The longest rule that fits gives the verdict; else block for listed hosts (listed_hosts) and allow for others.
-    Null urls, and those without ://, have an empty host and path, fit no rule and are allowed. Null ids and
+    The longest rule that fits gives the verdict; else block for listed hosts and allow for others. listed: a table
+    of them (host), of which those that no page has are not looked at; if it is not given, the hosts that
+    listed_hosts finds among the pages'. Without any listed host, none is. An empty table gives no rows. Null urls, and those without ://, have an empty host and path, fit no rule and are allowed. Null ids and
     repeated rows are kept as they are; other columns are not looked at.
     """
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     universe = materialise(rows.select("host").distinct())
-    cascade = Cascade(universe, listed_hosts(universe, words))
+    if listed is None:
+        listed = listed_hosts(universe, words)
+    else:
+        listed = listed.select("host").join(universe, "host", "left_semi")
+    cascade = Cascade(universe, listed)
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     out = rows.withColumn("listed", cascade.has(F.col("host")))
     block = F.when(F.col("listed"), "block").otherwise("allow")
