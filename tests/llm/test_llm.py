@@ -299,6 +299,39 @@ def test_pii(spark, corpus):
     assert pii.find_pii(frame(spark, [])).collect() == []
 
 
+def test_pii_added_spans(spark):
+    """Planted data that the base patterns miss, and look-alikes: recall and precision of the added spans."""
+    rng = random.Random(22)
+
+    def card():
+        d = [rng.randrange(1, 10), *(rng.randrange(10) for _ in range(14))]
+        return next(x for x in ("".join(map(str, d)) + str(k) for k in range(10)) if brute.luhn(x))
+
+    docs, planted = [], {}
+    for i in range(900):
+        kind = i % 6
+        head = " ".join(words(rng, 12)) + " "
+        tail = " " + " ".join(words(rng, 12))
+        hexed = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        mark, spans = {
+            0: (f"{card()} {card()}", [("card", 0, 16), ("card", 17, 33)]),  # base takes 32 digits and rejects them
+            1: (f'token = "{hexed}"', [("secret", 9, 49)]),
+            2: (f"{rng.randrange(10**15, 10**16)} {rng.randrange(10**15, 10**16)}", []),  # mostly no cards
+            3: ("anna.b(at)mail(dot)org", [("email", 0, 22)]),
+            4: ("some-hyphenated-2-compound-word-chain", []),
+            5: (f"+1 (988) 555-{rng.randrange(1000, 9999)} {card()}", [("phone", 0, 17)]),
+        }[kind]
+        docs.append((i, head + mark + tail))
+        if kind == 2:
+            spans = [("card", a, a + 16) for a in (0, 17) if mark and brute.luhn(mark[a : a + 16])]
+        planted[i] = {f"{k}:{a + len(head)}:{b + len(head)}" for k, a, b in spans}
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) - set(brute.base_spans(dict(docs)[r.doc_id])) for r in pii.find_pii(frame(spark, docs)).collect()}
+    hit, told, all_planted = sum(len(got[i] & planted[i]) for i in got), sum(map(len, got.values())), sum(map(len, planted.values()))
+    by_kind = {k: (sum(len({s for s in got[i] & planted[i] if s.startswith(k)}) for i in got), sum(len({s for s in planted[i] if s.startswith(k)}) for i in got)) for k in ("card", "secret", "email", "phone")}
+    more = [dict(docs)[i][int(x.split(':')[1]) : int(x.split(':')[2])] + ' ' + x for i in got for x in got[i] - planted[i]][:8]
+    assert hit >= 0.85 * all_planted and hit >= 0.9 * told, (hit, told, all_planted, by_kind, more)
+
+
 def test_decontaminate(spark, corpus):
     rng = random.Random(6)
     items = [(i, " ".join(words(rng, n, 3000)).capitalize() + ".") for i, n in enumerate((4, 5, 12, 30, 60, 60, 60))] + [(90, None), (91, ""), (92, "to be or not to be or not to be or")]
@@ -381,6 +414,15 @@ def test_urls(spark):
     assert got[11][:2] == ("a:", "//b.net/c")
 
 
+def test_urls_with_a_table(spark):
+    """Listed hosts from a table; hosts that no page has, repeated and null ones do no harm; empty tables."""
+    pages = spark.createDataFrame([(1, "http://good.io/x", "a"), (2, "http://Bad.io", "b"), (3, "http://casino.io", "c"), (4, None, "d")], "page_id long, url string, listed string")
+    table = spark.createDataFrame([("bad.io",), ("bad.io",), ("nowhere.io",), (None,)], "host string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, table).collect()} == {1: "allow", 2: "block", 3: "allow", 4: "allow"}
+    assert {r.verdict for r in urls.judge_urls(pages, table.limit(0)).collect()} == {"allow"}
+    assert urls.judge_urls(pages.limit(0), table).collect() == []
+
+
 def test_cascade_is_exact(spark):
     hosts = spark.range(30_000).select(F.concat(F.lit("h"), F.col("id")).alias("host"))
     listed = hosts.where(F.xxhash64("host") % 5 == 0)
