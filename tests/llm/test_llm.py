@@ -319,7 +319,7 @@ def test_pii_added_spans(spark):
             2: (f"{rng.randrange(10**15, 10**16)} {rng.randrange(10**15, 10**16)}", []),  # mostly no cards
             3: ("anna.b(at)mail(dot)org", [("email", 0, 22)]),
             4: ("some-hyphenated-2-compound-word-chain", []),
-            5: (f"+1 (988) 555-{rng.randrange(1000, 9999)} {card()}", [("phone", 0, 17)]),
+            5: (f"+1 (988) 555-{rng.randrange(1000, 9999)} {card()}", [("phone", 0, 17), ("card", 18, 34)]),
         }[kind]
         docs.append((i, head + mark + tail))
         if kind == 2:
