@@ -111,10 +111,12 @@ def block_keys(fp: Column, width: Column, flips: int = 0) -> Column:
     return F.flatten(F.array(*keys)) if flips else F.array(*keys)
 
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of the smaller counts over sum of the larger, of two arrays taken as multisets."""
+def weighted_similarity(a: Column, b: Column, plain: Column) -> Column:
+    """Sum of the smaller counts over sum of the larger, of two arrays taken as multisets; plain: whether b has no element twice."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    low = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    both = F.array_intersect(a, b)
+    many = F.aggregate(both, F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    low = F.when(plain, F.size(both)).otherwise(many)
     return low / (F.size(a) + F.size(b) - low)
 
 
@@ -138,7 +140,7 @@ def contaminated(
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     items = with_shingles(items.where("item_id is not null"), "item")
-    items = materialise(items.where(F.size("item") > 0).withColumn("n", F.size("item")).distinct())
+    items = materialise(items.where(F.size("item") > 0).withColumns({"n": F.size("item"), "plain": F.size(F.array_distinct("item")) == F.size("item")}).distinct())
     sizes = [r["n"] for r in items.select("n").distinct().collect()]  # lengths, not items
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start long")
@@ -166,10 +168,11 @@ def contaminated(
     low = F.least(low, last)
     part = F.slice("sh", low + 1, F.greatest(high, low) - low + F.col("n"))
     met = materialise(met.select("doc_id", "item_id", low.alias("low"), F.greatest(high, low).alias("high"), part.alias("part")).distinct())
-    near = by_size(met, items, "item_id")
+    # dealt by rows: the rows are few, the work on each is not
+    near = by_size(met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), items, "item_id")
 
     def best(acc: Column, start: Column) -> Column:
-        now = weighted_similarity(F.slice("part", start - F.col("low") + 1, F.col("n")), F.col("item"))
+        now = weighted_similarity(F.slice("part", start - F.col("low") + 1, F.col("n")), F.col("item"), F.col("plain"))
         held = F.struct(now.alias("similarity"), (-start).alias("before"))
         return F.greatest(acc, held)
 
