@@ -55,3 +55,27 @@ def credits(df: DataFrame, rows: Sequence[tuple[str, Column, Column]], key: str)
     structs = [F.struct(F.lit(k).alias("kind"), who.alias(key), x.cast("double").alias("x")) for k, who, x in rows]
     long = df.select(F.inline(F.array(*structs))).where(F.col("x").isNotNull() & (F.col("x") != 0))
     return long.groupBy(key, "kind").agg(F.sum("x").alias("credit"), F.count("*").alias("events"))
+
+
+def table_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], fields: dict[str, float | None]) -> DataFrame:
+    """(field, changed, beyond, largest, only_old, only_new), a row for each field, from one join and one aggregate.
+
+    fields: name -> tolerance of a number, None for others. changed: rows of both whose values differ, nulls being
+    equal; beyond: by more than the tolerance; largest: the largest difference; only_*: keys that one of them has.
+    """
+    a = old.select(*keys, F.struct(*fields).alias("_old"))
+    b = new.select(*keys, F.struct(*fields).alias("_new"))
+    both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    aggs = [F.count_if(F.col("_new").isNull()).alias("only_old"), F.count_if(F.col("_old").isNull()).alias("only_new")]
+    rows = []
+    for i, (f, tolerance) in enumerate(fields.items()):
+        x, y = F.col(f"_old.{f}"), F.col(f"_new.{f}")
+        aggs.append(F.count_if(both & ~x.eqNullSafe(y)).alias(f"_changed{i}"))
+        cells = [F.lit(f).alias("field"), F.col(f"_changed{i}").alias("changed")]
+        if tolerance is None:
+            cells += [F.lit(None).cast("long").alias("beyond"), F.lit(None).cast("double").alias("largest")]
+        else:
+            aggs += [F.count_if(both & (F.abs(x - y) > tolerance)).alias(f"_beyond{i}"), F.max(F.when(both, F.abs(x - y))).alias(f"_largest{i}")]
+            cells += [F.col(f"_beyond{i}").alias("beyond"), F.round(F.col(f"_largest{i}").cast("double"), 6).alias("largest")]
+        rows.append(F.struct(*cells))
+    return a.join(b, list(keys), "full_outer").agg(*aggs).select(F.inline(F.array(*rows)), "only_old", "only_new")

@@ -11,62 +11,60 @@ from pyspark.sql import DataFrame
 
 
 def cusum(x: Sequence[float], k: float, h: float) -> list[bool]:
-    """One-sided CUSUM of the standardised series, reset after each flag; short or constant series have none."""
+    """Page's cumulative sums of the standardised series, one for either direction, both from 0 after a flag.
+
+    Series under three values and constant ones have no flags.
+    """
     a = np.asarray(x, dtype=float)
-    sd = a.std(ddof=1) if len(a) > 1 else 0.0
-    if not sd > 0:
+    if len(a) < 3 or not a.std() > 0:
         return [False] * len(a)
-    out, s = [], 0.0
-    for z in (a - a.mean()) / sd:
-        s = max(0.0, s + z - k)
-        out.append(bool(s > h))
-        if s > h:
-            s = 0.0
+    out, sums = [], np.zeros(2)
+    for z in (a - a.mean()) / a.std():
+        sums = np.maximum(0.0, sums + (z, -z) - np.array(k))
+        out.append(bool(sums.max() > h))
+        if out[-1]:
+            sums[:] = 0.0
     return out
 
 
-def _student(x: float, df: float, mean: float, scale: float) -> float:
-    z = (x - mean) / scale
-    log = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - math.log(scale)
-    return math.exp(log - (df + 1) / 2 * math.log1p(z * z / df))
-
+def _log_t(x: float, df: np.ndarray, mean: np.ndarray, scale2: np.ndarray) -> np.ndarray:
+    """Log density of Student's t."""
+    gamma = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in df])
+    return gamma - 0.5 * np.log(df * math.pi * scale2) - (df + 1) / 2 * np.log1p((x - mean) ** 2 / (df * scale2))
 
-def _noise(a: np.ndarray) -> float:
-    """Standard deviation within a regime, from the median absolute first difference."""
-    overall = float(a.std()) or 1.0
-    if len(a) < 3:
-        return overall
-    step = np.diff(a)
-    robust = float(np.median(np.abs(step - np.median(step)))) / 0.6745 / math.sqrt(2)
-    return max(robust, 1e-3 * overall, 1e-9)
 
+def changepoint_probability(x: Sequence[float], hazard: float = 1 / 25, recent: int = 2, prune: float = 1e-8) -> list[float]:
+    """For each value, the probability that the series changed within the last `recent` values, by its past alone.
 
-def changepoint_probability(x: Sequence[float], hazard: float = 1 / 25, short: int = 2, warmup: int = 5) -> list[float]:
-    """Bayesian online changepoint detection: probability that the current run is at most `short` values old.
-
-    The probability of a run of length 0 is the hazard whatever the data, so evidence shows as mass on short runs.
-    Runs have a normal-inverse-gamma prior around the first value with the series' own noise; the first `warmup`
-    values get 0.
+    The run-length recursion for Gaussian data of unknown mean and variance: of every run that may be current, its
+    weight, count, mean and sum of squares are kept. The prior of a run's mean lies around the mean of all values
+    so far with as much spread as they have, worth a quarter of a value. Runs under `prune` of the weight are
+    dropped. Of the first 2 * recent + 1 values nothing can be told: they get 0.
     """
     a = np.asarray(x, dtype=float)
-    if not len(a):
-        return []
-    fresh = (0, 1.0, float(a[0]), 1.0, 2.0, _noise(a) ** 2)  # length, probability, mean, kappa, alpha, beta
-    runs, out = [fresh], []
+    log_w, n, mean, ss = np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1)
+    out: list[float] = []
     for t, v in enumerate(a):
-        grown, restart = [], 0.0
-        for length, p, mu, kappa, alpha, beta in runs:
-            fit = p * max(_student(v, 2 * alpha, mu, math.sqrt(beta * (kappa + 1) / (alpha * kappa))), 1e-300)
-            restart += hazard * fit
-            moved = beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))
-            grown.append((length + 1, (1 - hazard) * fit, (kappa * mu + v) / (kappa + 1), kappa + 1, alpha + 0.5, moved))
-        total = restart + sum(r[1] for r in grown)
-        runs = [(n, p / total, *rest) for n, p, *rest in [(0, restart, *fresh[2:]), *grown]]
-        out.append(sum(r[1] for r in runs if r[0] <= short) if t >= max(warmup, short + 1) else 0.0)
+        past = a[: t + 1]
+        centre, spread = past.mean(), max(float(past.var()), 1e-9 * (1 + float(np.abs(past).max())) ** 2)
+        k = n + 0.25  # the prior's mean has a quarter of a value's weight, its variance that of four values
+        mu = (0.25 * centre + n * mean) / k
+        beta = spread + 0.5 * (ss + 0.25 * n * (mean - centre) ** 2 / k)
+        alpha = 2 + n / 2
+        seen = log_w + _log_t(v, 2 * alpha, mu, beta * (k + 1) / (alpha * k))
+        top = seen.max()
+        fresh = top + math.log(np.exp(seen - top).sum()) + math.log(hazard)
+        log_w = np.concatenate(([fresh], seen + math.log1p(-hazard)))
+        log_w -= log_w.max() + math.log(np.exp(log_w - log_w.max()).sum())
+        step = (v - mean) / (n + 1)
+        n, mean, ss = (np.concatenate(([0.0], y)) for y in (n + 1, mean + step, ss + step * (v - mean) * n))
+        held = log_w > math.log(prune)
+        log_w, n, mean, ss = log_w[held], n[held], mean[held], ss[held]
+        out.append(float(np.exp(log_w[n <= recent]).sum()) if t > 2 * recent else 0.0)
     return out
 
 
-def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 1.5, hazard: float = 1 / 25, least: int = 4) -> DataFrame:
+def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 4.0, hazard: float = 1 / 25, least: int = 4) -> DataFrame:
     """(keys, order, p_change, cusum_flag, since_change) of every row of groups with at least `least` values."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,16 +93,3 @@ def normal_crps(y: float, mean: float, sd: float) -> float:
     z = (y - mean) / sd
     cdf = 0.5 * math.erfc(-z / math.sqrt(2))
     return sd * (z * (2 * cdf - 1) + 2 * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi))
-
-
-def welch_p(t: float, df: float) -> float:
-    """Two-sided p of Student's t, by Simpson's rule on its density over 0..|t|."""
-    t = abs(t)
-    if not (t == t and df == df):
-        return float("nan")
-    t = min(t, 60.0)
-    x = np.linspace(0, t, 2001)
-    log = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
-    y = np.exp(log - (df + 1) / 2 * np.log1p(x * x / df))
-    inside = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (t / 2000) / 3
-    return max(0.0, 1 - 2 * float(inside))

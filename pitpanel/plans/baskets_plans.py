@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pitpanel.operators import aggs as G
 from pitpanel.operators import baskets as B
 from pitpanel.operators import windows as W
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.sources import tables as T
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -71,8 +74,12 @@ def leaderboard(spark, sf):
 
 
 def global_rank(df, x: str):
-    """rank() over all rows by x descending, without one sorted partition: ranges of x, with counts of those above."""
-    parts = df.repartitionByRange(F.desc(x)).withColumn("part", F.spark_partition_id())
+    """rank() over all rows by x descending, without one sorted partition: ranges of x, with counts of those above.
+
+    The ranges are written with their numbers before anything is counted: planned twice, they could be cut apart
+    at other values for the counts than for the ranks.
+    """
+    parts = save(df.repartitionByRange(F.desc(x)).withColumn("part", F.spark_partition_id()))
     sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
     w = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("part", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("before"))
@@ -120,9 +127,9 @@ def pair_lift(spark, sf):
     return B.pair_counts(facts(spark, sf), "basket", "entity", 1000).where("together >= 2")
 
 
-@q("basket_redundancy", f"WITH {FACTS}, x AS (SELECT DISTINCT basket, entity FROM facts), few AS (SELECT entity FROM x GROUP BY 1 HAVING count(*) <= 200) SELECT a.basket AS a, b.basket AS b, count(*) AS shared FROM x a JOIN x b ON a.entity = b.entity AND a.basket < b.basket WHERE a.entity IN (SELECT entity FROM few) GROUP BY 1, 2 HAVING count(*) >= 2")
+@q("basket_redundancy", f"WITH {FACTS}, x AS (SELECT DISTINCT basket, entity FROM facts) SELECT a.basket AS a, b.basket AS b, count(*) AS shared FROM x a JOIN x b ON a.entity = b.entity AND a.basket < b.basket GROUP BY 1, 2 HAVING count(*) >= 2")
 def redundancy(spark, sf):
-    return B.shared_items(facts(spark, sf), "basket", "entity", 200).where("shared >= 2")
+    return B.shared_items(facts(spark, sf), "basket", "entity", 2)
 
 
 @q("swap_frontier", f"WITH {FACTS}, x AS (SELECT DISTINCT basket, grp FROM facts WHERE qty > 30), mult AS (SELECT grp, count(*) AS m FROM x WHERE basket % 100 = 0 GROUP BY 1) SELECT x.basket, count(*) FILTER (m IS NULL) AS new_worlds, count(*) FILTER (m = 1) AS shared_unique FROM x LEFT JOIN mult USING (grp) WHERE basket % 100 <> 0 GROUP BY 1")
@@ -260,8 +267,6 @@ def breakout(spark, sf):
 
 @q("max_coverage_select")
 def max_coverage(spark, sf):
-    from pitpanel.sources.tables import save
-
     x = facts(spark, sf).where("qty > 45").select("basket", "grp")
     return B.greedy_cover(x, "basket", "grp", 5, save)
 
@@ -274,19 +279,22 @@ def transitions(spark, sf):
     return c.withColumn("p", r((F.col("n") + 1) / (F.sum("n").over(Window.partitionBy("prev")) + 3), 8))
 
 
-@q("table_profile", "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, count(DISTINCT (l_orderkey, l_linenumber)) AS keys FROM lineitem")
+@q("table_profile", "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, count(DISTINCT (l_orderkey, l_linenumber)) AS keys, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM lineitem")
 def profile(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_orderkey", "l_linenumber").alias("keys"))
+    """Rows, keys, and a sum of row hashes, which no order of rows changes."""
+    text = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return table(spark, sf, "lineitem").agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_orderkey", "l_linenumber").alias("keys"), F.sum(part).alias("checksum"))
 
 
-@q("table_diff", "WITH a AS (SELECT c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS x FROM customer WHERE c_custkey % 11 <> 0) SELECT count(*) FILTER (b.k IS NULL) AS only_old, count(*) FILTER (a.k IS NULL) AS only_new, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL AND a.x IS DISTINCT FROM b.x) AS changed, round(max(abs(a.x - b.x)), 6) AS largest FROM a FULL JOIN b ON a.k = b.k")
+@q("table_diff", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS x, c_mktsegment AS s, c_nationkey::BIGINT AS n FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + c_custkey % 3 ELSE c_acctbal END AS x, nullif(c_mktsegment, 'BUILDING') AS s, c_nationkey + (c_custkey % 13 = 0)::BIGINT AS n FROM customer WHERE c_custkey % 11 <> 0), j AS (SELECT a.k AS ak, b.k AS bk, a.x AS ax, b.x AS bx, a.s AS sa, b.s AS sb, a.n AS an, b.n AS bn FROM a FULL JOIN b ON a.k = b.k), t AS (SELECT count(*) FILTER (bk IS NULL) AS only_old, count(*) FILTER (ak IS NULL) AS only_new FROM j), m AS (SELECT * FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL),
+  c AS (SELECT 'x' AS field, count(*) FILTER (ax IS DISTINCT FROM bx) AS changed, count(*) FILTER (abs(ax - bx) > 1.5) AS beyond, round(max(abs(ax - bx)), 6) AS largest FROM m UNION ALL SELECT 's', count(*) FILTER (sa IS DISTINCT FROM sb), NULL, NULL FROM m UNION ALL SELECT 'n', count(*) FILTER (an IS DISTINCT FROM bn), count(*) FILTER (abs(an - bn) > 1.5), max(abs(an - bn)) FROM m) SELECT c.*, t.* FROM c, t""")
 def diff(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"))
-    a = c.where("k % 10 <> 0").withColumn("old", F.lit(True))
-    b = c.where("k % 11 <> 0").select("k", (F.col("x") + (F.col("k") % 7 == 0).cast("int")).alias("y"), F.lit(True).alias("new"))
-    j = a.join(b, "k", "full")
-    n = lambda e: F.count_if(F.expr(e))
-    return j.agg(n("new is null").alias("only_old"), n("old is null").alias("only_new"), n("old and new and not (x <=> y)").alias("changed"), r(F.max(F.abs(F.col("x") - F.col("y"))), 6).alias("largest"))
+    """Changes by column of rows that both have, beyond a tolerance where it is a number, and keys that one has."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("s"), F.col("c_nationkey").cast("long").alias("n"))
+    a = c.where("k % 10 <> 0")
+    b = c.where("k % 11 <> 0").withColumns({"x": F.col("x") + F.when(F.col("k") % 7 == 0, F.col("k") % 3).otherwise(0), "s": F.nullif("s", F.lit("BUILDING")), "n": F.col("n") + (F.col("k") % 13 == 0).cast("long")})
+    return G.table_diff(a, b, ["k"], {"x": 1.5, "s": None, "n": 1.5})
 
 
 @q("gap_absence_events", f"WITH {PANEL}, m AS (SELECT entity, epoch * 12 + period AS mon FROM panel), l AS (SELECT *, lead(mon) OVER (PARTITION BY entity ORDER BY mon) AS nxt FROM m) SELECT entity, unnest(range(mon + 1, nxt)) AS missing FROM l WHERE nxt > mon + 1")
@@ -310,17 +318,25 @@ def payout(spark, sf):
     return table(spark, sf, "orders").withColumn("k", k).select("o_orderkey", F.when(F.col("k") <= 0.01, 100.0).when(F.col("k") <= 0.1, 10.0).when(F.col("k") <= 0.2, 2.0).otherwise(0.0).alias("payout"))
 
 
-@q("expected_copies", f"WITH {FACTS}, o AS (SELECT entity, least(greatest(count(*) * 1.0 / (SELECT count(*) FROM facts), 0.0001), 0.9) AS p FROM facts GROUP BY 1) SELECT basket, round(sum(ln(p)), 6) AS log_copies FROM facts JOIN o USING (entity) GROUP BY 1")
+@q("expected_copies", f"""WITH {FACTS}, o AS (SELECT entity, least(greatest(count(*) * 1.0 / (SELECT count(*) FROM facts), 0.0001), 0.9) AS p FROM facts GROUP BY 1), c AS (SELECT basket, count(*) AS items, round(ln(1e6) + sum(ln(p)), 6) AS log_copies FROM facts JOIN o USING (entity) GROUP BY 1)
+  SELECT items, count(*) AS baskets, round(quantile_cont(log_copies, 0.5), 5) AS median, round(quantile_cont(log_copies, 0.9), 5) AS p90, round(avg((log_copies >= 0)::INT), 8) AS share_one FROM c GROUP BY 1""")
 def copies(spark, sf):
+    """Expected copies of a basket in a field of a million, in logarithms, by basket size: median, p90, share of one or more."""
     f = facts(spark, sf)
     n = f.agg(F.count("*").alias("all"))
     o = f.groupBy("entity").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n))
     o = o.select("entity", F.least(F.greatest(F.col("c") / F.col("all"), F.lit(0.0001)), F.lit(0.9)).alias("p"))
-    return f.join(o, "entity").groupBy("basket").agg(r(F.sum(F.log("p")), 6).alias("log_copies"))
+    c = f.join(o, "entity").groupBy("basket").agg(F.count("*").alias("items"), r(F.log(F.lit(1e6)) + F.sum(F.log("p")), 6).alias("log_copies"))
+    q = lambda x: r(F.percentile("log_copies", F.lit(x)), 5)
+    return c.groupBy("items").agg(F.count("*").alias("baskets"), q(0.5).alias("median"), q(0.9).alias("p90"), r(F.avg((F.col("log_copies") >= 0).cast("int")), 8).alias("share_one"))
 
 
 @q("predictions_append", f"WITH {PANEL} SELECT entity, epoch, period, round(total * 1.25, 4) AS prediction, 'v2' AS version FROM panel WHERE n > 1 UNION ALL SELECT entity, epoch, period, round(total, 2), 'v1' FROM panel WHERE n = 1")
 def predictions(spark, sf):
-    p = panel(spark, sf)
-    log = p.select(*KEY, "n", r("total", 2).alias("prediction"), F.lit("v1").alias("version")).unionByName(p.where("n > 1").select(*KEY, "n", r(F.col("total") * 1.25, 4).alias("prediction"), F.lit("v2").alias("version")))
-    return W.first_row(log, KEY, [F.desc("version")]).drop("n")
+    """Two versions appended to a log, one of them sent twice, and the newest of each key read from it."""
+    p, path = save(panel(spark, sf)), T.workspace(spark)
+    one = p.select(*KEY, r("total", 2).alias("prediction"), F.lit("v1").alias("version"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("made_at"))
+    two = p.where("n > 1").select(*KEY, r(F.col("total") * 1.25, 4).alias("prediction"), F.lit("v2").alias("version"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("made_at"))
+    for batch, rows in (("v1", one), ("v2", two), ("v1", one)):
+        T.append_batch(rows, path, batch)
+    return W.first_row(T.read(spark, path), KEY, [F.desc("made_at"), F.desc("version")]).select(*KEY, "prediction", "version")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import evaluate as V
 from pitpanel.operators import windows as W
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, panel, r, table
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -190,13 +191,13 @@ def folds(spark, sf):
 
 
 @q("fit_pricing_residual", f"""WITH {FC}, s AS (SELECT grp, count(*) AS n, sum(pred / 1e5) AS sx, sum(y / 1e5) AS sy, sum(pred * pred / 1e10) AS sxx, sum(pred * y / 1e10) AS sxy FROM fc GROUP BY 1), c AS (SELECT grp, (n * sxy - sx * sy) / (n * sxx - sx * sx + n) AS b, n AS cn, sx, sy FROM s)
-  SELECT entity, epoch, period, round(y / 1e5 - (sy - b * sx) / cn - b * pred / 1e5, 3) AS residual FROM fc JOIN c USING (grp)""")
+  SELECT entity, epoch, period, round(y / 1e5 - (sy - b * sx) / cn - b * pred / 1e5, 3) + 0.0 AS residual FROM fc JOIN c USING (grp)""")
 def pricing(spark, sf):
     """Ridge of the value on the trailing mean per group, from sums: every group is one row of coefficients."""
     f = fc(spark, sf).withColumns({"x": F.col("pred") / 1e5, "v": F.col("y") / 1e5})
     s = f.groupBy("grp").agg(F.count("*").alias("c"), F.sum("x").alias("sx"), F.sum("v").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("v")).alias("sxy"))
     s = s.withColumn("b", F.expr("(c * sxy - sx * sy) / (c * sxx - sx * sx + c)")).withColumn("a", F.expr("(sy - b * sx) / c"))
-    return f.join(s, "grp").select(*KEY, r(F.expr("v - a - b * x"), 3).alias("residual"))
+    return f.join(s, "grp").select(*KEY, (r(F.expr("v - a - b * x"), 3) + F.lit(0.0)).alias("residual"))
 
 
 @q("fit_conformal_quantile", f"""WITH {FC}, k AS (SELECT grp, greatest(p10 - y, y - p90) AS s, row_number() OVER (PARTITION BY grp ORDER BY greatest(p10 - y, y - p90)) AS k, count(*) OVER (PARTITION BY grp) AS n FROM fc), a AS (SELECT grp, max(s) FILTER (k = ceil((n + 1) * 0.8)) AS q, count(*) AS n FROM k GROUP BY 1)
@@ -213,7 +214,7 @@ def conformal(spark, sf):
 def _order_statistic(s, n):
     by = s.groupBy("s").agg(F.count("*").alias("c"))
     # ranges of values sorted apart, their sizes summed on top: no partition holds all values
-    parts = by.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    parts = save(by.repartitionByRange("s").withColumn("part", F.spark_partition_id()))  # written: the cuts are made once
     sizes = parts.groupBy("part").agg(F.sum("c").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     upto = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("s"))

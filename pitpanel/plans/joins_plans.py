@@ -248,10 +248,10 @@ def to_long(spark, sf):
 
 @q("resolve_unique_candidate", """SELECT p_name, CASE WHEN count(DISTINCT CASE WHEN p_size > 40 THEN p_partkey END) = 1 THEN max(CASE WHEN p_size > 40 THEN p_partkey END)
   WHEN count(DISTINCT CASE WHEN p_size > 20 THEN p_partkey END) = 1 THEN max(CASE WHEN p_size > 20 THEN p_partkey END) END AS resolved,
-  CASE WHEN count(DISTINCT CASE WHEN p_size > 40 THEN p_partkey END) = 1 THEN 'strict' WHEN count(DISTINCT CASE WHEN p_size > 20 THEN p_partkey END) = 1 THEN 'loose' END AS level FROM part WHERE p_partkey % 3 = 0 GROUP BY 1""")
+  CASE WHEN count(DISTINCT CASE WHEN p_size > 40 THEN p_partkey END) = 1 THEN 'strict' WHEN count(DISTINCT CASE WHEN p_size > 20 THEN p_partkey END) = 1 THEN 'loose' END AS level FROM part GROUP BY 1""")
 def unique_candidate(spark, sf):
     levels = [("strict", F.col("p_size") > 40), ("loose", F.col("p_size") > 20)]
-    return R.unique_candidate(table(spark, sf, "part").where("p_partkey % 3 = 0"), ["p_name"], levels, "p_partkey")
+    return R.unique_candidate(table(spark, sf, "part"), ["p_name"], levels, "p_partkey")
 
 
 @q("resolve_name_two_stage", """WITH known AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS name FROM part), asked AS (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part UNION SELECT DISTINCT p_name || ' ' || p_type FROM part),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import aggs as G
 from pitpanel.operators import evaluate as V
 from pitpanel.operators import windows as W
+from pitpanel.operators.nearest import nearest
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, money, panel, r, table
 from pitpanel.plans.evaluate_plans import FC, fc
 
@@ -67,13 +68,11 @@ def archetypes(spark, sf):
     return found.join(F.broadcast(tier), "cluster").select("entity", "cluster", "tier")
 
 
-@q("similarity_edges", "SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY round(abs(a.c_acctbal - b.c_acctbal), 2), b.c_custkey) <= 3")
+@q("similarity_edges", "SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(CAST(a.c_acctbal AS DECIMAL(12,2)) - CAST(b.c_acctbal AS DECIMAL(12,2))), b.c_custkey) <= 3")
 def similarity(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    b = c.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("dst"), F.col("c_acctbal").alias("y"))
-    j = c.join(b, ["c_nationkey", "c_mktsegment"]).where("c_custkey <> dst")
-    k = F.row_number().over(W.ordered(["c_custkey"], [F.round(F.abs(F.col("c_acctbal") - F.col("y")), 2), "dst"]))
-    return j.withColumn("k", k).where("k <= 3").select(F.col("c_custkey").alias("src"), "dst")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").alias("x"))
+    found = nearest(c, c, ["c_nationkey", "c_mktsegment"], "x", ["c_custkey"], "c_custkey", 3)
+    return found.select(F.col("c_custkey").alias("src"), F.col("peer").alias("dst"))
 
 
 @q("pool_union_census", f"""WITH {FACTS}, pools AS (SELECT o_orderkey AS basket, o_orderstatus AS pool FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0), v AS (SELECT basket, CAST(year(min(day)) AS BIGINT) AS epoch, sum(p_size)::BIGINT AS value, count(*) AS n FROM facts JOIN part ON p_partkey = entity GROUP BY 1 HAVING count(*) BETWEEN 2 AND 7),

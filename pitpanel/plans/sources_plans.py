@@ -104,8 +104,12 @@ def partitioned(spark, sf):
 
 @q("evolve_schema", "SELECT n_nationkey AS k, n_name AS name, NULL::INT AS region FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 10")
 def evolve(spark, sf):
+    """A table whose later files have one more column: rows of the earlier ones have it empty."""
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return n.where("k < 10").drop("region").unionByName(n.where("k >= 10"), allowMissingColumns=True)
+    path = T.workspace(spark)
+    T.write(n.where("k < 10").drop("region"), path, "overwrite")
+    T.write(n.where("k >= 10"), path, "append")
+    return T.read(spark, path)
 
 
 @q("filtered_view", "SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'BUILDING') = 'MACHINERY' OR nullif(c_mktsegment, 'BUILDING') IS NULL")
@@ -114,21 +118,27 @@ def filtered(spark, sf):
     return c.where((F.col("s") == "MACHINERY") | F.col("s").isNull()).select("c_custkey")
 
 
-@q("snapshot_backup", "SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@q("snapshot_backup", "SELECT 'run' AS kind, 'nation' AS name, 'copied' AS status, count(*) AS rows FROM nation UNION ALL SELECT 'run', 'region', 'copied', count(*) FROM region UNION ALL SELECT 'run', 'absent', 'missing', 0 UNION ALL SELECT 'rerun', 'nation', 'kept', count(*) FROM nation UNION ALL SELECT 'rerun', 'region', 'kept', count(*) FROM region UNION ALL SELECT 'rerun', 'absent', 'missing', 0 UNION ALL SELECT 'listed', 'nation', '2024-02-15', count(*) FROM nation UNION ALL SELECT 'listed', 'region', '2024-02-15', count(*) FROM region")
 def backup(spark, sf):
-    base = T.workspace(spark)
-    for t in ("nation", "region"):
-        for _ in range(2):  # the second finds the clone there and keeps it
-            table(spark, sf, t).write.mode("ignore").parquet(f"{base}/{t}_20240101")
-    counts = [spark.read.parquet(f"{base}/{t}_20240101").agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in ("nation", "region")]
-    return counts[0].unionByName(counts[1])
+    """A day's run, a rerun that keeps the clones, and the list, without a clone of six weeks before."""
+    into, names = T.workspace(spark), {"nation": f"{sf}/nation.parquet", "region": f"{sf}/region.parquet", "absent": f"{sf}/absent.parquet"}
+    T.backup(spark, {"nation": names["nation"]}, into, "2024-01-01", 30)
+    runs = [T.backup(spark, names, into, "2024-02-15", 30).select(F.lit(k).alias("kind"), "name", "status", "rows") for k in ("run", "rerun")]
+    listed = T.backups(spark, into, ["nation", "region", "absent"], "2024-02-15", 30)
+    return runs[0].unionByName(runs[1]).unionByName(listed.select(F.lit("listed").alias("kind"), "name", F.col("day").cast("string").alias("status"), "rows"))
 
 
-@q("feed_freshness", "SELECT 'events' AS feed, count(*) AS rows, max(ts) AS newest, date_diff('second', max(ts), TIMESTAMP '2024-02-15') / 3600 > 200 AS late FROM events UNION ALL SELECT 'orders', count(*), max(o_orderdate), true FROM orders")
+@q("feed_freshness", "SELECT 'events' AS feed, count(*) AS rows, CAST(max(ts) AS TIMESTAMP) AS newest, CASE WHEN date_diff('second', max(ts), TIMESTAMP '2024-02-15') / 3600.0 > 200 THEN 'stale' ELSE 'ok' END AS state FROM events UNION ALL SELECT 'orders', count(*), max(o_orderdate), 'idle' FROM orders UNION ALL SELECT 'lineitem', count(*), max(l_shipdate), 'stale' FROM lineitem UNION ALL SELECT 'none', 0, NULL, 'empty' UNION ALL SELECT 'absent', 0, NULL, 'missing'")
 def fresh(spark, sf):
-    feeds = {"events": (table(spark, sf, "events"), "ts", 200.0), "orders": (table(spark, sf, "orders"), "o_orderdate", 24.0)}
-    out = T.freshness(feeds, "2024-02-15 00:00:00")
-    return out.select("feed", "rows", "newest", (F.col("state") == "stale").alias("late"))
+    o = table(spark, sf, "orders")
+    feeds = {
+        "events": (table(spark, sf, "events"), "ts", 200.0, True),
+        "orders": (o, "o_orderdate", 24.0, False),
+        "lineitem": (table(spark, sf, "lineitem"), "l_shipdate", 24.0, True),
+        "none": (o.where("o_orderkey < 0"), "o_orderdate", 24.0, True),
+        "absent": (T.found(spark, f"{sf}/absent.parquet"), "at", 24.0, True),
+    }
+    return T.freshness(feeds, "2024-02-15 00:00:00").select("feed", "rows", "newest", "state")
 
 
 @q("csv_loose_schema", "SELECT c_custkey AS id, round(c_acctbal, 2) AS balance FROM customer")
@@ -210,7 +220,6 @@ def latest_global(spark, sf):
     return o.join(F.broadcast(o.agg(F.max("d").alias("d"))), "d").select("event_id")
 
 
-@q("latest_version_per_key", "SELECT user_id, event_type, event_id, value FROM events WHERE user_id < 50 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+@q("latest_version_per_key", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_version(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 50")
-    return W.first_row(e, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+    return W.first_row(table(spark, sf, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")

@@ -11,7 +11,9 @@ from pitpanel.operators import evaluate as V
 from pitpanel.operators import series as SE
 from pitpanel.operators import spine as SP
 from pitpanel.operators import windows as W
+from pitpanel.operators.nearest import nearest
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -36,19 +38,31 @@ def changepoint_panel(spark, sf):
 
 @q("cusum_panel")
 def cusum_panel(spark, sf):
-    p = panel(spark, sf).select("entity", "epoch", "period", (F.col("total") / 1e5).alias("x"))
-    return SE.panel(p, ["entity", "epoch"], "period", "x", least=3).select("entity", "epoch", "period", "cusum_flag")
+    p = panel(spark, sf).select("entity", (F.col("epoch") * 12 + F.col("period")).alias("at"), (F.col("total") / 1e5).alias("x"))
+    return SE.panel(p, ["entity"], "at", "x", h=1.5, least=3).select("entity", "at", "cusum_flag")
+
+
+# two-sided p of Student's t: with x = sqrt(df) tan(a), its density is in proportion to cos(a) ^ (df - 1)
+_COS = "list_sum(list_transform(range(400), lambda i: pow(cos({w} * (i + 0.5) / 400), df - 1))) * {w}"
 
 
 @q("two_window_test", f"""WITH {PANEL}, w AS (SELECT *, avg(total) OVER a AS m1, var_samp(total) OVER a AS v1, count(*) OVER a AS n1, avg(total) OVER b AS m2, var_samp(total) OVER b AS v2, count(*) OVER b AS n2 FROM panel
-  WINDOW a AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), b AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 7 PRECEDING AND 2 PRECEDING))
-  SELECT entity, epoch, period, CASE WHEN n1 = 2 AND n2 >= 3 THEN round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) END AS t FROM w""")
+  WINDOW a AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), b AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 7 PRECEDING AND 2 PRECEDING)),
+  t AS (SELECT entity, epoch, period, CASE WHEN n1 = 2 AND n2 >= 3 THEN (m1 - m2) / sqrt(v1 / n1 + v2 / n2) END AS t, CASE WHEN n1 = 2 AND n2 >= 3 THEN pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) END AS df FROM w)
+  SELECT entity, epoch, period, round(t, 4) AS t, round(df, 4) AS df, coalesce(round(1 - {_COS.format(w="atan(abs(t) / sqrt(df))")} / ({_COS.format(w="(pi() / 2)")}), 5), 1.0) AS p FROM t""")
 def two_window(spark, sf):
+    """Welch's t of the last two values against the six before; p is 1 where there are too few."""
     a = W.ordered(["entity"], EP).rowsBetween(-1, 0)
     b = W.ordered(["entity"], EP).rowsBetween(-7, -2)
     x = panel(spark, sf).withColumns({f"{n}{i}": f("total").over(w) for i, w in ((1, a), (2, b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))})
-    t = F.expr("(m1 - m2) / sqrt(v1 / n1 + v2 / n2)")
-    return x.select(*KEY, F.when((F.col("n1") == 2) & (F.col("n2") >= 3), r(t)).alias("t"))
+    x = x.withColumn("enough", (F.col("n1") == 2) & (F.col("n2") >= 3))
+    x = x.withColumns({
+        "t": F.when(F.col("enough"), F.expr("(m1 - m2) / sqrt(v1 / n1 + v2 / n2)")),
+        "df": F.when(F.col("enough"), F.expr("pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1))")),
+    })
+    area = "aggregate(sequence(0, 399), 0D, (s, i) -> s + pow(cos({w} * (i + 0.5D) / 400), df - 1)) * {w}"
+    p = F.expr(f"1 - ({area.format(w='atan(abs(t) / sqrt(df))')}) / ({area.format(w='(pi() / 2)')})")
+    return x.select(*KEY, r("t").alias("t"), r("df").alias("df"), F.coalesce(F.when(F.col("t").isNotNull(), r(p, 5)), F.lit(1.0)).alias("p"))
 
 
 @q("eval_normal_crps")
@@ -397,10 +411,18 @@ def status_count(spark, sf):
     return o.join(c, "o_custkey").groupBy("c_nationkey", "o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "P").alias("n_out"))
 
 
-@q("knn_forecast", f"WITH {GPANEL}, x AS (SELECT entity, epoch, grp, avg(total) AS v, count(*) AS n FROM gpanel WHERE epoch IN (1996, 1997) GROUP BY 1, 2, 3), a AS (SELECT * FROM x WHERE epoch = 1997), b AS (SELECT * FROM x WHERE epoch = 1996), k AS (SELECT a.entity, b.v AS y, row_number() OVER (PARTITION BY a.entity ORDER BY round(abs(a.v - b.v), 4), b.entity) AS k FROM a JOIN b ON a.grp = b.grp AND a.entity <> b.entity) SELECT entity, count(*) AS peers, round(avg(y), 3) AS forecast FROM k WHERE k <= 5 GROUP BY 1")
+@q("knn_forecast", f"""WITH {GPANEL}, x AS (SELECT entity, epoch, grp, CAST(avg(total) AS DECIMAL(18,2)) AS v, max(total) AS y FROM gpanel GROUP BY 1, 2, 3), k AS (SELECT a.entity, a.epoch, a.y AS own, b.y, row_number() OVER (PARTITION BY a.entity, a.epoch ORDER BY abs(a.v - b.v), b.entity * 10000 + b.epoch) AS k FROM x a JOIN x b ON a.grp = b.grp AND b.epoch < a.epoch)
+  SELECT entity, epoch, count(*) AS peers, round(avg(y), 2) AS mean, round(quantile_cont(y, 0.9), 2) AS q90, (max(own) <= quantile_cont(y, 0.9)) AS covered FROM k WHERE k <= 5 GROUP BY 1, 2""")
 def knn(spark, sf):
-    x = grouped_panel(spark, sf).where("epoch in (1996, 1997)").groupBy("entity", "epoch", "grp").agg(F.avg("total").alias("v"))
-    b = x.where("epoch = 1996").select("grp", F.col("entity").alias("peer"), F.col("v").alias("y"))
-    j = x.where("epoch = 1997").select("grp", "entity", "v").join(b, "grp").where("entity <> peer")
-    k = F.row_number().over(W.ordered(["entity"], [F.round(F.abs(F.col("v") - F.col("y")), 4), "peer"]))
-    return j.withColumn("k", k).where("k <= 5").groupBy("entity").agg(F.count("*").alias("peers"), r(F.avg("y"), 3).alias("forecast"))
+    """Every row's five most similar rows of earlier epochs: mean and 0.9 quantile of their outcomes, and whether it held.
+
+    A row of the pool serves every later epoch, of which there are a few.
+    """
+    x = save(grouped_panel(spark, sf).groupBy("entity", "epoch", "grp").agg(F.avg("total").cast("decimal(18,2)").alias("v"), F.max("total").alias("y")))
+    later = x.select(F.col("epoch").alias("at")).distinct()
+    targets = x.select("entity", F.col("epoch").alias("at"), "grp", "v", F.col("y").alias("own"))
+    pool = x.join(F.broadcast(later), F.col("epoch") < F.col("at")).select("at", "grp", "v", "y", (F.col("entity") * 10000 + F.col("epoch")).alias("row_id"))
+    found = nearest(targets, pool, ["grp", "at"], "v", ["entity"], "row_id", 5)
+    q90 = F.percentile("y", F.lit(0.9))
+    g = found.groupBy("entity", F.col("at").alias("epoch")).agg(F.count("*").alias("peers"), r(F.avg("y"), 2).alias("mean"), q90.alias("q"), F.max("own").alias("own"))
+    return g.select("entity", "epoch", "peers", "mean", r("q", 2).alias("q90"), (F.col("own") <= F.col("q")).alias("covered"))

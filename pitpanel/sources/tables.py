@@ -14,11 +14,15 @@ _own: list[str] = []
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder in the one named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """A new folder in the one named by spark.checkpoint.dir. Where that is unset: in the warehouse of a cluster.
+
+    A temporary folder is only used by a local master, whose tasks run on the driver's machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _own:
-            _own.append(tempfile.mkdtemp(prefix="pitpanel-"))
+            local = spark.sparkContext.master.startswith("local[")
+            _own.append(tempfile.mkdtemp(prefix="pitpanel-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/pitpanel")
         base = _own[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -78,32 +82,82 @@ def novel(rows: DataFrame, existing: DataFrame, keys: Sequence[str], values: Seq
 
 
 def append_batch(df: DataFrame, path: str, batch: str) -> bool:
-    """Append once per batch id: a repeat with as many rows is a no-op (False), one with other rows an error."""
+    """Write a batch once: a repeat with the same rows is a no-op (False), one with other rows an error.
+
+    A batch is a folder of its own, so that a repeat adds nothing; its rows are told by their number and the sum of
+    their hashes, whatever their order.
+    """
     spark = df.sparkSession
-    count = df.count()
+    told = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first()
+    at = f"{path}/batch_id={batch}"
     try:
-        have = spark.read.parquet(path).where(F.col("batch_id") == batch).count()
-    except Exception as e:  # no table yet
+        df.write.mode("errorifexists").parquet(at)
+        return True
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+    have, came = told(spark.read.schema(df.schema).parquet(at)), told(df)
+    if have != came:
+        raise ConflictError(f"batch {batch}: {have[0]} rows are there, {came[0]} came, and they differ")
+    return False
+
+
+def found(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, None if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        have = 0
-    if have:
-        if have != count:
-            raise ConflictError(f"batch {batch}: {have} rows are there, {count} came")
-        return False
-    df.withColumn("batch_id", F.lit(batch)).write.mode("append").parquet(path)
-    return True
-
-
-def freshness(feeds: Mapping[str, tuple[DataFrame, str, float]], now: str) -> DataFrame:
-    """(feed, rows, newest, hours, state): empty, stale beyond its bar of hours, or ok."""
-    parts = [
-        df.agg(F.count("*").alias("rows"), F.max(F.col(at).cast("timestamp")).alias("newest")).select(F.lit(name).alias("feed"), F.lit(bar).alias("bar"), "rows", "newest")
-        for name, (df, at, bar) in feeds.items()
-    ]
+        return None
+
+
+def backup(spark: SparkSession, tables: Mapping[str, str], into: str, day: str, keep_days: int) -> DataFrame:
+    """(name, status, rows) of a dated clone of each table (name -> path): copied, kept (it is there) or missing.
+
+    Clones are folders name/day=yyyy-mm-dd. Those older than keep_days before `day` are dropped from the list that
+    `backups` gives; a table that is not there is skipped. With any other failure the job fails.
+    """
+    rows = []
+    for name, path in tables.items():
+        df = found(spark, path)
+        if df is None:
+            rows.append((name, "missing", 0))
+            continue
+        at = f"{into}/{name}/day={day}"
+        have = found(spark, at)
+        if have is None:
+            df.write.parquet(at)
+        rows.append((name, "copied" if have is None else "kept", spark.read.parquet(at).count()))
+    return spark.createDataFrame(rows, "name string, status string, rows long")
+
+
+def backups(spark: SparkSession, into: str, names: Sequence[str], day: str, keep_days: int) -> DataFrame:
+    """(name, day, rows) of the clones from at most keep_days before `day`."""
+    parts = [df.groupBy("day").agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), F.col("day").cast("date").alias("day"), "rows") for n in names if (df := found(spark, f"{into}/{n}")) is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out.where(F.date_diff(F.lit(day).cast("date"), "day") <= keep_days)
+
+
+def freshness(feeds: Mapping[str, tuple[DataFrame | None, str, float, bool]], now: str) -> DataFrame:
+    """(feed, rows, newest, hours, state) of feeds: name -> (table or None, its time column, bar of hours, in season).
+
+    States: missing (no table), empty, stale (newer than its bar is nothing), idle (stale out of season) or ok.
+    """
+    parts = []
+    for name, (df, at, bar, active) in feeds.items():
+        if df is None:
+            continue
+        row = df.agg(F.count("*").alias("rows"), F.max(F.col(at).cast("timestamp")).alias("newest"))
+        parts.append(row.select(F.lit(name).alias("feed"), F.lit(bar).alias("bar"), F.lit(active).alias("active"), F.lit(True).alias("there"), "rows", "newest"))
+    spark = next(df for df, *_ in feeds.values() if df is not None).sparkSession
+    gone = [(name, bar, active, False, 0, None) for name, (df, _, bar, active) in feeds.items() if df is None]
+    out = spark.createDataFrame(gone, "feed string, bar double, active boolean, there boolean, rows long, newest timestamp")
+    for p in parts:
+        out = out.unionByName(p)
     hours = (F.lit(now).cast("timestamp").cast("double") - F.col("newest").cast("double")) / 3600
-    state = F.when(F.col("rows") == 0, "empty").when(F.col("hours") > F.col("bar"), "stale").otherwise("ok")
-    return out.withColumn("hours", hours).withColumn("state", state).drop("bar")
+    old = F.when(F.col("active"), "stale").otherwise("idle")
+    state = F.when(~F.col("there"), "missing").when(F.col("rows") == 0, "empty").when(F.col("hours") > F.col("bar"), old).otherwise("ok")
+    return out.withColumn("hours", hours).withColumn("state", state).drop("bar", "active", "there")
