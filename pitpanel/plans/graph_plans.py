@@ -29,9 +29,19 @@ def edges(spark, sf):
     return buys.unionByName(one("customer", "c_custkey", 0, "c_nationkey")).unionByName(one("supplier", "s_suppkey", 1000000, "s_nationkey"))
 
 
-@q("graph_build", f"WITH {EDGES} SELECT src, dst, kind, round(weight, 2) AS weight FROM edges")
+COMPETES = "competes AS (SELECT a.s_suppkey + 1000000 AS src, b.s_suppkey + 1000000 AS dst, 'competes' AS kind, 1.0 AS weight FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)"
+
+
+@q("graph_build", f"WITH {EDGES}, {COMPETES} SELECT src, dst, kind, round(weight, 2) AS weight FROM edges UNION ALL SELECT src, dst, kind, weight FROM competes UNION ALL SELECT c_custkey, NULL, 'node:customer', NULL FROM customer UNION ALL SELECT s_suppkey + 1000000, NULL, 'node:supplier', NULL FROM supplier UNION ALL SELECT n_nationkey + 2000000, NULL, 'node:nation', NULL FROM nation")
 def build(spark, sf):
-    return edges(spark, sf).select("src", "dst", "kind", r("weight", 2).alias("weight"))
+    """Typed edges and nodes (rows without a target) in one table; suppliers of one nation compete."""
+    s = table(spark, sf, "supplier").select("s_nationkey", (F.col("s_suppkey") + 1000000).alias("id"))
+    competes = G.competes(s, ["s_nationkey"], "id").select("src", "dst", F.lit("competes").alias("kind"), F.lit(1.0).alias("weight"))
+    out = edges(spark, sf).select("src", "dst", "kind", r("weight", 2).alias("weight")).unionByName(competes)
+    for name, key, shift in (("customer", "c_custkey", 0), ("supplier", "s_suppkey", 1000000), ("nation", "n_nationkey", 2000000)):
+        node = table(spark, sf, name).select((F.col(key) + shift).cast("long").alias("src"), F.lit(f"node:{name}").alias("kind"))
+        out = out.unionByName(node, allowMissingColumns=True)
+    return out
 
 
 @q("graph_neighbors", f"WITH {EDGES} SELECT src, dst FROM edges WHERE kind = 'buys' AND src IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
@@ -56,7 +66,7 @@ def topk(spark, sf):
     return G.neighbors(edges(spark, sf), ["buys"]).where("weight >= 20").orderBy(F.desc("weight"), "src", "dst").limit(25).select("src", "dst", "weight")
 
 
-@q("graph_optional_expand", f"WITH {EDGES} SELECT a.src AS customer, a.dst AS supplier, b.dst AS nation, n_name FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'lives' LEFT JOIN nation ON n_nationkey = b.dst - 2000000 AND n_regionkey < 3 WHERE a.kind = 'buys' AND a.weight > 40")
+@q("graph_optional_expand", f"WITH e0 AS MATERIALIZED (WITH {EDGES} SELECT * FROM edges), edges AS (SELECT * FROM e0) SELECT a.src AS customer, a.dst AS supplier, b.dst AS nation, n_name FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'lives' LEFT JOIN nation ON n_nationkey = b.dst - 2000000 AND n_regionkey < 3 WHERE a.kind = 'buys' AND a.weight > 40")
 def expand(spark, sf):
     e = edges(spark, sf)
     a = e.where("kind = 'buys' and weight > 40").select(F.col("src").alias("customer"), F.col("dst").alias("supplier"))
@@ -72,16 +82,16 @@ def measures(spark, sf):
     return facts(spark, sf).groupBy("grp", "flag").agg((money("qty") / F.count("*")).alias("v"))
 
 
-@q("graph_paired_delta", f"WITH {MEASURES}, d AS (SELECT grp, max(v) FILTER (flag = 'A') AS o, max(v) FILTER (flag = 'N') AS n FROM m GROUP BY 1), e AS (SELECT *, n - o AS delta FROM d WHERE n IS NOT NULL AND o IS NOT NULL) SELECT count(*) AS tasks, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS sd, count(*) FILTER (delta > 0) AS better, count(*) FILTER (delta = 0) AS tied, min(grp) FILTER (delta < 0) AS first_regression FROM e")
+@q("graph_paired_delta", f"WITH {MEASURES}, d AS (SELECT grp, max(v) FILTER (flag = 'A') AS o, max(v) FILTER (flag = 'N') AS n FROM m GROUP BY 1), e AS (SELECT *, n - o AS delta FROM d WHERE n IS NOT NULL AND o IS NOT NULL) SELECT count(*) AS tasks, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS sd, count(*) FILTER (delta > 0) AS better, count(*) FILTER (delta = 0) AS tied, array_to_string(list_sort(list(grp) FILTER (delta < 0)), ',') AS regressions FROM e")
 def paired(spark, sf):
     d = G.paired_delta(measures(spark, sf), ["grp"], "flag", "v", "A", "N")
     n = lambda e: F.count_if(F.expr(e))
-    return d.agg(F.count("*").alias("tasks"), r(F.avg("delta"), 6).alias("mean"), r(F.stddev_pop("delta"), 6).alias("sd"), n("delta > 0").alias("better"), n("delta = 0").alias("tied"), F.min(F.when(F.col("delta") < 0, F.col("grp"))).alias("first_regression"))
+    return d.agg(F.count("*").alias("tasks"), r(F.avg("delta"), 6).alias("mean"), r(F.stddev_pop("delta"), 6).alias("sd"), n("delta > 0").alias("better"), n("delta = 0").alias("tied"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("delta") < 0, F.col("grp")))), ",").alias("regressions"))
 
 
-@q("graph_coverage_counts", f"WITH {MEASURES} SELECT flag, count(DISTINCT grp) AS tasks, min(grp) AS first_task FROM m GROUP BY 1")
+@q("graph_coverage_counts", f"WITH {MEASURES} SELECT flag, count(DISTINCT grp) AS tasks, array_to_string(list_sort(list(DISTINCT grp)), ',') AS task_ids FROM m GROUP BY 1")
 def coverage(spark, sf):
-    return measures(spark, sf).groupBy("flag").agg(F.count_distinct("grp").alias("tasks"), F.min("grp").alias("first_task"))
+    return measures(spark, sf).groupBy("flag").agg(F.count_distinct("grp").alias("tasks"), F.array_join(F.array_sort(F.collect_set("grp")), ",").alias("task_ids"))
 
 
 @q("graph_metric_ranking", f"WITH {MEASURES}, a AS (SELECT flag, round(avg(v), 6) AS mean FROM m GROUP BY 1) SELECT flag, mean, row_number() OVER (ORDER BY mean DESC, flag) AS place FROM a")
@@ -92,11 +102,16 @@ def ranking(spark, sf):
     return a.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "flag")).cast("long"))
 
 
-@q("graph_evidence_lookups", f"WITH {EDGES} SELECT a.src, a.dst AS hop1, b.dst AS hop2 FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'lives' WHERE a.kind = 'buys' AND a.src < 40")
+@q("graph_evidence_lookups", f"""WITH e0 AS MATERIALIZED (WITH {EDGES} SELECT * FROM edges), b AS (SELECT * FROM e0 WHERE kind = 'buys'), l AS (SELECT * FROM e0 WHERE kind = 'lives')
+  SELECT 'bought' AS lookup, src, dst AS hop1, NULL AS hop2 FROM b WHERE weight > 40 UNION ALL SELECT 'home', src, dst, NULL FROM l UNION ALL SELECT 'neighbours', dst, src, NULL FROM l UNION ALL SELECT 'bought_from', b.src, b.dst, l.dst FROM b JOIN l ON l.src = b.dst WHERE b.weight > 40""")
 def lookups(spark, sf):
+    """Four typed lookups in one table: what was bought, where one lives, who lives there, and where from by two hops."""
     e = edges(spark, sf)
-    b = e.where("kind = 'lives'").select(F.col("src").alias("hop1"), F.col("dst").alias("hop2"))
-    return e.where("kind = 'buys' and src < 40").select("src", F.col("dst").alias("hop1")).join(b, "hop1").select("src", "hop1", "hop2")
+    buys, lives = e.where("kind = 'buys' and weight > 40"), e.where("kind = 'lives'")
+    told = lambda df, name, a, b: df.select(F.lit(name).alias("lookup"), F.col(a).alias("src"), F.col(b).alias("hop1"), F.lit(None).cast("long").alias("hop2"))
+    home = lives.select(F.col("src").alias("hop1"), F.col("dst").alias("hop2"))
+    two = buys.select(F.lit("bought_from").alias("lookup"), "src", F.col("dst").alias("hop1")).join(home, "hop1")
+    return told(buys, "bought", "src", "dst").unionByName(told(lives, "home", "src", "dst")).unionByName(told(lives, "neighbours", "dst", "src")).unionByName(two.select("lookup", "src", "hop1", "hop2"))
 
 
 @q("graph_compatibility", "WITH a AS (SELECT p_partkey AS k, unnest(['brand', 'type', 'size']) AS field, unnest([p_brand, p_type, CAST(p_size AS VARCHAR)]) AS v FROM part), b AS (SELECT k + 1 AS k, field, v FROM a) SELECT a.k, field, a.v AS own, b.v AS other FROM a JOIN b USING (k, field) WHERE a.v IS DISTINCT FROM b.v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitpanel.plans.bindings import OBS, r, table
+from pitpanel.plans.bindings import OBS, money, r, table
 from pitpanel.sources import tables as T
 from pitpanel.streaming import jobs as J
 
@@ -40,13 +40,17 @@ def append_log(spark, sf):
     return spark.read.parquet(out).select("event_id", "day")
 
 
-@q("stream_dedup", f"WITH {OBS} SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM obs")
+@q("stream_dedup", f"WITH {OBS} SELECT count(*) AS n, count(DISTINCT event_id) AS ids, count(*) FILTER (event_id % 50 = 0) AS conflicts, round(CAST(sum(CAST(value AS DECIMAL(20,4))) AS DOUBLE), 4) AS kept FROM obs")
 def dedup(spark, sf):
+    """Every event comes twice, one in fifty of them the second time with another value: repeats go, conflicts aside."""
     s = stream(spark, sf)
-    twice = s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    out = T.workspace(spark)
-    J.run_available(J.dedup(twice, "observed_at", ["event_id"], "1 hour"), out, T.workspace(spark))
-    return spark.read.parquet(out).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    other = F.when((F.col("event_id") % 50 == 0) & (F.col("copy") == 2), 1000.0).otherwise(0.0)
+    twice = s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("value", F.col("value") + other)
+    seen, conflicts = T.workspace(spark), T.workspace(spark)
+    once = J.dedup(twice, "observed_at", ["event_id", "value"], "1 hour")
+    J.run_batches(once, J.novel_or_conflict(spark, seen, conflicts, ["event_id"], ["value"], ["copy"]), T.workspace(spark), mode="append")
+    kept = spark.read.parquet(seen).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), r(money("value"), 4).alias("kept"))
+    return kept.crossJoin(F.broadcast(spark.read.parquet(conflicts).agg(F.count("*").alias("conflicts")))).select("n", "ids", "conflicts", "kept")
 
 
 @q("stream_cutoff_late", f"WITH {OBS}, o AS (SELECT *, CAST(observed_at AS DATE) AS day FROM obs) SELECT day, count(*) FILTER (hour(observed_at) < 12) AS admitted, count(*) FILTER (hour(observed_at) >= 12) AS late FROM o GROUP BY 1")
@@ -65,37 +69,24 @@ def cutoff_late(spark, sf):
 
 @q("stream_latest_state", "SELECT user_id, event_type, arg_min(value, (ts, event_id)) AS opening, arg_max(value, (ts, event_id)) AS latest, count(*) AS n FROM events GROUP BY 1, 2")
 def latest_state(spark, sf):
-    paths = []
-
-    def each(df, _):
-        path = T.workspace(spark)
-        df.write.parquet(path)
-        paths.append(path)
-
-    J.run_batches(J.latest_state(stream(spark, sf), ["user_id", "event_type"], "observed_at", "event_id", "value"), each, T.workspace(spark))
-    every = spark.read.parquet(*paths)  # update mode: the row with most events is the newest of its key
-    return every.groupBy("user_id", "event_type").agg(F.max_by(F.struct("opening", "latest"), "n").alias("s"), F.max("n").alias("n")).select("user_id", "event_type", "s.opening", "s.latest", "n")
+    keys, out = ["user_id", "event_type"], T.workspace(spark)
+    J.run_to_table(stream(spark, sf), lambda b: J.latest_state(b, keys, "observed_at", "event_id", "value"), out, T.workspace(spark))
+    return J.latest_of(spark.read.parquet(out), keys)
 
 
-@q("stream_fill_rate", "WITH b AS (SELECT date_trunc('day', ts) AS bucket, event_type, ts, value FROM events), c AS (SELECT bucket, event_type, count(*) AS n, count(*) FILTER (value > 50) AS hits FROM b GROUP BY 1, 2) SELECT * FROM c WHERE bucket + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+@q("stream_fill_rate", "WITH b AS (SELECT date_trunc('day', ts) AS bucket, event_type, ts, value FROM events), c AS (SELECT bucket, event_type, count(*) AS n, count(*) FILTER (value > 50) AS hits FROM b GROUP BY 1, 2) SELECT *, least(round(n / 100.0, 6), 1.0) AS fill_rate, greatest(1000.0 - 10.0 * n, 0.0) AS overlay FROM c WHERE bucket + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def fill_rate(spark, sf):
     out = T.workspace(spark)
     J.run_available(J.tumbling_rate(stream(spark, sf), "observed_at", "1 day", "1 hour", ["event_type"], F.col("value") > 50), out, T.workspace(spark))
-    return spark.read.parquet(out)
+    filled = J.fill_and_overlay(spark.read.parquet(out), 100.0, 1000.0, 10.0)
+    return filled.withColumn("fill_rate", r("fill_rate", 6))
 
 
-@q("stream_traits", "SELECT user_id, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(20,4))) AS DOUBLE) / count(*), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+@q("stream_traits", "WITH k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM events) SELECT user_id, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(20,4))) AS DOUBLE) / count(*), 6) AS mean, min(value) AS low, max(value) AS high, CAST(min(floor(value)) FILTER (k >= ceil(c * 0.9)) AS BIGINT) AS p90 FROM k GROUP BY 1")
 def traits(spark, sf):
-    paths = []
-
-    def each(df, _):
-        path = T.workspace(spark)
-        df.write.parquet(path)
-        paths.append(path)
-
-    J.run_batches(J.traits(stream(spark, sf), ["user_id"], "value"), each, T.workspace(spark))
-    newest = spark.read.parquet(*paths).groupBy("user_id").agg(F.max_by(F.struct("s", "low", "high"), "n").alias("x"), F.max("n").alias("n"))
-    return newest.select("user_id", "n", r(F.col("x.s").cast("double") / F.col("n"), 6).alias("mean"), "x.low", "x.high")
+    out = T.workspace(spark)
+    J.run_to_table(stream(spark, sf), lambda b: J.traits(b, ["user_id"], "value"), out, T.workspace(spark))
+    return J.traits_of(spark.read.parquet(out), ["user_id"], 0.9).select("user_id", "n", r("mean", 6).alias("mean"), "low", "high", F.col("quantile").alias("p90"))
 
 
 @q("stream_online_conformal")
@@ -107,21 +98,17 @@ def online_conformal(spark, sf):
 
 @q("stream_freshness", "SELECT event_type AS feed, count(*) AS rows, max(ts) AS newest, date_diff('second', max(ts), TIMESTAMP '2024-02-15') > 3600 AS late FROM events GROUP BY 1")
 def freshness(spark, sf):
-    paths = []
-
-    def each(df, _):
-        path = T.workspace(spark)
-        df.groupBy("event_type").agg(F.count("*").alias("rows"), F.max("observed_at").alias("newest")).write.parquet(path)
-        paths.append(path)
-
-    J.run_batches(stream(spark, sf), each, T.workspace(spark), mode="append")
-    state = spark.read.parquet(*paths).groupBy(F.col("event_type").alias("feed")).agg(F.sum("rows").alias("rows"), F.max("newest").alias("newest"))
+    out = T.workspace(spark)
+    newest = lambda b: b.groupBy("event_type").agg(F.count("*").alias("rows"), F.max("observed_at").alias("newest"))
+    J.run_to_table(stream(spark, sf), newest, out, T.workspace(spark))
+    state = spark.read.parquet(out).groupBy(F.col("event_type").alias("feed")).agg(F.sum("rows").alias("rows"), F.max("newest").alias("newest"))
     age = F.lit("2024-02-15").cast("timestamp").cast("double") - F.col("newest").cast("double")
     return state.withColumn("late", age > 3600)
 
 
-@q("stream_evidence_state", "WITH n AS (SELECT user_id, event_type, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events) SELECT user_id, event_type, id, least(ts + INTERVAL 24 HOUR, nxt) AS ended_at, CASE WHEN ts + INTERVAL 24 HOUR < nxt THEN 'expired' ELSE 'superseded' END AS why FROM n WHERE nxt IS NOT NULL")
+@q("stream_evidence_state", """WITH n AS (SELECT user_id, event_type, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events), w AS (SELECT epoch_ms(max(ts)) - 3600000 AS mark FROM events)
+  SELECT user_id, event_type, id, CASE WHEN nxt <= ts + INTERVAL 24 HOUR THEN nxt ELSE ts + INTERVAL 24 HOUR END AS ended_at, CASE WHEN nxt <= ts + INTERVAL 24 HOUR THEN 'superseded' ELSE 'expired' END AS why FROM n, w WHERE nxt IS NOT NULL OR epoch_ms(ts + INTERVAL 24 HOUR) < mark""")
 def evidence_state(spark, sf):
     out = T.workspace(spark)
-    J.run_available(J.evidence_state(stream(spark, sf), ["user_id", "event_type"], "event_id", "observed_at", 24), out, T.workspace(spark))
+    J.run_available(J.evidence_state(stream(spark, sf), ["user_id", "event_type"], "event_id", "observed_at", 24, "1 hour"), out, T.workspace(spark))
     return spark.read.parquet(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,6 +20,15 @@ def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
     df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_to_table(df: DataFrame, each: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """each(batch) of every micro-batch, in the folder batch=<its number> of out.
+
+    A batch that is run again after a failure writes the same folder anew, and what is there is found by listing out,
+    so a restart loses and repeats nothing. State lives in the table, not in the stream.
+    """
+    run_batches(df, lambda batch, k: each(batch).write.mode("overwrite").parquet(f"{out}/batch={k}"), checkpoint, mode="append")
+
+
 def append_log(stream: DataFrame, at: str) -> DataFrame:
     """Rows with the day that the log is partitioned by."""
     return stream.withColumn("day", F.to_date(at))
@@ -36,10 +45,45 @@ def before_cutoff(stream: DataFrame, cutoffs: DataFrame, on: str, at: str, cutof
     return joined.where(F.col(at) <= F.col(cutoff)), joined.where(F.col(at) > F.col(cutoff))
 
 
-def latest_state(stream: DataFrame, keys: list[str], at: str, tie: str, value: str) -> DataFrame:
-    """Opening and newest value per key, in update mode."""
+def latest_state(batch: DataFrame, keys: list[str], at: str, tie: str, value: str) -> DataFrame:
+    """Opening and newest value per key of a batch, with their places, for latest_of to put together."""
     order = F.struct(at, tie)
-    return stream.groupBy(*keys).agg(F.min_by(value, order).alias("opening"), F.max_by(value, order).alias("latest"), F.count("*").alias("n"))
+    ends = [f(F.struct(order.alias("o"), F.col(value).alias("v"))).alias(n) for f, n in ((F.min, "opening"), (F.max, "latest"))]
+    return batch.groupBy(*keys).agg(*ends, F.count("*").alias("n"))
+
+
+def latest_of(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, opening, latest, n) over all batches, in whatever order they came."""
+    g = parts.groupBy(*keys).agg(F.min("opening").alias("opening"), F.max("latest").alias("latest"), F.sum("n").alias("n"))
+    return g.select(*keys, F.col("opening.v").alias("opening"), F.col("latest.v").alias("latest"), "n")
+
+
+def novel_or_conflict(spark, seen: str, conflicts: str, keys: list[str], values: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """For run_batches: rows with a new key go to seen, those whose key is there with other values to conflicts.
+
+    Of a key's rows in one batch the first by `order` is the new one. Batches write folders of their own, and a batch
+    that is run again does not look at what it wrote before.
+    """
+
+    def each(batch: DataFrame, k: int) -> None:
+        from pitpanel.sources import tables as T
+
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = batch.dropDuplicates([*keys, *values]).withColumn("_first", first)
+        old = T.found(spark, seen)
+        names = batch.columns
+        if old is not None:
+            old = old.where(F.col("batch") != k).select(*keys, F.struct(*values).alias("_old"))
+            rows = rows.join(old, keys, "left")
+        else:
+            rows = rows.withColumn("_old", F.lit(None).cast(batch.select(F.struct(*values).alias("s")).schema["s"].dataType))
+        rows = T.save(rows)
+        same = F.col("_old").eqNullSafe(F.struct(*values))
+        rows.where(F.col("_old").isNull() & (F.col("_first") == 1)).select(*names).write.mode("overwrite").parquet(f"{seen}/batch={k}")
+        late = (F.col("_old").isNull() & (F.col("_first") > 1)) | (F.col("_old").isNotNull() & ~same)
+        rows.where(late).select(*names).write.mode("overwrite").parquet(f"{conflicts}/batch={k}")
+
+    return each
 
 
 def tumbling_rate(stream: DataFrame, at: str, width: str, delay: str, keys: list[str], part: F.Column) -> DataFrame:
@@ -48,10 +92,27 @@ def tumbling_rate(stream: DataFrame, at: str, width: str, delay: str, keys: list
     return g.agg(F.count("*").alias("n"), F.count_if(part).alias("hits")).select(F.col("w.start").alias("bucket"), *keys, "n", "hits")
 
 
-def traits(stream: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Order-free sums from which the final means and deviations follow."""
+def fill_and_overlay(buckets: DataFrame, capacity: float, pool: float, fee: float) -> DataFrame:
+    """fill_rate (entries of a capacity, 1 at most) and overlay (what the entries' fees lack of the pool) of n entries."""
+    n = F.col("n")
+    return buckets.withColumns({"fill_rate": F.least(n / capacity, F.lit(1.0)), "overlay": F.greatest(pool - fee * n, F.lit(0.0))})
+
+
+def traits(batch: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Counts, sums and ends per key and whole number of the value: what any order of batches adds up to."""
     v = F.col(value)
-    return stream.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v.cast("decimal(20,4)")).alias("s"), F.min(v).alias("low"), F.max(v).alias("high"))
+    g = batch.groupBy(*keys, F.floor(v).alias("bin"))
+    return g.agg(F.count(v).alias("n"), F.sum(v.cast("decimal(20,4)")).alias("s"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def traits_of(parts: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """(keys, n, mean, low, high, quantile) over all batches; the quantile is the nearest rank's, as a whole number."""
+    bins = parts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    bins = bins.withColumn("_at", F.when(upto >= F.ceil(total * q), F.col("bin")))
+    g = bins.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("_at").alias("quantile"))
+    return g.select(*keys, "n", (F.col("s").cast("double") / F.col("n")).alias("mean"), "low", "high", "quantile")
 
 
 def conformal_step(alpha: float, window: list[float], score: float, target: float, rate: float, most: int) -> tuple[float, float | None, bool]:
@@ -85,22 +146,39 @@ def online_conformal(stream: DataFrame, key: str, order: str, score: str, *, tar
     return stream.groupBy(key).applyInPandasWithState(step, out, "alpha double, scores array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def evidence_state(stream: DataFrame, keys: list[str], id_col: str, at: str, ttl_hours: float) -> DataFrame:
+def evidence_state(stream: DataFrame, keys: list[str], id_col: str, at: str, ttl_hours: float, delay: str) -> DataFrame:
     """(keys, id, ended_at, why) of evidence that ended: superseded by the key's next one, or past its time to live.
 
-    State is the key's live evidence; it is closed when the next one arrives, at that time or at its expiry.
+    State is the key's live evidence. It ends when the next one arrives, at that time, or by an event-time timer once
+    the watermark has passed its expiry; then the key's state is gone.
     """
+    names = [*keys, "id", "ended_at", "why"]
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         live = state.get if state.exists else None
+        ttl = pd.Timedelta(hours=ttl_hours)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*k, live[0], pd.Timestamp(live[1]) + ttl, "expired")], columns=names)
+            return
         rows = []
         for i, t in pd.concat(list(frames)).sort_values([at, id_col], kind="stable")[[id_col, at]].itertuples(index=False):
             if live is not None:
-                ends = pd.Timestamp(live[1]) + pd.Timedelta(hours=ttl_hours)
+                ends = pd.Timestamp(live[1]) + ttl
                 rows.append((*k, live[0], min(ends, t), "expired" if ends < t else "superseded"))
             live = (int(i), t.to_pydatetime())
-        state.update(live)
-        yield pd.DataFrame(rows, columns=[*keys, "id", "ended_at", "why"])
+        ends = pd.Timestamp(live[1]) + ttl
+        ends_ms = ends.tz_localize("UTC").value // 1_000_000 if ends.tz is None else ends.value // 1_000_000
+        if ends_ms < state.getCurrentWatermarkMs():
+            rows.append((*k, live[0], ends, "expired"))
+            if state.exists:
+                state.remove()
+        else:
+            state.update(live)
+            state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names)
 
     kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in keys)
-    return stream.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, id long, ended_at timestamp, why string", "id long, since timestamp", "append", GroupStateTimeout.NoTimeout)
+    out = f"{kinds}, id long, ended_at timestamp, why string"
+    grouped = stream.withWatermark(at, delay).groupBy(*keys)
+    return grouped.applyInPandasWithState(step, out, "id long, since timestamp", "append", GroupStateTimeout.EventTimeTimeout)
