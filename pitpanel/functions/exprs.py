@@ -82,3 +82,31 @@ def strip_markup(c: Column) -> Column:
     x = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+# fixed values: the published rational approximation of the normal quantile (Abramowitz and Stegun, 26.2.23)
+_C, _D = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
+
+
+def normal_mean(p: Column, point: Column, sd: float) -> Column:
+    """Mean of a normal variable of deviation sd that is above point with probability p."""
+    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    z = t - (_C[0] + _C[1] * t + _C[2] * t * t) / (1 + _D[0] * t + _D[1] * t * t + _D[2] * t * t * t)
+    return point + sd * F.when(p >= 0.5, z).otherwise(-z)
+
+
+def poisson_mean(p: Column, point: Column, rounds: int = 40, most: float = 50.0) -> Column:
+    """Mean (0..most) of a Poisson variable that is above point, no whole number, with probability p, by halving."""
+
+    def at_most(mean: Column) -> Column:
+        terms = F.sequence(F.lit(0), F.floor(point).cast("int"))
+        step = lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * mean / (k + 1)).alias("term"))
+        return F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.exp(-mean).alias("term")), step, lambda s: s["sum"])
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        low = 1 - at_most(mid) < p
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
+    ends = F.struct(F.lit(0.0).alias("lo"), F.lit(most).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), ends, halve, lambda s: s["lo"])

@@ -16,6 +16,7 @@ from pitpanel.operators import windows as W
 from pitpanel.operators.nearest import nearest
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, money, panel, r, table
 from pitpanel.plans.evaluate_plans import FC, fc
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -142,16 +143,63 @@ def concentration(spark, sf):
     return by.agg(F.min_by("k", F.struct(F.round("l", 9), -F.col("k"))).alias("concentration"), F.min("l").alias("nll"))
 
 
-@q("candidate_rank_diagnostics", f"""WITH {FC}, u AS (SELECT epoch, 'pred' AS signal, pred AS s, y FROM fc UNION ALL SELECT epoch, 'market', market, y FROM fc), k AS (SELECT epoch, signal, rank() OVER (PARTITION BY epoch, signal ORDER BY s) + (count(*) OVER (PARTITION BY epoch, signal, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY epoch, signal ORDER BY y) + (count(*) OVER (PARTITION BY epoch, signal, y) - 1) / 2.0 AS b FROM u)
-  SELECT epoch, signal, round(corr(a, b), 6) AS spearman, count(*) AS n FROM k GROUP BY 1, 2""")
+@q("candidate_rank_diagnostics", f"""WITH {FC}, t AS (SELECT *, y >= quantile_cont(y, 0.9) OVER (PARTITION BY epoch) AS top FROM fc), u AS (SELECT entity, epoch, period, n, 'pred' AS signal, pred AS s, y, top FROM t UNION ALL SELECT entity, epoch, period, n, 'market', market, y, top FROM t),
+  k AS (SELECT *, rank() OVER (PARTITION BY epoch, signal ORDER BY s) + (count(*) OVER (PARTITION BY epoch, signal, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY epoch, signal ORDER BY y) + (count(*) OVER (PARTITION BY epoch, signal, y) - 1) / 2.0 AS b, row_number() OVER (PARTITION BY epoch, signal ORDER BY s DESC, entity, period) AS k, row_number() OVER (PARTITION BY epoch, signal ORDER BY y DESC, entity, period) AS best, count(*) OVER (PARTITION BY epoch, signal) AS c FROM u),
+  h AS (SELECT *, sum(top::INT) OVER (PARTITION BY epoch, signal ORDER BY k) AS hits, k <= c / 10.0 AS chosen FROM k),
+  g AS (SELECT epoch, signal, count(*) AS n, round(corr(a, b), 6) AS spearman, round(sum(CASE WHEN top THEN hits * 1.0 / k ELSE 0 END) / sum(top::INT), 6) AS ap, round(sum(y / 1e5 / log2(k + 1)) / sum(y / 1e5 / log2(best + 1)), 6) AS ndcg, round(max(y) - max(y) FILTER (chosen), 2) AS gap, round(1000.0 * avg(top::INT) FILTER (chosen), 4) AS yield_chosen, round(1000.0 * avg(top::INT) FILTER (n > 1), 4) AS yield_busy FROM h GROUP BY 1, 2),
+  j AS (SELECT epoch, round(count(*) FILTER (m = 2) * 1.0 / count(*), 6) AS jaccard FROM (SELECT epoch, entity, period, count(*) AS m FROM h WHERE chosen GROUP BY 1, 2, 3) GROUP BY 1)
+  SELECT g.*, jaccard FROM g JOIN j USING (epoch)""")
 def rank_diagnostics(spark, sf):
-    u = fc(spark, sf).select(*KEY, "y", "pred", "market").unpivot([*KEY, "y"], ["pred", "market"], "signal", "s")
-    return G.spearman(u, ["epoch", "signal"], "s", "y").withColumn("spearman", r("spearman", 6))
-
-
-@q("summary_vector", f"WITH {FACTS}, a AS (SELECT avg(qty) AS m, stddev_samp(qty) AS s, quantile_cont(qty, 0.9) AS p90, avg((disc = 0)::INT) AS zero, skewness(net / 1000) AS skew FROM facts) SELECT unnest(['mean', 'sd', 'p90', 'zero_rate', 'skew']) AS name, unnest([round(m, 6), round(s, 6), round(p90, 6), round(zero, 6), round(skew, 5)]) AS value FROM a")
+    """Per epoch and signal: rank correlation, average precision of the top tenth, NDCG, what the chosen tenth misses of
+    the best outcome, hits in a thousand chosen or busy rows, and the overlap of the two signals' chosen rows."""
+    f = fc(spark, sf)
+    tops = f.groupBy("epoch").agg(F.percentile("y", F.lit(0.9)).alias("bar"))
+    f = f.join(F.broadcast(tops), "epoch").withColumn("top", (F.col("y") >= F.col("bar")).cast("int"))
+    u = save(f.select(*KEY, "n", "y", "top", "pred", "market").unpivot([*KEY, "n", "y", "top"], ["pred", "market"], "signal", "s"))
+    by = ["epoch", "signal"]
+    place = lambda x: F.row_number().over(W.ordered(by, [F.desc(x), "entity", "period"]))
+    k = u.withColumns({"k": place("s"), "best": place("y"), "c": F.count("*").over(Window.partitionBy(*by))})
+    k = k.withColumns({"hits": F.sum("top").over(W.ordered(by, ["k"])), "chosen": F.col("k") <= F.col("c") / 10})
+    gain = lambda at: F.sum(F.col("y") / 1e5 / F.log2(F.col(at) + 1))
+    when = lambda c, x: F.when(F.col(c) if isinstance(c, str) else c, x)
+    g = k.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        r(F.sum(F.col("top") * F.col("hits") / F.col("k")) / F.sum("top"), 6).alias("ap"),
+        r(gain("k") / gain("best"), 6).alias("ndcg"),
+        r(F.max("y") - F.max(when("chosen", F.col("y"))), 2).alias("gap"),
+        r(1000 * F.avg(when("chosen", F.col("top")))).alias("yield_chosen"),
+        r(1000 * F.avg(when(F.col("n") > 1, F.col("top")))).alias("yield_busy"),
+    )
+    s = G.spearman(u, by, "s", "y").select(*by, r("spearman", 6).alias("spearman"))
+    both = k.where("chosen").groupBy(*KEY).agg(F.count("*").alias("m"))
+    j = both.groupBy("epoch").agg(r(F.count_if(F.col("m") == 2) / F.count("*"), 6).alias("jaccard"))
+    return g.join(s, by).join(F.broadcast(j), "epoch")
+
+
+_ROLE = " UNION ALL ".join(f"SELECT unnest(['mean_{c}', 'sd_{c}', 'zero_{c}', 'p90_{c}', 'p95_{c}']), unnest([round(avg(qty), 5), round(stddev_samp(qty), 5), round(avg((disc = 0)::INT), 6), round(quantile_cont(qty, 0.9), 5), round(quantile_cont(qty, 0.95), 5)]) FROM facts WHERE flag = '{c}'" for c in "ANR")
+
+
+@q("summary_vector", f"""WITH {FACTS}, x AS (SELECT *, net / 1000 AS x FROM facts), b AS (SELECT basket, sum(x) AS t, max(x) / sum(x) AS hi, min(x) / sum(x) AS lo, sum(x * x) / (sum(x) * sum(x)) AS h, count(*) AS n FROM x GROUP BY 1),
+  v(name, value) AS ({_ROLE}
+  UNION ALL SELECT unnest(['skew_R', 'kurtosis_R', 'spike_R', 'p99_R']), unnest([round(skewness(x), 5), round(kurtosis_pop(x), 4), round(avg((x > 60)::INT), 6), round(quantile_cont(x, 0.99), 4)]) FROM x WHERE flag = 'R'
+  UNION ALL SELECT unnest(['hhi', 'top_spread', 'variance_ratio']), unnest([round(avg(h), 6), round(avg(hi - lo), 6), round(var_samp(t) / (avg(n) * (SELECT var_samp(x) FROM x)), 5)]) FROM b
+  UNION ALL SELECT unnest(['corr_qty_net', 'corr_disc_net', 'joint_lift']), unnest([round(corr(qty, x), 6), round(corr(disc, x), 6), round(avg((qty > 45 AND x > 60)::INT) / (avg((qty > 45)::INT) * avg((x > 60)::INT)), 5)]) FROM x) SELECT name, value FROM v""")
 def summary(spark, sf):
-    x = {"mean": F.avg("qty"), "sd": F.stddev_samp("qty"), "p90": F.percentile("qty", F.lit(0.9)), "zero_rate": F.avg((F.col("disc") == 0).cast("int")), "skew": G.sample_skew("x")}
-    a = facts(spark, sf).withColumn("x", F.col("net") / 1000).agg(*[c.alias(k) for k, c in x.items()])
-    rows = [F.struct(F.lit(k).alias("name"), r(k, 5 if k == "skew" else 6).alias("value")) for k in x]
-    return a.select(F.inline(F.array(*rows)))
+    """Named summaries: of each role, of one class's tail, of shares within baskets, of pairs of columns and their tails."""
+    f = facts(spark, sf).withColumn("x", F.col("net") / 1000)
+    role = lambda c, x: F.when(F.col("flag") == c, x)
+    q, share = F.col("qty"), lambda e: F.avg(F.expr(e).cast("int"))
+    one = {}
+    for c in "ANR":
+        one |= {f"mean_{c}": (F.avg(role(c, q)), 5), f"sd_{c}": (F.stddev_samp(role(c, q)), 5), f"zero_{c}": (F.avg(role(c, (F.col("disc") == 0).cast("int"))), 6)}
+        one |= {f"p90_{c}": (F.percentile(role(c, q), F.lit(0.9)), 5), f"p95_{c}": (F.percentile(role(c, q), F.lit(0.95)), 5)}
+    f = f.withColumn("xr", role("R", F.col("x")))
+    one |= {"skew_R": (G.sample_skew("xr"), 5), "kurtosis_R": (F.kurtosis("xr"), 4), "spike_R": (F.avg((F.col("xr") > 60).cast("int")), 6), "p99_R": (F.percentile("xr", F.lit(0.99)), 4)}
+    one |= {"corr_qty_net": (F.corr("qty", "x"), 6), "corr_disc_net": (F.corr("disc", "x"), 6), "joint_lift": (share("qty > 45 and x > 60") / (share("qty > 45") * share("x > 60")), 5)}
+    long = lambda d: F.inline(F.array(*[F.struct(F.lit(k).alias("name"), r(k, n).alias("value")) for k, (_, n) in d.items()]))
+    total = f.agg(*[e.alias(k) for k, (e, _) in one.items()], F.var_samp("x").alias("var_x"))
+    b = f.groupBy("basket").agg(F.sum("x").alias("t"), F.max("x").alias("hi"), F.min("x").alias("lo"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("c"))
+    within = b.agg(F.avg(F.col("xx") / (F.col("t") * F.col("t"))).alias("hhi"), F.avg((F.col("hi") - F.col("lo")) / F.col("t")).alias("top_spread"), F.var_samp("t").alias("var_t"), F.avg("c").alias("c"))
+    within = within.crossJoin(F.broadcast(total.select("var_x"))).withColumn("variance_ratio", F.col("var_t") / (F.col("c") * F.col("var_x")))
+    three = {"hhi": (None, 6), "top_spread": (None, 6), "variance_ratio": (None, 5)}
+    return total.select(long(one)).unionByName(within.select(long(three)))

@@ -139,13 +139,25 @@ def curve_quantiles(spark, sf):
     return b.groupBy("item").agg(r(F.min(at)).alias("q50"))
 
 
-@q("market_points", f"WITH q AS (SELECT p_brand AS item, p_type AS family, CASE WHEN p_size % 2 = 0 THEN 100.0 / (200 + p_size) ELSE (100.0 + p_size) / (200 + p_size) END AS p FROM part), f AS (SELECT item, family, avg(p / (p + 0.5)) AS fair FROM q GROUP BY 1, 2) SELECT item, round(sum(fair * 10), 6) AS points, count(*) AS families FROM f GROUP BY 1")
+_Z = "(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t))"
+_TAIL = "1 - list_sum(list_transform(range(CAST(floor(point) AS BIGINT) + 1), lambda k: exp(-(a.lo + a.hi) / 2 + k * ln((a.lo + a.hi) / 2) - lgamma(k + 1))))"
+
+
+@q("market_points", f"""WITH quotes AS (SELECT p_brand AS item, p_type AS family, p_size % 4 + 0.5 AS point, CASE WHEN p_size % 2 = 0 THEN 100.0 / (200 + p_size) ELSE (100.0 + p_size) / (200 + p_size) END AS p FROM part), f AS (SELECT item, family, point, avg(p / (p + 0.5)) AS fair FROM quotes GROUP BY 1, 2, 3), s AS (SELECT *, sqrt(-2 * ln(least(fair, 1 - fair))) AS t FROM f),
+  m AS (SELECT item, family, CASE WHEN family IN ('PROMO', 'ECONOMY') THEN list_reduce(range(40), lambda a, x: CASE WHEN {_TAIL} < fair THEN {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} END, {{'lo': 0.0::DOUBLE, 'hi': 50.0::DOUBLE}}).lo ELSE point + 5.0 * CASE WHEN fair >= 0.5 THEN {_Z} ELSE -{_Z} END END AS mean FROM s), a AS (SELECT item, family, avg(mean) AS mean FROM m GROUP BY 1, 2)
+  SELECT item, round(sum(mean * CASE WHEN family IN ('PROMO', 'ECONOMY') THEN 6.0 ELSE 0.1 END), 5) AS points, count(*) AS families FROM a GROUP BY 1""")
 def market_points(spark, sf):
-    from pitpanel.functions.exprs import devig, implied_probability
+    """Fair over-prices by item, family and line, averaged over quotes; each inverted to a mean, of a Poisson or a normal
+    variable by the family; means averaged over lines, and summed over families in points."""
+    from pitpanel.functions.exprs import devig, implied_probability, normal_mean, poisson_mean
 
+    counts = F.col("family").isin("PROMO", "ECONOMY")
     price = F.when(F.col("p_size") % 2 == 0, 100 + F.col("p_size")).otherwise(-(100 + F.col("p_size")))
-    f = table(spark, sf, "part").groupBy(F.col("p_brand").alias("item"), "p_type").agg(F.avg(devig(implied_probability(price), F.lit(0.5))).alias("fair"))
-    return f.groupBy("item").agg(r(F.sum(F.col("fair") * 10), 6).alias("points"), F.count("*").alias("families"))
+    point = (F.col("p_size") % 4 + 0.5).alias("point")
+    f = table(spark, sf, "part").groupBy(F.col("p_brand").alias("item"), F.col("p_type").alias("family"), point).agg(F.avg(devig(implied_probability(price), F.lit(0.5))).alias("fair"))
+    m = f.withColumn("mean", F.when(counts, poisson_mean(F.col("fair"), F.col("point"))).otherwise(normal_mean(F.col("fair"), F.col("point"), 5.0)))
+    a = m.groupBy("item", "family").agg(F.avg("mean").alias("mean"))
+    return a.groupBy("item").agg(r(F.sum(F.col("mean") * F.when(counts, 6.0).otherwise(0.1)), 5).alias("points"), F.count("*").alias("families"))
 
 
 @q("market_tail_gap", f"WITH {PANEL}, l AS (SELECT entity, epoch, max(total) - min(total) AS own, quantile_cont(total, 0.9) - quantile_cont(total, 0.1) AS market FROM panel GROUP BY 1, 2) SELECT entity, epoch, round(own - market, 3) AS gap FROM l ORDER BY abs(own - market) DESC, entity, epoch LIMIT 30")
@@ -284,11 +296,20 @@ def reach(spark, sf):
     return j.select("o_custkey", "n", r(F.expr("(y + (y2 - y) * (n - x) / (x2 - x)) * 100 - n"), 6).alias("ev"))
 
 
-@q("market_tail_edge_centered", f"WITH {GPANEL}, s AS (SELECT entity, grp, epoch, max(total) - min(total) AS x FROM gpanel GROUP BY 1, 2, 3), m AS (SELECT grp, epoch, quantile_cont(x, 0.5) AS med, count(*) AS n FROM s GROUP BY 1, 2) SELECT entity, epoch, round(x - med, 3) AS edge FROM s JOIN m USING (grp, epoch)")
+@q("market_tail_edge_centered", f"""WITH {GPANEL}, s AS (SELECT entity, grp, epoch, max(total) - min(total) AS own, CASE WHEN count(*) FILTER (period <= 9) >= 2 THEN (quantile_cont(total, 0.9) FILTER (period <= 9)) - (quantile_cont(total, 0.1) FILTER (period <= 9)) END AS market FROM gpanel GROUP BY 1, 2, 3),
+  m AS (SELECT grp, epoch, quantile_cont(own - market, 0.5) AS med FROM s GROUP BY 1, 2), c AS (SELECT epoch, count(*) AS rows, count(market) AS quoted, round(count(market) * 1.0 / count(*), 6) AS coverage FROM s GROUP BY 1)
+  SELECT entity, s.epoch, round(own - market - med, 6) + 0.0 AS edge, rows, quoted, coverage FROM s JOIN m ON m.grp = s.grp AND m.epoch = s.epoch JOIN c ON c.epoch = s.epoch""")
 def edge_centered(spark, sf):
-    s = grouped_panel(spark, sf).groupBy("entity", "grp", "epoch").agg((F.max("total") - F.min("total")).alias("x"))
-    m = s.groupBy("grp", "epoch").agg(F.percentile("x", F.lit(0.5)).alias("med"))
-    return s.join(m, ["grp", "epoch"]).select("entity", "epoch", r(F.col("x") - F.col("med"), 3).alias("edge"))
+    """Own spread less the market's as known at the cutoff (two quotes at least), less the group's median, and how many
+    rows of the epoch the market covers; rows without a market have no edge and stay."""
+    known = F.when(F.col("period") <= 9, F.col("total"))
+    spread = F.percentile(known, F.lit(0.9)) - F.percentile(known, F.lit(0.1))
+    s = grouped_panel(spark, sf).groupBy("entity", "grp", "epoch").agg((F.max("total") - F.min("total")).alias("own"), F.when(F.count(known) >= 2, spread).alias("market"))
+    s = s.withColumn("gap", F.col("own") - F.col("market"))
+    m = s.groupBy("grp", "epoch").agg(F.percentile("gap", F.lit(0.5)).alias("med"))
+    c = s.groupBy("epoch").agg(F.count("*").alias("rows"), F.count("market").alias("quoted"), r(F.count("market") / F.count("*"), 6).alias("coverage"))
+    out = s.join(m, ["grp", "epoch"]).join(F.broadcast(c), "epoch")  # a row per year
+    return out.select("entity", "epoch", (r(F.col("gap") - F.col("med"), 6) + F.lit(0.0)).alias("edge"), "rows", "quoted", "coverage")
 
 
 @q("market_open_last_dispersion", f"WITH {OBS}, q AS (SELECT event_type AS item, user_id AS book, arg_min(value, (observed_at, event_id)) AS o, arg_max(value, (observed_at, event_id)) AS l, count(*) AS n FROM obs GROUP BY 1, 2) SELECT item, round(avg(o), 6) AS opening, round(avg(l), 6) AS latest, round(stddev_samp(l), 6) AS dispersion, count(*) AS books, sum(n)::BIGINT AS snapshots FROM q GROUP BY 1")
