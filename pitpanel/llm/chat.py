@@ -1,8 +1,8 @@
 """Chat formatting by token-level assembly.
 
 Every turn's segments are encoded by themselves; reserved ids, one for each control string, are spliced between
-them. Control strings in a text are broken by a backslash after their first letter, and backslashes doubled, so
-that no text can hold a control string and the text can be read back. Where a turn starts in its conversation and
+them. Control strings of turns in a text are broken by a backslash after their first letter, and backslashes
+doubled, so that no text can hold one and the text can be read back; in a role, so is the colon that ends it. Where a turn starts in its conversation and
 which ids carry loss follows from prefix sums of lengths.
 """
 
@@ -36,6 +36,10 @@ def escape(text: str) -> str:
     return _BREAK.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace(": ", ":\\ ")
+
+
 def unescape(text: str) -> str:
     return _BACK.sub(r"\1", text)
 
@@ -60,9 +64,11 @@ def format_conversations(
 
     ids are the turn's; start is where they begin in the conversation, and those from loss_from to before loss_to
     (counted from the conversation's start) carry loss: an assistant's text. Rows are in partitions by
-    conversation, sorted by position. Turns are ordered by turn (nulls first), role, text; repeated rows stay.
+    conversation, sorted by position. Turns are ordered by turn (nulls first), role, SHA-256 of the text; repeated rows stay.
     Null role or text: empty. Rows with a null conv_id form one conversation. A role other than system, user and
-    assistant is spelled out between two reserved ids. Other columns are not looked at.
+    assistant is spelled out between two reserved ids. An empty table gives no rows. Other columns are not looked at.
+    Formatting takes turns by themselves; a conversation is one task's only for the order of its turns, which are
+    sorted on disk and streamed.
     """
 
     def run(frames):
@@ -72,7 +78,7 @@ def format_conversations(
             ids, head, body = [], [], []
             for role, text in zip(df["role"], df["text"], strict=True):
                 mark = KNOWN.get(role)
-                front = [code[mark]] if mark else [code[ROLE], *enc.encode_ordinary(escape(role)), code[COLON]]
+                front = [code[mark]] if mark else [code[ROLE], *enc.encode_ordinary(escape_role(role)), code[COLON]]
                 content = enc.encode_ordinary(escape(text))
                 ids.append([*front, *content, code[END]])
                 head.append(len(front))

@@ -181,12 +181,13 @@ def quality_rules(
     kept is false where base_failed (under 50 words, or over half the words in repeated 3-word windows), or where
     a ratio of RULES is above its stratum's cutoff. With a chance of at least 1 - level, every stratum's rules
     together falsely reject at most `risk` of its good documents. labels: (doc_id, quality); 1 is good, other
-    values and nulls are not used. With no labels, or too few, no rule is used and only base_failed rejects. Null
+    values and nulls are not used, repeated ones count once. With no labels, or too few, no rule is used and only
+    base_failed rejects; an empty table gives no rows. Null
     texts have no words and fail; a null stratum is one of its own. Rows with null ids are judged too.
     """
     docs = docs.withColumn(stratum, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
     counts = materialise(text_counts(docs, keys={"doc_id": "long", stratum: "string"}))
-    cuts = cutoffs(counts, labels, stratum, risk, level)
+    cuts = materialise(cutoffs(counts, labels, stratum, risk, level))
     failed = F.lit(False)
     wide = cuts.groupBy(stratum).agg(
         *[F.min(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in RULES]

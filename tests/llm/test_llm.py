@@ -143,6 +143,30 @@ def test_chat(spark):
         assert parts.count("</turn>") == 1 and parts.count("###") == 1
 
 
+def test_chat_query(spark):
+    """The registered query, over whole conversations and its own one, against a plain reading of the table."""
+    rows = [(r.conv_id, r.turn, r.role or "", r.text or "") for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
+    said = "\\### Assistant: </turn> ok"
+    rows += [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    got = {r.conv_id: r for r in queries.op1_chat_format(spark, SF).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c, r in got.items():
+        own = sorted(x for x in rows if x[0] == c)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in own).encode()).hexdigest()
+        loss = "".join(x[3] for x in own if x[2] == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[-7].loss_chars == len(said)
+
+
+def test_chat_role_with_a_colon(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, 0, "a: b: ", "c: d")], "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(df, path)
+    text = chat.encoding(path).decode(list(made.first().ids))
+    assert text.index(": ") == text.index(": c: d")
+    assert chat.read_back(made, path).first().turns_sha256 == hashlib.sha256(b"a: b: \nc: d\n").hexdigest()
+
+
 def test_chat_empty(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
@@ -278,6 +302,26 @@ def test_pipeline_near_copies(spark):
     assert left == {0: docs[0][1], 3: "\n".join(text[1][:5])}
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Columns with the stages' own names, null ids and texts, repeated rows, and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    long = " ".join(words(rng, 20_000, 9000))
+    rows = [(1, long), (1, long), (2, None), (3, ""), (None, long), (4, " ".join(words(rng, 60, 9000)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, id long, root int, bucket int, dropped string, kept int, row string, key int"
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, 1, 1, "x", 1, "y", 2) for d, t in rows], schema)
+    left = {"quality_rules": {1, 4}, "line_dedup": {1, 2, 3, 4}, "near_dedup": {1, 2, 3, 4}, "decontaminate": {1, 2, 3, 4}, "encode": {1, 2, 3, 4}}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, SF)
+        if name != "encode":
+            assert got.columns == df.columns
+        out = got.collect()
+        assert {r.doc_id for r in out} == left[name] | {None}, name
+        assert sum(r.doc_id == 1 for r in out) == 2
+        assert stage(spark, df.limit(0), SF).collect() == []
+
+
 PERSONAL = [
     "mail a.b+c@d-e.org.x, b@c.d@e.f and x@y", "ip 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.02.3.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 7",
     "+1 (988) 555-2485, +49 12 34", "+1 (269) 555-3296 4524132264652876", "🎉é +44 20 7946 0958 é a@b.co", "1 2 3 " * 3000, "a." * 3000 + "@b" + ".c" * 3000, "9" * 4000,
