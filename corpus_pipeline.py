@@ -1,7 +1,10 @@
 """From raw documents to token ids: quality rules, line dedup, near-dedup, decontamination, encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, whatever their names.
+
+In every stage: null and empty texts are documents without words; repeated rows are judged alike and stay or go
+together; rows with a null doc_id cannot be told apart and stay in every stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pitpanel.llm.store import by_size, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null and empty texts have under 50 words and go."""
     judged = quality.quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = materialise(judged.where("not kept").select("doc_id").distinct())
     return by_size(docs, gone, "doc_id", "left_anti")
