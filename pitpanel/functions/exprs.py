@@ -110,3 +110,37 @@ def poisson_mean(p: Column, point: Column, rounds: int = 40, most: float = 50.0)
 
     ends = F.struct(F.lit(0.0).alias("lo"), F.lit(most).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), ends, halve, lambda s: s["lo"])
+
+
+# fixed values: the published polynomial approximation of the normal distribution (Abramowitz and Stegun, 26.2.17)
+NORMAL = (0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429))
+
+
+def normal_density(z: Column) -> Column:
+    return F.exp(-z * z / 2) / F.sqrt(2 * F.pi())
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution, right to seven digits."""
+    t = 1 / (1 + NORMAL[0] * F.abs(z))
+    tail = F.lit(0.0)
+    for b in reversed(NORMAL[1]):
+        tail = t * (b + tail)
+    tail = normal_density(z) * tail
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def normal_crps(y: Column, mean: Column, sd: Column) -> Column:
+    """Closed-form CRPS of a normal forecast."""
+    z = (y - mean) / sd
+    return sd * (z * (2 * normal_cdf(z) - 1) + 2 * normal_density(z) - 1 / F.sqrt(F.pi()))
+
+
+def normal_cdf_sql(z: str) -> str:
+    """normal_cdf as SQL text."""
+    t = f"(1 / (1 + {NORMAL[0]} * abs({z})))"
+    tail = "0.0"
+    for b in reversed(NORMAL[1]):
+        tail = f"{t} * ({b} + {tail})"
+    tail = f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {tail}"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END"

@@ -84,10 +84,6 @@ def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: floa
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
 
 
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)) if x == x else None)
-
-
 def normal_crps(y: float, mean: float, sd: float) -> float:
     """Closed-form CRPS of a normal forecast."""
     z = (y - mean) / sd

@@ -265,7 +265,16 @@ def breakout(spark, sf):
     return p.select(*KEY, F.when(m.isNull(), "new").when(t > 2 * m, "breakout").when(t > m, "rising").when(t < 0.5 * m, "fading").otherwise("steady").alias("state"))
 
 
-@q("max_coverage_select")
+def _greedy_sql(k: int) -> str:
+    """k rounds as common table expressions: the best basket of what is left, then what it leaves."""
+    out = "l0 AS (SELECT DISTINCT basket, grp FROM facts WHERE qty > 45)"
+    for i in range(1, k + 1):
+        out += f", t{i} AS (SELECT {i} AS step, basket, count(*) AS gain FROM l{i - 1} GROUP BY 2 ORDER BY gain DESC, basket LIMIT 1)"
+        out += f", l{i} AS MATERIALIZED (SELECT * FROM l{i - 1} WHERE grp NOT IN (SELECT grp FROM l{i - 1} WHERE basket = (SELECT basket FROM t{i})))"
+    return out
+
+
+@q("max_coverage_select", f"WITH {FACTS}, {_greedy_sql(5)} " + " UNION ALL ".join(f"SELECT step, basket, gain FROM t{i}" for i in range(1, 6)))
 def max_coverage(spark, sf):
     x = facts(spark, sf).where("qty > 45").select("basket", "grp")
     return B.greedy_cover(x, "basket", "grp", 5, save)

@@ -147,18 +147,21 @@ def discordance(spark, sf):
     return d.groupBy("epoch").agg(*[n(F.expr(e)).alias(k) for k, e in {"better": "a < b", "worse": "a > b", "tied": "a = b", "only_a": "a < 50000 and b >= 50000", "only_b": "b < 50000 and a >= 50000"}.items()])
 
 
-@q("eval_paired_bootstrap")
+_STEPS = [(0.36788, 0), (0.73576, 1), (0.91970, 2), (0.98101, 3), (0.99634, 4)]  # fixed values: Poisson(1)
+
+
+@q("eval_paired_bootstrap", f"""WITH {FC}, d AS (SELECT epoch, period, sum(abs(y - pred) - abs(y - market)) AS s, count(*) AS c FROM fc GROUP BY 1, 2), w AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', epoch, period, rep)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM d, (SELECT unnest(range(1, 201)) AS rep)), p AS (SELECT *, CASE {" ".join(f"WHEN u < {b} THEN {k}" for b, k in _STEPS)} ELSE 5 END AS w FROM w), b AS (SELECT rep, sum(w * s) / nullif(sum(w * c), 0) AS diff FROM p GROUP BY 1)
+  SELECT round(avg(diff), 4) AS mean, round(quantile_cont(diff, 0.025), 4) AS low, round(quantile_cont(diff, 0.975), 4) AS high FROM b""")
 def bootstrap(spark, sf):
     """Poisson weights per (cluster, replicate) from a hash; clusters are summed first, so a replicate costs a row per cluster."""
     d = fc(spark, sf).groupBy(*EP).agg(F.sum(F.abs(F.col("y") - F.col("pred")) - F.abs(F.col("y") - F.col("market"))).alias("s"), F.count("*").alias("c"))
     d = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(200))))
-    u = F.pmod(F.xxhash64(*EP, "rep"), F.lit(1_000_003)) / 1_000_003
-    steps = [(0.36788, 0), (0.73576, 1), (0.91970, 2), (0.98101, 3), (0.99634, 4)]
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *EP, "rep")), 1, 8), 16, 10).cast("long") / 4294967296
     weight = F.lit(5)
-    for bound, k in reversed(steps):
+    for bound, k in reversed(_STEPS):
         weight = F.when(u < bound, k).otherwise(weight)
     by = d.withColumn("w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("diff"))
-    return by.agg(F.avg("diff").alias("mean"), F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"))
+    return by.agg(r(F.avg("diff")).alias("mean"), r(F.percentile("diff", F.lit(0.025))).alias("low"), r(F.percentile("diff", F.lit(0.975))).alias("high"))
 
 
 GRID = [round(0.5 + 0.1 * i, 1) for i in range(11)]

@@ -91,7 +91,8 @@ def ratio_reference(spark, sf):
     return bad.groupBy("entity").agg(F.count("*").alias("violations"))
 
 
-@q("gate_run_all")
+@q("gate_run_all", f"""WITH {PANEL}, b AS (SELECT *, {PRIOR} AS good, {LEAKY} AS leaky FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY epoch, period) AS k FROM panel)
+  SELECT 'no_leakage' AS gate, concat_ws(':', entity, epoch, period) AS key FROM b WHERE entity % 3 = 0 AND coalesce(abs(leaky - good) > 1e-6, (leaky IS NULL) <> (good IS NULL)) UNION ALL SELECT 'first_row_null', concat_ws(':', entity, epoch, period) FROM k WHERE k = 1 AND entity % 3 = 0""")
 def run_all(spark, sf):
     p = builds(spark, sf)
     kept = lambda df, gate: df.select(F.lit(gate).alias("gate"), F.concat_ws(":", *KEY).alias("key"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pitpanel.functions import exprs as X
 from pitpanel.operators import asof as A
 from pitpanel.operators import evaluate as V
 from pitpanel.operators import series as SE
@@ -65,15 +65,11 @@ def two_window(spark, sf):
     return x.select(*KEY, r("t").alias("t"), r("df").alias("df"), F.coalesce(F.when(F.col("t").isNotNull(), r(p, 5)), F.lit(1.0)).alias("p"))
 
 
-@q("eval_normal_crps")
+@q("eval_normal_crps", f"""WITH {PANEL}, w AS (SELECT *, avg(total) OVER w AS m, stddev_samp(total) OVER w AS s FROM panel WINDOW w AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)), z AS (SELECT *, (total - m) / s AS z FROM w WHERE s > 0)
+  SELECT entity, epoch, period, round(s * (z * (2 * ({X.normal_cdf_sql("z")}) - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())), 3) AS crps FROM z""")
 def normal_crps(spark, sf):
     p = W.trailing(panel(spark, sf), ["entity"], EP, 6, {"m": F.avg("total"), "s": F.stddev_samp("total")}).where("s > 0")
-
-    def run(frames):
-        for df in frames:
-            yield df[KEY].assign(crps=[SE.normal_crps(y, m, s) for y, m, s in zip(df["total"], df["m"], df["s"], strict=True)])
-
-    return p.select(*KEY, "total", "m", "s").mapInPandas(run, "entity long, epoch long, period long, crps double")
+    return p.select(*KEY, r(X.normal_crps(F.col("total"), F.col("m"), F.col("s")), 3).alias("crps"))
 
 
 @q("lag_watchlist", f"WITH {PANEL}, l AS (SELECT *, avg(total) OVER w AS m, avg(n) OVER w AS c FROM panel WINDOW w AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT entity, epoch, period FROM l WHERE total > 1.5 * m AND abs(n - c) <= 0.5")
@@ -274,15 +270,11 @@ def anatomy(spark, sf):
     return f.groupBy("epoch", band.alias("band")).agg(F.count("*").alias("baskets"), r(F.avg("n"), 6).alias("items"))
 
 
-@q("entries_to_line")
+@q("entries_to_line", f"""WITH {PANEL}, g AS (SELECT epoch, period, (quantile_cont(total, 0.99) - avg(total)) / stddev_samp(total) AS z FROM panel GROUP BY 1, 2), p AS (SELECT *, 1 - ({X.normal_cdf_sql("z")}) AS p FROM g)
+  SELECT epoch, period, CAST(ceil(ln(0.5) / ln(1 - greatest(p, 1e-9))) AS BIGINT) AS entries FROM p""")
 def entries_to_line(spark, sf):
     g = panel(spark, sf).groupBy(*EP).agg(F.avg("total").alias("m"), F.stddev_samp("total").alias("s"), F.percentile("total", F.lit(0.99)).alias("line"))
-
-    @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return 1 - SE.normal_cdf(z)
-
-    g = g.withColumn("p", tail((F.col("line") - F.col("m")) / F.col("s")))
+    g = g.withColumn("p", 1 - X.normal_cdf((F.col("line") - F.col("m")) / F.col("s")))
     return g.select(*EP, F.ceil(F.log(F.lit(0.5)) / F.log(1 - F.greatest("p", F.lit(1e-9)))).alias("entries"))
 
 
@@ -366,7 +358,7 @@ def skill(spark, sf):
     return x.select("epoch", r(F.expr("b / n"), 8).alias("brier"), r(F.expr("1 - (b / n) / (h / n * pow(1 - base, 2) + (1 - h / n) * pow(base, 2))"), 6).alias("skill"))
 
 
-@q("poisson_binomial_tail")
+@q("poisson_binomial_tail", f"WITH {FACTS}, g AS (SELECT basket, list_sort(list(disc)) AS ps FROM facts GROUP BY 1) SELECT basket, round(list_reduce(ps, lambda a, p: [a[1] * (1 - p), a[2] * (1 - p) + a[1] * p, a[3] * (1 - p) + a[2] * p, a[4] + a[3] * p], [1.0, 0.0, 0.0, 0.0]::DOUBLE[])[4], 9) AS p3 FROM g")
 def poisson_binomial(spark, sf):
     """P(at least 3 of a basket's events) from the exact distribution, carried as an array over its items."""
     g = facts(spark, sf).groupBy("basket").agg(F.array_sort(F.collect_list("disc")).alias("ps"))
@@ -376,7 +368,7 @@ def poisson_binomial(spark, sf):
         keep = lambda i: F.get(acc, i)
         return F.array(keep(0) * (1 - p), keep(1) * (1 - p) + keep(0) * p, keep(2) * (1 - p) + keep(1) * p, keep(3) + keep(2) * p)
 
-    return g.select("basket", F.get(F.aggregate("ps", zero, step), 3).alias("p3"))
+    return g.select("basket", r(F.get(F.aggregate("ps", zero, step), 3), 9).alias("p3"))
 
 
 @q("conditional_lift", f"WITH {FACTS}, b AS (SELECT basket, bool_or(flag = 'R') AS a, bool_or(qty > 40) AS b FROM facts GROUP BY 1) SELECT count(*) FILTER (a AND b) AS both, round((count(*) FILTER (a AND b) * 1.0 / count(*) FILTER (a)) / (count(*) FILTER (NOT a AND b) * 1.0 / count(*) FILTER (NOT a)), 8) AS lift FROM b")
