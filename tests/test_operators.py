@@ -211,3 +211,64 @@ def test_row_order_changes_nothing(spark, tmp_path):
     for name in ("win_trailing_n_prior", "win_consensus_rank", "join_asof_strict_period", "agg_shrunk_rate"):
         a, b = found[name](spark, SF), found[name](spark, str(tmp_path))
         assert rows_of(a.columns, a.collect()) == rows_of(b.columns, b.collect()), name
+
+
+def test_cusum_and_changepoint_panels(spark):
+    """The registered queries against a plain reading of each entity's series."""
+    from collections import defaultdict
+
+    from conftest import SF
+
+    found = registry.collect()[0]
+    totals = defaultdict(dict)
+    for o in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(20,4)").alias("v")).collect():
+        key = (o.o_orderdate.year, o.o_orderdate.month)
+        totals[o.o_custkey][key] = totals[o.o_custkey].get(key, 0) + o.v
+    want = {}
+    for e, months in totals.items():
+        at = sorted(months)
+        x = [float(months[m]) / 1e5 for m in at]
+        if len(x) < 3:
+            continue
+        mean = sum(x) / len(x)
+        sd = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+        up = down = 0.0
+        for m, v in zip(at, x):
+            z = (v - mean) / sd if sd else 0.0
+            up, down = max(0.0, up + z - 0.5), max(0.0, down - z - 0.5)
+            flag = up > 1.5 or down > 1.5
+            want[e, m[0] * 12 + m[1]] = flag
+            if flag:
+                up = down = 0.0
+    got = {(r.entity, r.at): r.cusum_flag for r in found["cusum_panel"](spark, SF).collect()}
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in got) <= 1 and any(want.values())
+    p = found["changepoint_panel"](spark, SF).collect()
+    assert {r.entity for r in p} == {e for e, m in totals.items() if len(m) >= 4} and all(0 <= r.p_change <= 1 + 1e-9 for r in p)
+
+
+def test_online_conformal_query(spark):
+    """Against the same recursion in plain Python over the stream's three files."""
+    from conftest import SF
+
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").cast("double").alias("t")).collect()
+    low, high = min(r.t for r in rows), max(r.t for r in rows)
+    by = {}
+    for r in sorted(rows, key=lambda r: (min(int((r.t - low) / (high - low) * 3), 2), r.event_id)):
+        by.setdefault(r.event_type, []).append(r)
+    got = {r.at: r for r in registry.collect()[0]["stream_online_conformal"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    merged = sum(len(v) for v in by.values())
+    assert merged == len(rows)
+    for own in by.values():
+        for order in (own, sorted(own, key=lambda r: r.event_id)):  # files may share a micro-batch
+            alpha, scores, same = 0.1, [], True
+            for r in order:
+                bound = sorted(scores)[min(len(scores), max(1, math.ceil((len(scores) + 1) * (1 - alpha)))) - 1] if scores else None
+                missed = bound is not None and r.value > bound
+                g = got[r.event_id]
+                same &= g.missed == missed and g.alpha == pytest.approx(alpha) and (g.bound is None) == (bound is None) and (bound is None or g.bound == bound)
+                scores = [*scores, r.value][-200:]
+                alpha = min(0.5, max(0.001, alpha + 0.02 * (0.1 - missed)))
+            if same:
+                break
+        assert same
