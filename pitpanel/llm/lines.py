@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.llm.store import by_size, connected_components, materialise
 
-EDITS, MIN_CHARS, BLOCK = 2, 9, 128
+EDITS, MIN_CHARS, BLOCK, SKETCH = 2, 9, 128, 64
 _INK = r"[^\x20\x09-\x0D]"
 ORDER = "decimal(38,0)"
 _LINES = 1 << 31  # places of lines in a document
@@ -240,14 +240,14 @@ def _once(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """(doc_id long, n_lines, n_dropped, n_links longs, class_id long, dropped array<int>), a row for each doc_id.
+    """(doc_id long, n_lines, n_dropped, n_links longs, class_id long, dropped array<int>, sources array<long>) by doc_id.
 
     docs: (doc_id, text). A line with a visible character is a repeat if an earlier line (by doc_id, then line
     number) is equal, or if both have at least min_chars characters and one that is first of its kind is within
     `edits` edits; lines under 3 * (edits + 1) characters have no segments of three and are repeats only if equal.
     All repeats are dropped. n_links: other distinct lines within reach of this document's lines; class_id: the
     smallest doc_id that is reached through equal lines and lines within reach, over any number of documents, itself
-    included. dropped: line numbers from 0, in order. Null and empty texts have no lines; null ids are left out;
+    included. dropped: line numbers from 0, in order; sources: of each, the document with the earlier line. Null and empty texts have no lines; null ids are left out;
     repeated ids are one document, whose equal lines at one place count once; an empty table gives no rows. Other
     columns are not looked at.
     """
@@ -261,10 +261,11 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
     place = by_size(rows.select("doc_id", "line_no", "id", "id2", "at"), keep, ["id", "id2"], "left")
     repeat = (F.col("first") < F.col("head")) | (F.col("head") < F.col("at"))
     doc_of = lambda at: F.floor(F.col(at) / F.lit(_LINES).cast(ORDER)).cast("long")
+    source = F.when(F.col("first") < F.col("head"), doc_of("first")).otherwise(doc_of("head"))
     by_doc = place.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
         F.sum("links").alias("n_links"),
-        F.collect_list(F.when(repeat, F.col("line_no"))).alias("dropped"),
+        F.collect_list(F.when(repeat, F.struct("line_no", source.alias("source")))).alias("repeats"),
         F.collect_set(doc_of("head")).alias("heads"),
     )
     by_doc = materialise(by_doc)
@@ -274,7 +275,9 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
     by_doc = by_size(by_doc.drop("heads"), roots, "doc_id", "left")
     every = docs.where("doc_id is not null").select("doc_id").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    dropped = F.coalesce(F.array_sort("dropped"), F.array().cast("array<int>"))
+    repeats = F.array_sort("repeats")
+    dropped = F.coalesce(F.transform(repeats, lambda x: x["line_no"]), F.array().cast("array<int>"))
+    sources = F.coalesce(F.transform(repeats, lambda x: x["source"]), F.array().cast("array<long>"))
     return every.join(by_doc, "doc_id", "left").select(
         "doc_id",
         zero("n_lines"),
@@ -282,24 +285,92 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
         zero("n_links"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         dropped.alias("dropped"),
+        sources.alias("sources"),
     )
 
 
-def drop_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _without(text: Column, numbers: Column) -> Column:
+    """text without the lines of these numbers."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+
+
+def _shingles(text: Column, k: int) -> Column:
+    """The distinct hashes of text's k-word shingles, A-Z lower-cased; with fewer words, of all of them as one."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def of(h: Column) -> Column:
+        last = F.size(h) - k
+        many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.xxhash64(*[F.get(h, p + i) for i in range(k)]))
+        return F.when(F.size(h) > 0, F.array_distinct(many)).otherwise(F.array().cast("array<long>"))
+
+    return _held(F.transform(words, lambda w: F.xxhash64(w)), of)
+
+
+def copies_of(docs: DataFrame, gone: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(doc_id, copied): documents that are copies of the one document copied from which most of their repeats come.
+
+    docs: (doc_id, text); gone: (doc_id, dropped, sources). Compared is what would be left of the two: of the copy all
+    but repeats from elsewhere, of the other all but its repeats; by the similarity of their sets of shingles. So
+    near-duplicate detection with that similarity finds the pair after line dedup.
+    """
+    each = gone.select("doc_id", F.explode("sources").alias("s")).where("s <> doc_id").groupBy("doc_id", "s").agg(F.count("*").alias("n"))
+    most = each.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("s")).alias("before"))).alias("most"))
+    pairs = materialise(most.select("doc_id", (-F.col("most.before")).alias("copied")))
+
+    def compared(pairs: DataFrame, seen) -> DataFrame:
+        """pairs with a and b: seen(set of shingles) of what would be left of either."""
+        copy = _on_ids(docs, gone.join(pairs, "doc_id"))
+        elsewhere = F.filter(F.arrays_zip("dropped", "sources"), lambda x: x["sources"] != F.col("copied"))
+        a = copy.select("doc_id", "copied", seen(_shingles(_without(F.col("text"), F.transform(elsewhere, lambda x: x["dropped"])), shingle)).alias("a"))
+        first = pairs.select(F.col("copied").alias("doc_id")).distinct().join(gone.select("doc_id", "dropped"), "doc_id", "left")
+        own = F.coalesce("dropped", F.array().cast("array<int>"))
+        b = _on_ids(docs, first).select(F.col("doc_id").alias("copied"), seen(_shingles(_without(F.col("text"), own), shingle)).alias("b"))
+        return a.join(b, "copied")
+
+    # the SKETCH least hashes of each set first: pairs whose estimate is five deviations short need no whole sets
+    short = compared(pairs, lambda s: F.slice(F.array_sort(s), 1, SKETCH))
+    least = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect("a", "b"), least))
+    slack = 5 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    near = short.where(shared >= (similarity - slack) * F.size(least)).select("doc_id", "copied").distinct()
+    full = compared(materialise(near), lambda s: s)
+    both = F.size(F.array_intersect("a", "b"))
+    like = (both > 0) & (both >= similarity * (F.size("a") + F.size("b") - both))
+    return full.where(like).select("doc_id", "copied").distinct()
+
+
+def _on_ids(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs joined with rows by doc_id; rows, with arrays of line numbers, are broadcast only if they are few and short."""
+    rows = materialise(rows)
+    few = rows.agg(F.count("*").alias("n"), F.sum(F.size("dropped")).alias("lines")).first()
+    small = few["n"] <= 200_000 and (few["lines"] or 0) <= 2_000_000
+    return docs.join(F.broadcast(rows) if small else rows, "doc_id")
+
+
+def drop_lines(docs: DataFrame, found: DataFrame, whole: float | None = None, shingle: int = 5) -> DataFrame:
     """docs, all columns, with the lines that line_dedup dropped taken out of text; n_chars, if there, counted anew.
 
     Rows of documents without dropped lines, null texts and null ids stay as they are; columns may have any names.
+    With `whole`, a document that is as a whole a copy of another (copies_of, this similarity) keeps the lines that it
+    has from there: it would be a scrap that near-duplicate detection cannot recognise. A document that loses all
+    its lines stays as an empty one.
     """
     names = docs.columns
-    gone = materialise(found.where("n_dropped > 0").select(F.struct("doc_id", "dropped").alias("gone")))
+    gone = materialise(found.where("n_dropped > 0").select("doc_id", "dropped", "sources"))
+    if whole is not None:
+        copies = materialise(copies_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone, whole, shingle))
+        gone = by_size(gone, copies, "doc_id", "left")
+        left = F.transform(F.filter(F.arrays_zip("dropped", "sources"), lambda x: x["sources"] != F.col("copied")), lambda x: x["dropped"])
+        gone = materialise(gone.select("doc_id", F.when(F.col("copied").isNull(), F.col("dropped")).otherwise(left).alias("dropped")))
+    gone = gone.where(F.size("dropped") > 0).select(F.struct("doc_id", "dropped").alias("gone"))
     held = docs.select(F.struct(*docs.columns).alias("row"))
     on = F.col("row.doc_id") == F.col("gone.doc_id")
     few = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone.dropped")).alias("lines")).first()
     small = few["n"] <= 200_000 and (few["lines"] or 0) <= 2_000_000  # 8 MB of numbers
     joined = held.join(F.broadcast(gone) if small else gone, on, "left")
     text, changed = F.col("row.text"), F.col("gone").isNotNull()
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone.dropped"), i))
-    new = F.when(changed, F.array_join(left, "\n")).otherwise(text)
+    new = F.when(changed, _without(text, F.col("gone.dropped"))).otherwise(text)
     cols = {c: F.col("row")[c] for c in names} | {"text": new}
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType

@@ -60,8 +60,24 @@ def edit_distance(a, b, most=None):
     return row[-1]
 
 
-def line_dedup(docs, edits, min_chars):
-    """doc_id -> (lines, dropped numbers, links)."""
+def without_repeats(docs, edits, min_chars, whole=0.8):
+    """doc_id -> text without repeated lines; a copy of another document keeps what it has from there; emptied ones go."""
+    texts, found, out = dict(docs), line_dedup(docs, edits, min_chars, sources=True), {}
+    less = lambda d, gone: "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
+    for d, t in texts.items():
+        left, others = less(d, found[d]), collections.Counter(s for s in found[d].values() if s != d)
+        if others:
+            s = min(others, key=lambda x: (-others[x], x))
+            copy = less(d, {i for i, x in found[d].items() if x != s})
+            a, b = shingles(copy, 5), shingles(less(s, found[s]), 5)
+            left = copy if a & b and len(a & b) >= whole * len(a | b) else left
+        if WORD.search(left) or not WORD.search(t or ""):
+            out[d] = left
+    return out
+
+
+def line_dedup(docs, edits, min_chars, sources=False):
+    """doc_id -> (lines, dropped numbers, links); with sources, doc_id -> {dropped number: document of the earlier line}."""
     lines = [(d, i, x) for d, t in sorted(docs) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     first = {}
     for d, i, x in lines:
@@ -79,6 +95,9 @@ def line_dedup(docs, edits, min_chars):
     own = collections.defaultdict(list)
     for d, i, x in lines:
         own[d].append((i, x))
+    if sources:
+        low = {x: min([first[x], *(first[y] for y in near[x])]) for x in kinds}
+        return {d: {i: low[x][0] for i, x in own[d] if low[x] < (d, i)} for d, _ in docs}
     for d in sorted({d for d, _ in docs}):
         dropped = [i for i, x in own[d] if min([first[x], *(first[y] for y in near[x])]) < (d, i)]
         out[d] = (len(own[d]), dropped, sum(len(near[x]) for _, x in own[d]))

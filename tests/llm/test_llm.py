@@ -298,10 +298,13 @@ def test_pipeline_near_copies(spark):
     text = [[" ".join(words(rng, 30, 4000)) for _ in range(8)] for _ in range(4)]
     near = [text[0][0] + " one more here now", *text[0][1:]]
     docs = [(0, "\n".join(text[0])), (1, "\n".join(near)), (2, "\n".join(text[0])), (3, "\n".join(text[1][:5] + text[0][:3]))]
-    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, docs), SF).collect()}
+    lined = corpus_pipeline.line_dedup(spark, frame(spark, docs), SF).persist()
+    assert {r.doc_id: r.text for r in lined.collect()} == {**dict(docs), 3: "\n".join(text[1][:5])}
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, lined, SF).collect()}
     assert left == {0: docs[0][1], 3: "\n".join(text[1][:5])}
 
 
+
 def test_pipeline_stages_on_odd_tables(spark):
     """Columns with the stages' own names, null ids and texts, repeated rows, and empty tables."""
     import corpus_pipeline
@@ -574,10 +577,7 @@ def test_pipeline(spark):
     whole = {r.doc_id: r.text for r in docs.collect()}
     failed = {d for d, t in whole.items() if (c := brute.text_counts(t))[0] < 50 or 2 * c[4] > c[0]}
     assert set(whole) - set(texts["quality_rules"]) == failed  # too few labels here for other rules
-    found = brute.line_dedup(list(texts["quality_rules"].items()), lines.EDITS, lines.MIN_CHARS)
-    for d, t in texts["line_dedup"].items():
-        gone = set(found[d][1])
-        assert t == "\n".join(x for i, x in enumerate(texts["quality_rules"][d].split("\n")) if i not in gone)
+    assert texts["line_dedup"] == brute.without_repeats(list(texts["quality_rules"].items()), lines.EDITS, lines.MIN_CHARS)
     root = brute.components(list(texts["line_dedup"].items()), 5, 80)
     assert set(texts["near_dedup"]) == {d for d, (_, r) in root.items() if r == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
