@@ -29,10 +29,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return _written(df)[0]
 
 
+#: Bytes of one batch between Spark and Python while a table is written: whole texts are wide rows.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH[0], None)
+    spark.conf.set(*BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH[0])
+        else:
+            spark.conf.set(BATCH[0], before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
