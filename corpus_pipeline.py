@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitpanel.llm import bpe, decontam, lines, minhash, quality
 from pitpanel.llm.store import by_size, materialise
@@ -24,20 +25,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are no copies as a whole, without the lines that repeat earlier ones.
+    """Documents without the lines that repeat earlier ones; one that loses all its lines goes.
 
-    Whole copies go first: without their repeated lines they would be scraps that near_dedup cannot recognise.
+    A document that is as a whole a copy of another keeps what it has from there: near_dedup, next, takes it out.
     """
-    docs = materialise(_no_copies(docs))
-    return lines.drop_lines(docs, lines.line_dedup(docs))
+    left = lines.drop_lines(docs, lines.line_dedup(docs), whole=0.8)
+    ink = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    emptied = by_size(docs.where(ink).select("doc_id"), materialise(left.where(~ink).select("doc_id").distinct()), "doc_id", "left_semi")
+    return by_size(left, materialise(emptied.distinct()), "doc_id", "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, of those that line dedup left."""
-    return _no_copies(docs)
-
-
-def _no_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     gone = materialise(found.where("not kept").select("doc_id").distinct())
