@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, decontam, lines, minhash, pii, quality, token_count, toxicity, urls
+from pitpanel.llm import bpe, chat, decontam, lines, minhash, packing, pii, quality, search, token_count, toxicity, urls, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,19 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 def _corpus_pipeline():
     """corpus_pipeline.py at the repository's top."""
     if "corpus_pipeline" in sys.modules:
@@ -97,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_pii,
         op10_token_count,
+        op11_pack,
+        op12_search,
+        op13_spelling_variants,
         pipeline,
     ]
     return {f.__name__: f for f in own}
@@ -126,5 +142,34 @@ FROM split
 """
 
 
+SEARCH_SQL = rf"""
+WITH said AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM said GROUP BY doc_id, term
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), size AS (
+  SELECT doc_id, count(*) AS n FROM said GROUP BY doc_id
+), whole AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+                  * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN size USING (doc_id) CROSS JOIN whole
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_SQL}
+    return {"op5_url_filter": URL_SQL, "op12_search": SEARCH_SQL}

@@ -62,9 +62,12 @@ def runs(col: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in buf, and the index of each row's first word (one more entry than rows)."""
-    ink = ~_SPACE[buf]
+def word_spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in buf, and the index of each row's first word (one more entry than rows).
+
+    space: of each byte, whether it stands between words.
+    """
+    ink = ~space[buf]
     if not len(buf):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offs), dtype=np.int64)
