@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import evaluate as V
 from pitpanel.operators import windows as W
+from pitpanel.operators.regress import walk_forward_ridge
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, panel, r, table
 from pitpanel.sources.tables import save
 
@@ -16,6 +17,9 @@ FC = f"""{GPANEL}, fc AS (SELECT * FROM (SELECT entity, epoch, period, grp, n, r
   round(last_value(total) OVER w, 2) AS market FROM gpanel WINDOW w AS (PARTITION BY entity ORDER BY epoch, period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) WHERE pred IS NOT NULL)"""
 
 
+PRICED = "priced AS (SELECT entity, epoch, period, grp, y / 1e5 AS v, pred / 1e5 AS x1, market / 1e5 AS x2, (p90 - p10) / 1e5 AS x3 FROM fc)"
+
+
 def fc(spark, sf):
     aggs = {"pred": F.avg("total"), "p10": F.min("total"), "p90": F.max("total"), "market": F.last("total")}
     out = W.trailing(grouped_panel(spark, sf), ["entity"], EP, 6, aggs).where("pred is not null")
@@ -193,14 +197,28 @@ def folds(spark, sf):
     return held.join(F.broadcast(e.withColumnRenamed("epoch", "train")), F.col("train") < F.col("held"))
 
 
-@q("fit_pricing_residual", f"""WITH {FC}, s AS (SELECT grp, count(*) AS n, sum(pred / 1e5) AS sx, sum(y / 1e5) AS sy, sum(pred * pred / 1e10) AS sxx, sum(pred * y / 1e10) AS sxy FROM fc GROUP BY 1), c AS (SELECT grp, (n * sxy - sx * sy) / (n * sxx - sx * sx + n) AS b, n AS cn, sx, sy FROM s)
-  SELECT entity, epoch, period, round(y / 1e5 - (sy - b * sx) / cn - b * pred / 1e5, 3) + 0.0 AS residual FROM fc JOIN c USING (grp)""")
+# of every nation and year: sums over earlier years, the ridge of three features by Cramer's rule
+_DET = "({a}11 * ({a}22 * {a}33 - {a}23 * {a}23) - {a}12 * ({a}12 * {a}33 - {a}23 * {a}13) + {a}13 * ({a}12 * {a}23 - {a}22 * {a}13))"
+_SUMS = {f"s{i}": f"x{i}" for i in (1, 2, 3)} | {"sy": "v"} | {f"s{i}{j}": f"x{i} * x{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j} | {f"t{i}": f"x{i} * v" for i in (1, 2, 3)}
+
+
+@q("fit_pricing_residual", f"""WITH {FC}, {PRICED}, e AS (SELECT grp, epoch, count(*) AS n, {", ".join(f"sum({x}) AS {c}" for c, x in _SUMS.items())} FROM priced GROUP BY 1, 2),
+  p AS (SELECT grp, epoch, sum(n) OVER w AS n, {", ".join(f"sum({c}) OVER w AS {c}" for c in _SUMS)} FROM e WINDOW w AS (PARTITION BY grp ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  m AS (SELECT *, {", ".join(f"s{i} / n AS m{i}, sqrt(s{i}{i} / n - s{i} / n * s{i} / n) AS d{i}" for i in (1, 2, 3))} FROM p WHERE n >= 20 AND epoch IN (SELECT epoch FROM (SELECT DISTINCT epoch FROM priced) ORDER BY epoch OFFSET 3)),
+  c AS (SELECT *, {", ".join(f"(s{i}{j} - n * m{i} * m{j}) / d{i} / d{j}{' + 5' * (i == j)} AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)}, {", ".join(f"(t{i} - m{i} * sy) / d{i} AS b{i}" for i in (1, 2, 3))} FROM m),
+  g AS (SELECT *, {_DET.format(a="a")} AS det FROM c),
+  f AS (SELECT grp, epoch, sy / n AS b0, {", ".join(f"m{i}, d{i}" for i in (1, 2, 3))},
+    (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / det AS w1,
+    (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det AS w2,
+    (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w3 FROM g),
+  r AS (SELECT entity, epoch, period, grp, v - (b0 + {" + ".join(f"w{i} * (x{i} - m{i}) / d{i}" for i in (1, 2, 3))}) AS residual FROM priced JOIN f USING (grp, epoch)),
+  z AS (SELECT *, residual / stddev_pop(residual) OVER (PARTITION BY grp, epoch) AS z FROM r)
+  SELECT entity, epoch, period, round(residual, 4) + 0.0 AS residual, round(z, 4) + 0.0 AS residual_z, z <= -1.5 AS watchlist FROM z""")
 def pricing(spark, sf):
-    """Ridge of the value on the trailing mean per group, from sums: every group is one row of coefficients."""
-    f = fc(spark, sf).withColumns({"x": F.col("pred") / 1e5, "v": F.col("y") / 1e5})
-    s = f.groupBy("grp").agg(F.count("*").alias("c"), F.sum("x").alias("sx"), F.sum("v").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("v")).alias("sxy"))
-    s = s.withColumn("b", F.expr("(c * sxy - sx * sy) / (c * sxx - sx * sx + c)")).withColumn("a", F.expr("(sy - b * sx) / c"))
-    return f.join(s, "grp").select(*KEY, (r(F.expr("v - a - b * x"), 3) + F.lit(0.0)).alias("residual"))
+    """Order value on what the customer's earlier months say, by nation, every year from the years before it."""
+    f = fc(spark, sf).select(*KEY, "grp", (F.col("y") / 1e5).alias("v"), (F.col("pred") / 1e5).alias("x1"), (F.col("market") / 1e5).alias("x2"), ((F.col("p90") - F.col("p10")) / 1e5).alias("x3"))
+    out = walk_forward_ridge(f, ["grp"], "epoch", ["x1", "x2", "x3"], "v", min_epochs=3)
+    return out.select(*KEY, *[(r(c) + F.lit(0.0)).alias(c) for c in ("residual", "residual_z")], "watchlist")
 
 
 @q("fit_conformal_quantile", f"""WITH {FC}, k AS (SELECT grp, greatest(p10 - y, y - p90) AS s, row_number() OVER (PARTITION BY grp ORDER BY greatest(p10 - y, y - p90)) AS k, count(*) OVER (PARTITION BY grp) AS n FROM fc), a AS (SELECT grp, max(s) FILTER (k = ceil((n + 1) * 0.8)) AS q, count(*) AS n FROM k GROUP BY 1)
