@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitpanel.operators import asof as A
+from pitpanel.operators import fuzzy
 from pitpanel.operators import resolve as R
 from pitpanel.operators import spine as S
 from pitpanel.operators import windows as W
@@ -266,13 +267,29 @@ def name_two_stage(spark, sf):
     return R.two_stage(asked, known, up, F.concat(F.left(up, F.lit(1)), F.split_part(up, F.lit(" "), F.lit(2))), "id")
 
 
-@q("resolve_exact_then_fuzzy", """WITH a AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), ex AS (SELECT p_name, p_brand, p_size, max(p_partkey) AS i FROM a GROUP BY 1, 2, 3 HAVING count(*) = 1), fz AS (SELECT left(p_name, 4) AS f, p_brand, p_size, max(p_partkey) AS i FROM a GROUP BY 1, 2, 3 HAVING count(*) = 1)
-  SELECT a.p_partkey, coalesce(ex.i, fz.i) AS resolved FROM a LEFT JOIN ex USING (p_name, p_brand, p_size) LEFT JOIN fz ON fz.f = left(a.p_name, 4) AND fz.p_brand = a.p_brand AND fz.p_size = a.p_size""")
+#: parts under the names that others give them: in capitals, with a letter missing, with a letter that is another, or by a nickname
+ASKED = """known AS (SELECT p_partkey AS id, p_type AS class, p_size AS size, p_brand AS code, p_name || ' ' || p_brand AS name FROM part),
+  asked AS (SELECT id AS row, class, size, id % 4 = 3 AS special, CASE id % 4 WHEN 0 THEN ' ' || upper(name) WHEN 1 THEN left(name, CAST(id % length(name) AS BIGINT)) || substr(name, id % length(name) + 2)
+    WHEN 2 THEN left(name, CAST(id % length(name) AS BIGINT)) || 'x' || substr(name, id % length(name) + 2) ELSE split_part(name, ' ', 2) END AS name FROM known),
+  nick AS (SELECT split_part(name, ' ', 2) AS nickname, min(code) AS code FROM known GROUP BY 1)"""
+
+
+@q("resolve_exact_then_fuzzy", f"""WITH {ASKED}, k AS (SELECT *, lower(trim(name)) AS n FROM known), a AS (SELECT *, lower(trim(name)) AS n FROM asked),
+  ex AS (SELECT class, size, n, max(id) AS e FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1),
+  fz AS (SELECT row, max(k.id) AS f FROM a JOIN k USING (class, size) WHERE NOT special AND levenshtein(a.n, k.n) <= 2 GROUP BY 1 HAVING count(DISTINCT k.id) = 1),
+  nk AS (SELECT row, max(k.id) AS i FROM a JOIN nick ON a.n = nick.nickname JOIN k ON k.code = nick.code AND k.class = a.class AND k.size = a.size WHERE special GROUP BY 1 HAVING count(DISTINCT k.id) = 1)
+  SELECT row, CASE WHEN special THEN i ELSE coalesce(e, f) END AS resolved, CASE WHEN special THEN CASE WHEN i IS NOT NULL THEN 'nickname' END WHEN e IS NOT NULL THEN 'exact' WHEN f IS NOT NULL THEN 'fuzzy' END AS method
+  FROM a LEFT JOIN ex USING (class, size, n) LEFT JOIN fz USING (row) LEFT JOIN nk USING (row)""")
 def exact_then_fuzzy(spark, sf):
-    a = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size").withColumn("f", F.left("p_name", F.lit(4)))
-    one = lambda keys, n: a.groupBy(*keys).agg(F.count("*").alias("c"), F.max("p_partkey").alias(n)).where("c = 1").drop("c")
-    ek, fk = ["p_name", "p_brand", "p_size"], ["f", "p_brand", "p_size"]
-    return a.join(one(ek, "i1"), ek, "left").join(one(fk, "i2"), fk, "left").select("p_partkey", F.coalesce("i1", "i2").alias("resolved"))
+    p = table(spark, sf, "part")
+    known = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.col("p_size").alias("size"), F.col("p_brand").alias("code"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    at = (F.col("id") % F.length("name")).cast("int")
+    head, tail, kind = F.substr("name", F.lit(1), at), F.substr("name", at + 2), F.col("id") % 4
+    name = F.when(kind == 0, F.concat(F.lit(" "), F.upper("name"))).when(kind == 1, F.concat(head, tail)).when(kind == 2, F.concat(head, F.lit("x"), tail)).otherwise(F.split_part("name", F.lit(" "), F.lit(2)))
+    asked = known.select(F.col("id").alias("row"), "class", "size", (kind == 3).alias("special"), name.alias("name"))
+    nick = known.groupBy(F.split_part("name", F.lit(" "), F.lit(2)).alias("nickname")).agg(F.min("code").alias("code"))
+    out = fuzzy.resolve(asked, known, ["class", "size"], "name", "id", edits=2, special=F.col("special"), nicknames=nick)
+    return out.select("row", "resolved", "method")
 
 
 @q("resolve_tiebreak_nearest", """SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey
