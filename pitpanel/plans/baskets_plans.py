@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import aggs as G
 from pitpanel.operators import baskets as B
 from pitpanel.operators import windows as W
+from pitpanel.operators.subgroups import discover
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
 from pitpanel.sources import tables as T
 from pitpanel.sources.tables import save
@@ -132,11 +133,13 @@ def redundancy(spark, sf):
     return B.shared_items(facts(spark, sf), "basket", "entity", 2)
 
 
-@q("swap_frontier", f"WITH {FACTS}, x AS (SELECT DISTINCT basket, grp FROM facts WHERE qty > 30), mult AS (SELECT grp, count(*) AS m FROM x WHERE basket % 100 = 0 GROUP BY 1) SELECT x.basket, count(*) FILTER (m IS NULL) AS new_worlds, count(*) FILTER (m = 1) AS shared_unique FROM x LEFT JOIN mult USING (grp) WHERE basket % 100 <> 0 GROUP BY 1")
+@q("swap_frontier", f"""WITH {FACTS}, x AS (SELECT DISTINCT basket, entity AS world FROM facts WHERE qty > 30), p AS (SELECT DISTINCT basket AS p FROM x WHERE basket % 100 = 0), h AS (SELECT world, count(*) AS m, min(basket) AS sole FROM x WHERE basket % 100 = 0 GROUP BY 1),
+  u AS (SELECT p, count(h.world) AS u FROM p LEFT JOIN h ON h.sole = p AND m = 1 GROUP BY 1), nw AS (SELECT basket, count(*) FILTER (m IS NULL) AS new_events FROM x LEFT JOIN h USING (world) GROUP BY 1),
+  o AS (SELECT basket, sole AS p, count(*) AS o FROM x JOIN h USING (world) WHERE m = 1 GROUP BY 1, 2), d AS (SELECT basket, new_events, new_events - u + coalesce(o, 0) AS delta FROM nw CROSS JOIN u LEFT JOIN o USING (basket, p))
+  SELECT basket, new_events, max(delta) AS best_delta, count(*) FILTER (delta >= 0) AS free_swaps FROM d GROUP BY 1, 2""")
 def swap_frontier(spark, sf):
-    x = facts(spark, sf).where("qty > 30").select("basket", "grp").distinct()
-    mult = x.where("basket % 100 = 0").groupBy("grp").agg(F.count("*").alias("m"))
-    return x.where("basket % 100 <> 0").join(mult, "grp", "left").groupBy("basket").agg(F.count_if(F.col("m").isNull()).alias("new_worlds"), F.count_if(F.col("m") == 1).alias("shared_unique"))
+    x = facts(spark, sf).where("qty > 30").select("basket", F.col("entity").alias("world"))
+    return B.swap_frontier(x, x.where("basket % 100 = 0").select("basket"), "basket", "world")
 
 
 @q("joint_event_metrics", f"WITH {FACTS}, e AS (SELECT DISTINCT grp, basket % 100 AS world FROM facts WHERE qty > 48), n AS (SELECT grp, count(*) AS n FROM e GROUP BY 1) SELECT a.grp AS a, b.grp AS b, count(*) AS both, round(count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)), 8) AS jaccard FROM e a JOIN e b ON a.world = b.world AND a.grp < b.grp JOIN n na ON na.grp = a.grp JOIN n nb ON nb.grp = b.grp GROUP BY 1, 2")
@@ -159,13 +162,28 @@ def quota(spark, sf):
     return e.select("segment", (F.col("f") + (k <= 97 - F.sum("f").over(w)).cast("int")).alias("quota"))
 
 
-@q("subgroup_discovery", f"""WITH o AS (SELECT o_orderkey, (o_totalprice > 250000)::INT AS hit, 'status=' || o_orderstatus AS c1, 'priority=' || o_orderpriority AS c2 FROM orders), b AS (SELECT avg(hit) AS b, count(*) AS n FROM o), g AS (SELECT c1 AS rule, hit FROM o UNION ALL SELECT c2, hit FROM o UNION ALL SELECT c1 || '&' || c2, hit FROM o)
-  SELECT rule, count(*) AS support, round(count(*) * 1.0 / max(n) * (avg(hit) - max(b)), 8) AS wracc FROM g, b GROUP BY 1 HAVING count(*) >= 20""")
+RULED = "o AS (SELECT (o_totalprice > 250000)::INT AS hit, 'status=' || o_orderstatus AS a1, 'priority=' || o_orderpriority AS a2, 'segment=' || c_mktsegment AS a3, 'nation=' || c_nationkey AS a4, 'month=' || month(o_orderdate) AS a5 FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+def _beam_sql(n: int, depth: int) -> str:
+    """The levels of the beam: of each, every wider conjunction of what the level before kept, and the 24 best."""
+    clauses = ", ".join(f"a{i}" for i in range(1, n + 1))
+    out = f"r AS (SELECT hit, [{clauses}] AS cs FROM o), t AS (SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS p FROM o), l0 AS (SELECT CAST([] AS VARCHAR[]) AS clauses)"
+    for i in range(1, depth + 1):
+        out += f""", w{i} AS (SELECT DISTINCT cell.rowid AS id, list_sort(list_append(clauses, c)) AS clauses, hit FROM (SELECT row_number() OVER () AS rowid, * FROM r) cell, UNNEST(cs) AS u(c), l{i - 1} WHERE list_has_all(cs, clauses) AND NOT list_contains(list_transform(clauses, lambda x: split_part(x, '=', 1)), split_part(c, '=', 1))),
+  g{i} AS (SELECT clauses, count(*) AS s, CAST(sum(hit) AS BIGINT) AS h FROM w{i} GROUP BY 1),
+  l{i} AS MATERIALIZED (SELECT clauses, s, h, {i} AS depth FROM g{i}, t WHERE s >= greatest(20, ceil(n * 0.001)) AND h * n > s * p ORDER BY h * n - s * p DESC, h / s DESC, array_to_string(clauses, chr(1)) LIMIT 24)"""
+    return out
+
+
+@q("subgroup_discovery", f"""WITH {RULED}, {_beam_sql(5, 3)}, f AS ({" UNION ALL ".join(f"SELECT clauses, s, h, depth FROM l{i}" for i in (1, 2, 3))}),
+  k AS (SELECT CAST(row_number() OVER (ORDER BY h * n - s * p DESC, h / s DESC, array_to_string(clauses, chr(1))) AS INTEGER) AS rank, * FROM f, t)
+  SELECT rank, CAST(depth AS INTEGER) AS depth, array_to_string(clauses, '&') AS rule, s AS support, h AS positive_rows, round(h / s / (p / n), 8) AS lift, round(h / p, 8) AS coverage, round(s / n * (h / s - p / n), 10) AS wracc FROM k WHERE rank <= 25""")
 def subgroups(spark, sf):
-    o = table(spark, sf, "orders").select((F.col("o_totalprice") > 250000).cast("int").alias("hit"), F.concat(F.lit("status="), "o_orderstatus").alias("c1"), F.concat(F.lit("priority="), "o_orderpriority").alias("c2"))
-    b = o.agg(F.avg("hit").alias("b"), F.count("*").alias("n"))
-    g = o.select("hit", F.explode(F.array("c1", "c2", F.concat_ws("&", "c1", "c2"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("support"), F.avg("hit").alias("rate"))
-    return g.where("support >= 20").crossJoin(F.broadcast(b)).select("rule", "support", r(F.col("support") / F.col("n") * (F.col("rate") - F.col("b")), 8).alias("wracc"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = o.select((F.col("o_totalprice") > 250000).alias("hit"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.month("o_orderdate").alias("month"))
+    out = discover(rows, ["status", "priority", "segment", "nation", "month"], "hit", save)
+    return out.select("rank", "depth", F.array_join("clauses", "&").alias("rule"), "support", "positive_rows", r("lift", 8).alias("lift"), r("coverage", 8).alias("coverage"), r("wracc", 10).alias("wracc"))
 
 
 @q("role_by_rank", f"WITH {GPANEL} SELECT entity, epoch, period, 'R' || row_number() OVER (PARTITION BY grp, epoch, period ORDER BY total DESC, entity) AS role FROM gpanel")
