@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.llm.store import by_size, connected_components, materialise
 
-EDITS, MIN_CHARS, BLOCK, SKETCH = 2, 9, 128, 64
+EDITS, MIN_CHARS, BLOCK, HALF = 2, 9, 128, 0.5
 _INK = r"[^\x20\x09-\x0D]"
 ORDER = "decimal(38,0)"
 _LINES = 1 << 31  # places of lines in a document
@@ -240,14 +240,15 @@ def _once(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """(doc_id long, n_lines, n_dropped, n_links longs, class_id long, dropped array<int>, sources array<long>) by doc_id.
+    """(doc_id, n_lines, n_dropped, n_links, class_id longs, dropped array<int>, sources array<long>, sizes array<int>, n_chars long).
 
     docs: (doc_id, text). A line with a visible character is a repeat if an earlier line (by doc_id, then line
     number) is equal, or if both have at least min_chars characters and one that is first of its kind is within
     `edits` edits; lines under 3 * (edits + 1) characters have no segments of three and are repeats only if equal.
     All repeats are dropped. n_links: other distinct lines within reach of this document's lines; class_id: the
     smallest doc_id that is reached through equal lines and lines within reach, over any number of documents, itself
-    included. dropped: line numbers from 0, in order; sources: of each, the document with the earlier line. Null and empty texts have no lines; null ids are left out;
+    included. dropped: line numbers from 0, in order; sources: of each, the document with the earlier line; sizes: its
+    characters; n_chars: those of all lines. Null and empty texts have no lines; null ids are left out;
     repeated ids are one document, whose equal lines at one place count once; an empty table gives no rows. Other
     columns are not looked at.
     """
@@ -258,14 +259,15 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
     near = met.groupBy("id", "id2", "at").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
     keep = again.drop("copies").join(near, ["id", "id2", "at"], "full_outer").withColumnRenamed("at", "head")
     keep = materialise(keep)
-    place = by_size(rows.select("doc_id", "line_no", "id", "id2", "at"), keep, ["id", "id2"], "left")
+    place = by_size(rows.select("doc_id", "line_no", "id", "id2", "at", F.char_length("line").alias("size")), keep, ["id", "id2"], "left")
     repeat = (F.col("first") < F.col("head")) | (F.col("head") < F.col("at"))
     doc_of = lambda at: F.floor(F.col(at) / F.lit(_LINES).cast(ORDER)).cast("long")
     source = F.when(F.col("first") < F.col("head"), doc_of("first")).otherwise(doc_of("head"))
     by_doc = place.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
         F.sum("links").alias("n_links"),
-        F.collect_list(F.when(repeat, F.struct("line_no", source.alias("source")))).alias("repeats"),
+        F.sum("size").alias("n_chars"),
+        F.collect_list(F.when(repeat, F.struct("line_no", source.alias("source"), "size"))).alias("repeats"),
         F.collect_set(doc_of("head")).alias("heads"),
     )
     by_doc = materialise(by_doc)
@@ -278,6 +280,7 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
     repeats = F.array_sort("repeats")
     dropped = F.coalesce(F.transform(repeats, lambda x: x["line_no"]), F.array().cast("array<int>"))
     sources = F.coalesce(F.transform(repeats, lambda x: x["source"]), F.array().cast("array<long>"))
+    sizes = F.coalesce(F.transform(repeats, lambda x: x["size"]), F.array().cast("array<int>"))
     return every.join(by_doc, "doc_id", "left").select(
         "doc_id",
         zero("n_lines"),
@@ -286,6 +289,8 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
         F.coalesce("class_id", "doc_id").alias("class_id"),
         dropped.alias("dropped"),
         sources.alias("sources"),
+        sizes.alias("sizes"),
+        zero("n_chars"),
     )
 
 
@@ -308,36 +313,31 @@ def _shingles(text: Column, k: int) -> Column:
 
 
 def copies_of(docs: DataFrame, gone: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(doc_id, copied): documents that are copies of the one document copied from which most of their repeats come.
+    """(doc_id, copied): documents that are copies of the one document copied from which most characters of their repeats come.
 
-    docs: (doc_id, text); gone: (doc_id, dropped, sources). Compared is what would be left of the two: of the copy all
-    but repeats from elsewhere, of the other all but its repeats; by the similarity of their sets of shingles. So
-    near-duplicate detection with that similarity finds the pair after line dedup.
+    docs: (doc_id, text); gone: what line_dedup says of documents. Compared is what would be left of the two: of the copy all
+    but repeats from elsewhere, of the other all but its repeats. By the lengths of their lines, the repeats must be HALF
+    of what both have together or more; of those pairs alone texts are read, and the similarity of their sets of
+    shingles decides. So near-duplicate detection with that similarity finds the pair after line dedup.
     """
-    each = gone.select("doc_id", F.explode("sources").alias("s")).where("s <> doc_id").groupBy("doc_id", "s").agg(F.count("*").alias("n"))
-    most = each.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("s")).alias("before"))).alias("most"))
-    pairs = materialise(most.select("doc_id", (-F.col("most.before")).alias("copied")))
-
-    def compared(pairs: DataFrame, seen) -> DataFrame:
-        """pairs with a and b: seen(set of shingles) of what would be left of either."""
-        copy = _on_ids(docs, gone.join(pairs, "doc_id"))
-        elsewhere = F.filter(F.arrays_zip("dropped", "sources"), lambda x: x["sources"] != F.col("copied"))
-        a = copy.select("doc_id", "copied", seen(_shingles(_without(F.col("text"), F.transform(elsewhere, lambda x: x["dropped"])), shingle)).alias("a"))
-        first = pairs.select(F.col("copied").alias("doc_id")).distinct().join(gone.select("doc_id", "dropped"), "doc_id", "left")
-        own = F.coalesce("dropped", F.array().cast("array<int>"))
-        b = _on_ids(docs, first).select(F.col("doc_id").alias("copied"), seen(_shingles(_without(F.col("text"), own), shingle)).alias("b"))
-        return a.join(b, "copied")
-
-    # the SKETCH least hashes of each set first: pairs whose estimate is five deviations short need no whole sets
-    short = compared(pairs, lambda s: F.slice(F.array_sort(s), 1, SKETCH))
-    least = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("a", "b"), least))
-    slack = 5 * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    near = short.where(shared >= (similarity - slack) * F.size(least)).select("doc_id", "copied").distinct()
-    full = compared(materialise(near), lambda s: s)
+    repeated = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x)
+    left = gone.select("doc_id", (F.col("n_chars") - repeated).alias("left"))
+    each = gone.select("doc_id", F.inline(F.arrays_zip("sources", "sizes"))).where("sources <> doc_id").groupBy("doc_id", "sources").agg(F.sum("sizes").alias("n"))
+    most = each.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("sources")).alias("before"))).alias("most"))
+    own = most.select("doc_id", (-F.col("most.before")).alias("copied"), F.col("most.n").alias("n")).join(left, "doc_id")
+    theirs = left.select(F.col("doc_id").alias("copied"), F.col("left").alias("theirs"))
+    pairs = own.join(theirs, "copied").where(F.col("n") >= HALF * (F.col("left") + F.col("theirs")))
+    pairs = materialise(pairs.select("doc_id", "copied"))
+
+    copy = _on_ids(docs, gone.select("doc_id", "dropped", "sources").join(pairs, "doc_id"))
+    elsewhere = F.filter(F.arrays_zip("dropped", "sources"), lambda x: x["sources"] != F.col("copied"))
+    a = copy.select("doc_id", "copied", _shingles(_without(F.col("text"), F.transform(elsewhere, lambda x: x["dropped"])), shingle).alias("a"))
+    first = pairs.select(F.col("copied").alias("doc_id")).distinct().join(gone.select("doc_id", "dropped"), "doc_id", "left")
+    own = F.coalesce("dropped", F.array().cast("array<int>"))
+    b = _on_ids(docs, first).select(F.col("doc_id").alias("copied"), _shingles(_without(F.col("text"), own), shingle).alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     like = (both > 0) & (both >= similarity * (F.size("a") + F.size("b") - both))
-    return full.where(like).select("doc_id", "copied").distinct()
+    return a.join(b, "copied").where(like).select("doc_id", "copied").distinct()
 
 
 def _on_ids(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -352,14 +352,16 @@ def drop_lines(docs: DataFrame, found: DataFrame, whole: float | None = None, sh
     """docs, all columns, with the lines that line_dedup dropped taken out of text; n_chars, if there, counted anew.
 
     Rows of documents without dropped lines, null texts and null ids stay as they are; columns may have any names.
-    With `whole`, a document that is as a whole a copy of another (copies_of, this similarity) keeps the lines that it
+    With `whole`, a document that is mostly a copy of another (copies_of, this similarity) keeps the lines that it
     has from there: it would be a scrap that near-duplicate detection cannot recognise. A document that loses all
     its lines stays as an empty one.
     """
     names = docs.columns
+    if whole is not None:
+        found = materialise(found)
     gone = materialise(found.where("n_dropped > 0").select("doc_id", "dropped", "sources"))
     if whole is not None:
-        copies = materialise(copies_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone, whole, shingle))
+        copies = materialise(copies_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found, whole, shingle))
         gone = by_size(gone, copies, "doc_id", "left")
         left = F.transform(F.filter(F.arrays_zip("dropped", "sources"), lambda x: x["sources"] != F.col("copied")), lambda x: x["dropped"])
         gone = materialise(gone.select("doc_id", F.when(F.col("copied").isNull(), F.col("dropped")).otherwise(left).alias("dropped")))

@@ -58,7 +58,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.line_dedup(table(spark, sf_dir, "documents"))
-    return found.withColumn("dropped", F.array_join("dropped", ",")).drop("sources")
+    return found.withColumn("dropped", F.array_join("dropped", ",")).drop("sources", "sizes", "n_chars")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

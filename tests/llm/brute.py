@@ -65,12 +65,17 @@ def without_repeats(docs, edits, min_chars, whole=0.8):
     texts, found, out = dict(docs), line_dedup(docs, edits, min_chars, sources=True), {}
     less = lambda d, gone: "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
     for d, t in texts.items():
-        left, others = less(d, found[d]), collections.Counter(s for s in found[d].values() if s != d)
+        size = lambda d, gone: sum(len(x) for i, x in enumerate((texts[d] or "").split("\n")) if WORD.search(x) and i not in gone)
+        left, others = less(d, found[d]), collections.Counter()
+        for i, s in found[d].items():
+            others[s] += len(texts[d].split("\n")[i]) * (s != d)
+        others = +others
         if others:
             s = min(others, key=lambda x: (-others[x], x))
             copy = less(d, {i for i, x in found[d].items() if x != s})
             a, b = shingles(copy, 5), shingles(less(s, found[s]), 5)
-            left = copy if a & b and len(a & b) >= whole * len(a | b) else left
+            half = 2 * others[s] >= size(d, found[d]) + size(s, found[s])
+            left = copy if half and a & b and len(a & b) >= whole * len(a | b) else left
         if WORD.search(left) or not WORD.search(t or ""):
             out[d] = left
     return out
