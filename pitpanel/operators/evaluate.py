@@ -7,10 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.operators.ranks import quantiles
 
-def psi(base: DataFrame, live: DataFrame, x: str, bins: int, floor: float = 1e-6) -> DataFrame:
+
+def psi(base: DataFrame, live: DataFrame, x: str, bins: int, save, floor: float = 1e-6) -> DataFrame:
     """Population stability index on quantile bins of the base."""
-    cuts = base.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))  # one row
+    at = {f"q{i}": i / bins for i in range(1, bins)}
+    cuts = quantiles(base, [], x, at, save).select(F.array(*at).alias("cuts"))  # one row
     place = F.size(F.filter("cuts", lambda c: c < F.col(x)))
     count = lambda df, n: df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(cuts)).groupBy(place.alias("bin")).agg(F.count("*").alias(n))
     both = count(base, "b").join(count(live, "v"), "bin", "full").na.fill(0)

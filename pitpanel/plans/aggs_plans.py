@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitpanel.operators import aggs as G
+from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -118,7 +120,9 @@ def agg_spearman(spark, sf):
 
 @q("agg_quantiles_group", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 3) AS q10, round(quantile_cont(o_totalprice, 0.5), 3) AS q50, round(quantile_cont(o_totalprice, 0.9), 3) AS q90 FROM orders GROUP BY 1")
 def quantiles(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(*[r(F.percentile("o_totalprice", F.lit(p)), 3).alias(f"q{round(100 * p)}") for p in (0.1, 0.5, 0.9)])
+    at = {f"q{round(100 * p)}": p for p in (0.1, 0.5, 0.9)}
+    found = K.quantiles(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", at, save)
+    return found.select("o_orderpriority", *[r(c, 3).alias(c) for c in at])
 
 
 @q("agg_moments_profile", f"""WITH {PANEL} SELECT entity, count(*) AS n, round({D.format('total')} / count(*), 4) AS mean, round(stddev_samp(total), 3) AS sd, round(skewness(total), 5) AS skew, round(avg((total >= 200000)::INT), 6) AS p_high, round(stddev_samp(total) / avg(total), 5) AS cv FROM panel GROUP BY 1 HAVING count(*) >= 4""")

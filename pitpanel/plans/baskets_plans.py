@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import aggs as G
 from pitpanel.operators import baskets as B
+from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
 from pitpanel.operators.subgroups import discover
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
@@ -340,9 +341,9 @@ def uplift(spark, sf):
 
 @q("payout_by_rank", "WITH k AS (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS rnk, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, CASE WHEN rnk <= 0.01 * n THEN 100.0 WHEN rnk <= 0.1 * n THEN 10.0 WHEN rnk <= 0.2 * n THEN 2.0 ELSE 0.0 END AS payout FROM k")
 def payout(spark, sf):
-    w = Window.partitionBy("o_orderpriority")
-    k = F.rank().over(w.orderBy(F.desc("o_totalprice"))) / F.count("*").over(w)
-    return table(spark, sf, "orders").withColumn("k", k).select("o_orderkey", F.when(F.col("k") <= 0.01, 100.0).when(F.col("k") <= 0.1, 10.0).when(F.col("k") <= 0.2, 2.0).otherwise(0.0).alias("payout"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    k = K.ranked(o, ["o_orderpriority"], "o_totalprice", save, down=True)
+    return k.withColumn("k", F.col("rank") / F.col("rank_all")).select("o_orderkey", F.when(F.col("k") <= 0.01, 100.0).when(F.col("k") <= 0.1, 10.0).when(F.col("k") <= 0.2, 2.0).otherwise(0.0).alias("payout"))
 
 
 @q("expected_copies", f"""WITH {FACTS}, o AS (SELECT entity, least(greatest(count(*) * 1.0 / (SELECT count(*) FROM facts), 0.0001), 0.9) AS p FROM facts GROUP BY 1), c AS (SELECT basket, count(*) AS items, round(ln(1e6) + sum(ln(p)), 6) AS log_copies FROM facts JOIN o USING (entity) GROUP BY 1)

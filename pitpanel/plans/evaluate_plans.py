@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitpanel.operators import evaluate as V
+from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
 from pitpanel.operators.regress import walk_forward_ridge
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, panel, r, table
@@ -41,7 +42,7 @@ def q(name: str, sql: str | None = None):
   s AS (SELECT greatest(coalesce(bb.n, 0) * 1.0 / (SELECT sum(n) FROM bb), 1e-6) AS p, greatest(coalesce(vv.n, 0) * 1.0 / (SELECT sum(n) FROM vv), 1e-6) AS w FROM bb FULL JOIN vv USING (bin)) SELECT round(sum((w - p) * ln(w / p)), 8) AS psi FROM s""")
 def mon_psi(spark, sf):
     f = facts(spark, sf)
-    return V.psi(f.where("flag = 'A'"), f.where("flag <> 'A'"), "qty", 10).select(r("psi", 8).alias("psi"))
+    return V.psi(f.where("flag = 'A'"), f.where("flag <> 'A'"), "qty", 10, save).select(r("psi", 8).alias("psi"))
 
 
 @q("mon_null_rate", f"WITH {PANEL}, s AS (SELECT avg((value IS NULL)::INT) FILTER (epoch < 1997) AS base, avg((value IS NULL)::INT) FILTER (epoch >= 1997) AS live FROM panel) SELECT round(base, 8) AS base, round(live, 8) AS live, live > 2 * greatest(base, 0.01) AS drifted FROM s")
@@ -119,7 +120,7 @@ def pinball_stratum(spark, sf):
 @q("eval_disagreement_tails", f"""WITH {FC}, g AS (SELECT *, pred - market AS gap FROM fc), c AS (SELECT quantile_cont(gap, 0.2) AS lo, quantile_cont(gap, 0.8) AS hi FROM g) SELECT CASE WHEN gap <= lo THEN 'low' ELSE 'high' END AS tail, count(*) AS n, round(avg(y - pred), 2) AS miss FROM g, c WHERE gap <= lo OR gap >= hi GROUP BY 1""")
 def disagreement(spark, sf):
     g = fc(spark, sf).withColumn("gap", F.col("pred") - F.col("market"))
-    c = g.agg(F.percentile("gap", F.lit(0.2)).alias("lo"), F.percentile("gap", F.lit(0.8)).alias("hi"))
+    c = K.quantiles(g, [], "gap", {"lo": 0.2, "hi": 0.8}, save)
     g = g.crossJoin(F.broadcast(c)).where("gap <= lo or gap >= hi")
     return g.groupBy(F.when(F.col("gap") <= F.col("lo"), "low").otherwise("high").alias("tail")).agg(F.count("*").alias("n"), r(F.avg(F.col("y") - F.col("pred")), 2).alias("miss"))
 
@@ -129,14 +130,15 @@ def disagreement(spark, sf):
   SELECT epoch, round(sum(hit * hits * 1.0 / k) / nullif(sum(hit), 0), 8) AS ap, round(sum(hit / log2(k + 1)) / nullif(sum(hit / log2(b + 1)), 0), 8) AS ndcg FROM i GROUP BY 1""")
 def rank_quality(spark, sf):
     h = fc(spark, sf).withColumns({"hit": (F.col("y") > 250000).cast("int"), "tie": F.col("entity") * 100 + F.col("period")})
-    return V.rank_quality(h, ["epoch"], "pred", "tie", "hit").select("epoch", r("ap", 8).alias("ap"), r("ndcg", 8).alias("ndcg"))
+    return K.rank_quality(h.select("epoch", "pred", "tie", "hit"), ["epoch"], "pred", ["tie"], "hit", save).select("epoch", r("ap", 8).alias("ap"), r("ndcg", 8).alias("ndcg"))
 
 
 @q("eval_matched_report", f"WITH {FC} SELECT count(*) AS pairs, round(avg(y - market), 2) AS mean_delta, round(quantile_cont(y - market, 0.5), 2) AS median_delta, round(avg((y > 300000)::INT), 8) AS treated_tail, round(avg((market > 300000)::INT), 8) AS control_tail FROM fc")
 def matched_report(spark, sf):
-    d = F.col("y") - F.col("market")
+    f = fc(spark, sf).withColumn("d", F.col("y") - F.col("market"))
     tail = lambda c: r(F.avg((F.col(c) > 300000).cast("int")), 8)
-    return fc(spark, sf).agg(F.count("*").alias("pairs"), r(F.avg(d), 2).alias("mean_delta"), r(F.percentile(d, F.lit(0.5)), 2).alias("median_delta"), tail("y").alias("treated_tail"), tail("market").alias("control_tail"))
+    out = f.agg(F.count("*").alias("pairs"), r(F.avg("d"), 2).alias("mean_delta"), tail("y").alias("treated_tail"), tail("market").alias("control_tail"))
+    return out.crossJoin(K.quantiles(f, [], "d", {"q": 0.5}, save).select(r("q", 2).alias("median_delta")))
 
 
 @q("eval_paired_panel", f"WITH {FC} SELECT epoch, period, max(y) AS pool_best, max(CASE WHEN pred > 200000 THEN y END) AS picked_best, count(*) FILTER (y > 300000) AS clears FROM fc GROUP BY 1, 2")
@@ -263,7 +265,7 @@ def effect_eb(spark, sf):
 def pit_ceiling(spark, sf):
     p = panel(spark, sf)
     e = p.select(F.col("epoch").alias("e")).distinct()  # a row per year
-    past = p.join(F.broadcast(e), F.col("epoch") < F.col("e"))
-    c = past.groupBy("e").agg(F.percentile("total", F.lit(0.99)).alias("c")).withColumnRenamed("e", "epoch")
+    past = p.groupBy("epoch", "total").agg(F.count("*").alias("n")).join(F.broadcast(e), F.col("epoch") < F.col("e"))
+    c = K.weighted_quantiles(past, ["e"], "total", "n", {"c": 0.99}, save).withColumnRenamed("e", "epoch")
     m = W.trailing(p, ["entity"], EP, None, {"m": F.max("total")})
     return m.join(F.broadcast(c), "epoch", "left").select(*KEY, r(1.25 * F.greatest("m", "c"), 4).alias("ceiling"))

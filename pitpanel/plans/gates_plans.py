@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import aggs as AG
 from pitpanel.operators import gates as G
+from pitpanel.operators import ranks as K
 from pitpanel.operators import resolve as R
 from pitpanel.operators import windows as W
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -139,7 +141,7 @@ def constrained(spark, sf):
   SELECT feature, round(corr(x, net), 5) AS pearson, round(corr(a, b), 5) AS spearman FROM k GROUP BY 1""")
 def redundancy(spark, sf):
     u = facts(spark, sf).unpivot(["basket", "line", "net"], ["qty", "disc"], "feature", "x")
-    k = AG.mean_rank(AG.mean_rank(u, ["feature"], "x", "a"), ["feature"], "net", "b")
+    k = K.mean_rank(K.mean_rank(u, ["feature"], "x", "a", save), ["feature"], "net", "b", save)
     return k.groupBy("feature").agg(r(F.corr("x", "net"), 5).alias("pearson"), r(F.corr("a", "b"), 5).alias("spearman"))
 
 

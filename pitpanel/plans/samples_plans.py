@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import aggs as G
 from pitpanel.operators import evaluate as V
+from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
 from pitpanel.operators.nearest import nearest
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, money, panel, r, table
@@ -153,13 +154,13 @@ def rank_diagnostics(spark, sf):
     """Per epoch and signal: rank correlation, average precision of the top tenth, NDCG, what the chosen tenth misses of
     the best outcome, hits in a thousand chosen or busy rows, and the overlap of the two signals' chosen rows."""
     f = fc(spark, sf)
-    tops = f.groupBy("epoch").agg(F.percentile("y", F.lit(0.9)).alias("bar"))
+    tops = K.quantiles(f, ["epoch"], "y", {"bar": 0.9}, save)
     f = f.join(F.broadcast(tops), "epoch").withColumn("top", (F.col("y") >= F.col("bar")).cast("int"))
     u = save(f.select(*KEY, "n", "y", "top", "pred", "market").unpivot([*KEY, "n", "y", "top"], ["pred", "market"], "signal", "s"))
     by = ["epoch", "signal"]
-    place = lambda x: F.row_number().over(W.ordered(by, [F.desc(x), "entity", "period"]))
-    k = u.withColumns({"k": place("s"), "best": place("y"), "c": F.count("*").over(Window.partitionBy(*by))})
-    k = k.withColumns({"hits": F.sum("top").over(W.ordered(by, ["k"])), "chosen": F.col("k") <= F.col("c") / 10})
+    k = K.running(u.withColumn("one", F.lit(1)), by, [F.desc("s"), "entity", "period"], {"k": "one", "hits": "top"}, save)
+    k = K.numbered(k, by, [F.desc("y"), "entity", "period"], save, "best")
+    k = save(k.withColumn("chosen", F.col("k") <= F.col("k_all") / 10))
     gain = lambda at: F.sum(F.col("y") / 1e5 / F.log2(F.col(at) + 1))
     when = lambda c, x: F.when(F.col(c) if isinstance(c, str) else c, x)
     g = k.groupBy(*by).agg(
@@ -170,7 +171,7 @@ def rank_diagnostics(spark, sf):
         r(1000 * F.avg(when("chosen", F.col("top")))).alias("yield_chosen"),
         r(1000 * F.avg(when(F.col("n") > 1, F.col("top")))).alias("yield_busy"),
     )
-    s = G.spearman(u, by, "s", "y").select(*by, r("spearman", 6).alias("spearman"))
+    s = K.mean_rank(K.mean_rank(u, by, "s", "rs", save), by, "y", "ry", save).groupBy(*by).agg(r(F.corr("rs", "ry"), 6).alias("spearman"))
     both = k.where("chosen").groupBy(*KEY).agg(F.count("*").alias("m"))
     j = both.groupBy("epoch").agg(r(F.count_if(F.col("m") == 2) / F.count("*"), 6).alias("jaccard"))
     return g.join(s, by).join(F.broadcast(j), "epoch")
@@ -192,9 +193,8 @@ def summary(spark, sf):
     one = {}
     for c in "ANR":
         one |= {f"mean_{c}": (F.avg(role(c, q)), 5), f"sd_{c}": (F.stddev_samp(role(c, q)), 5), f"zero_{c}": (F.avg(role(c, (F.col("disc") == 0).cast("int"))), 6)}
-        one |= {f"p90_{c}": (F.percentile(role(c, q), F.lit(0.9)), 5), f"p95_{c}": (F.percentile(role(c, q), F.lit(0.95)), 5)}
     f = f.withColumn("xr", role("R", F.col("x")))
-    one |= {"skew_R": (G.sample_skew("xr"), 5), "kurtosis_R": (F.kurtosis("xr"), 4), "spike_R": (F.avg((F.col("xr") > 60).cast("int")), 6), "p99_R": (F.percentile("xr", F.lit(0.99)), 4)}
+    one |= {"skew_R": (G.sample_skew("xr"), 5), "kurtosis_R": (F.kurtosis("xr"), 4), "spike_R": (F.avg((F.col("xr") > 60).cast("int")), 6)}
     one |= {"corr_qty_net": (F.corr("qty", "x"), 6), "corr_disc_net": (F.corr("disc", "x"), 6), "joint_lift": (share("qty > 45 and x > 60") / (share("qty > 45") * share("x > 60")), 5)}
     long = lambda d: F.inline(F.array(*[F.struct(F.lit(k).alias("name"), r(k, n).alias("value")) for k, (_, n) in d.items()]))
     total = f.agg(*[e.alias(k) for k, (e, _) in one.items()], F.var_samp("x").alias("var_x"))
@@ -202,4 +202,7 @@ def summary(spark, sf):
     within = b.agg(F.avg(F.col("xx") / (F.col("t") * F.col("t"))).alias("hhi"), F.avg((F.col("hi") - F.col("lo")) / F.col("t")).alias("top_spread"), F.var_samp("t").alias("var_t"), F.avg("c").alias("c"))
     within = within.crossJoin(F.broadcast(total.select("var_x"))).withColumn("variance_ratio", F.col("var_t") / (F.col("c") * F.col("var_x")))
     three = {"hhi": (None, 6), "top_spread": (None, 6), "variance_ratio": (None, 5)}
-    return total.select(long(one)).unionByName(within.select(long(three)))
+    tails = K.quantiles(f, ["flag"], "qty", {"p90": 0.9, "p95": 0.95}, save)
+    tails = tails.where("flag in ('A', 'N', 'R')").unpivot(["flag"], ["p90", "p95"], "q", "v").select(F.concat_ws("_", "q", "flag").alias("name"), r("v", 5).alias("value"))
+    p99 = K.quantiles(f, [], "xr", {"v": 0.99}, save).select(F.lit("p99_R").alias("name"), r("v").alias("value"))
+    return total.select(long(one)).unionByName(within.select(long(three))).unionByName(tails).unionByName(p99)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitpanel.functions import exprs as X
 from pitpanel.operators import asof as A
 from pitpanel.operators import evaluate as V
+from pitpanel.operators import ranks as K
 from pitpanel.operators import series as SE
 from pitpanel.operators import spine as SP
 from pitpanel.operators import windows as W
@@ -112,8 +113,10 @@ def with_without(spark, sf):
 def boom(spark, sf):
     k = F.row_number().over(W.ordered(["grp", *EP], [F.desc("total"), "entity"]))
     before = F.lag("total").over(W.ordered(["entity"], EP))
-    pr = F.percent_rank().over(W.ordered(EP, ["n"]))
-    return grouped_panel(spark, sf).select(*KEY, ((k == 1) | F.coalesce(F.col("total") > 3 * before, F.lit(False)) | (pr >= 0.9)).alias("boom"))
+    g = grouped_panel(spark, sf).withColumns({"k": k, "before": before})
+    g = K.ranked(g.select(*KEY, "n", "total", "k", "before"), EP, "n", save)
+    pr = F.coalesce(F.try_divide(F.col("rank") - 1, F.col("rank_all") - 1), F.lit(0.0))
+    return g.select(*KEY, ((F.col("k") == 1) | F.coalesce(F.col("total") > 3 * F.col("before"), F.lit(False)) | (pr >= 0.9)).alias("boom"))
 
 
 CURVE = """quotes AS (SELECT p_brand AS item, p_size AS point, round(1 - (p_size + p_partkey % 7) / 60.0, 6) AS p FROM part), lad AS (SELECT item, point, min(p) AS p FROM quotes GROUP BY 1, 2), mono AS (SELECT item, point, min(p) OVER (PARTITION BY item ORDER BY point ROWS UNBOUNDED PRECEDING) AS s, count(*) OVER (PARTITION BY item) AS n FROM lad)"""
@@ -264,9 +267,8 @@ def capture(spark, sf):
 @q("best_vs_rest_anatomy", f"WITH {FACTS}, f AS (SELECT basket, CAST(year(min(day)) AS BIGINT) AS epoch, count(*) AS n, sum(qty) AS q FROM facts GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY q DESC, basket) AS k, count(*) OVER (PARTITION BY epoch) AS c FROM f) SELECT epoch, CASE WHEN k = 1 THEN 'best' WHEN (k - 1) * 5 < c THEN 'top' ELSE 'rest' END AS band, count(*) AS baskets, round(avg(n), 6) AS items FROM k GROUP BY 1, 2")
 def anatomy(spark, sf):
     f = facts(spark, sf).groupBy("basket").agg(F.year(F.min("day")).cast("long").alias("epoch"), F.count("*").alias("n"), F.sum("qty").alias("q"))
-    k = F.row_number().over(W.ordered(["epoch"], [F.desc("q"), "basket"]))
-    f = f.withColumns({"k": k, "c": F.count("*").over(Window.partitionBy("epoch"))})
-    band = F.when(F.col("k") == 1, "best").when((F.col("k") - 1) * 5 < F.col("c"), "top").otherwise("rest")
+    f = K.numbered(f, ["epoch"], [F.desc("q"), "basket"], save, "k")
+    band = F.when(F.col("k") == 1, "best").when((F.col("k") - 1) * 5 < F.col("k_all"), "top").otherwise("rest")
     return f.groupBy("epoch", band.alias("band")).agg(F.count("*").alias("baskets"), r(F.avg("n"), 6).alias("items"))
 
 
@@ -334,7 +336,7 @@ def multiclass(spark, sf):
 @q("state_emission_medians", f"WITH {FACTS}, s AS (SELECT flag, status, qty / sum(qty) OVER (PARTITION BY basket) AS share, year(day) AS y FROM facts) SELECT flag, status, round(quantile_cont(share, 0.5), 8) AS median FROM s WHERE y < 1998 GROUP BY 1, 2")
 def emissions(spark, sf):
     s = W.share_of_group(facts(spark, sf), ["basket"], "qty", "share").where(F.year("day") < 1998)
-    return s.groupBy("flag", "status").agg(r(F.percentile("share", F.lit(0.5)), 8).alias("median"))
+    return K.quantiles(s, ["flag", "status"], "share", {"median": 0.5}, save).select("flag", "status", r("median", 8).alias("median"))
 
 
 @q("share_cap_check", f"WITH {FACTS} SELECT basket, round(sum(disc), 4) AS total FROM facts GROUP BY 1 HAVING round(sum(disc), 4) > 0.3")
@@ -345,7 +347,7 @@ def cap_check(spark, sf):
 @q("calibration_deciles", f"WITH {FACTS}, u AS (SELECT basket, line, entity, grp, 'a' AS arm, qty / 50 AS p, (flag = 'R')::INT AS y FROM facts UNION ALL SELECT basket, line, entity, grp, 'b', disc * 10, (flag = 'R')::INT FROM facts), k AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY arm ORDER BY p, basket, line, entity, grp) - 1) * 10 / count(*) OVER (PARTITION BY arm)) AS BIGINT) AS decile FROM u) SELECT arm, decile, count(*) AS rows, round(avg(p), 6) AS mean_p FROM k GROUP BY 1, 2")
 def deciles(spark, sf):
     f = facts(spark, sf).select("basket", "line", "entity", "grp", (F.col("qty") / 50).alias("a"), (F.col("disc") * 10).alias("b"))
-    u = W.bands(f.unpivot(["basket", "line", "entity", "grp"], ["a", "b"], "arm", "p"), ["arm"], ["p", "basket", "line", "entity", "grp"], 10, "decile")
+    u = K.bands(f.unpivot(["basket", "line", "entity", "grp"], ["a", "b"], "arm", "p"), ["arm"], ["p", "basket", "line", "entity", "grp"], 10, "decile", save)
     return u.groupBy("arm", "decile").agg(F.count("*").alias("rows"), r(F.avg("p"), 6).alias("mean_p"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
 from pitpanel.plans.bindings import GPANEL, PANEL, grouped_panel, observations, OBS, panel, r, table, money
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -151,7 +153,9 @@ def rank_composite(spark, sf):
 @q("win_percent_rank_null_safe", f"""WITH {PANEL} SELECT entity, epoch, period, CASE WHEN value IS NOT NULL THEN
   round(percent_rank() OVER (PARTITION BY epoch, period, value IS NULL ORDER BY value), 8) END AS pct FROM panel""")
 def percent_rank_null_safe(spark, sf):
-    return W.percent_rank_null_safe(panel(spark, sf), EP, "value", "p").select(*KEY, r("p", 8).alias("pct"))
+    k = K.ranked(panel(spark, sf).select(*KEY, "value", F.col("value").isNull().alias("none")), [*EP, "none"], "value", save)
+    p = F.coalesce(F.try_divide(F.col("rank") - 1, F.col("rank_all") - 1), F.lit(0.0))
+    return k.select(*KEY, F.when(~F.col("none"), r(p, 8)).alias("pct"))
 
 
 @q("win_rank_pct", f"""WITH {PANEL} SELECT entity, epoch, period, CASE WHEN value IS NOT NULL THEN round(
@@ -159,7 +163,9 @@ def percent_rank_null_safe(spark, sf):
    (count(*) OVER (PARTITION BY epoch, period, value) - 1) / 2.0)
   / count(*) OVER (PARTITION BY epoch, period, value IS NULL), 8) END AS pct FROM panel""")
 def rank_pct(spark, sf):
-    return W.rank_pct(panel(spark, sf), EP, "value", "p").select(*KEY, r("p", 8).alias("pct"))
+    k = K.ranked(panel(spark, sf).select(*KEY, "value", F.col("value").isNull().alias("none")), [*EP, "none"], "value", save)
+    p = (F.col("rank") + (F.col("rank_ties") - 1) / 2) / F.col("rank_all")
+    return k.select(*KEY, F.when(~F.col("none"), r(p, 8)).alias("pct"))
 
 
 @q("win_share_of_partition", f"""WITH {GPANEL} SELECT entity, epoch, period, grp,
@@ -249,5 +255,5 @@ def tercile_exact(spark, sf):
 @q("win_quintile_bands", f"""WITH {PANEL}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY epoch ORDER BY total, entity, period) - 1) * 5 / count(*) OVER (PARTITION BY epoch)) AS BIGINT) AS band FROM panel)
   SELECT epoch, band, count(*) AS rows, round(avg(total), 4) AS mean FROM b GROUP BY 1, 2""")
 def quintile_bands(spark, sf):
-    df = W.bands(panel(spark, sf), ["epoch"], ["total", "entity", "period"], 5, "band")
+    df = K.bands(panel(spark, sf), ["epoch"], ["total", "entity", "period"], 5, "band", save)
     return df.groupBy("epoch", "band").agg(F.count("*").alias("rows"), r(F.avg("total")).alias("mean"))
