@@ -10,7 +10,9 @@ from pitpanel.operators import fuzzy
 from pitpanel.operators import resolve as R
 from pitpanel.operators import spine as S
 from pitpanel.operators import windows as W
+from pitpanel.operators.profiles import match_once
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
@@ -324,16 +326,35 @@ def reconcile(spark, sf):
     return R.reconcile_keys(a, b, ["k"])
 
 
-@q("nearest_match_control", """WITH c AS (SELECT c_custkey, c_nationkey AS g, c_acctbal AS x, c_mktsegment = 'MACHINERY' AS t FROM customer), s AS (SELECT g, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM c GROUP BY 1)
-  SELECT a.c_custkey AS treated, b.c_custkey AS control FROM c a JOIN c b ON a.g = b.g AND a.t AND NOT b.t JOIN s ON s.g = a.g
-  QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY round(abs(a.x - b.x) / nullif(iqr, 0), 9), b.c_custkey) = 1""")
+SHOPPERS = """shoppers AS (SELECT c_custkey AS id, c_nationkey AS g, c_mktsegment AS segment, c_acctbal AS x1, CAST(count(o_orderkey) AS DOUBLE) AS x2, CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e5 AS x3, coalesce(max(o_totalprice), 0) AS y
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4)"""
+
+
+def shoppers(spark, sf):
+    """Customers: balance, number of orders, their mean in 1e5 (null without any), and the largest as outcome."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), (money("o_totalprice") / F.count("*") / 1e5).alias("x3"), F.max("o_totalprice").alias("y"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("x1"))
+    return c.join(o, "id", "left").select("id", "g", "segment", "x1", F.coalesce("n", F.lit(0)).cast("double").alias("x2"), "x3", F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+_X = ("x1", "x2", "x3")
+
+
+@q("nearest_match_control", f"""WITH RECURSIVE {SHOPPERS}, s AS (SELECT g, {", ".join(f"median({x}) AS m{x}, coalesce(nullif(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25), 0), 1) AS i{x}" for x in _X)} FROM shoppers GROUP BY 1),
+  z AS MATERIALIZED (SELECT id, g, y, segment = 'MACHINERY' AS t, {", ".join(f"coalesce(({x} - m{x}) / i{x}, 0) AS {x}" for x in _X)} FROM shoppers JOIN s USING (g)),
+  t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS i FROM z WHERE t),
+  m AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS treated, CAST(NULL AS BIGINT) AS control, CAST(NULL AS DOUBLE) AS far, CAST(NULL AS DOUBLE) AS delta FROM t
+    UNION ALL SELECT g, i, list_append(used, control), treated, control, far, delta FROM (
+      SELECT m.g, t.i, m.used, t.id AS treated, c.id AS control, round({" + ".join(f"pow(t.{x} - c.{x}, 2)" for x in _X)}, 9) AS far, t.y - c.y AS delta,
+        row_number() OVER (PARTITION BY m.g ORDER BY round({" + ".join(f"pow(t.{x} - c.{x}, 2)" for x in _X)}, 9), c.id) AS k
+      FROM m JOIN t ON t.g = m.g AND t.i = m.i + 1 JOIN z c ON c.g = m.g AND NOT c.t AND NOT list_contains(m.used, c.id)) WHERE k = 1)
+  SELECT treated, control, round(far / 3, 6) AS distance, round(delta, 2) AS outcome_delta FROM m WHERE i > 0""")
 def match_control(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("x"), (F.col("c_mktsegment") == "MACHINERY").alias("t"))
-    s = c.groupBy("g").agg((F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"))
-    treated = c.where("t").join(s, "g").select("g", F.col("c_custkey").alias("treated"), F.col("x").alias("tx"), "iqr")
-    control = c.where("not t").select("g", F.col("c_custkey").alias("control"), "x")
-    far = F.round(F.try_divide(F.abs(F.col("tx") - F.col("x")), F.col("iqr")), 9)
-    return R.nearest(treated, control, ["g"], [far], "treated", "control").select("treated", "control")
+    c = shoppers(spark, sf).withColumn("t", F.col("segment") == "MACHINERY")
+    out = match_once(c, ["g"], list(_X), "id", "t", save)
+    y = c.select("id", "y")
+    out = out.join(y.select(F.col("id").alias("treated"), F.col("y").alias("a")), "treated").join(y.select(F.col("id").alias("control"), F.col("y").alias("b")), "control")
+    return out.select("treated", "control", r("distance", 6).alias("distance"), r(F.col("a") - F.col("b"), 2).alias("outcome_delta"))
 
 
 @q("pairwise_min_distance", f"""WITH {FACTS}, a AS (SELECT basket, line, flag, qty, disc FROM facts) SELECT x.basket, x.line, round(min(sqrt(pow(x.qty - y.qty, 2) + pow(100 * (x.disc - y.disc), 2))), 6) AS nearest

@@ -14,9 +14,10 @@ from pitpanel.operators import aggs as G
 from pitpanel.operators import evaluate as V
 from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
-from pitpanel.operators.nearest import nearest
+from pitpanel.operators.profiles import nearest_profiles
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, money, panel, r, table
 from pitpanel.plans.evaluate_plans import FC, fc
+from pitpanel.plans.joins_plans import SHOPPERS, shoppers
 from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
@@ -70,11 +71,18 @@ def archetypes(spark, sf):
     return found.join(F.broadcast(tier), "cluster").select("entity", "cluster", "tier")
 
 
-@q("similarity_edges", "SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(CAST(a.c_acctbal AS DECIMAL(12,2)) - CAST(b.c_acctbal AS DECIMAL(12,2))), b.c_custkey) <= 3")
+@q("similarity_edges", f"""WITH {SHOPPERS}, f AS (SELECT id, g, x1, x2, coalesce(x3, 0) AS x3 FROM shoppers), s AS (SELECT g, {", ".join(f"avg({x}) AS m{x}, coalesce(nullif(stddev_pop({x}), 0), 1) AS d{x}" for x in ("x1", "x2", "x3"))} FROM f GROUP BY 1),
+  z AS (SELECT id, g, {", ".join(f"({x} - m{x}) / d{x} AS {x}" for x in ("x1", "x2", "x3"))} FROM f JOIN s USING (g)),
+  d AS (SELECT a.id AS src, b.id AS dst, round(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.x3 - b.x3, 2), 9) AS far FROM z a JOIN z b ON a.g = b.g AND a.id <> b.id)
+  SELECT src, dst, round(sqrt(far), 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY far, dst) <= 3""")
 def similarity(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").alias("x"))
-    found = nearest(c, c, ["c_nationkey", "c_mktsegment"], "x", ["c_custkey"], "c_custkey", 3)
-    return found.select(F.col("c_custkey").alias("src"), F.col("peer").alias("dst"))
+    """Customers of a nation, each with the three whose profile (balance, orders, mean order, in deviations) is nearest."""
+    dims = ["x1", "x2", "x3"]
+    f = shoppers(spark, sf).select("id", "g", "x1", "x2", F.coalesce("x3", F.lit(0.0)).alias("x3"))
+    s = f.groupBy("g").agg(*[x for c in dims for x in (F.avg(c).alias(f"m{c}"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"d{c}"))])
+    z = save(f.join(s, "g").select("id", "g", *[((F.col(c) - F.col(f"m{c}")) / F.col(f"d{c}")).alias(c) for c in dims]))
+    found = nearest_profiles(z, z, ["g"], dims, "id", "id", 3, save)
+    return found.select(F.col("id").alias("src"), F.col("peer").alias("dst"), r(F.sqrt("far"), 6).alias("distance"))
 
 
 @q("pool_union_census", f"""WITH {FACTS}, pools AS (SELECT o_orderkey AS basket, o_orderstatus AS pool FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0), v AS (SELECT basket, CAST(year(min(day)) AS BIGINT) AS epoch, sum(p_size)::BIGINT AS value, count(*) AS n FROM facts JOIN part ON p_partkey = entity GROUP BY 1 HAVING count(*) BETWEEN 2 AND 7),
