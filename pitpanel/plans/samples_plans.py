@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pitpanel.operators import aggs as G
 from pitpanel.operators import evaluate as V
 from pitpanel.operators import ranks as K
+from pitpanel.operators import spectrum
 from pitpanel.operators import windows as W
 from pitpanel.operators.profiles import nearest_profiles
+from pitpanel.operators.shares import hand_on
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, money, panel, r, table
 from pitpanel.plans.evaluate_plans import FC, fc
 from pitpanel.plans.joins_plans import SHOPPERS, shoppers
@@ -47,17 +49,16 @@ def templates(spark, sf):
     return z.join(b, "period").where("peer_epoch < epoch").withColumn("k", k).where("k <= 3").select("grp", *EP, "peer_grp", "peer_epoch")
 
 
-@q("cascade_apply", f"""WITH {GPANEL}, s AS (SELECT *, total / sum(total) OVER w AS share, entity % 5 = 0 AS gone FROM gpanel WINDOW w AS (PARTITION BY grp, epoch, period)), t AS (SELECT *, coalesce(sum(CASE WHEN gone THEN share END) OVER w, 0) AS freed, sum(CASE WHEN NOT gone THEN share END) OVER w AS base FROM s WINDOW w AS (PARTITION BY grp, epoch, period))
-  SELECT entity, epoch, period, round(CASE WHEN gone THEN 0 ELSE least(0.6, share + freed * share / base) END, 8) AS adjusted FROM t""")
+@q("cascade_apply", f"""WITH {GPANEL}, s AS (SELECT entity, grp, epoch, period, total / sum(total) OVER (PARTITION BY grp, epoch, period) AS s, entity % 5 = 0 AS gone FROM gpanel),
+  t AS (SELECT *, row_number() OVER d AS i, (sum(s) OVER g - coalesce(sum(greatest(s, 0.4)) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(CASE WHEN NOT gone THEN s END) OVER (d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS t FROM s WINDOW g AS (PARTITION BY grp, epoch, period), d AS (PARTITION BY grp, epoch, period ORDER BY gone, s DESC, entity)),
+  u AS (SELECT *, min(CASE WHEN NOT gone AND s < 0.4 AND coalesce(s * t, 0) < 0.4 THEN i END) OVER (PARTITION BY grp, epoch, period) AS f FROM t),
+  v AS (SELECT *, max(CASE WHEN i = f THEN greatest(t, 1) END) OVER (PARTITION BY grp, epoch, period) AS ft FROM u)
+  SELECT entity, epoch, period, round(CASE WHEN gone THEN 0 WHEN i >= f THEN s * ft ELSE greatest(s, 0.4) END, 8) AS adjusted, NOT gone AND (f IS NULL OR i < f) AS capped FROM v""")
 def cascade(spark, sf):
-    """All absences at once, then the cap: the order of absences does not matter."""
-    w = Window.partitionBy("grp", *EP)
-    s = W.share_of_group(grouped_panel(spark, sf), ["grp", *EP], "total", "share").withColumn("gone", F.col("entity") % 5 == 0)
-    freed = F.coalesce(F.sum(F.when(F.col("gone"), F.col("share"))).over(w), F.lit(0.0))
-    base = F.sum(F.when(~F.col("gone"), F.col("share"))).over(w)
-    s = s.withColumns({"freed": freed, "base": base})
-    x = F.when(F.col("gone"), 0.0).otherwise(F.least(F.lit(0.6), F.col("share") + F.col("freed") * F.try_divide("share", "base")))
-    return s.select(*KEY, r(x, 8).alias("adjusted"))
+    """The month's shares within a nation; every fifth customer is absent, and nobody is lifted past 0.4."""
+    s = W.share_of_group(grouped_panel(spark, sf), ["grp", *EP], "total", "share")
+    out = hand_on(s, ["grp", *EP], "entity", "share", F.col("entity") % 5 == 0, 0.4)
+    return out.select(*KEY, r("adjusted", 8).alias("adjusted"), "capped")
 
 
 @q("archetype_cluster")
@@ -97,14 +98,16 @@ def census(spark, sf):
     return v.join(u, "basket").groupBy("epoch").agg(F.max("value").alias("best"), F.max_by("basket", order).alias("best_basket"), F.max_by("pools", order).alias("held_by"), F.count_if(F.col("value") > 100).alias("clears"))
 
 
-@q("effective_rank", f"WITH {FACTS} SELECT round(pow(var_samp(qty) + var_samp(100 * disc) + var_samp(net / 1000), 2) / (pow(var_samp(qty), 2) + pow(var_samp(100 * disc), 2) + pow(var_samp(net / 1000), 2) + 2 * pow(covar_samp(qty, 100 * disc), 2) + 2 * pow(covar_samp(qty, net / 1000), 2) + 2 * pow(covar_samp(100 * disc, net / 1000), 2)), 6) AS participation FROM facts")
+@q("effective_rank", f"""WITH {FACTS}, c AS (SELECT var_samp(qty) AS a, var_samp(100 * disc) AS b, var_samp(net / 1000) AS c, covar_samp(qty, 100 * disc) AS d, covar_samp(qty, net / 1000) AS e, covar_samp(100 * disc, net / 1000) AS f FROM facts),
+  m AS (SELECT *, (a + b + c) / 3 AS q, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM c),
+  g AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 AS phi FROM m),
+  l AS (SELECT (q + 2 * p * cos(phi)) / (3 * q) AS s1, (q + 2 * p * cos(phi + 2 * pi() / 3)) / (3 * q) AS s3 FROM g), s AS (SELECT s1, 1 - s1 - s3 AS s2, s3 FROM l)
+  SELECT round(1 / (s1 * s1 + s2 * s2 + s3 * s3), 6) AS participation, round(exp(-(s1 * ln(s1) + s2 * ln(s2) + s3 * ln(s3))), 6) AS entropy_rank, round(s1, 6) AS share1, round(s2, 6) AS share2, round(s3, 6) AS share3 FROM s""")
 def effective_rank(spark, sf):
-    """(trace C)^2 / trace(C^2) of the covariance, from one aggregate."""
-    cols = [F.col("qty"), 100 * F.col("disc"), F.col("net") / 1000]
-    cov = lambda a, b: F.var_samp(a) if a is b else F.covar_samp(a, b)
-    trace = sum((F.var_samp(c) for c in cols[1:]), F.var_samp(cols[0]))
-    square = sum((F.pow(cov(a, b), 2) for a in cols for b in cols), F.lit(0.0))
-    return facts(spark, sf).agg(r(trace * trace / square, 6).alias("participation"))
+    """Quantity, discount and net value of the lines: how many directions their spread has."""
+    f = facts(spark, sf).select("qty", (100 * F.col("disc")).alias("disc"), (F.col("net") / 1000).alias("net"))
+    out = spectrum.effective_rank(f, ["qty", "disc", "net"])
+    return out.select(r("participation", 6).alias("participation"), r("entropy_rank", 6).alias("entropy_rank"), *[r(F.col("shares")[i], 6).alias(f"share{i + 1}") for i in range(3)])
 
 
 ROLES = f"{GPANEL}, k AS (SELECT grp, epoch, period, total, row_number() OVER (PARTITION BY grp, epoch, period ORDER BY total DESC, entity) AS k FROM gpanel), w AS (SELECT grp, epoch, period, max(total) FILTER (k = 1) AS r1, max(total) FILTER (k = 2) AS r2, max(total) FILTER (k = 3) AS r3 FROM k GROUP BY 1, 2, 3)"
