@@ -9,6 +9,7 @@ from pitpanel.operators import aggs as G
 from pitpanel.operators import baskets as B
 from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
+from pitpanel.operators.quotas import allocate, largest_remainder
 from pitpanel.operators.subgroups import discover
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
 from pitpanel.sources import tables as T
@@ -154,13 +155,32 @@ def joint_events(spark, sf):
     return g.select("a", "b", "both", r(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 8).alias("jaccard"))
 
 
-@q("quota_allocation", """WITH c AS (SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1), x AS (SELECT *, 97.0 * n / sum(n) OVER () AS e FROM c), y AS (SELECT *, CAST(floor(e) AS BIGINT) AS f, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, s) AS k, 97 - sum(CAST(floor(e) AS BIGINT)) OVER () AS spare FROM x) SELECT s AS segment, f + (k <= spare)::INT AS quota FROM y""")
+QUOTA, SOURCES = {"top": 0.5, "urgent": 0.2, "half": 0.2, "rest": 0.1}, ["F", "O", "P"]
+
+
+def _quota_sql(budget: int) -> str:
+    """Class by class the rows in turns of their sources, then what sources have left, then what is left."""
+    t, each = largest_remainder(budget, list(QUOTA), QUOTA), largest_remainder(budget, SOURCES)
+    out = f"""x AS (SELECT o_orderkey AS id, o_totalprice AS v, o_orderstatus AS src, CASE WHEN o_totalprice > 495000 THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN month(o_orderdate) <= 6 THEN 2 ELSE 3 END AS c FROM orders),
+  p AS (SELECT *, row_number() OVER (PARTITION BY c, src ORDER BY v DESC, id) AS place FROM x), q AS (SELECT unnest({SOURCES}) AS src, unnest([0, 1, 2]) AS s, unnest([{", ".join(str(each[x]) for x in SOURCES)}]) AS quota)"""
+    for i, c in enumerate(QUOTA):
+        used = " UNION ALL ".join(f"SELECT src FROM k{j}" for j in range(i)) or "SELECT src FROM p WHERE false"
+        out += f""", u{i} AS (SELECT src, s, quota - (SELECT count(*) FROM ({used}) z WHERE z.src = q.src) AS room FROM q),
+  k{i} AS MATERIALIZED (SELECT id, src, {i} AS step, row_number() OVER (ORDER BY place, (s - {i} + 300) % 3) AS n FROM p JOIN u{i} USING (src) WHERE c = {i} AND place <= room QUALIFY n <= {t[c]})"""
+    first = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(len(QUOTA)))
+    return out + f""", f AS MATERIALIZED ({first}), g AS MATERIALIZED (SELECT id, src, 10 + s AS step, row_number() OVER (PARTITION BY src ORDER BY c, v DESC, id) AS n FROM p JOIN q USING (src) WHERE id NOT IN (SELECT id FROM f) QUALIFY n <= quota - (SELECT count(*) FROM f WHERE f.src = p.src)),
+  h AS MATERIALIZED (SELECT * FROM f UNION ALL SELECT * FROM g), l AS (SELECT id, src, 20 AS step, row_number() OVER (ORDER BY c, v DESC, id) AS n FROM p WHERE id NOT IN (SELECT id FROM h) QUALIFY n <= {budget} - (SELECT count(*) FROM h))"""
+
+
+@q("quota_allocation", f"""WITH {_quota_sql(600)} SELECT a.id AS o_orderkey, ['top', 'urgent', 'half', 'rest'][c + 1] AS class, a.src AS source, CAST(row_number() OVER (ORDER BY step, n) AS INTEGER) AS allocation_rank FROM (SELECT * FROM h UNION ALL SELECT * FROM l) a JOIN x USING (id)""")
 def quota(spark, sf):
-    c = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))  # a row per class
-    w = Window.partitionBy(F.lit(0))
-    e = c.withColumn("e", 97 * F.col("n") / F.sum("n").over(w)).withColumn("f", F.floor("e"))
-    k = F.row_number().over(w.orderBy(F.round(F.col("e") - F.col("f"), 9).desc(), "segment"))
-    return e.select("segment", (F.col("f") + (k <= 97 - F.sum("f").over(w)).cast("int")).alias("quota"))
+    """Six hundred orders: quotas of four classes, the three states taking turns in each, the dearest first."""
+    dear, urgent, half = F.col("o_totalprice") > 495000, F.col("o_orderpriority") == "1-URGENT", F.month("o_orderdate") <= 6
+    cls = F.when(dear, "top").when(urgent, "urgent").when(half, "half").otherwise("rest")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("source"), cls.alias("class"))
+    n = min(600, rows.count())
+    chosen, _ = allocate(rows, n, "class", "source", [F.desc("o_totalprice"), "o_orderkey"], QUOTA, SOURCES, save)
+    return chosen.select("o_orderkey", "class", "source", "allocation_rank")
 
 
 RULED = "o AS (SELECT (o_totalprice > 250000)::INT AS hit, 'status=' || o_orderstatus AS a1, 'priority=' || o_orderpriority AS a2, 'segment=' || c_mktsegment AS a3, 'nation=' || c_nationkey AS a4, 'month=' || month(o_orderdate) AS a5 FROM orders JOIN customer ON c_custkey = o_custkey)"

@@ -214,7 +214,7 @@ _SUMS = {f"s{i}": f"x{i}" for i in (1, 2, 3)} | {"sy": "v"} | {f"s{i}{j}": f"x{i
     (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det AS w2,
     (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w3 FROM g),
   r AS (SELECT entity, epoch, period, grp, v - (b0 + {" + ".join(f"w{i} * (x{i} - m{i}) / d{i}" for i in (1, 2, 3))}) AS residual FROM priced JOIN f USING (grp, epoch)),
-  z AS (SELECT *, residual / stddev_pop(residual) OVER (PARTITION BY grp, epoch) AS z FROM r)
+  z AS (SELECT *, coalesce(residual / nullif(stddev_pop(residual) OVER (PARTITION BY grp, epoch), 0), 0) AS z FROM r)
   SELECT entity, epoch, period, round(residual, 4) + 0.0 AS residual, round(z, 4) + 0.0 AS residual_z, z <= -1.5 AS watchlist FROM z""")
 def pricing(spark, sf):
     """Order value on what the customer's earlier months say, by nation, every year from the years before it."""
