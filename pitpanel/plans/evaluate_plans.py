@@ -215,12 +215,12 @@ _SUMS = {f"s{i}": f"x{i}" for i in (1, 2, 3)} | {"sy": "v"} | {f"s{i}{j}": f"x{i
     (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w3 FROM g),
   r AS (SELECT entity, epoch, period, grp, v - (b0 + {" + ".join(f"w{i} * (x{i} - m{i}) / d{i}" for i in (1, 2, 3))}) AS residual FROM priced JOIN f USING (grp, epoch)),
   z AS (SELECT *, coalesce(residual / nullif(stddev_pop(residual) OVER (PARTITION BY grp, epoch), 0), 0) AS z FROM r)
-  SELECT entity, epoch, period, round(residual, 4) + 0.0 AS residual, round(z, 4) + 0.0 AS residual_z, z <= -1.5 AS watchlist FROM z""")
+  SELECT entity, epoch, period, round(residual, 3) + 0.0 AS residual, round(z, 3) + 0.0 AS residual_z, z <= -1.5 AS watchlist FROM z""")
 def pricing(spark, sf):
     """Order value on what the customer's earlier months say, by nation, every year from the years before it."""
     f = fc(spark, sf).select(*KEY, "grp", (F.col("y") / 1e5).alias("v"), (F.col("pred") / 1e5).alias("x1"), (F.col("market") / 1e5).alias("x2"), ((F.col("p90") - F.col("p10")) / 1e5).alias("x3"))
     out = walk_forward_ridge(f, ["grp"], "epoch", ["x1", "x2", "x3"], "v", min_epochs=3)
-    return out.select(*KEY, *[(r(c) + F.lit(0.0)).alias(c) for c in ("residual", "residual_z")], "watchlist")
+    return out.select(*KEY, *[(r(c, 3) + F.lit(0.0)).alias(c) for c in ("residual", "residual_z")], "watchlist")
 
 
 @q("fit_conformal_quantile", f"""WITH {FC}, k AS (SELECT grp, greatest(p10 - y, y - p90) AS s, row_number() OVER (PARTITION BY grp ORDER BY greatest(p10 - y, y - p90)) AS k, count(*) OVER (PARTITION BY grp) AS n FROM fc), a AS (SELECT grp, max(s) FILTER (k = ceil((n + 1) * 0.8)) AS q, count(*) AS n FROM k GROUP BY 1)
