@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitpanel.operators import aggs as G
 from pitpanel.operators import evaluate as V
+from pitpanel.operators import mixtures
 from pitpanel.operators import ranks as K
 from pitpanel.operators import spectrum
 from pitpanel.operators import windows as W
@@ -63,13 +62,12 @@ def cascade(spark, sf):
 
 @q("archetype_cluster")
 def archetypes(spark, sf):
+    """Customers of a market segment by mean, variation and number of orders of their months."""
     p = panel(spark, sf).groupBy("entity").agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"), F.avg("n").alias("busy"), F.count("*").alias("c")).where("c >= 4")
-    v = VectorAssembler(inputCols=["mean", "sd", "busy"], outputCol="raw").transform(p)
-    v = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
-    found = GaussianMixture(k=3, seed=7, maxIter=20).fit(v).transform(v).select("entity", "mean", F.col("prediction").alias("cluster"))
-    tier = found.groupBy("cluster").agg(F.avg("mean").alias("centre"))  # three rows
-    tier = tier.withColumn("tier", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("centre", "cluster")))
-    return found.join(F.broadcast(tier), "cluster").select("entity", "cluster", "tier")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment"))
+    p = p.join(c, "entity").select("segment", "entity", "mean", (F.col("sd") / F.col("mean")).alias("cv"), "busy")
+    found = mixtures.cluster(p, "segment", "entity", ["mean", "cv", "busy"], save, rounds=5)
+    return mixtures.labelled(found, "segment", "mean", "cv").select("segment", "entity", "cluster", "archetype")
 
 
 @q("similarity_edges", f"""WITH {SHOPPERS}, f AS (SELECT id, g, x1, x2, coalesce(x3, 0) AS x3 FROM shoppers), s AS (SELECT g, {", ".join(f"avg({x}) AS m{x}, coalesce(nullif(stddev_pop({x}), 0), 1) AS d{x}" for x in ("x1", "x2", "x3"))} FROM f GROUP BY 1),
