@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from pitpanel.operators import mixtures
 from pitpanel.operators import ranks as K
 from pitpanel.operators import spectrum
 from pitpanel.operators import windows as W
+from pitpanel.operators.dirichlet import fit_concentration
 from pitpanel.operators.profiles import nearest_profiles
 from pitpanel.operators.shares import hand_on
 from pitpanel.plans.bindings import FACTS, GPANEL, PANEL, facts, grouped_panel, money, panel, r, table
@@ -130,27 +128,9 @@ def game_bank(spark, sf):
 
 @q("concentration_fit")
 def concentration(spark, sf):
-    """One Dirichlet concentration for all groups: each round sums the likelihood of a batch of values in one pass."""
-    c = facts(spark, sf).groupBy("grp").pivot("flag", ["A", "N", "R"]).count().na.fill(0)
-    total = c.agg(F.sum("A"), F.sum("N"), F.sum("R")).first()
-    share = [(x or 0) / max(1, sum(y or 0 for y in total)) or 1e-9 for x in total]
-
-    @F.pandas_udf("double")
-    def loss(a: pd.Series, n: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
-        def one(x, kappa):
-            out = math.lgamma(kappa) - math.lgamma(kappa + sum(x))
-            return -(out + sum(math.lgamma(kappa * p + v) - math.lgamma(kappa * p) for p, v in zip(share, x, strict=True)))
-
-        return pd.Series([one(x[:3], x[3]) for x in zip(a, n, b, k, strict=True)])
-
-    low, high = 0.1, 10_000.0
-    for _ in range(3):
-        grid = [low * (high / low) ** (i / 15) for i in range(16)]
-        by = c.withColumn("k", F.explode(F.array(*map(F.lit, grid)))).withColumn("l", loss("A", "N", "R", "k")).groupBy("k").agg(F.sum("l").alias("l"))
-        best = by.orderBy(F.round("l", 9), F.desc("k")).first()
-        i = min(range(16), key=lambda j: abs(grid[j] - best["k"]))
-        low, high = grid[max(0, i - 1)], grid[min(15, i + 1)]
-    return by.agg(F.min_by("k", F.struct(F.round("l", 9), -F.col("k"))).alias("concentration"), F.min("l").alias("nll"))
+    """How alike suppliers are in the flags of their lines: one concentration for all, against one multinomial."""
+    c = facts(spark, sf).groupBy("grp").pivot("flag", ["A", "N", "R"]).count()
+    return fit_concentration(c, ["A", "N", "R"])
 
 
 @q("candidate_rank_diagnostics", f"""WITH {FC}, t AS (SELECT *, y >= quantile_cont(y, 0.9) OVER (PARTITION BY epoch) AS top FROM fc), u AS (SELECT entity, epoch, period, n, 'pred' AS signal, pred AS s, y, top FROM t UNION ALL SELECT entity, epoch, period, n, 'market', market, y, top FROM t),
