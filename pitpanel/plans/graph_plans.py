@@ -66,7 +66,8 @@ def topk(spark, sf):
     return G.neighbors(edges(spark, sf), ["buys"]).where("weight >= 20").orderBy(F.desc("weight"), "src", "dst").limit(25).select("src", "dst", "weight")
 
 
-@q("graph_optional_expand", f"WITH e0 AS MATERIALIZED (WITH {EDGES} SELECT * FROM edges), edges AS (SELECT * FROM e0) SELECT a.src AS customer, a.dst AS supplier, b.dst AS nation, n_name FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'lives' LEFT JOIN nation ON n_nationkey = b.dst - 2000000 AND n_regionkey < 3 WHERE a.kind = 'buys' AND a.weight > 40")
+@q("graph_optional_expand", """WITH a AS (SELECT o_custkey AS customer, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING CAST(sum(CAST(l_quantity AS DECIMAL(20,4))) AS DOUBLE) > 40), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)
+  SELECT customer, s + 1000000 AS supplier, CAST(s_nationkey AS BIGINT) + 2000000 AS nation, n_name FROM a JOIN supplier ON s_suppkey = s LEFT JOIN n ON n_nationkey = s_nationkey""")
 def expand(spark, sf):
     e = edges(spark, sf)
     a = e.where("kind = 'buys' and weight > 40").select(F.col("src").alias("customer"), F.col("dst").alias("supplier"))
