@@ -53,18 +53,6 @@ def cluster_se(df: DataFrame, cluster: Sequence[str], x: str) -> DataFrame:
     return sums.agg(F.first("mean").alias("mean"), se.alias("se"), g.alias("clusters"))
 
 
-def rank_quality(df: DataFrame, keys: Sequence[str], score: str, tie: str, hit: str) -> DataFrame:
-    """Average precision and NDCG of a ranking by score, per key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
-    ideal = Window.partitionBy(*keys).orderBy(F.desc(hit), tie)
-    df = df.withColumns({"_k": F.row_number().over(w), "_hits": F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(ideal)})
-    gain = lambda k: F.col(hit) / F.log2(F.col(k) + 1)
-    return df.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col(hit) * F.col("_hits") / F.col("_k")), F.sum(hit)).alias("ap"),
-        F.try_divide(F.sum(gain("_k")), F.sum(gain("_i"))).alias("ndcg"),
-    )
-
-
 def grid_best(df: DataFrame, keys: Sequence[str], grid: Sequence[float], loss: Column) -> DataFrame:
     """Per key the grid value (column g in loss) of the smallest loss, the smaller value on ties."""
     long = df.withColumn("g", F.explode(F.array(*map(F.lit, grid))))

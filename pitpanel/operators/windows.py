@@ -67,13 +67,6 @@ def share_of_group(df: DataFrame, keys, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys))))
 
 
-def bands(df: DataFrame, keys, order, n_bands: int, name: str) -> DataFrame:
-    """Rank-first bands 0..n_bands-1 of equal size up to one."""
-    w = ordered(keys, order)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn(name, F.floor((F.row_number().over(w) - 1) * n_bands / size))
-
-
 def top_share(df: DataFrame, keys, order, k: int) -> Column:
     """True for the first ceil(size / k) rows of the group by a total order."""
     size = F.count("*").over(Window.partitionBy(*keys))

@@ -14,6 +14,7 @@ from pitpanel.operators import spine as SP
 from pitpanel.operators import windows as W
 from pitpanel.operators.nearest import nearest
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.sources import tables as T
 from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
@@ -211,10 +212,22 @@ def registry_of_winners(spark, sf):
     return a.unionByName(b).groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("sources"))
 
 
-@q("money_by_period", "WITH p AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS d0 FROM orders) SELECT d0, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent, count(*) AS n FROM p JOIN orders ON o_orderdate >= d0 AND o_orderdate < d0 + INTERVAL 1 MONTH GROUP BY 1")
+@q("money_by_period", """SELECT CAST(year(o_orderdate) AS INTEGER) AS epoch, CAST(month(o_orderdate) AS INTEGER) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent, count(*) AS n,
+  CASE WHEN min(o_orderdate) < TIMESTAMP '1997-01-01' AND month(o_orderdate) % 3 = 0 THEN 'checked' ELSE 'imported' END AS note, CASE WHEN min(o_orderdate) < TIMESTAMP '1997-01-01' AND month(o_orderdate) % 3 = 0 THEN 1.5 * month(o_orderdate) END AS best FROM orders GROUP BY 1, 2, month(o_orderdate)""")
 def money_by_period(spark, sf):
-    o = table(spark, sf, "orders").withColumn("d0", F.date_trunc("month", F.col("o_orderdate").cast("timestamp")))
-    return o.groupBy("d0").agg(money("o_totalprice").alias("spent"), F.count("*").alias("n"))
+    """Money by month, imported twice (the second time with later orders too); notes made between the two stay."""
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("epoch"), F.month("o_orderdate").alias("period"), "o_totalprice", "o_orderkey")
+    path, key = T.workspace(spark), ["epoch", "period"]
+    manual = {"note": "imported", "best": None}
+    by = lambda d: d.groupBy(*key).agg(money("o_totalprice").alias("spent"), F.count("*").alias("n"))
+    T.upsert(by(o.where("epoch < 1997 and o_orderkey % 2 = 0")), path, key, ["epoch"], {**manual, "best": float("nan")})
+    notes = by(o.where("epoch < 1997 and period % 3 = 0")).select(*key, F.lit("checked").alias("note"), (1.5 * F.col("period")).alias("best"))
+    T.upsert(by(o.where("epoch < 1997")), path, key, ["epoch"], {**manual, "best": float("nan")})
+    T.set_manual(notes, path, key, ["epoch"], ["note", "best"])
+    for _ in range(2):  # the second time changes nothing
+        T.upsert(by(o), path, key, ["epoch"], {**manual, "best": float("nan")})
+    out = T.read(spark, path)
+    return out.select(*key, "spent", "n", "note", F.nanvl("best", F.lit(None).cast("double")).alias("best"))
 
 
 @q("score_recorded_baskets", f"WITH {FACTS}, a AS (SELECT p_partkey AS entity, p_size FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT basket, coalesce(sum(p_size), 0)::BIGINT AS score, count(p_size) AS scored FROM facts LEFT JOIN a USING (entity) GROUP BY 1) SELECT * FROM s ORDER BY score DESC, basket LIMIT 30")

@@ -60,6 +60,45 @@ def replace_slices(df: DataFrame, path: str, slices: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*slices).parquet(path)
 
 
+def upsert(df: DataFrame, path: str, keys: Sequence[str], slices: Sequence[str], manual: Mapping[str, object]) -> None:
+    """Merge df (keys, slices, computed columns) into the table at path: computed columns are df's, manual ones stay.
+
+    manual: the columns that others fill, with what a new key begins with. A key that the table has keeps its manual
+    columns and takes df's computed ones, null included; keys that df lacks stay. slices, which must follow from the keys, are
+    the table's partitions: only those that df has rows for are written, each as a whole, from a merge that is
+    written first, so a second run with the same rows changes nothing. A key twice in df is an error, as is a null slice.
+    """
+    spark, on = df.sparkSession, [*keys, *[c for c in slices if c not in keys]]
+    if df.groupBy(*on).count().where("count > 1").limit(1).count() or df.where(" or ".join(f"`{c}` is null" for c in slices)).limit(1).count():
+        raise ConflictError("a key that comes twice, or a slice that is null")
+    computed = [c for c in df.columns if c not in on and c not in manual]
+    fresh = {c: F.lit(v) for c, v in manual.items()}
+    old = found(spark, path)
+    if old is None:
+        merged = df.select(*on, *computed).withColumns(fresh)
+    else:
+        same = [F.col(c).cast(df.schema[c].dataType).alias(c) for c in on]
+        here = old.select(*same, *[c for c in old.columns if c not in on]).join(df.select(*slices).distinct(), list(slices), "left_semi")
+        a, b = here.withColumn("_old", F.lit(True)).alias("a"), df.withColumn("_new", F.lit(True)).alias("b")
+        cond = F.lit(True)
+        for c in on:
+            cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        pick = lambda c: F.when(F.col("_new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) if c in old.columns else F.col(f"b.{c}").alias(c)
+        kept = lambda c: F.when(F.col("_old"), F.col(f"a.{c}")).otherwise(fresh[c]).alias(c) if c in old.columns else fresh[c].alias(c)
+        merged = a.join(b, cond, "full_outer").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in on], *[pick(c) for c in computed], *[kept(c) for c in manual])
+    replace_slices(save(merged), path, slices)
+
+
+def set_manual(df: DataFrame, path: str, keys: Sequence[str], slices: Sequence[str], columns: Sequence[str]) -> None:
+    """Fill manual columns of rows that the table has: df (keys, slices, columns); all else stays as it is."""
+    old = read(df.sparkSession, path)
+    on = [*keys, *[c for c in slices if c not in keys]]
+    new = df.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in on], *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_set"))
+    here = old.join(new.select(*slices).distinct(), list(slices), "left_semi").join(new, on, "left")
+    done = here.select(*[F.when(F.col("_set"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in old.columns])
+    replace_slices(save(done), path, slices)
+
+
 def stamp(df: DataFrame, observed_at, capture: str) -> DataFrame:
     """df with the collector's time, a capture id and a hash of each row's content."""
     content = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
