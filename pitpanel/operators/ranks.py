@@ -100,3 +100,17 @@ def rank_quality(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[s
     # at best, the hits have the first places: the gain of the first so many places
     found = placed.groupBy(*keys).agg(ap, gain, F.sum(F.when(F.col("_k") <= F.col("_hits_all"), 1 / F.log2(F.col("_k") + 1))).alias("_ideal"))
     return found.select(*keys, "ap", F.try_divide("_gain", F.coalesce("_ideal", F.lit(0.0))).alias("ndcg"))
+
+
+def discrimination(df: DataFrame, keys: Sequence[str], score: str, hit: str, save: Save) -> DataFrame:
+    """(keys, roc_auc, average_precision) of a score, ties counted as such; null for a group with one class only.
+
+    Rows of equal score are counted first; the rest are running sums over the distinct scores from above.
+    """
+    g = df.where(F.col(score).isNotNull() & F.col(hit).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(hit).alias("_h"))
+    c = running(g, keys, [F.desc(score)], {"_cn": "_n", "_ch": "_h"}, save)
+    misses = F.col("_cn_all") - F.col("_ch_all")
+    below = misses - (F.col("_cn") - F.col("_ch")) + (F.col("_n") - F.col("_h")) / 2
+    both = F.first("_ch_all") * F.first(misses)
+    ap = F.when(both > 0, F.sum(F.col("_h") * F.col("_ch") / F.col("_cn")) / F.first("_ch_all"))
+    return c.groupBy(*keys).agg(F.when(both > 0, F.sum(F.col("_h") * below) / both).alias("roc_auc"), ap.alias("average_precision"))

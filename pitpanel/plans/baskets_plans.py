@@ -125,9 +125,11 @@ def enrichment(spark, sf):
     return out.select("entity", "n", r("rate", 8).alias("rate"), r("lift", 8).alias("lift"))
 
 
-@q("pair_lift_graph", f"WITH {FACTS}, x AS (SELECT DISTINCT basket, entity FROM facts) SELECT a.entity AS item_a, b.entity AS item_b, count(*) AS together FROM x a JOIN x b ON a.basket = b.basket AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2")
+@q("pair_lift_graph", f"""WITH {FACTS}, {HITS}, x AS (SELECT DISTINCT basket, entity FROM facts), b AS (SELECT avg(hit) AS base FROM hits), g AS (SELECT a.entity AS item_a, b.entity AS item_b, count(*) AS together, CAST(sum(hit) AS BIGINT) AS high FROM x a JOIN x b ON a.basket = b.basket AND a.entity < b.entity JOIN hits h ON h.basket = a.basket GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT item_a, item_b, together, high, round((high + 1) / (together + 2), 8) AS rate, round((high + 1) / (together + 2) / base, 8) AS lift, round(log2(greatest((high + 1) / (together + 2) / base, 1e-12)) * sqrt(high), 8) + 0.0 AS priority FROM g, b""")
 def pair_lift(spark, sf):
-    return B.pair_counts(facts(spark, sf), "basket", "entity", 1000).where("together >= 2")
+    out = B.pair_lift(facts(spark, sf), hits(spark, sf), "basket", "entity", 1000, 2)
+    return out.select("item_a", "item_b", "together", "high", r("rate", 8).alias("rate"), r("lift", 8).alias("lift"), (r("priority", 8) + F.lit(0.0)).alias("priority"))
 
 
 @q("basket_redundancy", f"WITH {FACTS}, x AS (SELECT DISTINCT basket, entity FROM facts) SELECT a.basket AS a, b.basket AS b, count(*) AS shared FROM x a JOIN x b ON a.entity = b.entity AND a.basket < b.basket GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -144,15 +146,20 @@ def swap_frontier(spark, sf):
     return B.swap_frontier(x, x.where("basket % 100 = 0").select("basket"), "basket", "world")
 
 
-@q("joint_event_metrics", f"WITH {FACTS}, e AS (SELECT DISTINCT grp, basket % 100 AS world FROM facts WHERE qty > 48), n AS (SELECT grp, count(*) AS n FROM e GROUP BY 1) SELECT a.grp AS a, b.grp AS b, count(*) AS both, round(count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)), 8) AS jaccard FROM e a JOIN e b ON a.world = b.world AND a.grp < b.grp JOIN n na ON na.grp = a.grp JOIN n nb ON nb.grp = b.grp GROUP BY 1, 2")
+@q("joint_event_metrics", f"""WITH {FACTS}, w AS (SELECT count(DISTINCT basket % 100) AS w FROM facts), e AS (SELECT DISTINCT grp, basket % 100 AS world FROM facts WHERE qty > 48), n AS (SELECT grp, count(*) AS n FROM e GROUP BY 1),
+  j AS (SELECT a.grp AS a, b.grp AS b, count(*) AS c, max(na.n) AS na, max(nb.n) AS nb FROM e a JOIN e b ON a.world = b.world AND a.grp < b.grp JOIN n na ON na.grp = a.grp JOIN n nb ON nb.grp = b.grp GROUP BY 1, 2)
+  SELECT a, b, c AS both, round(c / (na + nb - c), 8) AS jaccard, round(na / w, 8) AS rate_a, round(nb / w, 8) AS rate_b, round((na + nb - c) / w, 8) AS union_rate, round(c / w, 8) AS joint_rate, round(c / w / (na / w * (nb / w)), 6) AS lift FROM j, w""")
 def joint_events(spark, sf):
-    e = facts(spark, sf).where("qty > 48").select("grp", (F.col("basket") % 100).alias("world")).distinct()
+    f = facts(spark, sf).withColumn("world", F.col("basket") % 100)
+    worlds = f.agg(F.count_distinct("world").alias("w"))
+    e = f.where("qty > 48").select("grp", "world").distinct()
     n = e.groupBy("grp").agg(F.count("*").alias("n"))
     e = e.join(n, "grp")
     b = e.select(F.col("grp").alias("b"), "world", F.col("n").alias("nb"))
     j = e.select(F.col("grp").alias("a"), "world", F.col("n").alias("na")).join(b, "world").where("a < b")
-    g = j.groupBy("a", "b").agg(F.count("*").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return g.select("a", "b", "both", r(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 8).alias("jaccard"))
+    g = j.groupBy("a", "b").agg(F.count("*").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb")).crossJoin(F.broadcast(worlds))
+    x = lambda e, n: r(F.expr(e), n)
+    return g.select("a", "b", "both", x("both / (na + nb - both)", 8).alias("jaccard"), x("na / w", 8).alias("rate_a"), x("nb / w", 8).alias("rate_b"), x("(na + nb - both) / w", 8).alias("union_rate"), x("both / w", 8).alias("joint_rate"), x("both / w / (na / w * (nb / w))", 6).alias("lift"))
 
 
 QUOTA, SOURCES = {"top": 0.5, "urgent": 0.2, "half": 0.2, "rest": 0.1}, ["F", "O", "P"]
@@ -260,11 +267,14 @@ def changepoint(spark, sf):
     return B.single_changepoint(s, ["grp"], "at", "x", 8).select("grp", "split_after")
 
 
-@q("variance_components", f"WITH {FACTS}, c AS (SELECT flag, year(day) AS y, avg(qty) AS v FROM facts WHERE flag IN ('A', 'R') GROUP BY 1, 2), g AS (SELECT avg(v) AS g FROM c), a AS (SELECT flag, avg(v) - max(g) AS effect FROM c, g GROUP BY 1) SELECT flag, round(effect, 6) AS effect FROM a")
+@q("variance_components", f"""WITH {FACTS}, c0 AS (SELECT flag, year(day) AS y, avg(qty) AS v FROM facts WHERE flag IN ('A', 'N', 'R') GROUP BY 1, 2), c AS (SELECT *, count(*) OVER (PARTITION BY y) AS k FROM c0 QUALIFY k = 3),
+  m AS (SELECT flag, v - avg(v) OVER (PARTITION BY flag) - avg(v) OVER (PARTITION BY y) + avg(v) OVER () AS e, avg(v) OVER (PARTITION BY flag) - avg(v) OVER () AS effect, count(*) OVER () AS n FROM c),
+  t AS (SELECT sum(e * e) / (max(n) - 3 - max(n) / 3 + 1) AS residual, CAST(max(n) - 3 - max(n) / 3 + 1 AS BIGINT) AS df, max(n) / 3 AS periods FROM m), a AS (SELECT flag, max(effect) AS effect FROM m GROUP BY 1), v AS (SELECT var_samp(effect) AS ev FROM a)
+  SELECT flag, round(effect, 6) AS effect, round(ev, 6) AS effect_variance, round(residual, 6) AS residual_variance, df, round(effect / sqrt(residual * (1 - 1 / 3) / periods), 4) AS t FROM a, t, v""")
 def components(spark, sf):
-    c = facts(spark, sf).where("flag in ('A', 'R')").groupBy("flag", F.year("day").alias("y")).agg(F.avg("qty").alias("v"))
-    g = c.agg(F.avg("v").alias("g"))
-    return c.groupBy("flag").agg(F.avg("v").alias("m")).crossJoin(F.broadcast(g)).select("flag", r(F.col("m") - F.col("g"), 6).alias("effect"))
+    """Effects of the flag on mean quantity, years taken out; only years that have every flag, so the table is balanced."""
+    c = facts(spark, sf).where("flag in ('A', 'N', 'R')").groupBy("flag", F.year("day").alias("y")).agg(F.avg("qty").alias("v"))
+    return B.balanced_effects(c, "flag", "y", "v", 3).select("flag", *[r(x, 6).alias(x) for x in ("effect", "effect_variance", "residual_variance")], "df", r("t").alias("t"))
 
 
 @q("structure_census", f"WITH {FACTS}, p AS (SELECT basket, count(*) FILTER (flag = 'A') || 'A' || count(*) FILTER (flag = 'N') || 'N' || count(*) FILTER (flag = 'R') || 'R' AS pattern FROM facts GROUP BY 1) SELECT pattern, count(*) AS baskets FROM p GROUP BY 1")

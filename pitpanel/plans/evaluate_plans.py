@@ -95,13 +95,19 @@ def strata_calibration(spark, sf):
     return V.strata(fc(spark, sf), {"epoch": F.col("epoch"), "grp": F.col("grp"), "busy": F.col("n") > 1}, aggs)
 
 
-@q("eval_sample_scores", f"""WITH {FACTS}, a AS (SELECT basket, CAST(sum(CAST(qty AS DECIMAL(20,4))) AS DOUBLE) / count(*) AS y FROM facts GROUP BY 1), k AS (SELECT basket, y, qty, row_number() OVER (PARTITION BY basket ORDER BY qty) AS k, count(*) OVER (PARTITION BY basket) AS n FROM facts JOIN a USING (basket))
-  SELECT basket, round(avg(abs(qty - y)) - sum((2 * k - n - 1) * qty) / max(n * n), 6) AS crps, round(avg((qty >= 30)::INT), 6) AS p30 FROM k GROUP BY 1""")
+@q("eval_sample_scores", f"""WITH {FACTS}, a AS (SELECT basket, CAST(sum(CAST(qty AS DECIMAL(20,4))) AS DOUBLE) / count(*) AS mean, (CAST(sum(CAST(qty AS DECIMAL(20,4))) AS DOUBLE) / count(*) + max(qty)) / 2 AS y, {", ".join(f"quantile_cont(qty, 0.{q}) AS q{q}" for q in (90, 99))} FROM facts GROUP BY 1), k AS (SELECT a.*, qty, row_number() OVER (PARTITION BY basket ORDER BY qty) AS k, count(*) OVER (PARTITION BY basket) AS n FROM facts JOIN a USING (basket))
+  SELECT basket, round(max(mean - y), 6) + 0.0 AS bias, round(avg(abs(qty - y)) - sum((2 * k - n - 1) * qty) / max(n * n), 6) AS crps, {", ".join(f"round(pow(avg((qty >= {t})::INT) - max((y >= {t})::INT), 2), 6) AS brier_{t}" for t in (20, 30))},
+    {", ".join(f"max(y) > max(q{q}) AS exceeds_q{q}, round(greatest(0.{q} * max(y - q{q}), (0.{q} - 1) * max(y - q{q})), 6) AS pinball_q{q}" for q in (90, 99))} FROM k GROUP BY 1""")
 def sample_scores(spark, sf):
+    """A basket's quantities as a sample of forecasts; the actual value is midway between their mean and the largest."""
     f = facts(spark, sf)
-    a = f.groupBy("basket").agg(F.avg("qty").alias("y"), r(F.avg((F.col("qty") >= 30).cast("int")), 6).alias("p30"))
-    crps = V.sample_crps(f.join(a.select("basket", "y"), "basket"), ["basket"], "qty", "y")
-    return crps.join(a, "basket").select("basket", r("crps", 6).alias("crps"), "p30")
+    at = {"q90": 0.9, "q99": 0.99}
+    a = f.groupBy("basket").agg(F.avg("qty").alias("mean"), F.max("qty").alias("top"), *[F.percentile("qty", F.lit(x)).alias(c) for c, x in at.items()], *[F.avg((F.col("qty") >= t).cast("int")).alias(f"p{t}") for t in (20, 30)])
+    a = a.withColumn("y", (F.col("mean") + F.col("top")) / 2)
+    crps = V.sample_crps(f.join(a.select("basket", "y"), "basket"), ["basket"], "qty", "y").join(a, "basket")
+    brier = [r(F.pow(F.col(f"p{t}") - (F.col("y") >= t).cast("int"), 2), 6).alias(f"brier_{t}") for t in (20, 30)]
+    tails = [x for c, q in at.items() for x in ((F.col("y") > F.col(c)).alias(f"exceeds_{c}"), r(V.pinball(F.col("y"), F.col(c), q), 6).alias(f"pinball_{c}"))]
+    return crps.select("basket", (r(F.col("mean") - F.col("y"), 6) + F.lit(0.0)).alias("bias"), r("crps", 6).alias("crps"), *brier, *tails)
 
 
 @q("eval_cluster_se", f"""WITH {FC}, e AS (SELECT epoch, period, y - pred AS d FROM fc), m AS (SELECT avg(d) AS m, count(*) AS n FROM e), c AS (SELECT sum(d) - count(*) * max(m) AS s FROM e, m GROUP BY epoch, period)

@@ -364,13 +364,19 @@ def deciles(spark, sf):
     return u.groupBy("arm", "decile").agg(F.count("*").alias("rows"), r(F.avg("p"), 6).alias("mean_p"))
 
 
-@q("brier_skill_loo", f"WITH {FACTS}, e AS (SELECT CAST(year(day) AS BIGINT) AS epoch, count(*) AS n, sum((flag = 'R')::INT) AS h, sum(pow(qty / 50 - (flag = 'R')::INT, 2)) AS b FROM facts GROUP BY 1), t AS (SELECT sum(n) AS tn, sum(h) AS th FROM e), x AS (SELECT *, (th - h) * 1.0 / (tn - n) AS base FROM e, t) SELECT epoch, round(b / n, 8) AS brier, round(1 - (b / n) / (h * 1.0 / n * pow(1 - base, 2) + (1 - h * 1.0 / n) * pow(base, 2)), 6) AS skill FROM x")
+@q("brier_skill_loo", f"""WITH {FACTS}, e AS (SELECT CAST(year(day) AS BIGINT) AS epoch, count(*) AS n, sum((flag = 'R')::INT) AS h, sum(pow(qty / 50 - (flag = 'R')::INT, 2)) AS b FROM facts GROUP BY 1), t AS (SELECT sum(n) AS tn, sum(h) AS th FROM e), x AS (SELECT *, (th - h) * 1.0 / (tn - n) AS base FROM e, t),
+  g AS (SELECT CAST(year(day) AS BIGINT) AS epoch, qty, count(*) AS n, sum((flag = 'R')::INT) AS h FROM facts GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS cn, sum(h) OVER w AS ch, sum(n) OVER (PARTITION BY epoch) AS an, sum(h) OVER (PARTITION BY epoch) AS ah FROM g WINDOW w AS (PARTITION BY epoch ORDER BY qty DESC)),
+  d AS (SELECT epoch, sum(h * ((an - ah) - (cn - ch) + (n - h) / 2.0)) / nullif(max(ah) * max(an - ah), 0) AS auc, CASE WHEN max(ah) > 0 AND max(an) > max(ah) THEN sum(h * ch / cn) / max(ah) END AS ap FROM c GROUP BY 1)
+  SELECT epoch, round(b / n, 8) AS brier, round(1 - (b / n) / (h * 1.0 / n * pow(1 - base, 2) + (1 - h * 1.0 / n) * pow(base, 2)), 6) AS skill, round(auc, 6) AS roc_auc, round(ap, 6) AS average_precision FROM x JOIN d USING (epoch)""")
 def skill(spark, sf):
+    """By year: Brier score, skill against the other years' rate, ROC AUC and average precision (null with one class)."""
     hit = (F.col("flag") == "R").cast("int")
-    e = facts(spark, sf).groupBy(F.year("day").cast("long").alias("epoch")).agg(F.count("*").alias("n"), F.sum(hit).alias("h"), F.sum(F.pow(F.col("qty") / 50 - hit, 2)).alias("b"))
+    f = facts(spark, sf).select(F.year("day").cast("long").alias("epoch"), "qty", hit.alias("hit"))
+    e = f.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("hit").alias("h"), F.sum(F.pow(F.col("qty") / 50 - F.col("hit"), 2)).alias("b"))
     t = e.agg(F.sum("n").alias("tn"), F.sum("h").alias("th"))
     x = e.crossJoin(F.broadcast(t)).withColumn("base", F.expr("(th - h) / (tn - n)"))
-    return x.select("epoch", r(F.expr("b / n"), 8).alias("brier"), r(F.expr("1 - (b / n) / (h / n * pow(1 - base, 2) + (1 - h / n) * pow(base, 2))"), 6).alias("skill"))
+    d = K.discrimination(f, ["epoch"], "qty", "hit", save)
+    return x.join(d, "epoch").select("epoch", r(F.expr("b / n"), 8).alias("brier"), r(F.expr("1 - (b / n) / (h / n * pow(1 - base, 2) + (1 - h / n) * pow(base, 2))"), 6).alias("skill"), r("roc_auc", 6).alias("roc_auc"), r("average_precision", 6).alias("average_precision"))
 
 
 @q("poisson_binomial_tail", f"WITH {FACTS}, g AS (SELECT basket, list_sort(list(disc)) AS ps FROM facts GROUP BY 1) SELECT basket, round(list_reduce(ps, lambda a, p: [a[1] * (1 - p), a[2] * (1 - p) + a[1] * p, a[3] * (1 - p) + a[2] * p, a[4] + a[3] * p], [1.0, 0.0, 0.0, 0.0]::DOUBLE[])[4], 9) AS p3 FROM g")

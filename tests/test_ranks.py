@@ -106,3 +106,18 @@ def test_no_rows(spark):
     assert K.numbered(none, ["g"], ["x", "id"], save).collect() == K.ranked(none, ["g"], "x", save).collect() == []
     assert K.quantiles(none, ["g"], "x", {"q": 0.5}, save).collect() == []
     assert [tuple(r) for r in K.quantiles(none, [], "x", {"q": 0.5}, save).collect()] == [(None,)]
+
+
+def test_discrimination(df, rows):
+    got = {r.g: (r.roc_auc, r.average_precision) for r in K.discrimination(df, ["g"], "x", "hit", save).collect()}
+    for g in {r[1] for r in rows}:
+        own = [(r[3], r[5]) for r in rows if r[1] == g and r[3] is not None]
+        pos, neg = [x for x, h in own if h], [x for x, h in own if not h]
+        auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+        ap = sum(sum(y == p for y in pos) / len(pos) * sum(y >= p for y in pos) / sum(y >= p for y, _ in own) for p in set(pos))
+        assert got[g] == pytest.approx((auc, ap))
+
+
+def test_discrimination_of_one_class(spark):
+    one = spark.createDataFrame([(1, "a", 0, 1.0, 1, 1), (2, "a", 0, 2.0, 1, 1), (3, "b", 0, 2.0, 1, 0)], SCHEMA)
+    assert {r.g: (r.roc_auc, r.average_precision) for r in K.discrimination(one, ["g"], "x", "hit", save).collect()} == {"a": (None, None), "b": (None, None)}

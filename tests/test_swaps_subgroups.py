@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.operators.baskets import swap_frontier
+from pitpanel.operators.baskets import balanced_effects, pair_lift, swap_frontier
 from pitpanel.operators.subgroups import discover
 from pitpanel.sources.tables import save
 
@@ -91,3 +91,33 @@ def test_discover_finds_nothing(spark):
     assert discover(df.where(F.lit(False)), ["c"], "hit", save).collect() == []
     every = spark.createDataFrame([("a", 1)] * 30, "c string, hit int")
     assert discover(every, ["c"], "hit", save).collect() == []  # no rate is above the base rate
+
+
+def test_pair_lift(spark):
+    rng = random.Random(6)
+    sets = {b: {rng.randrange(9) for _ in range(rng.randrange(1, 5))} for b in range(80)}
+    hit = {b: int(3 in s or rng.random() < 0.1) for b, s in sets.items()}
+    items = spark.createDataFrame([(b, i) for b, s in sets.items() for i in s for _ in range(1 + b % 2)], "b long, i long")
+    got = pair_lift(items, spark.createDataFrame(list(hit.items()), "b long, hit long"), "b", "i", 10, 3).collect()
+    base, seen = sum(hit.values()) / len(hit), {}
+    for x, y in itertools.combinations(range(9), 2):
+        own = [b for b, s in sets.items() if {x, y} <= s]
+        if len(own) >= 3:
+            high = sum(hit[b] for b in own)
+            rate = (high + 1) / (len(own) + 2)
+            seen[x, y] = (len(own), high, rate, rate / base, math.log2(rate / base) * math.sqrt(high))
+    assert {(r.item_a, r.item_b): pytest.approx((r.together, r.high, r.rate, r.lift, r.priority)) for r in got} == seen
+
+
+def test_balanced_effects(spark):
+    rng = random.Random(1)
+    cells = [(a, p, rng.random() + a * 2 + p) for a in range(3) for p in range(7)]
+    rows = spark.createDataFrame([*cells, (0, 50, 9.0), (1, 50, 3.0)], "a long, p long, v double")  # a period without every arm
+    got = {r.a: r for r in balanced_effects(rows, "a", "p", "v", 3).collect()}
+    mean = lambda k, i: sum(c[2] for c in cells if c[i] == k) / sum(c[i] == k for c in cells)
+    grand = sum(c[2] for c in cells) / len(cells)
+    ss = sum((v - mean(a, 0) - mean(p, 1) + grand) ** 2 for a, p, v in cells)
+    for a in range(3):
+        assert got[a].effect == pytest.approx(mean(a, 0) - grand) and got[a].df == 12
+        assert got[a].residual_variance == pytest.approx(ss / 12)
+        assert got[a].t == pytest.approx(got[a].effect / math.sqrt(ss / 12 * (2 / 3) / 7))
