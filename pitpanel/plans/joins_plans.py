@@ -10,7 +10,7 @@ from pitpanel.operators import fuzzy
 from pitpanel.operators import resolve as R
 from pitpanel.operators import spine as S
 from pitpanel.operators import windows as W
-from pitpanel.operators.profiles import match_once
+from pitpanel.operators.profiles import match_once, nearest_profiles
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
 from pitpanel.sources.tables import save
 
@@ -297,9 +297,9 @@ def exact_then_fuzzy(spark, sf):
 @q("resolve_tiebreak_nearest", """SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey
   QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(abs(c_acctbal - s_acctbal), 2), s_suppkey) = 1""")
 def tiebreak_nearest(spark, sf):
-    c = table(spark, sf, "customer").withColumnRenamed("c_nationkey", "k")
-    s = table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "k")
-    return R.nearest(c, s, ["k"], [F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2)], "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey")
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("x"))
+    return nearest_profiles(c, s, ["k"], ["x"], "c_custkey", "s_suppkey", 1, save).select("c_custkey", "s_suppkey")
 
 
 @q("crosswalk_with_overrides", """WITH auto AS (SELECT c_custkey AS id, s_suppkey AS other FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE c_custkey % 3 <> 0), manual AS (SELECT c_custkey AS id, c_custkey * 10 AS other FROM customer WHERE c_custkey < 30)

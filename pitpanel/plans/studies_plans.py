@@ -131,12 +131,19 @@ def curve(spark, sf):
     return lad.select("item", "point", F.min("p").over(w).alias("s"), F.count("*").over(Window.partitionBy("item")).alias("n"))
 
 
-@q("market_curve_quantiles", f"WITH {CURVE}, b AS (SELECT item, point, s, lead(point) OVER v AS p2, lead(s) OVER v AS s2, n FROM mono WINDOW v AS (PARTITION BY item ORDER BY point)) SELECT item, round(min(point + (s - 0.5) / nullif(s - s2, 0) * (p2 - point)), 4) AS q50 FROM b WHERE n >= 3 AND s >= 0.5 AND s2 < 0.5 GROUP BY 1")
+@q("market_curve_quantiles", f"""WITH {CURVE}, b AS (SELECT item, point, s, lead(point) OVER v AS p2, lead(s) OVER v AS s2, lag(point) OVER v AS p0, lag(s) OVER v AS s0, n, row_number() OVER (PARTITION BY item ORDER BY point DESC) AS last FROM mono WINDOW v AS (PARTITION BY item ORDER BY point)),
+  i AS (SELECT item, {", ".join(f"min(CASE WHEN s >= {t} AND s2 < {t} THEN point + (s - {t}) / nullif(s - s2, 0) * (p2 - point) END) AS q{q}" for q, t in ((50, 0.5), (90, 0.1)))}, max(CASE WHEN last = 1 THEN s END) AS se, max(CASE WHEN last = 1 THEN point END) AS pe, max(CASE WHEN last = 1 AND s0 > s AND s > 0 THEN (point - p0) / ln(s0 / s) END) AS scale FROM b WHERE n >= 3 GROUP BY 1)
+  SELECT item, {", ".join(f"round(coalesce(q{q}, CASE WHEN se > {t} THEN pe + scale * ln(se / {t}) END), 4) AS q{q}" for q, t in ((50, 0.5), (90, 0.1)))}, se > 0.1 AND q90 IS NULL AS extrapolated FROM i""")
 def curve_quantiles(spark, sf):
+    """Median and 90th percentile of each item's curve, between its points; beyond the last one the tail falls as between the last two, exponentially."""
     w = W.ordered(["item"], ["point"])
-    b = curve(spark, sf).withColumns({"p2": F.lead("point").over(w), "s2": F.lead("s").over(w)}).where("n >= 3 and s >= 0.5 and s2 < 0.5")
-    at = F.col("point") + F.try_divide(F.col("s") - 0.5, F.col("s") - F.col("s2")) * (F.col("p2") - F.col("point"))
-    return b.groupBy("item").agg(r(F.min(at)).alias("q50"))
+    near = {"p2": F.lead("point").over(w), "s2": F.lead("s").over(w), "p0": F.lag("point").over(w), "s0": F.lag("s").over(w), "last": F.lead("point").over(w).isNull()}
+    b = curve(spark, sf).withColumns(near).where("n >= 3")
+    cut = lambda t: F.min(F.when((F.col("s") >= t) & (F.col("s2") < t), F.col("point") + F.try_divide(F.col("s") - t, F.col("s") - F.col("s2")) * (F.col("p2") - F.col("point"))))
+    end = lambda e: F.max(F.when(F.col("last"), F.expr(e)))
+    i = b.groupBy("item").agg(cut(0.5).alias("q50"), cut(0.1).alias("q90"), end("s").alias("se"), end("point").alias("pe"), end("case when s0 > s and s > 0 then (point - p0) / ln(s0 / s) end").alias("scale"))
+    beyond = lambda t: F.when(F.col("se") > t, F.col("pe") + F.col("scale") * F.ln(F.col("se") / t))
+    return i.select("item", r(F.coalesce("q50", beyond(0.5))).alias("q50"), r(F.coalesce("q90", beyond(0.1))).alias("q90"), ((F.col("se") > 0.1) & F.col("q90").isNull()).alias("extrapolated"))
 
 
 _Z = "(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t))"
@@ -424,13 +431,21 @@ def parity(spark, sf):
     return a.join(s, "basket").where(F.abs(F.col("m") - F.col("stored")) > 10).select("basket", r("m", 6).alias("recomputed"), "stored")
 
 
-@q("set_stability", f"WITH {FACTS}, b AS (SELECT flag, entity FROM (SELECT flag, entity, row_number() OVER (PARTITION BY flag ORDER BY sum(qty) DESC, entity) AS k FROM facts GROUP BY 1, 2) WHERE k <= 50) SELECT a.flag AS a, c.flag AS b, count(*) AS shared FROM b a JOIN b c ON a.entity = c.entity AND a.flag < c.flag GROUP BY 1, 2")
+@q("set_stability", f"""WITH {FACTS}, t AS (SELECT flag, entity, row_number() OVER (PARTITION BY flag ORDER BY sum(qty) DESC, entity) AS k FROM facts GROUP BY 1, 2), p AS (SELECT unnest([10, 25, 50]) AS prefix), f AS (SELECT DISTINCT flag FROM facts),
+  o AS (SELECT prefix, x.flag AS a, y.flag AS b, (SELECT count(*) FROM t JOIN t u ON u.entity = t.entity AND u.flag = y.flag AND u.k <= prefix WHERE t.flag = x.flag AND t.k <= prefix) AS shared FROM p, f x, f y WHERE x.flag < y.flag)
+  SELECT CAST(prefix AS INTEGER) AS prefix, count(*) AS pairs, round(avg(shared), 6) AS mean_shared, min(shared) AS least, round(quantile_cont(shared, 0.1), 6) AS q10, round(quantile_cont(shared, 0.5), 6) AS q50, round(quantile_cont(shared, 0.9), 6) AS q90 FROM o GROUP BY 1""")
 def stability(spark, sf):
+    """The parts with the highest quantity under each flag: how many the flags' first 10, 25 and 50 share, pair by pair."""
     s = facts(spark, sf).groupBy("flag", "entity").agg(F.sum("qty").alias("q"))
-    k = F.row_number().over(W.ordered(["flag"], [F.desc("q"), "entity"]))
-    top = s.withColumn("k", k).where("k <= 50").select("flag", "entity")
-    o = top.select(F.col("flag").alias("b"), "entity")
-    return top.withColumnRenamed("flag", "a").join(o, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    top = K.numbered(s, ["flag"], [F.desc("q"), "entity"], save, "k").where("k <= 50")
+    sets = top.select("flag", "entity", F.explode(F.filter(F.array(*map(F.lit, (10, 25, 50))), lambda p: p >= F.col("k"))).alias("prefix"))
+    other = sets.select(F.col("flag").alias("b"), "entity", "prefix")
+    shared = sets.withColumnRenamed("flag", "a").join(other, ["entity", "prefix"]).where("a < b").groupBy("prefix", "a", "b").agg(F.count("*").alias("shared"))
+    flags = sets.select("prefix", F.col("flag").alias("a")).distinct()  # a row for each set and prefix
+    every = flags.join(flags.withColumnRenamed("a", "b"), "prefix").where("a < b")
+    o = every.join(shared, ["prefix", "a", "b"], "left").select("prefix", F.coalesce("shared", F.lit(0)).alias("shared"))
+    q = lambda x: r(F.percentile("shared", F.lit(x)), 6)
+    return o.groupBy("prefix").agg(F.count("*").alias("pairs"), r(F.avg("shared"), 6).alias("mean_shared"), F.min("shared").alias("least"), q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
 
 
 @q("out_status_union", "SELECT o_orderkey FROM orders WHERE upper(coalesce(o_orderstatus, '')) = 'P' OR upper(o_orderpriority) LIKE '5%'")
