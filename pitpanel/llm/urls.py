@@ -58,16 +58,13 @@ def _place(key: Column, level: int, i: int, n_bits: int) -> Column:
 
 
 def _filter_of(keys: DataFrame, level: int, n_bits: int) -> Column:
-    """An array<long> of the filter's bits, as a scalar subquery."""
+    """An array<long> of the filter's bits, as a scalar subquery: every word, the empty ones from a range, in order."""
     at = F.explode(F.array(*[_place(F.col("host"), level, i, n_bits) for i in range(HASHES)]))
-    words = (
-        keys.select(at.alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
-    )
-    made = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
-    all_words = F.sequence(F.lit(0).cast("long"), F.lit((n_bits - 1) // 64).cast("long"))
-    return made.select(F.transform(all_words, lambda w: F.coalesce(F.element_at("m", w), F.lit(0)))).scalar()
+    some = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+    none = keys.sparkSession.range(n_bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = some.unionByName(none).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    made = words.agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    return made.select(F.transform("m", lambda x: x["bits"])).scalar()
 
 
 def _shard(key: Column, level: int, shards: int) -> Column:
