@@ -1,9 +1,11 @@
 """Quality rules whose cutoffs are risk-controlled on labelled documents.
 
 Every rule is a ratio with a fixed ladder of cutoffs; a document fails a rule if its ratio is above the cutoff of
-its stratum. A cutoff may be used only if an exact binomial test on the stratum's labelled good documents shows,
-at a level divided by the number of all tests, that it falsely rejects less than its share of the allowed risk.
-The lowest such cutoff of each rule and stratum is used; where none passes, the rule is not used there.
+its stratum. A quarter of the labelled documents puts all rules' cutoffs of a stratum in one order, the ones that
+reject the fewest good documents first; the others are the holdout. In that order the cutoffs are put in force one
+after the other, and each time an exact binomial test asks whether all in force together falsely reject less than
+the allowed risk of the holdout's good documents. The first that fails ends the sequence: tests in an order fixed
+beforehand need no correction among themselves. The level is divided by the number of strata.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.llm.store import materialise
+from pitpanel.llm.store import by_size, materialise
 from pitpanel.llm.words import U, chunks, mix, shingle_hashes, word_hashes, word_spans
 
 #: rule -> (ratio of text counts, ladder of cutoffs)
@@ -27,6 +29,8 @@ RULES = {
     "repeated_words": ("n_repeat_words / n_words", (0.02, 0.05, 0.1, 0.2, 0.3, 0.4)),
 }
 RISK, LEVEL = 0.04, 0.05
+#: One in TUNING labelled documents orders the cutoffs; the others test them.
+TUNING = 4
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -144,27 +148,56 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1 - part if swap else part
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, risk: float, level: float) -> DataFrame:
-    """(stratum, rule, cutoff), a row for each rule that may be used in a stratum."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    rows = counts.join(good, "doc_id").where(~base_failed())
-    rules = [
+def _ratios() -> list[F.Column]:
+    return [
         F.struct(F.lit(name).alias("rule"), F.expr(f"try_divide({ratio.replace(' / ', ', ')})").alias("x"), F.array(*map(F.lit, ladder)).alias("cuts"))
         for name, (ratio, ladder) in RULES.items()
     ]
-    long = rows.select(stratum, F.inline(F.array(*rules))).select(stratum, "rule", "x", F.explode("cuts").alias("cutoff"))
-    tested = long.groupBy(stratum, "rule", "cutoff").agg(
-        F.count("*").alias("n"), F.count_if(F.col("x") > F.col("cutoff")).alias("k")
-    )
-    tests = tested.agg(F.count("*").alias("tests"))
-    share = risk / len(RULES)
 
-    def passed(frames):
+
+def cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, risk: float, level: float) -> DataFrame:
+    """(stratum, rule, cutoff), a row for each rule that may be used in a stratum."""
+    quality = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").alias("_q")).distinct()
+    rows = counts.join(quality, "doc_id").where(~base_failed()).distinct()
+    rows = rows.select("doc_id", stratum, F.col("_q").alias("q"), F.array(*_ratios()).alias("ratios"))
+    tuning = F.crc32(F.col("doc_id").cast("string")) % TUNING == 0
+    test = rows.where(~tuning & (F.col("q") == 1))
+
+    grid = test.select(stratum).distinct().select(
+        stratum, F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(c).alias("cutoff")) for name, (_, ladder) in RULES.items() for c in ladder]))
+    )
+    long = rows.where(tuning).select(stratum, "q", F.inline("ratios")).select(stratum, "q", "rule", "x", F.explode("cuts").alias("cutoff"))
+    over = (F.col("x") > F.col("cutoff")).cast("int")
+    seen = long.groupBy(stratum, "rule", "cutoff").agg(
+        F.avg(F.when(F.col("q") == 1, over)).alias("good"), F.avg(F.when(F.col("q") == 0, over)).alias("bad")
+    )
+    # a stratum's cutoffs, 24 at most: the fewest good documents first, then the most bad ones, then the loosest
+    order = [F.coalesce("good", F.lit(0.0)), -F.coalesce("bad", F.lit(0.0)), F.desc("cutoff"), F.col("rule")]
+    path = grid.join(seen, [stratum, "rule", "cutoff"], "left")
+    path = materialise(path.select(stratum, "rule", "cutoff", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)).alias("step")))
+
+    # the step at which a good document is rejected first, if at any
+    steps = path.groupBy(stratum).agg(F.collect_list(F.struct("rule", "cutoff", "step")).alias("path"))
+    tagged = by_size(test, steps, stratum)
+    hit = F.flatten(F.transform("ratios", lambda r: F.transform(
+        F.filter("path", lambda t: (t["rule"] == r["rule"]) & (r["x"] > t["cutoff"])), lambda t: t["step"])))
+    found = tagged.select(stratum, F.array_min(hit).alias("step")).groupBy(stratum, "step").agg(F.count("*").alias("c"))
+    sizes = found.groupBy(stratum).agg(F.sum("c").alias("n"))
+    strata = sizes.agg(F.count("*").alias("strata"))
+    grown = Window.partitionBy(stratum).orderBy("step")
+    tests = path.join(found.where("step is not null"), [stratum, "step"], "left").join(sizes, stratum).crossJoin(F.broadcast(strata))
+    tests = tests.withColumn("k", F.sum(F.coalesce("c", F.lit(0))).over(grown))
+
+    def judged(frames):
         for df in frames:
-            p = [binomial_tail(int(k), int(n), share) for k, n in zip(df["k"], df["n"], strict=True)]
-            yield df[np.array(p) <= level / df["tests"].to_numpy()][[stratum, "rule", "cutoff"]] if len(df) else df[[stratum, "rule", "cutoff"]]
+            p = [binomial_tail(int(k), int(n), risk) for k, n in zip(df["k"], df["n"], strict=True)]
+            df["ok"] = np.array(p, dtype=float) <= level / df["strata"].to_numpy()
+            yield df[[stratum, "rule", "cutoff", "step", "ok"]]
 
-    kept = tested.crossJoin(F.broadcast(tests)).mapInPandas(passed, f"{stratum} string, rule string, cutoff double")
+    kept = tests.select(stratum, "rule", "cutoff", "step", "k", "n", "strata").mapInPandas(
+        judged, f"`{stratum}` string, rule string, cutoff double, step int, ok boolean"
+    )
+    kept = kept.withColumn("ok", F.min("ok").over(grown)).where("ok")
     return kept.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
@@ -180,12 +213,13 @@ def quality_rules(
 
     kept is false where base_failed (under 50 words, or over half the words in repeated 3-word windows), or where
     a ratio of RULES is above its stratum's cutoff. With a chance of at least 1 - level, every stratum's rules
-    together falsely reject at most `risk` of its good documents. labels: (doc_id, quality); 1 is good, other
-    values and nulls are not used, repeated ones count once. With no labels, or too few, no rule is used and only
+    together falsely reject at most `risk` of its good documents. labels: (doc_id, quality); 1 is good, 0 is bad and
+    only looked at for the order of cutoffs, other values and nulls are not used, repeated ones count once. With no labels, or too few, no rule is used and only
     base_failed rejects; an empty table gives no rows. Null
     texts have no words and fail; a null stratum is one of its own. Rows with null ids are judged too.
     """
-    docs = docs.withColumn(stratum, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    docs = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    stratum = "_stratum"  # its own name may be one of COUNTS
     counts = materialise(text_counts(docs, keys={"doc_id": "long", stratum: "string"}))
     cuts = materialise(cutoffs(counts, labels, stratum, risk, level))
     failed = F.lit(False)

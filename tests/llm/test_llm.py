@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -198,6 +199,49 @@ def test_quality_rules(spark):
     assert none == 4200  # nothing to calibrate on: only the base rules reject
 
 
+def test_quality_cutoffs_brute(spark):
+    """The cutoffs of two strata and the documents that they keep, against a plain reading of the sequence."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for d in range(3000):
+        lang, good = ("en", "de")[d % 3 == 0], rng.random() < 0.85
+        text = words(rng, 60)
+        marks = rng.choice((0, 0, 0, 1, 2)) if good else rng.choice((0, 4, 9, 20))
+        text = [w + "#" if i < marks else w for i, w in enumerate(text)]
+        loud = rng.random() < (0.01 if good else 0.4)
+        docs.append((d, " ".join(text).upper() if loud else " ".join(text), lang))
+        if d % 5:
+            labels.append((d, int(good)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_words string")  # a stratum named like a count
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    counts = {r.doc_id: r.asDict() for r in quality.text_counts(df).collect()}
+    rate = lambda d, rule: eval(quality.RULES[rule][0], {}, counts[d]) if counts[d][quality.RULES[rule][0].split(" / ")[1]] else None  # noqa: E731, S307
+    x = {d: {rule: rate(d, rule) for rule in quality.RULES} for d, _, _ in docs}
+    over = lambda d, rule, c: x[d][rule] is not None and x[d][rule] > c
+    failed_base = lambda d: counts[d]["n_words"] < 50 or 2 * counts[d]["n_repeat_words"] > counts[d]["n_words"]
+    mean = lambda v: sum(v) / len(v) if v else 0.0
+    lang, q, cuts = {d: g for d, _, g in docs}, dict(labels), {}
+    for g in ("en", "de"):
+        own = [d for d in q if lang[d] == g and not failed_base(d)]
+        tune = [d for d in own if zlib.crc32(str(d).encode()) % quality.TUNING == 0]
+        test = [d for d in own if d not in set(tune) and q[d] == 1]
+        steps = [(mean([over(d, r, c) for d in tune if q[d] == 1]), -mean([over(d, r, c) for d in tune if q[d] == 0]), -c, r) for r, (_, cs) in quality.RULES.items() for c in cs]
+        on = {}
+        for _, _, c, r in sorted(steps):
+            now = on | {r: min(-c, on.get(r, 9))}
+            k, n = sum(any(over(d, *i) for i in now.items()) for d in test), len(test)
+            if sum(math.comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(k + 1)) > quality.LEVEL / 2:
+                break
+            on = now
+        cuts[g] = on
+    got = quality.quality_rules(df, lab, stratum="n_words").collect()
+    assert all(cuts.values()) and len(got) == len(docs)
+    for r in got:
+        assert r.kept == (not failed_base(r.doc_id) and not any(over(r.doc_id, *i) for i in cuts[lang[r.doc_id]].items()))
+    unseen = [r for r in got if r.doc_id % 5 == 0 and not r.base_failed]
+    assert any(not r.kept for r in unseen)
+
+
 def test_binomial_tail():
     from math import comb
 
