@@ -42,17 +42,19 @@ def with_shingles(df: DataFrame, name: str, k: int = SHINGLE) -> DataFrame:
     return df.withColumn(name, hashed).drop("text")
 
 
-def size_for(n: int) -> int:
+def size_for(n: Column) -> Column:
     """Shingles of the windows of an item of n shingles: two of them (that may meet) and a step fit in it."""
-    return max([w for w, step in WINDOWS.items() if -(-9 * w // 5) + step - 1 <= n], default=1)
+    return F.coalesce(*[F.when(n >= -(-9 * w // 5) + step - 1, F.lit(w)) for w, step in sorted(WINDOWS.items(), reverse=True)], F.lit(1))
 
 
-def places_in(n: int) -> list[int]:
-    """Where an item of n shingles has windows: `step` places from the start of each part, the last ones at its end."""
-    w = size_for(n)
-    step = WINDOWS[w]
+def places_in(n: Column, w: Column) -> Column:
+    """Where an item of n shingles has windows of w: `step` places from the start of each part, the last ones at its end."""
+    step = F.coalesce(*[F.when(w == size, F.lit(step)) for size, step in WINDOWS.items()])
     last = n - w - step + 1
-    return sorted({t + i for t in {*range(0, last + 1, w), max(last, 0)} for i in range(step) if t + i + w <= n})
+    parts = F.when(last >= 0, F.sequence(F.lit(0), last, w)).otherwise(F.array().cast("array<int>"))
+    starts = F.concat(parts, F.array(F.greatest(last, F.lit(0))))
+    spots = F.flatten(F.transform(starts, lambda t: F.sequence(t, t + step - 1)))
+    return F.array_distinct(F.filter(spots, lambda x: x + w <= n))
 
 
 def with_fingerprint(df: DataFrame, sh: str, at: str, width: str, most: int = max(WINDOWS)) -> DataFrame:
@@ -141,35 +143,41 @@ def contaminated(
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     items = with_shingles(items.where("item_id is not null"), "item")
     items = materialise(items.where(F.size("item") > 0).withColumns({"n": F.size("item"), "plain": F.size(F.array_distinct("item")) == F.size("item")}).distinct())
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # lengths, not items
+    items = items.withColumn("w", size_for(F.col("n")))
+    sizes = sorted(r["w"] for r in items.select("w").distinct().collect())  # those of WINDOWS at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start long")
-    spots = F.create_map(*[x for n in sizes for x in (F.lit(n), F.struct(F.lit(size_for(n)).alias("w"), F.array(*map(F.lit, places_in(n))).alias("at")))])
-    known = items.select("item_id", "n", "item", spots[F.col("n")].alias("spot")).select("item_id", "n", "item", F.col("spot.w").alias("w"), F.explode("spot.at").alias("offset"))
+    known = items.select("item_id", "n", "item", "w", F.explode(places_in(F.col("n"), F.col("w"))).alias("offset"))
     known = with_fingerprint(known, "item", "offset", "w").select("item_id", "n", "w", "offset", F.col("fp").alias("item_fp"))
     listed = known.select("item_id", "n", "offset", "item_fp", F.explode(block_keys(F.col("item_fp"), F.col("w"), RADIUS // BLOCKS)).alias("key"))
     listed = materialise(listed)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    docs = with_shingles(docs, "sh")
-    kinds = ", ".join(f"struct({w} as w, {WINDOWS[w]} as step)" for w in sorted({size_for(n) for n in sizes}))
-    rows = docs.select("doc_id", "sh", F.expr(f"inline(array({kinds}))"))
+    kinds = ", ".join(f"struct({w} as w, {WINDOWS[w]} as step)" for w in sizes)
+    rows = with_shingles(docs, "sh").select("doc_id", "sh", F.expr(f"inline(array({kinds}))"))
     last = F.size("sh") - F.col("w")
-    # outer: no filter on sh that computes it again
-    rows = rows.withColumn("p", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last, F.col("step"))))).where("p is not null")
-    rows = with_fingerprint(rows, "sh", "p", "w", max(size_for(n) for n in sizes))
-    rows = rows.select("doc_id", "sh", "p", "fp", F.explode(block_keys(F.col("fp"), F.col("w"))).alias("key"))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.col("step")))
+    windows = F.transform(starts, lambda p: F.struct(p.alias("p"), F.slice("sh", p + 1, F.col("w")).alias("win")))
+    # a window's own shingles go on, not the document's; outer: no filter on sh that computes it again
+    rows = rows.select("doc_id", "w", F.size("sh").alias("m"), F.explode_outer(windows).alias("x")).where("x is not null")
+    rows = rows.select("doc_id", "m", "w", "x.p", "x.win", F.lit(0).alias("from"))
+    rows = with_fingerprint(rows, "win", "from", "w", max(sizes))
+    rows = rows.select("doc_id", "m", "p", "fp", F.explode(block_keys(F.col("fp"), F.col("w"))).alias("key"))
     met = by_size(rows, listed, "key", max_rows=1_000_000).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # the item would begin at p - offset; the runs about there
     slack = F.ceil(F.col("n") / 4).cast("int")
-    last = F.greatest(F.size("sh") - F.col("n"), F.lit(0))
+    last = F.greatest(F.col("m") - F.col("n"), F.lit(0))
     begin = F.col("p") - F.col("offset")
     low, high = F.greatest(begin - slack, F.lit(0)), F.least(begin + slack, last)
     low = F.least(low, last)
-    part = F.slice("sh", low + 1, F.greatest(high, low) - low + F.col("n"))
-    met = materialise(met.select("doc_id", "item_id", low.alias("low"), F.greatest(high, low).alias("high"), part.alias("part")).distinct())
+    met = materialise(met.select("doc_id", "m", "item_id", "n", low.alias("low"), F.greatest(high, low).alias("high")).distinct())
+    # the texts of documents that were met, once each
+    hit = met.select("doc_id").distinct()
+    texts = with_shingles(by_size(docs, hit, "doc_id", "left_semi"), "sh").withColumn("m", F.size("sh"))
+    part = F.slice("sh", F.col("low") + 1, F.col("high") - F.col("low") + F.col("n"))
+    met = by_size(texts, met, ["doc_id", "m"]).select("doc_id", "item_id", "low", "high", part.alias("part"))
     # dealt by rows: the rows are few, the work on each is not
-    near = by_size(met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), items, "item_id")
+    near = by_size(met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), items.drop("w"), "item_id")
 
     def best(acc: Column, start: Column) -> Column:
         now = weighted_similarity(F.slice("part", start - F.col("low") + 1, F.col("n")), F.col("item"), F.col("plain"))

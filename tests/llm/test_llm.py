@@ -457,10 +457,13 @@ def test_fingerprints(spark):
         assert len(r.b) == decontam.BLOCKS and set(r.b) <= set(r.near) and len(r.near) == decontam.BLOCKS * 17
 
 
-def test_windows_meet():
+def test_windows_meet(spark):
     """Wherever an item stands in a document, each part of it has a document's window at one of its places."""
-    for n in range(1, 200):
-        w, places = decontam.size_for(n), decontam.places_in(n)
+    df = spark.range(1, 200).select(F.col("id").cast("int").alias("n")).withColumn("w", decontam.size_for(F.col("n")))
+    df = df.withColumn("places", decontam.places_in(F.col("n"), F.col("w")))
+    for n, w, places in df.orderBy("n").collect():
+        places = sorted(places)
+        assert w == max([x for x, step in decontam.WINDOWS.items() if n >= 1.8 * x + step - 1], default=1)
         step = decontam.WINDOWS[w]
         assert places[0] == 0 and all(0 <= x and x + w <= n for x in places)
         for begin in range(step):  # of the item, on the document's grid
