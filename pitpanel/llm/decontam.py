@@ -24,6 +24,8 @@ from pitpanel.llm.store import by_size, materialise
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 7, 4
 #: Shingles of a window -> step between a document's windows. Odd, so that no bit is a tie.
 WINDOWS = {1: 1, 3: 1, 5: 2, 7: 3, 11: 4, 17: 6}
+#: Places of windows in a segment of a document: a multiple of all steps.
+SEGMENT = 252
 _OTHER = r"[^\p{L}\p{N}]+"
 # fixed values: what stands between words most often
 _TRIM = " \t\n\r.,;:!?\"'()[]{}<>-*#|%&$/"
@@ -154,15 +156,15 @@ def contaminated(
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     kinds = ", ".join(f"struct({w} as w, {WINDOWS[w]} as step)" for w in sizes)
-    rows = with_shingles(docs, "sh").select("doc_id", "sh", F.expr(f"inline(array({kinds}))"))
-    last = F.size("sh") - F.col("w")
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.col("step")))
-    windows = F.transform(starts, lambda p: F.struct(p.alias("p"), F.slice("sh", p + 1, F.col("w")).alias("win")))
-    # a window's own shingles go on, not the document's; outer: no filter on sh that computes it again
-    rows = rows.select("doc_id", "w", F.size("sh").alias("m"), F.explode_outer(windows).alias("x")).where("x is not null")
-    rows = rows.select("doc_id", "m", "w", "x.p", "x.win", F.lit(0).alias("from"))
-    rows = with_fingerprint(rows, "win", "from", "w", max(sizes))
-    rows = rows.select("doc_id", "m", "p", "fp", F.explode(block_keys(F.col("fp"), F.col("w"))).alias("key"))
+    # in segments that overlap, so that a window drags no whole document along; outer: no filter on sh that computes it again
+    rows = with_shingles(docs, "sh").withColumn("m", F.size("sh"))
+    starts = F.when(F.col("m") > 0, F.sequence(F.lit(0), F.col("m") - 1, F.lit(SEGMENT)))
+    segments = F.transform(starts, lambda s: F.struct(s.alias("base"), F.slice("sh", s + 1, SEGMENT + max(WINDOWS) - 1).alias("sh")))
+    rows = rows.select("doc_id", "m", F.explode_outer(segments).alias("x")).select("doc_id", "m", "x.base", "x.sh", F.expr(f"inline(array({kinds}))"))
+    last = F.least(F.size("sh") - F.col("w"), F.lit(SEGMENT - 1))
+    rows = rows.withColumn("at", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last, F.col("step"))))).where("at is not null")
+    rows = with_fingerprint(rows, "sh", "at", "w", max(sizes))
+    rows = rows.select("doc_id", "m", (F.col("base") + F.col("at")).alias("p"), "fp", F.explode(block_keys(F.col("fp"), F.col("w"))).alias("key"))
     met = by_size(rows, listed, "key", max_rows=1_000_000).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # the item would begin at p - offset; the runs about there
     slack = F.ceil(F.col("n") / 4).cast("int")
