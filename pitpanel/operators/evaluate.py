@@ -72,3 +72,25 @@ def conformal_quantile(df: DataFrame, keys: Sequence[str], score: str, level: fl
     df = df.withColumns({"_k": F.row_number().over(w.orderBy(score)), "_n": F.count("*").over(w)})
     at = F.col("_k") == F.ceil((F.col("_n") + 1) * level)
     return df.groupBy(*keys).agg(F.max(F.when(at, F.col(score))).alias("q"), F.count("*").alias("n"))
+
+
+def risk_control(losses: DataFrame, knob: str, loss: str, target: float, *, bound: float = 1.0, tol: float = 1e-9) -> DataFrame:
+    """(knob, risk, bound, satisfied), one row: the least knob whose (n * risk + bound) / (n + 1) is at most target.
+
+    losses: a row for each sample and knob, knobs rising from the least to the most conservative, losses from 0 to
+    bound. Where none reaches the target: the last knob, with satisfied false. The mean loss must not rise along the
+    knobs, and no loss may lie outside its range; the query fails if they do. An empty table gives no row.
+    """
+    by = losses.groupBy(knob).agg(
+        F.avg(loss).alias("risk"), F.count("*").alias("n"), F.count_if((F.col(loss) < -tol) | (F.col(loss) > bound + tol)).alias("outside")
+    )
+    rungs = F.array_sort(F.collect_list(F.struct(F.col(knob).cast("double").alias("knob"), "risk", "n", "outside")))  # one a knob
+    row = by.agg(rungs.alias("k")).where(F.size("k") > 0)
+    k = F.col("k")
+    rises = F.exists(F.sequence(F.lit(1), F.size(k)), lambda i: F.get(k, i)["risk"] > F.get(k, i - 1)["risk"] + tol)
+    fault = F.when(F.exists(k, lambda x: x["outside"] > 0), F.lit("losses lie outside their range")).when(rises, F.lit("mean loss rises along the knobs"))
+    of = lambda x: (x["n"] * x["risk"] + bound) / (x["n"] + 1)
+    met = F.filter(k, lambda x: of(x) <= target)
+    x = F.coalesce(F.get(met, F.lit(0)), F.element_at(k, -1))
+    row = row.select(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.size(met) > 0).alias("satisfied"), x.alias("x"))
+    return row.select(F.col("x.knob").alias(knob), F.col("x.risk").alias("risk"), of(F.col("x")).alias("bound"), "satisfied")

@@ -191,10 +191,22 @@ def blend_weight(spark, sf):
     return fc(spark, sf).groupBy("grp").agg(r(V.blend_weight(F.col("y"), F.col("pred"), F.col("market")), 6).alias("weight"))
 
 
-@q("fit_sigma_scale", f"WITH {FC} SELECT grp, CASE WHEN count(*) < 20 THEN 1.0 ELSE round(greatest(0.5, least(2, quantile_cont((y - pred) / 100000, 0.9) / 1.2816)), 6) END AS scale FROM fc GROUP BY 1")
+@q("fit_sigma_scale", f"""WITH {FC}, z AS (SELECT epoch, period, (y - pred) / ((p90 - p10) / 2.5632) AS z FROM fc WHERE p90 > p10), t AS (SELECT DISTINCT epoch, period FROM fc), b AS (SELECT t.epoch, t.period, count(z) AS n, quantile_cont(z, 0.9) AS q FROM t LEFT JOIN z ON z.epoch = t.epoch AND z.period BETWEEN t.period - 3 AND t.period - 1 GROUP BY 1, 2)
+  SELECT epoch, period, n, CASE WHEN n < 100 THEN 1.0 ELSE round(greatest(0.6, least(1.8, q / 1.2816)), 6) END AS scale FROM b""")
 def sigma_scale(spark, sf):
-    z = F.percentile((F.col("y") - F.col("pred")) / 100000, F.lit(0.9)) / 1.2816
-    return fc(spark, sf).groupBy("grp").agg(F.when(F.count("*") < 20, 1.0).otherwise(r(F.greatest(F.lit(0.5), F.least(F.lit(2.0), z)), 6)).alias("scale"))
+    """For every month: the scale that the three months before it in its year call for; 1 with under 100 rows.
+
+    A row serves the three months after its own, so months meet by equality.
+    """
+    f = fc(spark, sf)
+    asked = f.select("epoch", "period").distinct()  # a row per month
+    z = f.where("p90 > p10").select("epoch", F.explode(F.sequence(F.col("period") + 1, F.col("period") + 3)).alias("period"), ((F.col("y") - F.col("pred")) / ((F.col("p90") - F.col("p10")) / 2.5632)).alias("z"))
+    z = save(z)
+    q90 = K.quantiles(z, ["epoch", "period"], "z", {"q": 0.9}, save)
+    n = z.groupBy("epoch", "period").agg(F.count("*").alias("n"))
+    out = asked.join(n, ["epoch", "period"], "left").join(q90, ["epoch", "period"], "left")
+    scale = F.when(F.col("n") >= 100, r(F.greatest(F.lit(0.6), F.least(F.lit(1.8), F.col("q") / 1.2816)), 6)).otherwise(1.0)
+    return out.select("epoch", "period", F.coalesce("n", F.lit(0)).alias("n"), scale.alias("scale"))
 
 
 @q("fit_walk_forward_folds", f"WITH {PANEL}, e AS (SELECT DISTINCT epoch FROM panel) SELECT a.epoch AS held, b.epoch AS train FROM e a JOIN e b ON b.epoch < a.epoch WHERE a.epoch >= (SELECT min(epoch) + 2 FROM e)")
@@ -251,11 +263,12 @@ def _order_statistic(s, n):
     return ranked.crossJoin(F.broadcast(n)).where(F.col("upto") >= F.ceil((F.col("n") + 1) * 0.8)).agg(F.min("s").alias("all"))
 
 
-@q("fit_risk_control", f"""WITH {FC}, l AS (SELECT x AS knob, avg((y > pred * x)::INT) AS risk, count(*) AS n FROM fc, (SELECT unnest({GRID}) AS x) GROUP BY 1) SELECT CAST(min(knob) AS DOUBLE) AS knob FROM l WHERE (n * risk + 1) / (n + 1) <= 0.35""")
+@q("fit_risk_control", f"""WITH {FC}, l AS (SELECT CAST(x AS DOUBLE) AS knob, avg((y > pred * x)::INT) AS risk, count(*) AS n FROM fc, (SELECT unnest({GRID}) AS x) GROUP BY 1), b AS (SELECT *, (n * risk + 1) / (n + 1) AS bound FROM l), k AS (SELECT coalesce(min(knob) FILTER (bound <= 0.35), max(knob)) AS knob, count(*) FILTER (bound <= 0.35) > 0 AS satisfied FROM b)
+  SELECT b.knob, round(b.risk, 8) AS risk, round(b.bound, 8) AS bound, satisfied FROM b JOIN k USING (knob)""")
 def risk_control(spark, sf):
-    long = fc(spark, sf).withColumn("knob", F.explode(F.array(*map(F.lit, GRID))))
-    risk = long.groupBy("knob").agg(F.avg((F.col("y") > F.col("pred") * F.col("knob")).cast("int")).alias("risk"), F.count("*").alias("n"))
-    return risk.where((F.col("n") * F.col("risk") + 1) / (F.col("n") + 1) <= 0.35).agg(F.min("knob").alias("knob"))
+    long = fc(spark, sf).select(F.explode(F.array(*map(F.lit, GRID))).alias("knob"), "y", "pred")
+    out = V.risk_control(long.select("knob", (F.col("y") > F.col("pred") * F.col("knob")).cast("int").alias("loss")), "knob", "loss", 0.35)
+    return out.select("knob", r("risk", 8).alias("risk"), r("bound", 8).alias("bound"), "satisfied")
 
 
 @q("fit_effect_eb", f"""WITH {FC}, g AS (SELECT grp, avg(y - pred) AS m, var_samp(y - pred) / count(*) AS v FROM fc GROUP BY 1 HAVING count(*) > 2), t AS (SELECT avg(m) AS mu, greatest(var_samp(m) - avg(v), 0) AS tau FROM g) SELECT grp, round((m * tau + mu * v) / (tau + v), 2) AS effect FROM g, t""")

@@ -11,6 +11,7 @@ from pitpanel.operators import evaluate as V
 from pitpanel.operators import ranks as K
 from pitpanel.operators import series as SE
 from pitpanel.operators import spine as SP
+from pitpanel.operators import tracking as TR
 from pitpanel.operators import windows as W
 from pitpanel.operators.nearest import nearest
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
@@ -19,6 +20,7 @@ from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
 QUERIES, SQL = {}, {}
+TRAITS = ["speed_mean", "speed_p90", "accel_p90", "marker_speed_p90", "depth_mean", "depth_p90", "separation_mean"]
 D = "CAST(sum(CAST({} AS DECIMAL(20,4))) AS DOUBLE)"
 
 
@@ -205,10 +207,28 @@ def coverage_fit(spark, sf):
     return y.select("grp", "epoch", "flag").join(prior, ["grp", "epoch", "flag"])
 
 
-@q("tracking_traits", f"WITH {FACTS} SELECT entity, count(*) AS frames, round(avg(qty), 6) AS mean, round(quantile_cont(qty, 0.9), 6) AS p90, arg_max(qty, (day, basket, line, grp)) - arg_min(qty, (day, basket, line, grp)) AS depth FROM facts GROUP BY 1")
+# an order is a play of three frames, a part in it a subject; even orders run to the left
+@q("tracking_traits", f"""WITH {FACTS}, l AS (SELECT basket, entity, min(line) AS line, max(qty) AS qty, max(disc) AS disc, min(day) AS day FROM facts GROUP BY 1, 2),
+  raw AS (SELECT basket, entity, k AS frame, year(day) * 12 + month(day) AS period, CASE line % 3 WHEN 0 THEN 'marker' WHEN 1 THEN 'target' ELSE 'mover' END AS role, qty + 20 * disc * k AS x, line * 6 + qty * k / 50 AS y, qty / 10 + disc * 10 * k AS speed, disc * 10 + k AS accel FROM l, (SELECT unnest([0, 1, 2]) AS k)),
+  f AS (SELECT * REPLACE (CASE WHEN basket % 2 = 0 THEN 120 - x ELSE x END AS x, CASE WHEN basket % 2 = 0 THEN 53.3 - y ELSE y END AS y) FROM raw),
+  base AS (SELECT entity, count(*) AS frames, count(DISTINCT period) AS periods, max(period) AS last_period, count(DISTINCT basket) FILTER (role <> 'marker') AS mover_plays, count(DISTINCT basket) FILTER (role = 'marker') AS marker_plays, avg(speed) FILTER (role <> 'marker') AS speed_mean, quantile_cont(speed, 0.9) FILTER (role <> 'marker') AS speed_p90,
+    count(speed) FILTER (role <> 'marker') AS speed_n, quantile_cont(accel, 0.9) FILTER (role <> 'marker') AS accel_p90, quantile_cont(speed, 0.9) FILTER (role = 'marker') AS marker_speed_p90, count(speed) FILTER (role = 'marker') AS marker_speed_n FROM f GROUP BY 1),
+  d AS (SELECT basket, entity, arg_max(x, frame) - arg_min(x, frame) AS depth FROM f WHERE role <> 'marker' GROUP BY 1, 2), dd AS (SELECT entity, avg(depth) AS depth_mean, quantile_cont(depth, 0.9) AS depth_p90 FROM d GROUP BY 1),
+  s AS (SELECT t.basket, t.entity, min(sqrt(pow(t.x - m.x, 2) + pow(t.y - m.y, 2))) AS d FROM f t JOIN f m ON m.basket = t.basket AND m.role = 'marker' AND m.frame = 2 WHERE t.role = 'target' AND t.frame = 2 GROUP BY 1, 2), ss AS (SELECT entity, avg(d) AS separation_mean, count(*) AS target_plays FROM s GROUP BY 1)
+  SELECT entity, frames, periods, CAST(last_period AS BIGINT) AS last_period, mover_plays, marker_plays, speed_n, marker_speed_n, coalesce(target_plays, 0) AS target_plays, {", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in TRAITS)} FROM base LEFT JOIN dd USING (entity) LEFT JOIN ss USING (entity)""")
 def tracking(spark, sf):
-    order = F.struct("day", "basket", "line", "grp")
-    return facts(spark, sf).groupBy("entity").agg(F.count("*").alias("frames"), r(F.avg("qty"), 6).alias("mean"), r(F.percentile("qty", F.lit(0.9)), 6).alias("p90"), (F.max_by("qty", order) - F.min_by("qty", order)).alias("depth"))
+    """Traits of parts as subjects of an order's frames: speeds and depths as mover, distance from the nearest marker."""
+    one = facts(spark, sf).groupBy("basket", "entity").agg(F.min("line").alias("line"), F.max("qty").alias("qty"), F.max("disc").alias("disc"), F.min("day").alias("day"))
+    f = one.withColumn("frame", F.explode(F.array(*map(F.lit, range(3))))).select(
+        "basket", "entity", "frame", (F.year("day") * 12 + F.month("day")).cast("long").alias("period"),
+        F.expr("CASE line % 3 WHEN 0 THEN 'marker' WHEN 1 THEN 'target' ELSE 'mover' END").alias("role"),
+        F.expr("qty + 20 * disc * frame").alias("x"), F.expr("line * 6 + qty * frame / 50").alias("y"),
+        F.expr("qty / 10 + disc * 10 * frame").alias("speed"), F.expr("disc * 10 + frame").alias("accel"),
+    )
+    f = TR.oriented(f, F.col("basket") % 2 == 0, 120, 53.3)
+    out = TR.traits(f, ["basket"], "entity", "frame", "period", role="role", movers=["mover", "target"], target="target", marker="marker")
+    kept = ["entity", "frames", "periods", "last_period", "mover_plays", "marker_plays", "speed_n", "marker_speed_n", "target_plays"]
+    return out.select(*kept, *[(r(c, 8) + F.lit(0.0)).alias(c) for c in TRAITS])
 
 
 @q("winner_registry", "WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 4 = 0) SELECT k, max(v) AS v, count(*) AS sources FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a WHERE k % 8 = 0)) GROUP BY 1")
