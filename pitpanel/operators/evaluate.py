@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,29 @@ def psi(base: DataFrame, live: DataFrame, x: str, bins: int, save, floor: float
 
 def pinball(y: Column, pred: Column, quantile: float) -> Column:
     d = y - pred
-    return F.greatest(quantile * d, (quantile - 1) * d)
+    return F.greatest(quantile * d, float(Decimal(str(quantile)) - 1) * d)
+
+
+def sample_quantile(values: Column, q: float) -> Column:
+    """The quantile of a sorted array without nulls, low * (1 - part) + high * part, the first product not rounded.
+
+    Where an actual value equals a quantile, its last bit decides which is larger, so the product is taken in two parts.
+    """
+    place = (F.size(values) - 1).cast("double") * F.lit(q)
+    low, high = (F.get(values, f(place).cast("int")) for f in (F.floor, F.ceil))
+    part = place - F.floor(place)
+    rest, added = 1 - part, high * part
+    top = rest * float(2**27 + 1) - (rest * float(2**27 + 1) - rest)
+    first = low * rest
+    lost = (low * top - first) + low * (rest - top)
+    total = first + added
+    back = total - first
+    return total + (((first - (total - back)) + (added - back)) + lost)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x times a power of ten, to a whole number, halves away from 0: a value midway in decimals goes where its product lies."""
+    return F.round(x * 10.0**digits) / 10.0**digits
 
 
 def strata(df: DataFrame, dims: Mapping[str, Column], aggs: Sequence[Column]) -> DataFrame:
