@@ -24,6 +24,7 @@ from pitpanel.llm.store import by_size, materialise
 #: Most labelled rows that the models are fitted on (taken by hash); documents that a term needs to be tested; share
 #: of false terms allowed in the lexicon; precision of a term; fitted rows that a voter of its own must vote on.
 FIT_ROWS, TESTED, FALSE_SHARE, PRECISION, OWN = 20_000, 4, 0.01, 0.8, 10
+FIT_PARTS = 32
 _HELD_TERMS = 300_000
 _LETTERS = regex.compile(r"\p{L}+")
 _BROKEN = regex.compile(r"(?<!\p{L})\p{L}(?:[.*_\-]\p{L}){2,}(?!\p{L})")
@@ -229,6 +230,12 @@ def score_toxicity(
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def fitted(train: DataFrame, fit_rows: int) -> DataFrame:
+    """Rows of the fit_rows documents that come first by hash: only their numbers go to the texts, which stay where they are."""
+    taken = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    return train.join(F.broadcast(taken), "doc_id").limit(2 * fit_rows).repartition(FIT_PARTS)
+
+
 def _fit(train: DataFrame, listed: set[str], fit_rows: int, sizes: dict[int, int]) -> tuple[dict[str, int], list[float], float]:
     """The terms with a voter of their own and their columns, the weights of all columns, and the constant."""
     total = sizes[0] + sizes[1]
@@ -236,7 +243,7 @@ def _fit(train: DataFrame, listed: set[str], fit_rows: int, sizes: dict[int, int
         share = min(max(sizes[1] / total if total else 0.0, 1e-9), 1 - 1e-9)
         return {}, [0.0] * n_features(0), float(np.log(share / (1 - share)))
     if total > fit_rows:
-        train = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(fit_rows).join(train, "doc_id").limit(2 * fit_rows)
+        train = fitted(train, fit_rows)
 
     def run(frames):
         for df in frames:
