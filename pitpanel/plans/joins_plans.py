@@ -10,6 +10,7 @@ from pitpanel.operators import fuzzy
 from pitpanel.operators import resolve as R
 from pitpanel.operators import spine as S
 from pitpanel.operators import windows as W
+from pitpanel.operators.blocks import block_join
 from pitpanel.operators.profiles import match_once, nearest_profiles
 from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
 from pitpanel.sources.tables import save
@@ -119,9 +120,10 @@ def bucket_lookup(spark, sf):
 
 @q("join_disjunctive", """SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (c_acctbal < s_acctbal OR (c_mktsegment = 'MACHINERY' AND s_suppkey % 2 = 0))""")
 def disjunctive(spark, sf):
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), "c_custkey", "c_acctbal", "c_mktsegment")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("g"), "s_suppkey", "s_acctbal")
     more = (F.col("c_acctbal") < F.col("s_acctbal")) | ((F.col("c_mktsegment") == "MACHINERY") & (F.col("s_suppkey") % 2 == 0))
-    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & more).select("c_custkey", "s_suppkey")
+    return block_join(c, s, ["g"]).where(more).select("c_custkey", "s_suppkey")
 
 
 @q("join_asof_strict_period", f"""WITH {PANEL}, src AS (SELECT *, avg(total) OVER w4 AS l4, count(*) OVER w4 AS support FROM panel
