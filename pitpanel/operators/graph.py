@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitpanel.operators.blocks import block_join
+
 
 def neighbors(edges: DataFrame, kinds: Sequence[str], sources: DataFrame | None = None) -> DataFrame:
     """Typed out-edges; of given sources (id) only, if any."""
@@ -21,9 +23,9 @@ def strongest_in_edge(edges: DataFrame, kind: str) -> DataFrame:
 
 
 def competes(members: DataFrame, group: Sequence[str], member: str) -> DataFrame:
-    """Directed pairs of different members of a group."""
-    other = members.withColumnRenamed(member, "dst")
-    return members.withColumnRenamed(member, "src").join(other, list(group)).where("src <> dst")
+    """Directed pairs of different members of a group: all its pairs, so a large group is dealt to many tasks."""
+    one = members.select(*group, member)
+    return block_join(one.withColumnRenamed(member, "src"), one.withColumnRenamed(member, "dst"), group).where("src <> dst")
 
 
 def paired_delta(rows: DataFrame, task: Sequence[str], arm: str, value: str, incumbent: str, challenger: str) -> DataFrame:
