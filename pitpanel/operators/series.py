@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cusum(x: Sequence[float], k: float, h: float) -> list[bool]:
@@ -84,6 +85,19 @@ def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: floa
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
 
 
+def cusum_panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 4.0, least: int = 4) -> DataFrame:
+    """(keys, order, cusum_flag) as panel has it, without change probabilities; a series is an array, many of them a batch."""
+    sample = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("x"))))
+    s = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(sample.alias("_s")).where(F.size("_s") >= least)
+
+    @F.pandas_udf("array<boolean>")
+    def flags(xs: pd.Series) -> pd.Series:
+        return pd.Series([cusum(x, k, h) for x in xs])
+
+    out = s.select(*keys, "_s", flags(F.col("_s.x")).alias("_f")).select(*keys, F.explode(F.arrays_zip("_s", "_f")).alias("_z"))
+    return out.select(*keys, F.col("_z._s.at").alias(order), F.col("_z._f").alias("cusum_flag"))
+
+
 def normal_crps(y: float, mean: float, sd: float) -> float:
     """Closed-form CRPS of a normal forecast."""
     z = (y - mean) / sd

@@ -43,7 +43,7 @@ def changepoint_panel(spark, sf):
 @q("cusum_panel")
 def cusum_panel(spark, sf):
     p = panel(spark, sf).select("entity", (F.col("epoch") * 12 + F.col("period")).alias("at"), (F.col("total") / 1e5).alias("x"))
-    return SE.panel(p, ["entity"], "at", "x", h=1.5, least=3).select("entity", "at", "cusum_flag")
+    return SE.cusum_panel(p, ["entity"], "at", "x", h=1.5, least=3)
 
 
 # two-sided p of Student's t: with x = sqrt(df) tan(a), its density is in proportion to cos(a) ^ (df - 1)
