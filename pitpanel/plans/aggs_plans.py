@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import aggs as G
 from pitpanel.operators import ranks as K
 from pitpanel.operators import windows as W
-from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, spread, table
 from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
@@ -115,7 +115,8 @@ def total_and_group(spark, sf):
 @q("agg_spearman", f"""WITH {FACTS}, k AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY qty) + (count(*) OVER (PARTITION BY grp, qty) - 1) / 2.0 AS a, rank() OVER (PARTITION BY grp ORDER BY disc) + (count(*) OVER (PARTITION BY grp, disc) - 1) / 2.0 AS b FROM facts)
   SELECT grp, round(corr(a, b), 6) AS spearman, count(*) AS n FROM k GROUP BY 1""")
 def agg_spearman(spark, sf):
-    return G.spearman(facts(spark, sf), ["grp"], "qty", "disc").withColumn("spearman", r("spearman", 6))
+    f = spread(facts(spark, sf).select("grp", "qty", "disc"), table(spark, sf, "lineitem").count(), "grp")
+    return G.spearman(f, ["grp"], "qty", "disc").withColumn("spearman", r("spearman", 6))
 
 
 @q("agg_quantiles_group", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 3) AS q10, round(quantile_cont(o_totalprice, 0.5), 3) AS q50, round(quantile_cont(o_totalprice, 0.9), 3) AS q90 FROM orders GROUP BY 1")
