@@ -186,7 +186,7 @@ def share_over_expected(spark, sf):
     f = facts(spark, sf)
     share = F.count_if(F.col("flag") == "R") / F.count("*")
     g = f.groupBy("grp").agg(share.alias("gs"))
-    o = f.join(g, "grp").groupBy("basket").agg(F.count("*").alias("n"), share.alias("sh"), F.avg("gs").alias("e"))
+    o = spread(spread(f, rows, "grp").join(g, "grp"), rows, "basket").groupBy("basket").agg(F.count("*").alias("n"), share.alias("sh"), F.avg("gs").alias("e"))
     n = F.col("n")
     return o.select("basket", F.when(n >= 3, r((F.col("sh") - F.col("e")) * n / (n + 4), 6)).alias("asoe"))
 
