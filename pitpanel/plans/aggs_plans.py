@@ -183,7 +183,8 @@ def opponent_adjusted(spark, sf):
   o AS (SELECT basket, count(*) AS n, count(*) FILTER (flag = 'R') * 1.0 / count(*) AS sh FROM facts GROUP BY 1)
   SELECT basket, CASE WHEN n >= 3 THEN round((sh - expected) * n / (n + 4.0), 6) END AS asoe FROM o JOIN x USING (basket)""")
 def share_over_expected(spark, sf):
-    f = facts(spark, sf)
+    rows = table(spark, sf, "lineitem").count()
+    f = facts(spark, sf).select("basket", "grp", "flag")
     share = F.count_if(F.col("flag") == "R") / F.count("*")
     g = f.groupBy("grp").agg(share.alias("gs"))
     o = spread(spread(f, rows, "grp").join(g, "grp"), rows, "basket").groupBy("basket").agg(F.count("*").alias("n"), share.alias("sh"), F.avg("gs").alias("e"))
