@@ -22,15 +22,20 @@ def q(name: str, sql: str | None = None):
 
 
 def stream(spark, sf):
-    """events as a file stream of three files, written in order of time, observed_at as an instant."""
+    """events as a file stream of three batches, in order of time, observed_at as an instant.
+
+    A batch is a third of the time in files of its own: a part of a third that came after other parts of it would be
+    behind the watermark.
+    """
     path = T.workspace(spark)
     e = table(spark, sf, "events").withColumn("observed_at", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "value", "observed_at")
     at = F.col("observed_at").cast("double")
-    low, high = e.agg(F.min(at), F.max(at)).first()
+    low, high, rows = e.agg(F.min(at), F.max(at), F.count("*")).first()
     third = F.least(F.floor((at - low) / (high - low) * 3), F.lit(2))
+    files = min(64, max(1, rows // 1_000_000))
     for k in range(3):
-        e.where(third == k).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(path)
+        e.where(third == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @q("stream_append_log", "SELECT event_id, CAST(ts AS DATE) AS day FROM events")
@@ -109,6 +114,7 @@ def freshness(spark, sf):
 @q("stream_evidence_state", """WITH n AS (SELECT user_id, event_type, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events), w AS (SELECT epoch_ms(max(ts)) - 3600000 AS mark FROM events)
   SELECT user_id, event_type, id, CASE WHEN nxt <= ts + INTERVAL 24 HOUR THEN nxt ELSE ts + INTERVAL 24 HOUR END AS ended_at, CASE WHEN nxt <= ts + INTERVAL 24 HOUR THEN 'superseded' ELSE 'expired' END AS why FROM n, w WHERE nxt IS NOT NULL OR epoch_ms(ts + INTERVAL 24 HOUR) < mark""")
 def evidence_state(spark, sf):
-    out = T.workspace(spark)
-    J.run_available(J.evidence_state(stream(spark, sf), ["user_id", "event_type"], "event_id", "observed_at", 24, "1 hour"), out, T.workspace(spark))
-    return spark.read.parquet(out)
+    ended = T.workspace(spark)
+    each = J.evidence_ends(ended, T.workspace(spark), ["user_id", "event_type"], "event_id", "observed_at", 24, 1)
+    J.run_batches(stream(spark, sf), each, T.workspace(spark), mode="append")
+    return spark.read.parquet(ended).drop("batch")
