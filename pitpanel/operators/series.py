@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Series up to this length are told together, longer ones one by one.
+SHORT = 200
+
+
 def cusum(x: Sequence[float], k: float, h: float) -> list[bool]:
     """Page's cumulative sums of the standardised series, one for either direction, both from 0 after a flag.
 
@@ -65,24 +69,73 @@ def changepoint_probability(x: Sequence[float], hazard: float = 1 / 25, recent:
     return out
 
 
+def changepoint_probabilities(series: Sequence[np.ndarray], hazard: float = 1 / 25, recent: int = 2, prune: float = 1e-8) -> list[np.ndarray]:
+    """changepoint_probability of many series of like length at once: a row for each series, a column for each run.
+
+    Column j after value t holds the run of j values, so a run's count is its column; pruned runs weigh nothing. Series have to be
+    without gaps; shorter ones go on with their last value, and what comes of that is cut off.
+    """
+    sizes = np.array([len(x) for x in series])
+    longest = int(sizes.max(initial=0))
+    if not longest:
+        return [np.zeros(0) for _ in series]
+    a = np.array([np.concatenate((x, np.full(longest - len(x), x[-1] if len(x) else 0.0))) for x in series], dtype=float)
+    log_w, mean, ss = (np.zeros((len(a), 1)) for _ in range(3))
+    out = np.zeros(a.shape)
+    count = np.arange(longest + 1.0)
+    # log density of Student's t with 2 alpha degrees of freedom: what depends on the count alone
+    gamma = np.array([math.lgamma((4 + n + 1) / 2) - math.lgamma((4 + n) / 2) for n in count])
+    for t in range(longest):
+        v, past, n = a[:, t : t + 1], a[:, : t + 1], count[: t + 1]
+        centre = past.mean(axis=1, keepdims=True)
+        spread = np.maximum(past.var(axis=1, keepdims=True), 1e-9 * (1 + np.abs(past).max(axis=1, keepdims=True)) ** 2)
+        k, alpha = n + 0.25, 2 + n / 2
+        mu = (0.25 * centre + n * mean) / k
+        beta = spread + 0.5 * (ss + 0.25 * n * (mean - centre) ** 2 / k)
+        scale2, df = beta * (k + 1) / (alpha * k), 2 * alpha
+        seen = log_w + gamma[: t + 1] - 0.5 * np.log(df * math.pi * scale2) - (df + 1) / 2 * np.log1p((v - mu) ** 2 / (df * scale2))
+        top = seen.max(axis=1, keepdims=True)
+        fresh = top + np.log(np.exp(seen - top).sum(axis=1, keepdims=True)) + math.log(hazard)
+        log_w = np.concatenate((fresh, seen + math.log1p(-hazard)), axis=1)
+        most = log_w.max(axis=1, keepdims=True)
+        log_w -= most + np.log(np.exp(log_w - most).sum(axis=1, keepdims=True))
+        step = (v - mean) / (n + 1)
+        ss = np.concatenate((np.zeros_like(v), ss + step * (v - mean) * n), axis=1)
+        mean = np.concatenate((np.zeros_like(v), mean + step), axis=1)
+        log_w[log_w <= math.log(prune)] = -np.inf
+        if t > 2 * recent:
+            out[:, t] = np.exp(log_w[:, : recent + 1]).sum(axis=1)
+    return [row[:n] for row, n in zip(out, sizes, strict=True)]
+
+
 def panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 4.0, hazard: float = 1 / 25, least: int = 4) -> DataFrame:
     """(keys, order, p_change, cusum_flag, since_change) of every row of groups with at least `least` values."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values(order, kind="stable")
-        if len(pdf) < least:
-            return pdf.head(0).assign(p_change=pd.Series(dtype=float), cusum_flag=pd.Series(dtype=bool), since_change=pd.Series(dtype="int64"))[names]
-        p = changepoint_probability(pdf[value], hazard)
-        since, n = [], 0
-        for i, x in enumerate(p):
-            n = 0 if i and x > 0.5 else n + 1
-            since.append(n)
-        return pdf.assign(p_change=p, cusum_flag=cusum(pdf[value], k, h), since_change=since)[names]
-
-    names = [*keys, order, "p_change", "cusum_flag", "since_change"]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + ", p_change double, cusum_flag boolean, since_change long"
-    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
+    sample = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("x"))))
+    s = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(sample.alias("_s")).where(F.size("_s") >= least)
+
+    @F.pandas_udf("array<struct<p:double,f:boolean,n:bigint>>")
+    def told(xs: pd.Series) -> pd.Series:
+        p = [np.zeros(0)] * len(xs)
+        sizes = xs.map(len)
+        short = sizes[sizes <= SHORT].sort_values().index.to_numpy()
+        for at in np.array_split(short, range(512, len(short), 512)):  # like lengths together
+            for i, found in zip(at, changepoint_probabilities([xs[i] for i in at], hazard), strict=True):
+                p[i] = found
+        for i in sizes[sizes > SHORT].index:  # runs are pruned, so a long series costs less one by one
+            p[i] = changepoint_probability(xs[i], hazard)
+        out = []
+        for x, q in zip(xs, p, strict=True):
+            since, n = [], 0
+            for i, chance in enumerate(q):
+                n = 0 if i and chance > 0.5 else n + 1
+                since.append(n)
+            out.append([{"p": float(c), "f": f, "n": m} for c, f, m in zip(q, cusum(x, k, h), since, strict=True)])
+        return pd.Series(out)
+
+    out = s.select(*keys, "_s", told(F.col("_s.x")).alias("_f")).select(*keys, F.explode(F.arrays_zip("_s", "_f")).alias("_z"))
+    z = F.col("_z._f")
+    return out.select(*keys, F.col("_z._s.at").alias(order), z["p"].alias("p_change"), z["f"].alias("cusum_flag"), z["n"].alias("since_change"))
 
 
 def cusum_panel(df: DataFrame, keys: Sequence[str], order: str, value: str, *, k: float = 0.5, h: float = 4.0, least: int = 4) -> DataFrame:
