@@ -64,8 +64,7 @@ def two_window(spark, sf):
         "t": F.when(F.col("enough"), F.expr("(m1 - m2) / sqrt(v1 / n1 + v2 / n2)")),
         "df": F.when(F.col("enough"), F.expr("pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1))")),
     })
-    area = "aggregate(sequence(0, 399), 0D, (s, i) -> s + pow(cos({w} * (i + 0.5D) / 400), df - 1)) * {w}"
-    p = F.expr(f"1 - ({area.format(w='atan(abs(t) / sqrt(df))')}) / ({area.format(w='(pi() / 2)')})")
+    p = SE.two_sided_p(F.col("t"), F.col("df"))
     return x.select(*KEY, r("t").alias("t"), r("df").alias("df"), F.coalesce(F.when(F.col("t").isNotNull(), r(p, 5)), F.lit(1.0)).alias("p"))
 
 
