@@ -140,9 +140,15 @@ def constrained(spark, sf):
   k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY net) + (count(*) OVER (PARTITION BY feature, net) - 1) / 2.0 AS b FROM u)
   SELECT feature, round(corr(x, net), 5) AS pearson, round(corr(a, b), 5) AS spearman FROM k GROUP BY 1""")
 def redundancy(spark, sf):
-    u = facts(spark, sf).unpivot(["basket", "line", "net"], ["qty", "disc"], "feature", "x")
-    k = K.mean_rank(K.mean_rank(u, ["feature"], "x", "a", save), ["feature"], "net", "b", save)
-    return k.groupBy("feature").agg(r(F.corr("x", "net"), 5).alias("pearson"), r(F.corr("a", "b"), 5).alias("spearman"))
+    """net is ranked once for both features; a feature's values are ranked by how often each is there."""
+    f = facts(spark, sf).select("qty", "disc", "net")
+    k = K.mean_rank(f, [], "net", "b", save)
+    for x in ("qty", "disc"):
+        values = K.running(f.groupBy(F.col(x).alias("v")).agg(F.count("*").alias("n")), [], ["v"], {"upto": "n"}, save)
+        place = F.col("upto") - (F.col("n") - 1) / 2
+        k = k.join(values.select("v", place.alias(f"{x}_a")), F.col(x).eqNullSafe(F.col("v"))).drop("v")
+    both = k.agg(*[c for x in ("qty", "disc") for c in (r(F.corr(x, "net"), 5).alias(x), r(F.corr(f"{x}_a", "b"), 5).alias(f"{x}_a"))])
+    return both.select(F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("pearson"), F.col(f"{x}_a").alias("spearman")) for x in ("qty", "disc")])))
 
 
 @q("dq_window_overlap", f"""WITH {PANEL}, a AS (SELECT entity, {'{}'} AS v FROM panel WHERE epoch <= 1996 GROUP BY 1), b AS (SELECT entity, {'{}'} AS v FROM panel WHERE epoch >= 1996 GROUP BY 1) SELECT count(*) AS common, round(corr(a.v, b.v), 5) AS corr FROM a JOIN b USING (entity)""".replace("{}", "CAST(sum(CAST(total AS DECIMAL(20,4))) AS DOUBLE) / count(*)"))
