@@ -14,7 +14,7 @@ from pitpanel.operators import spine as SP
 from pitpanel.operators import tracking as TR
 from pitpanel.operators import windows as W
 from pitpanel.operators.nearest import nearest
-from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, spread, table
 from pitpanel.sources import tables as T
 from pitpanel.sources.tables import save
 
@@ -217,7 +217,9 @@ def coverage_fit(spark, sf):
   SELECT entity, frames, periods, CAST(last_period AS BIGINT) AS last_period, mover_plays, marker_plays, speed_n, marker_speed_n, coalesce(target_plays, 0) AS target_plays, {", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in TRAITS)} FROM base LEFT JOIN dd USING (entity) LEFT JOIN ss USING (entity)""")
 def tracking(spark, sf):
     """Traits of parts as subjects of an order's frames: speeds and depths as mover, distance from the nearest marker."""
-    one = facts(spark, sf).groupBy("basket", "entity").agg(F.min("line").alias("line"), F.max("qty").alias("qty"), F.max("disc").alias("disc"), F.min("day").alias("day"))
+    # parts lie together from here on, so what is counted of each is not shuffled again with its frames
+    f = spread(facts(spark, sf).select("basket", "entity", "line", "qty", "disc", "day"), table(spark, sf, "lineitem").count(), "entity")
+    one = f.groupBy("basket", "entity").agg(F.min("line").alias("line"), F.max("qty").alias("qty"), F.max("disc").alias("disc"), F.min("day").alias("day"))
     f = one.withColumn("frame", F.explode(F.array(*map(F.lit, range(3))))).select(
         "basket", "entity", "frame", (F.year("day") * 12 + F.month("day")).cast("long").alias("period"),
         F.expr("CASE line % 3 WHEN 0 THEN 'marker' WHEN 1 THEN 'target' ELSE 'mover' END").alias("role"),

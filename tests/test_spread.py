@@ -8,7 +8,7 @@ from conftest import SF, TABLES
 from pitpanel.plans import bindings, registry
 
 
-@pytest.mark.parametrize("name", ["agg_spearman", "agg_share_over_expected", "basket_features", "set_overlap_vs_null", "pair_lift_graph"])
+@pytest.mark.parametrize("name", ["agg_spearman", "agg_share_over_expected", "basket_features", "set_overlap_vs_null", "pair_lift_graph", "tracking_traits"])
 def test_partitions_follow_rows(spark, tmp_path, monkeypatch, name):
     for t in TABLES:
         os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
