@@ -181,6 +181,21 @@ def test_shared_items(spark):
         assert {tuple(r) for r in B.shared_items(df, "basket", "item", least).collect()} == want
 
 
+def test_shared_items_brings_no_candidates(spark):
+    """A frequent item brought every pair of its baskets, which then were shuffled; and baskets too large for pairs of items."""
+    from itertools import combinations
+
+    rows = [(b, i) for b in range(400) for i in (b % 2, 2 + b)] + [(500 + b, i) for b in range(3) for i in [*range(1000, 1006 + b), 0]] + [(None, 0), (None, 1000), (7, None), (8, None)]
+    df = spark.createDataFrame(rows, "basket long, item long")
+    sets = {b: {i for x, i in rows if x == b and i is not None} for b, _ in rows if b is not None}
+    for least, most in ((1, 64), (1, 2), (2, 64), (2, 6), (2, 1), (3, 7)):
+        want = {(a, b, n) for a, b in combinations(sorted(sets), 2) if (n := len(sets[a] & sets[b])) >= least}
+        got = B.shared_items(df, "basket", "item", least, T.save, most=most)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    out = B.shared_items(df, "basket", "item", 2, T.save)
+    assert "array_intersect" not in out._jdf.queryExecution().toString()  # no pair is joined to its sets again
+
+
 def test_tables(spark):
     path = T.workspace(spark)
     df = spark.range(5)
