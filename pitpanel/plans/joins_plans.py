@@ -12,7 +12,7 @@ from pitpanel.operators import spine as S
 from pitpanel.operators import windows as W
 from pitpanel.operators.blocks import block_join
 from pitpanel.operators.profiles import match_once, nearest_profiles
-from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, table
+from pitpanel.plans.bindings import FACTS, GPANEL, OBS, PANEL, facts, grouped_panel, money, observations, panel, r, spread, table
 from pitpanel.sources.tables import save
 
 EP, KEY = ["epoch", "period"], ["entity", "epoch", "period"]
@@ -286,13 +286,14 @@ ASKED = """known AS (SELECT p_partkey AS id, p_type AS class, p_size AS size, p_
   FROM a LEFT JOIN ex USING (class, size, n) LEFT JOIN fz USING (row) LEFT JOIN nk USING (row)""")
 def exact_then_fuzzy(spark, sf):
     p = table(spark, sf, "part")
+    rows = p.count()
     known = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.col("p_size").alias("size"), F.col("p_brand").alias("code"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
     at = (F.col("id") % F.length("name")).cast("int")
     head, tail, kind = F.substr("name", F.lit(1), at), F.substr("name", at + 2), F.col("id") % 4
     name = F.when(kind == 0, F.concat(F.lit(" "), F.upper("name"))).when(kind == 1, F.concat(head, tail)).when(kind == 2, F.concat(head, F.lit("x"), tail)).otherwise(F.split_part("name", F.lit(" "), F.lit(2)))
     asked = known.select(F.col("id").alias("row"), "class", "size", (kind == 3).alias("special"), name.alias("name"))
     nick = known.groupBy(F.split_part("name", F.lit(" "), F.lit(2)).alias("nickname")).agg(F.min("code").alias("code"))
-    out = fuzzy.resolve(asked, known, ["class", "size"], "name", "id", edits=2, special=F.col("special"), nicknames=nick)
+    out = fuzzy.resolve(asked, known, ["class", "size"], "name", "id", edits=2, special=F.col("special"), nicknames=nick, dealt=lambda df, *by: spread(df, 3 * rows, *by))
     return out.select("row", "resolved", "method")
 
 

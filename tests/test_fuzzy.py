@@ -75,3 +75,17 @@ def test_resolve(spark, tables):
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert fuzzy.resolve(none, none, ["cls"], "name", "id").collect() == []
+
+
+def test_resolve_deals_rows_and_puts_ids_of_a_name_together(spark):
+    """Names that many share met with all their ids, and everything was dealt in the session's few partitions."""
+    known = [("p", f"name {i % 5:03d} of many", i, "c") for i in range(200)] + [("p", "name 900 alone", 900, "c"), ("p", "nobody else", 901, "c")]
+    asked = [("p", f"nme {i % 5:03d} of many", 2000 + i, None) for i in range(50)] + [("p", "nme 900 alone", 3000, None), ("p", "Nobody Else", 3001, None)]
+    dealt = []
+    deal = lambda df, *by: dealt.append(by) or df.repartition(7, *by)
+    a, k = (spark.createDataFrame(x, SCHEMA) for x in (asked, known))
+    out = fuzzy.resolve(a, k, ["cls"], "name", "id", edits=1, dealt=deal)
+    got = {r.id: (r.resolved, r.method) for r in out.collect() if r.method}
+    assert got == {3000: (900, "fuzzy"), 3001: (901, "exact")}
+    assert ("cls", "_name") in dealt and ("cls", "_key") in dealt
+    assert "distinct count" not in out._jdf.queryExecution().toString().lower().replace("count(distinct", "distinct count")
