@@ -121,3 +121,19 @@ def test_discrimination(df, rows):
 def test_discrimination_of_one_class(spark):
     one = spark.createDataFrame([(1, "a", 0, 1.0, 1, 1), (2, "a", 0, 2.0, 1, 1), (3, "b", 0, 2.0, 1, 0)], SCHEMA)
     assert {r.g: (r.roc_auc, r.average_precision) for r in K.discrimination(one, ["g"], "x", "hit", save).collect()} == {"a": (None, None), "b": (None, None)}
+
+
+def test_placed_in_one_pass(spark):
+    """Places, sums and mean ranks took a range sort each; ties are put in order by others, and have the mean of their ranks."""
+    rng, saved = random.Random(3), []
+    rows = [(rng.choice("pq"), float(rng.randrange(12)), i, rng.randrange(2)) for i in range(300)] + [("alone", 1.0, 900, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, id long, hit int").repartition(5)
+    counted = lambda d: saved.append(1) or save(d)
+    out = K.placed(df, ["g"], "x", ["id"], counted, place="k", mean="m", sums={"hits": "hit"})
+    got = {r.id: (r.k, r.k_all, r.m, r.hits) for r in out.collect()}
+    for g, x, i, _ in rows:
+        own = sorted((-y, j, h) for q, y, j, h in rows if q == g)
+        k = next(n for n, o in enumerate(own, 1) if o[1] == i)
+        low, ties = sum(-y < x for y, *_ in own), sum(-y == x for y, *_ in own)
+        assert got[i] == (k, len(own), low + (ties + 1) / 2, sum(h for *_, h in own[:k]))
+    assert len(saved) == 1
