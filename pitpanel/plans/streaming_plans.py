@@ -97,8 +97,8 @@ def traits(spark, sf):
 @q("stream_online_conformal")
 def online_conformal(spark, sf):
     out = T.workspace(spark)
-    J.run_available(J.online_conformal(stream(spark, sf), "event_type", "event_id", "value"), out, T.workspace(spark))
-    return spark.read.parquet(out)
+    J.run_batches(stream(spark, sf), J.online_conformal(out, T.workspace(spark), "event_type", "event_id", "value"), T.workspace(spark), mode="append")
+    return spark.read.parquet(out).drop("batch")
 
 
 @q("stream_freshness", "SELECT event_type AS feed, count(*) AS rows, max(ts) AS newest, date_diff('second', max(ts), TIMESTAMP '2024-02-15') > 3600 AS late FROM events GROUP BY 1")

@@ -287,3 +287,30 @@ def test_online_conformal_query(spark):
             if same:
                 break
         assert same
+
+
+def test_conformal_rows_hold_one_batch():
+    """A key's whole micro-batch was held by a task; now rows pass through, states before and after them."""
+    import pyarrow as pa
+
+    rows = [("a", None, None, 0.2, [5.0, 1.0, 3.0])] + [(k, i, float((i * 7) % 13), None, None) for k in "ab" for i in range(300)]
+    kinds = pa.schema([("key", pa.string()), ("at", pa.int64()), ("score", pa.float64()), ("alpha", pa.float64()), ("scores", pa.list_(pa.float64()))])
+    taken = []
+
+    def batches():
+        for i in range(0, len(rows), 10):
+            taken.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 10], strict=True), kinds, strict=True)], schema=kinds)
+
+    out = J.conformal_rows(batches(), 0.1, 0.02, 50)
+    got = next(out).to_pylist()
+    assert len(taken) == 1
+    got += [r for b in out for r in b.to_pylist()]
+    want = []
+    for k, alpha, window in (("a", 0.2, [5.0, 1.0, 3.0]), ("b", 0.1, [])):
+        for i in range(300):
+            used = alpha
+            alpha, bound, missed = J.conformal_step(alpha, window, float((i * 7) % 13), 0.1, 0.02, 50)
+            want.append({"key": k, "at": i, "bound": bound, "missed": missed, "alpha": used, "scores": None})
+        want.append({"key": k, "at": None, "bound": None, "missed": None, "alpha": alpha, "scores": window})
+    assert sorted(got, key=lambda r: (r["key"], r["at"] is None, r["at"])) == want
