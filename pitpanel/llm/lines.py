@@ -4,8 +4,8 @@ A line of n characters is cut in EDITS + 1 segments. Two lines within EDITS edit
 line has, near where the shorter line's segment is, a substring equal to it. So every line has index keys (its own
 length, a segment's number and characters) and probe keys (substrings of it, at the few places that a segment of a
 line of its length or up to EDITS shorter can have moved to). A first pass over all keys finds those that an index
-key and another line share; only lines that hold one of these go on. Lines that meet in a key are compared by
-banded bit-parallel edit distance; a key with many lines is dealt out as pairs of blocks, and each line only takes
+key and another line share, by two numbers a key and in partitions in proportion to keys; only lines that hold
+one of these are read again. Lines that meet in a key are compared by banded bit-parallel edit distance; a key with many lines is dealt out as pairs of blocks, and each line only takes
 away how many partners it has there, the first of them and the first line of its component there, so no pairs are
 emitted.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitpanel.llm import urls
 from pitpanel.llm.store import by_size, connected_components, materialise
 
 EDITS, MIN_CHARS, BLOCK, HALF = 2, 9, 128, 0.5
@@ -22,6 +23,27 @@ _INK = r"[^\x20\x09-\x0D]"
 ORDER = "decimal(38,0)"
 _LINES = 1 << 31  # places of lines in a document
 _PAD = b"\xff" * 4  # no character
+FEW, NUMBERS = 200_000, 2_000_000  # rows, and numbers in their arrays, that are broadcast at most
+KEYS = 1_000_000  # keys of a task, about
+_MOST_BITS = 1 << 26
+
+
+def _may_be_one_of(ids: DataFrame, n: int):
+    """A test of a long column: true for the n ids (one long column), false for most others and for null.
+
+    A Bloom filter of 8 MB at most, so that rows which a join would drop are not shuffled for it.
+    """
+    bits = 64 * max(1, -(-min(_MOST_BITS, n * urls.BITS_PER_KEY) // 64))
+    made = urls._filter_of(ids.toDF("host"), 0, bits)
+    return lambda key: key.isNotNull() & urls._has(made, key, 0, bits)
+
+
+def _those(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with key in ids, a written table of one long column of that name. Others are not shuffled, but for a few."""
+    n = ids.count()
+    if n <= FEW:
+        return rows.join(F.broadcast(ids), key, "left_semi")
+    return rows.where(_may_be_one_of(ids, n)(F.col(key))).join(ids, key, "left_semi")
 
 
 def _moves(edits: int) -> list[tuple[int, int, int]]:
@@ -138,30 +160,44 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def keyed_lines(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """rows, a row for each key: key, size (of the line with the segment), seg, index (whether it is an own segment), b.
-
-    b: the line, four bytes a character, so that its pieces are cut without counting characters.
-    """
+    """rows, a row for each key: key, size (of the line with the segment), seg, index (whether it is an own segment)."""
     places = ", ".join(f"struct({a} as less, {b} as seg, {c} as move)" for a, b, c in _moves(edits))
-    rows = rows.withColumns({"n": F.char_length("line"), "b": F.encode("line", "UTF-32")}).drop("line")
+    # four bytes a character, so that its pieces are cut without counting characters
+    rows = rows.withColumns({"n": F.char_length("line"), "b": F.encode("line", "UTF-32")})
     rows = rows.where(F.col("n") >= max(min_chars, 3 * (edits + 1)))
     rows = rows.select("*", F.expr(f"inline(array({places}))")).withColumn("size", F.col("n") - F.col("less"))
     start, length = _segment(F.col("size"), F.col("seg"), edits + 1)
     key = F.xxhash64("size", "seg", _piece(F.col("b"), start + F.col("move"), length))
-    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("move") == 0)}).drop("less", "move")
+    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("move") == 0)}).drop("less", "move", "b")
+
 
+def _meeting(rows: DataFrame, edits: int, min_chars: int, n: int) -> DataFrame:
+    """(key, line): the keys that an index key and another line share, with the lines that hold them (63 bits of their ids).
 
-def near_lines(rows: DataFrame, edits: int, min_chars: int, block: int) -> DataFrame:
+    Two numbers of each key are shuffled, to partitions of about KEYS keys, whatever the table's size. n: the lines of rows.
+    """
+    keyed = keyed_lines(rows, edits, min_chars)
+    mark = F.col("id").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("index").cast("long"))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keyed.select("key", mark.alias("mark")).repartition(max(least, -(-n * len(_moves(edits)) // KEYS)), "key")
+    line = F.shiftright("mark", 1)
+    met = keys.groupBy("key").agg(F.min(line).alias("low"), F.max(line).alias("high"), F.max(F.col("mark").bitwiseAND(F.lit(1))).alias("index"))
+    met = met.where("index = 1 and low <> high").select("key")
+    # the shuffled keys are read twice, not shuffled twice
+    return materialise(keys.join(met.hint("shuffle_hash"), "key").select("key", line.alias("line_key")))
+
+
+def near_lines(rows: DataFrame, edits: int, min_chars: int, block: int, n: int) -> DataFrame:
     """(id, id2, at, links int, first at, low at), a row for each group where a distinct line has others within `edits` edits.
 
     at: the line's first place; links: how many others; first: the first of them; low: the first line of those that
-    links within the group reach.
+    links within the group reach. n: about how many lines there are.
     """
-    keyed = keyed_lines(rows, edits, min_chars)
-    met = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("index").alias("index"))
-    met = materialise(met.where("index and low <> high").select("key"))
-    few = by_size(keyed, met, "key").groupBy("key", "size", "seg", "id", "id2").agg(
-        F.min("at").alias("at"), F.max("index").alias("index"), F.any_value("b").alias("b")
+    hold = _meeting(rows, edits, min_chars, n)
+    some = _those(rows.withColumn("line_key", F.shiftright("id", 1)), materialise(hold.select("line_key").distinct()), "line_key")
+    met = materialise(hold.select("key").distinct())
+    few = by_size(keyed_lines(some.drop("line_key"), edits, min_chars), met, "key").groupBy("key", "size", "seg", "id", "id2").agg(
+        F.min("at").alias("at"), F.max("index").alias("index"), F.any_value("line").alias("line")
     )
     few = materialise(few)
     group = ["key", "size", "seg"]
@@ -172,7 +208,7 @@ def near_lines(rows: DataFrame, edits: int, min_chars: int, block: int) -> DataF
     dealt = dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")})
     # an explicit count: Spark would size these partitions by bytes, where their work is in comparing
     dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "bi", "bj")
-    rows = dealt.groupBy(*group, "bi", "bj").agg(F.collect_list(F.struct("id", "id2", "at", "index", "b", "own")).alias("g"))
+    rows = dealt.groupBy(*group, "bi", "bj").agg(F.collect_list(F.struct("id", "id2", "at", "index", F.encode("line", "UTF-32").alias("b"), "own")).alias("g"))
     chars = lambda x: (F.octet_length(x["b"]) / 4).cast("int")
 
     def earlier_segment(x: Column, y: Column) -> Column:
@@ -239,6 +275,17 @@ def _once(docs: DataFrame) -> DataFrame:
     return others.unionByName(line_rows(by_size(docs, again, "doc_id", "left_semi")).distinct())
 
 
+def _first_of_many(rows: DataFrame, again: DataFrame, n: int) -> DataFrame:
+    """rows (n of them), of the few lines with the most copies only the first: the keys of one line are not heaped up in a task.
+
+    again: (id, id2, at, copies), of each repeated line its first place.
+    """
+    often = again.where(F.col("copies") > max(100, n // 100_000)).select("id", "id2", F.col("at").alias("head"))
+    if not often.limit(1).count():
+        return rows
+    return rows.join(F.broadcast(often), ["id", "id2"], "left").where("head is null or head = at").drop("head")
+
+
 def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_lines, n_dropped, n_links, class_id longs, dropped array<int>, sources array<long>, sizes array<int>, n_chars long).
 
@@ -254,8 +301,9 @@ def line_dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _once(docs)
-    again = rows.groupBy("id", "id2").agg(F.min("at").alias("at"), F.count("*").alias("copies")).where("copies > 1")
-    met = materialise(near_lines(rows, edits, min_chars, block))
+    again = materialise(rows.groupBy("id", "id2").agg(F.min("at").alias("at"), F.count("*").alias("copies")).where("copies > 1"))
+    n = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0] or 0
+    met = materialise(near_lines(_first_of_many(rows, again, n), edits, min_chars, block, n))
     near = met.groupBy("id", "id2", "at").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
     keep = again.drop("copies").join(near, ["id", "id2", "at"], "full_outer").withColumnRenamed("at", "head")
     keep = materialise(keep)
@@ -341,11 +389,15 @@ def copies_of(docs: DataFrame, gone: DataFrame, similarity: float, shingle: int)
 
 
 def _on_ids(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs joined with rows by doc_id; rows, with arrays of line numbers, are broadcast only if they are few and short."""
+    """docs joined with rows by doc_id; rows, with arrays of line numbers, are broadcast only if they are few and short.
+
+    Else only the texts of documents in rows are shuffled, and a few more.
+    """
     rows = materialise(rows)
     few = rows.agg(F.count("*").alias("n"), F.sum(F.size("dropped")).alias("lines")).first()
-    small = few["n"] <= 200_000 and (few["lines"] or 0) <= 2_000_000
-    return docs.join(F.broadcast(rows) if small else rows, "doc_id")
+    if few["n"] <= FEW and (few["lines"] or 0) <= NUMBERS:
+        return docs.join(F.broadcast(rows), "doc_id")
+    return docs.where(_may_be_one_of(rows.select("doc_id"), few["n"])(F.col("doc_id"))).join(rows, "doc_id")
 
 
 def drop_lines(docs: DataFrame, found: DataFrame, whole: float | None = None, shingle: int = 5) -> DataFrame:
@@ -369,8 +421,12 @@ def drop_lines(docs: DataFrame, found: DataFrame, whole: float | None = None, sh
     held = docs.select(F.struct(*docs.columns).alias("row"))
     on = F.col("row.doc_id") == F.col("gone.doc_id")
     few = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone.dropped")).alias("lines")).first()
-    small = few["n"] <= 200_000 and (few["lines"] or 0) <= 2_000_000  # 8 MB of numbers
-    joined = held.join(F.broadcast(gone) if small else gone, on, "left")
+    if few["n"] <= FEW and (few["lines"] or 0) <= NUMBERS:  # 8 MB of numbers
+        joined = held.join(F.broadcast(gone), on, "left")
+    else:  # documents that lose nothing are not shuffled, but for a few
+        may = _may_be_one_of(gone.select("gone.doc_id"), few["n"])(F.col("row.doc_id").cast("long"))
+        none = F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")
+        joined = held.where(~may).select("row", none).unionByName(held.where(may).join(gone, on, "left"))
     text, changed = F.col("row.text"), F.col("gone").isNotNull()
     new = F.when(changed, _without(text, F.col("gone.dropped"))).otherwise(text)
     cols = {c: F.col("row")[c] for c in names} | {"text": new}
